@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, mixture
 from .common import load
 from .ngram_join import near_duplicates
 
@@ -14,5 +16,16 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, load(spark, sf_dir, "benchmark"), keep_text=False)
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", decontaminate.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
+
+
+def op7_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(load(spark, sf_dir, "documents")).drop("source")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_benchmark_decontamination, op7_weighted_fair_mix)}
+ORACLE_SQL: dict[str, str] = {"op7_weighted_fair_mix": mixture.MIX_SQL}
