@@ -1,11 +1,17 @@
-"""Near-duplicate documents by the exact Jaccard similarity of their word shingles.
-
-Linked sets share one of their rarest tokens at least (a prefix in one order of all tokens), so documents that share no such token
-need no comparison. The order counts tokens in a sketch of fixed size over all documents and breaks ties by hash: any order gives
-the same links, a good one puts what many documents share last. Distinct sets that share prefix tokens, directly or by others,
-make a neighbourhood; its sets are compared by signature trees (see signature_tree). A neighbourhood beyond the token budget is
-cut by size and hash into tiles; each tile is joined in itself, then the least sets of what is linked, and last the sets outside
-the largest component against all tiles of like sizes. Nothing is capped: exact copies count as one set before anything is joined.
+"""Near-duplicate documents by the exact Jaccard similarity of their word shingles, with signature trees.
+
+Linked sets share one of their rarest tokens at least (a prefix in one order of all tokens), so only documents that share such a
+token meet. The order counts tokens in a sketch of fixed size over all documents and breaks ties by hash: any order gives the
+same links, a good one puts what many documents share last. Exact copies count as one set from there on. Tokens that the same
+sets hold make one block. Then, in two steps,
+
+1. each block's bitmaps go through a signature tree, which leaves a forest of pairs that can be linked; its components are small
+   neighbourhoods, and most documents are in none;
+2. the whole sets of a neighbourhood go through a signature tree with an exact check of the pairs that are left.
+
+A block of more than `most` sets is taken to be one neighbourhood. A neighbourhood beyond the token budget is cut by size and hash
+into tiles; each tile is joined in itself, then the least sets of what is linked, and last the sets outside the largest component
+against all tiles of like sizes. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -20,11 +26,13 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .common import components, cut, fold, grouped
-from .signature_tree import links
+from .signature_tree import bitmap, links, set_links
 
 SKETCH = 1 << 18
 #: Tokens that one task compares at once; 8 bytes each.
 BUDGET = 1 << 21
+#: Sets of a block whose bitmaps one task compares at once.
+MOST = 8192
 #: A list of ids up to this long is broadcast (16 bytes each); a longer one is joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -47,7 +55,7 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, node, n, prefix): node is a digest of the set, null if it is empty."""
+    """(doc_id, node, n, prefix, bits): node is a digest of the set, null if it is empty."""
     held = docs.sparkSession.sparkContext.broadcast(_sketch(docs, size))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,11 +73,11 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 off = np.zeros(len(sets) + 1, dtype=np.int32)
                 np.cumsum([len(p) for p in prefix], out=off[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(s.lo, s.hi - s.lo), pa.array([X.set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefix)))],
-                    ["doc_id", "node", "n", "prefix"],
+                    [b.column(0).slice(s.lo, s.hi - s.lo), pa.array([X.set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefix))), pa.array([bitmap(x).tobytes() if len(x) else None for x in sets], pa.binary())],
+                    ["doc_id", "node", "n", "prefix", "bits"],
                 )
 
-    return cut(docs.mapInArrow(rows, "doc_id long, node long, n long, prefix array<long>"))
+    return cut(docs.mapInArrow(rows, "doc_id long, node long, n long, prefix array<long>, bits binary"))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -82,6 +90,22 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "node long, tokens binary")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it is found to have no more than so many rows of a few numbers."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _possible(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """A forest of the pairs of a block whose bitmaps and sizes leave room for a link."""
+
+    def join(rows: list[tuple]) -> Iterable[tuple]:
+        found = links([np.frombuffer(x[6], dtype=np.uint64) for x in rows], [x[5] for x in rows], num, den)
+        return [(rows[i][4], rows[j][4]) for i, j in found]
+
+    keys = ["sum", "m", "least", "greatest"]
+    return grouped(blocks.select(*keys, "node", "n", "bits"), keys, join, "a long, b long", order=["node"])
+
+
 def _compare(df: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
     """Links within each group. df has the keys, node, tokens, and may have label and side."""
     extra = [c for c in ("label", "side") if c in df.columns]
@@ -96,7 +120,7 @@ def _compare(df: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
                     best[x[k]] = x
             rows = list(best.values())
         sets = [np.frombuffer(x[k + 1], dtype=np.uint64) for x in rows]
-        found = links(sets, num, den, [x[k + 2] for x in rows] if extra else None, np.array([x[k + 3] for x in rows]) if "side" in extra else None)
+        found = set_links(sets, num, den, [x[k + 2] for x in rows] if extra else None, np.array([x[k + 3] for x in rows]) if "side" in extra else None)
         return [(rows[i][k], rows[j][k]) for i, j in found]
 
     return grouped(df.select(*keys, "node", "tokens", *extra), keys, join, "a long, b long", order=["node"])
@@ -135,7 +159,7 @@ def _large(sets: DataFrame, num: int, den: int, budget: int) -> DataFrame:
     return found.union(_compare(a.union(b), keys, num, den))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, budget: int = BUDGET, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, budget: int = BUDGET, most: int = MOST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns don't matter).
 
     Words are runs of `[^\\x20\\x09-\\x0D]`, A-Z lower-cased; a set has the distinct runs of `size` words, or the whole sequence of
@@ -145,19 +169,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     docs = _texts(docs)
     table = _prefixes(docs, size, num, den)
-    tokens = table.select(F.explode("prefix").alias("token"), "node")
-    least = tokens.withColumn("b", F.min("node").over(Window.partitionBy("token")))
-    near = least.where("node != b").select(F.col("node").alias("a"), "b").distinct()
-    clusters = components(near)
-    nodes = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"))
-    members = cut(clusters.join(nodes, "node").withColumnRenamed("component", "cluster"))
-    total = Window.partitionBy("cluster")
+    nodes = cut(table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.count("*").alias("rows")))
+    # exact copies but the first are left out from here on; rows of equal doc_id and text stay, and meet in one set
+    copies = table.where("node is not null").select("doc_id", "node").join(_small(nodes.where("rows > 1").select("node", "doc"), broadcast_rows), "node").where("not (doc_id <=> doc)").select(F.col("doc_id").alias("d"), F.col("node").alias("k")).distinct()
+    copies = _small(cut(copies), broadcast_rows)
+    single = table.where("node is not null").join(copies, table["doc_id"].eqNullSafe(copies["d"]) & (table["node"] == copies["k"]), "left_anti")
+    own = Window.partitionBy("token")
+    tokens = single.select(F.explode("prefix").alias("token"), "node").withColumn("least", F.min("node").over(own)).withColumn("greatest", F.max("node").over(own))
+    tokens = tokens.withColumn("m", F.count("*").over(own)).withColumn("sum", F.bit_xor(F.xxhash64("node")).over(own)).where("least != greatest")
+    blocks = cut(tokens.select("sum", "m", "least", "greatest", "node").distinct())
+    stars = blocks.where(F.col("m") > most).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    blocks = blocks.where(F.col("m") <= most).select("sum", "m", "least", "greatest", "node")
+    bits = single.join(_small(blocks.select("node").distinct(), broadcast_rows), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"])
+    near = components(_possible(blocks.join(bits, "node"), num, den).union(stars)).withColumnRenamed("component", "cluster")
+    members = cut(near.join(nodes.select("node", "doc", "n"), "node"))
     weight = members.groupBy("cluster").agg(F.sum("n").alias("total"))
-    ids = members.select(F.col("doc").alias("member")).distinct()
-    few = members.count() <= broadcast_rows
-    held = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["member"]), "left_semi")
-    sets = _sets(held, size).join(members.join(weight, "cluster").select("node", "cluster", "n", "total"), "node")
-    del total
+    members = members.join(weight, "cluster")
+    ids = _small(members.select(F.col("doc").alias("member")).distinct(), broadcast_rows)
+    held = docs.join(ids, docs["doc_id"].eqNullSafe(ids["member"]), "left_semi")
+    sets = _sets(held, size).join(_small(members.select("node", "cluster", "n", "total"), broadcast_rows), "node")
     found = _compare(sets.where(F.col("total") <= budget), ["cluster"], num, den)
     if not weight.where(F.col("total") > budget).isEmpty():
         found = found.union(_large(sets.where(F.col("total") > budget).drop("total"), num, den, budget))
