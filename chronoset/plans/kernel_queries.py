@@ -1,0 +1,205 @@
+"""Queries whose step is inherently sequential: grouped kernels on one track's rows.
+
+None has an oracle in SQL; tests hold the kernels against brute force and the queries against the kernels.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import islands, kernels
+from ..sources.project import frames, notes, table
+from .catalog import query
+from .note_queries import line_and_oracle
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sequences: an order's quantities and those of the next order of the customer."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: x["l_quantity"].cast("int")).alias("seq"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    both = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select("o_orderkey", "seq", F.lead("seq").over(w).alias("other"))
+    return both.where("other is not null")
+
+
+@query()
+def align_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Global alignment of each pair: equal pairs, substitutions, insertions and deletions."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            rows = []
+            for key, x, y in zip(b["o_orderkey"], b["seq"], b["other"], strict=True):
+                pairs = kernels.align([v % 12 for v in x], [v % 12 for v in y])
+                same = sum(i is not None and j is not None and x[i] % 12 == y[j] % 12 for i, j in pairs)
+                subs = sum(i is not None and j is not None for i, j in pairs) - same
+                rows.append((key, same, subs, sum(i is None for i, _ in pairs), sum(j is None for _, j in pairs)))
+            yield pd.DataFrame(rows, columns=["o_orderkey", "matches", "subs", "inserted", "deleted"])
+
+    return _lists(spark, sf_dir).mapInPandas(run, "o_orderkey long, matches long, subs long, inserted long, deleted long")
+
+
+@query()
+def best_transposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shift of the second sequence that aligns best."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            found = [kernels.best_shift(list(x), list(y), range(-6, 7)) for x, y in zip(b["seq"], b["other"], strict=True)]
+            yield pd.DataFrame({"o_orderkey": b["o_orderkey"], "shift": [f[0] for f in found], "matches": [f[1] for f in found]})
+
+    return _lists(spark, sf_dir).mapInPandas(run, "o_orderkey long, shift long, matches long")
+
+
+def _candidates(spark: SparkSession, sf_dir: str, band: float) -> DataFrame:
+    """Neighbourhoods of notes of both detectors, cut where nothing is within the band, so each is a small group."""
+    a, b = line_and_oracle(spark, sf_dir)
+    rows = a.select(F.lit(0).alias("side"), F.col("note_id").alias("id"), "onset", "pitch").union(b.select(F.lit(1), "o_id", "o_onset", "o_pitch"))
+    w = islands.by("pitch", "onset", "side", "id")
+    new = F.coalesce(F.col("onset") - F.lag("onset").over(w) > band, F.lit(True))
+    return rows.withColumn("part", islands.island_id(new, w))
+
+
+def _matched(method: str, band: float):  # noqa: ANN202
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g[g["side"] == 0].reset_index(drop=True), g[g["side"] == 1].reset_index(drop=True)
+        left, right = list(zip(a["onset"], a["pitch"], strict=True)), list(zip(b["onset"], b["pitch"], strict=True))
+        if method == "greedy":
+            pairs = kernels.greedy_match(left, right, band)
+        elif method == "most":
+            edges = [[j for j, y in enumerate(right) if abs(x[0] - y[0]) <= band] for x in left]
+            pairs = [(i, j) for i, j in enumerate(kernels.maximum_matching(edges, len(right))) if j >= 0]
+        else:
+            cost = np.array([[abs(x[0] - y[0]) if abs(x[0] - y[0]) <= band else 1e3 for y in right] + [1e3] * len(left) for x in left]).reshape(len(left), -1)
+            pairs = [(i, j) for i, j in enumerate(kernels.assignment(cost)) if j < len(right) and cost[i, j] < 1e3] if len(left) else []
+        return pd.DataFrame({"note_id": [int(a["id"][i]) for i, _ in pairs], "o_id": [int(b["id"][j]) for _, j in pairs]}, columns=["note_id", "o_id"])
+
+    return run
+
+
+@query()
+def note_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A maximum matching of both detectors' notes of one pitch."""
+    return kernels.per_group(_candidates(spark, sf_dir, 1.0), ["pitch", "part"], ["onset", "side", "id"], _matched("most", 1.0), "note_id long, o_id long")
+
+
+@query()
+def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.per_group(_candidates(spark, sf_dir, 1.0), ["pitch", "part"], ["onset", "side", "id"], _matched("greedy", 1.0), "note_id long, o_id long")
+
+
+@query()
+def pair_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of least total distance."""
+    return kernels.per_group(_candidates(spark, sf_dir, 1.0), ["pitch", "part"], ["onset", "side", "id"], _matched("cost", 1.0), "note_id long, o_id long")
+
+
+@query()
+def viterbi_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothest likely path through 50 pitch bins of each track's frames."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        p = g["pitch"].to_numpy(dtype=float)
+        far = np.abs(np.arange(1, 51)[None, :] - np.nan_to_num(p, nan=25.0)[:, None])
+        path = kernels.viterbi(np.where(np.isnan(p)[:, None], 0.0, -0.05 * far), 0.02)
+        return pd.DataFrame({"track": g["track"], "frame": g["frame"], "bin": path})
+
+    return kernels.per_group(frames(spark, sf_dir), ["track"], ["frame"], run, "track long, frame long, bin long")
+
+
+@query()
+def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of each track's means of 16 frames."""
+    bars = frames(spark, sf_dir).groupBy("track", F.floor(F.col("frame") / 16).alias("bar")).agg(F.avg("level").alias("level"), F.avg("periodicity").alias("p"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x = g[["level", "p"]].to_numpy(dtype=float)
+        x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+        return pd.DataFrame({"track": g["track"].iloc[0], "bar": g["bar"].to_numpy()[kernels.change_points(x, 4.0, 4)]})
+
+    return kernels.per_group(bars, ["track"], ["bar"], run, "track long, bar long")
+
+
+@query()
+def beam_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line through each track's clusters."""
+    from ..operators.windows import velocities
+
+    c = velocities(islands.anchored_clusters(notes(spark, sf_dir), 5.0))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        groups = [x for _, x in g.groupby("cluster", sort=True)]
+        line = kernels.pick_line([list(zip(x["rank"], x["pitch"], strict=True)) for x in groups])
+        return pd.DataFrame({"note_id": [int(groups[a]["note_id"].iloc[i]) for a, i in line]}, columns=["note_id"])
+
+    return kernels.per_group(c.select("track", "cluster", "onset", "note_id", "rank", "pitch"), ["track"], ["cluster", "onset", "note_id"], run, "note_id long")
+
+
+@query()
+def separated_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        at = kernels.pick_peaks(g["level"].to_numpy(dtype=float), 4, 5, 10000.0)
+        return pd.DataFrame({"track": g["track"].iloc[0], "frame": g["frame"].to_numpy()[at]})
+
+    return kernels.per_group(frames(spark, sf_dir), ["track"], ["frame"], run, "track long, frame long")
+
+
+@query()
+def persistent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames where another decade of pitch takes over for two frames or more."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        at = kernels.persistent_changes([int(x) for x in g["decade"]], 2)
+        return pd.DataFrame({"track": g["track"].iloc[0], "frame": g["frame"].to_numpy()[at]})
+
+    f = frames(spark, sf_dir).where("pitch is not null").withColumn("decade", F.floor(F.col("pitch") / 10))
+    return kernels.per_group(f, ["track"], ["frame"], run, "track long, frame long")
+
+
+@query()
+def two_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voices of the notes that sound together, one group for each connected stretch of a source."""
+    n = notes(spark, sf_dir).where("track % 10 = 3").withColumn("duration", F.lit(0.4) + F.col("confidence"))
+    w = islands.by("source", "onset", "note_id")
+    ended = F.max(F.col("onset") + F.col("duration")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    n = n.withColumn("part", islands.island_id(F.coalesce(F.col("onset") >= ended, F.lit(True)), w))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        voice = kernels.two_voices(list(zip(g["onset"], g["onset"] + g["duration"], g["pitch"], strict=True)))
+        return pd.DataFrame({"note_id": g["note_id"], "voice": voice})
+
+    return kernels.per_group(n.select("source", "part", "onset", "duration", "note_id", "pitch"), ["source", "part"], ["onset", "note_id"], run, "note_id long, voice long")
+
+
+@query()
+def paired_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean change of confidence from each track's first half to its second, with a bootstrap of tracks and a sign test.
+
+    The per-track means are aggregated by Spark; only they (one row a track) are resampled, by a seeded generator.
+    """
+    half = F.when(F.col("onset") < 360, "before").otherwise("after")
+    per = notes(spark, sf_dir).withColumn("half", half)
+    per = per.groupBy("track").agg(F.avg(F.when(F.col("half") == "after", F.col("confidence"))).alias("a"), F.avg(F.when(F.col("half") == "before", F.col("confidence"))).alias("b"))
+    per = per.select("track", F.round(F.col("a") - F.col("b"), 9).alias("change")).where("change is not null")
+    draws = 2000
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x = g["change"].to_numpy()
+        rng = np.random.default_rng(0)
+        means = np.sort([x[rng.integers(0, len(x), len(x))].mean() for _ in range(draws)])
+        up, down = int((x > 0).sum()), int((x < 0).sum())
+        return pd.DataFrame([{"n": len(x), "mean": x.mean(), "low": np.quantile(means, 0.025), "high": np.quantile(means, 0.975), "up": up, "down": down, "p": sign_test(up, down)}])
+
+    return kernels.per_group(per.withColumn("one", F.lit(1)), ["one"], ["track"], run, "n long, mean double, low double, high double, up long, down long, p double")
+
+
+def sign_test(up: int, down: int) -> float:
+    """The two-sided exact binomial tail."""
+    from math import comb
+
+    n = up + down
+    return min(1.0, 2 * sum(comb(n, k) for k in range(min(up, down) + 1)) / 2**n) if n else 1.0
+
