@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,21 +24,23 @@ DIMS = 4096
 SAMPLE_ROWS = 4000
 CENTROIDS = 4
 #: Characters of a slice of texts.
-SLICE_CHARS = 1 << 20
-SLICE_TEXTS = 256
+SLICE_CHARS = 1 << 18
+SLICE_TEXTS = 128
 
 _LETTER = np.fromiter((chr(i).isalpha() for i in range(1 << 16)), dtype=bool, count=1 << 16)
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Some texts at a time, of a bounded number of bytes unless one alone is longer."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     lo = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
+    for i, n in enumerate(size):
+        total += int(n)
         if total >= SLICE_CHARS or i + 1 - lo >= SLICE_TEXTS:
-            yield lo, i + 1
+            yield lo, i + 1, texts.slice(lo, i + 1 - lo).to_pylist()
             lo, total = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(size):
+        yield lo, len(size), texts.slice(lo).to_pylist()
 
 
 def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +50,8 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(size + 1) - size - 1
     letter = _LETTER[np.minimum(raw, 0xFFFF)] | (raw > 0xFFFF)
     code = np.where(letter, raw, 32).astype(np.uint32)
-    text = np.repeat(np.arange(len(texts)), size + 1)[: len(raw)]
-    left = np.repeat(first + size, size + 1)[: len(raw)] - np.arange(len(raw))  # characters of the text from here on
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), size + 1)[: len(raw)]
+    left = np.repeat((first + size).astype(np.int32), size + 1)[: len(raw)] - np.arange(len(raw), dtype=np.int32)  # characters of the text from here on
     out = np.zeros(len(texts) * DIMS, dtype=np.int64)
     h = code * np.uint32(0x9E3779B1)
     grown = h
@@ -62,7 +65,7 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if n > 1:
             keep = keep.copy()
             keep[: len(h) - n + 1] &= letter[: len(h) - n + 1] | letter[n - 1 :]
-        out += np.bincount((text * DIMS + (mixed >> np.uint32(20)).astype(np.int64))[keep], minlength=len(out))
+        out += np.bincount((text * DIMS + (mixed >> np.uint32(20)).astype(np.int32))[keep], minlength=len(out))
     has = np.bincount(text[letter & (left > 0)], minlength=len(texts)) > 0 if len(raw) else np.zeros(len(texts), dtype=bool)
     return out.reshape(len(texts), DIMS), has
 
@@ -107,9 +110,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, k: int = CENTROIDS,
     def seen(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(DIMS + 1, dtype=np.int64)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in _slices(texts):
-                found, has = counts(texts[lo:hi])
+            for _, _, texts in _slices(b.column(0)):
+                found, has = counts(texts)
                 total[:DIMS] += (found > 0).sum(axis=0)
                 total[DIMS] += has.sum()
         return total
@@ -125,9 +127,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, k: int = CENTROIDS,
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for lo, hi in _slices(texts):
-                found, has = counts(texts[lo:hi])
+            for lo, hi, texts in _slices(b.column(2)):
+                found, has = counts(texts)
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([np.minimum(f, 65535).astype(np.uint16).tobytes() if ok else None for f, ok in zip(found, has, strict=True)], pa.binary())], ["draw", "lang", "counts"])
 
@@ -146,10 +147,10 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, k: int = CENTROIDS,
     return Model(languages, idf, np.stack(parts) if parts else np.zeros((0, DIMS), np.float32), np.array(owner, dtype=np.int64), np.array(least), sharpness)
 
 
-def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[bool], list[float]]:
+def _judge(model: Model, column: pa.Array) -> tuple[list[str], list[float], list[bool], list[float]]:
     langs, scores, out, near = [], [], [], []
-    for lo, hi in _slices(texts):
-        found, has = counts(texts[lo:hi])
+    for lo, hi, texts in _slices(column):
+        found, has = counts(texts)
         if not len(model.owner):
             has[:] = False
             like = np.zeros((hi - lo, 1))
@@ -171,20 +172,21 @@ def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], list[float
 _NAMES = ["lang_pred", "score", "rejected", "similarity"]
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` of docs with lang_pred, score (0 to 1), rejected and similarity (cosine to the nearest centroid).
 
-    Only `text` is looked at. A null text, one without a letter, or any text if nothing was learnt: `und`, score 0, rejected.
-    Equal texts get equal rows; very long texts count whole. An empty table gives none.
+    Only the column `text` is looked at. A null text, one without a letter, or any text if nothing was learnt: `und`, score 0,
+    rejected. Equal texts get equal rows; very long texts count whole. An empty table gives none.
     """
     from pyspark.sql.types import StructType
 
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    docs = docs.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias(text)]))
+    at = docs.columns.index(text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores, out, near = _judge(held.value, b.column(len(keep)).to_pylist())
+            langs, scores, out, near = _judge(held.value, b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_()), pa.array(near, pa.float64())], [*keep, *_NAMES])
 
     kind = StructType([*docs.schema.fields[: len(keep)], *StructType.fromDDL("lang_pred string, score double, rejected boolean, similarity double").fields])
@@ -195,8 +197,5 @@ def keep_known(docs: DataFrame, learn: Column) -> DataFrame:
     """docs without texts that are rejected; learnt from the rows of docs where `learn` holds. Columns are those of docs."""
     model = fit(docs.where(learn).select(F.col("doc_id").alias("key"), "text", "lang"))
     own = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(own))]).withColumn("text", F.col(f"c{own.index('text')}"))
-    return identify(plain, model, plain.columns[:-1]).where("not rejected").drop(*_NAMES).toDF(*own)
-
-
-__all__ = ["Model", "fit", "identify", "keep_known"]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(own))])
+    return identify(plain, model, plain.columns, f"c{own.index('text')}").where("not rejected").drop(*_NAMES).toDF(*own)
