@@ -22,7 +22,7 @@ DIMS = 1 << BITS
 #: Bytes of a word's beginning; words of one stem share it.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Labelled rows of each class that the classifier is fitted to, at most.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 2000
 
 #: Identity terms in groups whose members can stand for each other; each group has neutral words.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -109,39 +109,40 @@ def _lbfgs(f, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
     return w
 
 
-def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps: list[tuple[int, int, float]], l2: float = 0.5, least: int = 3, swap_weight: float = 5.0, rate: float | None = None) -> Model:
+def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps: list[tuple[int, int, float]], l2: float = 1.5, least: int = 5, swap_weight: float = 5.0, rate: float | None = None) -> Model:
     """rows: each text's buckets. swaps: (term, other, sentences). rate: of class 1, for the bias where nothing else speaks."""
     n = len(rows)
     if not n or not 0 < label.sum() < n:
         return Model(np.zeros(DIMS), float(np.log(((rate or 0) + 1e-3) / (1 - (rate or 0) + 1e-3))))
-    flat = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=DIMS)
-    own = weight[owner]
-    bad, good = np.bincount(flat, own * label[owner], minlength=DIMS), np.bincount(flat, own * (1 - label[owner]), minlength=DIMS)
-    odds = np.log((bad + 0.5) / ((weight * label).sum() + 1)) - np.log((good + 0.5) / ((weight * (1 - label)).sum() + 1))
-    terms = {t for a, b, _ in swaps for t in (a, b)}
+    bad = np.bincount(flat[label[owner] > 0], minlength=DIMS)
+    # counts of the sample, unweighted: what few sampled rows don't have is no evidence of its own
+    odds = np.log((bad + 0.5) / (label.sum() + 1)) - np.log((seen - bad + 0.5) / (n - label.sum() + 1))
+    terms = sorted({t for a, b, _ in swaps for t in (a, b)})
     kept = seen >= least
-    kept[list(terms)] = True
+    kept[terms] = True
     scale = np.where(kept, odds, 0.0)
-    scale[list(terms)] = 1.0
-    ids = np.full(DIMS, -1)
+    scale[terms] = 1.0
     feats = np.flatnonzero(kept)
-    ids[feats] = np.arange(len(feats))
-    use = ids[flat] >= 0
+    ids = np.full(DIMS, -1, dtype=np.int32)
+    ids[feats] = np.arange(len(feats), dtype=np.int32)
+    use = kept[flat]
     col, row = ids[flat[use]], owner[use]
-    val = scale[flat[use]]
+    del flat, owner, use
+    size = scale[feats]
     a = np.array([ids[x[0]] for x in swaps], dtype=np.int64)
     b = np.array([ids[x[1]] for x in swaps], dtype=np.int64)
     c = np.array([x[2] for x in swaps])
     m = len(feats)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, val * w[col], minlength=n) + w[m]
+        z = np.bincount(row, (size * w[:m])[col], minlength=n) + w[m]
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         value = (weight * (np.logaddexp(0, z) - label * z)).sum() + l2 / 2 * (w[:m] @ w[:m])
         d = weight * (p - label)
-        grad = np.append(np.bincount(col, val * d[row], minlength=m) + l2 * w[:m], d.sum())
+        grad = np.append(size * np.bincount(col, d[row], minlength=m) + l2 * w[:m], d.sum())
         if len(c):
             gap = w[a] - w[b]
             value += swap_weight / 2 * (c * gap * gap).sum()
@@ -151,7 +152,7 @@ def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps:
 
     w = _lbfgs(loss, np.zeros(m + 1))
     out = np.zeros(DIMS)
-    out[feats] = w[:m] * scale[feats]
+    out[feats] = w[:m] * size
     return Model(out, float(w[m]))
 
 
@@ -178,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, sample_r
 
     got = sorted((tuple(r) for r in sample.mapInArrow(rows, "doc_id long, label int, words binary, terms binary").collect()), key=lambda r: (r[0], r[2]))
     label = np.array([r[1] for r in got], dtype=float)
+    words = [np.frombuffer(r[2], dtype=np.int32) for r in got]
     have = {y: max(1, int((label == y).sum())) for y in (0, 1)}
     weight = np.array([sizes[int(y)] / have[int(y)] for y in label])
     weight *= len(got) / max(1e-9, weight.sum())
@@ -193,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, sample_r
                 if i != j:
                     swaps.append((int(i), int(j), (1.0 + sentences[np.searchsorted(flat, i)]) / (len(t) - 1)))
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    return train([np.frombuffer(r[2], dtype=np.int32) for r in got], label, weight, swaps, least=3 if len(got) >= 1000 else 2, rate=rate)
+    return train(words, label, weight, swaps, least=5 if len(got) >= 2000 else 3 if len(got) >= 600 else 2, rate=rate)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
