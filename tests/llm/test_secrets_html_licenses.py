@@ -1,0 +1,83 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from chronoset.llm import html as H
+from chronoset.llm import licenses as C
+from chronoset.llm import secrets as S
+
+from .fixtures import frame
+
+KEY = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+def test_forest_on_findings_held_out():
+    forest = S.forest_of()
+    rows = S.generated_findings(1200, seed=77)
+    x = np.array([S.features(v, b[-S.BESIDE :], a[: S.BESIDE]) for v, b, a, _ in rows])
+    assert np.mean((S.judge(forest, x) >= 0.5) == np.array([r[3] for r in rows])) > 0.98
+
+
+def test_scan_and_redact(spark):
+    texts = [f'Storti token = "{KEY}" and', f"commit {KEY} fixed it", None, "", "a " * 40000 + f'TOKEN = "{KEY.upper()}"!!', "see /usr/lib/python3/dist-packages/module_name_12.py", 'id = "123e4567-e89b-12d3-a456-426614174000"', f'token="{KEY}" token="{KEY}"', "4644348398010899 97.51.17.173"]
+    rows = [(i, t, None, None, len(t or "")) for i, t in enumerate(texts)] + [(None, texts[0], None, None, 0), (0, texts[0], None, None, len(texts[0]))]
+    docs = frame(spark, rows)
+    got = sorted(((x.doc_id, x.first, x.last) for x in S.scan(docs).collect()), key=str)
+    at = [texts[i].lower().index(KEY) for i in (0, 4)]
+    second = texts[7].rindex(KEY)
+    assert got == sorted([(0, at[0], at[0] + 39), (0, at[0], at[0] + 39), (None, at[0], at[0] + 39), (4, at[1], at[1] + 39), (7, 7, 46), (7, second, second + 39)], key=str)
+    clean = S.redact(docs.withColumn("kind", F.lit("mine")))
+    assert clean.columns == [*docs.columns, "kind"] and clean.count() == len(rows)
+    by = {x.doc_id: x for x in clean.collect()}
+    assert by[0].text == 'Storti token = "[SECRET]" and' and by[0].n_chars == len(by[0].text)
+    assert by[1].text == texts[1] and by[2].text is None and by[7].text == 'token="[SECRET]" token="[SECRET]"'
+    assert S.scan(frame(spark, [])).collect() == []
+
+
+def test_render():
+    assert H.render("<ul><li>a<li>b<ul><li>c</ul></ul>") == "* a\n* b\n  * c"
+    assert H.render("<ol start=3><li>x<li>y</ol>z") == "3. x\n4. y\n\nz"
+    assert H.render("<table><tr><th>Name<th>N<tr><td>alpha<td>1<tr><td>b<td>22</table>") == "Name   N\nalpha  1\nb      22"
+    assert H.render("<p>a<p>b<div>c</div>d<br>e") == "a\n\nb\n\nc\nd\ne"
+    assert H.render("x<script>no</script><style>no</style><p hidden>no</p><span style='display:none'>no</span> y &amp; z<!-- no -->") == "x y & z"
+    assert H.render("<pre>a\n  b</pre>") == "a\n  b"
+    assert H.render("a<table><td colspan=2>wide cell<tr><td>1<td>2</table>b") == "a\n\nwide cell\n1  2\n\nb"
+    assert H.render(None) == "" and H.render("<<>&") == H.render("<<>&")
+    assert H.render("<div>" * 20000 + "deep" + "</div>" * 20000) == "deep"
+    assert H.render("<title>t</title><body>b</body>") == "b"
+    assert H.render("<p>unclosed <b>bold <i>both") == "unclosed bold both"
+    assert H.render("a <!-- never closed") == "a" and H.render("<script>x") == ""
+
+
+def test_extract(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (2, "u", None), (None, "u", ""), (1, "u", "<p>a")], "page_id long, url string, html string").withColumn("text", F.lit("own"))
+    assert sorted((tuple(x) for x in H.extract(pages).collect()), key=str) == sorted([(1, "a"), (1, "a"), (2, ""), (None, "")], key=str)
+    assert H.extract(pages.where("page_id > 9")).collect() == []
+
+
+def test_license_scan(spark):
+    texts = ["Erse the.\nReleased under the MIT License.\nOne two. Licensed under CC BY-NC 4.0. Three", "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3.", "You need a driving license to go there.", None, "", "word " * 50000 + "\nAll rights reserved.", "nothing here", "Licensed under the Apache License, Version 2.0."]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)] + [(0, texts[0], None, None, 0), (None, texts[7], None, None, 0)]
+    found = C.scan(frame(spark, rows).withColumn("family", F.lit(1)))
+    assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+    got = {(x.doc_id, x.place): x for x in found.collect()}
+    named = {k: x.family for k, x in got.items() if x.family != "unknown"}
+    assert named == {(0, 1): "MIT", (0, 3): "CC-BY-NC", (1, 0): "GPL-3.0", (5, 1): "proprietary", (7, 0): "Apache-2.0", (None, 0): "Apache-2.0"}
+    assert all(x.confirmed == (x.family != "unknown") for x in got.values())
+    assert C.scan(frame(spark, [])).collect() == []
+
+
+def test_license_scores_match_plain_python(spark):
+    model = C.fit()
+    lines = [t for f in C.TEMPLATES.values() for t in f]
+    rows = [(i, t.replace("\n", " "), None, None, 0) for i, t in enumerate(lines)]
+    got = {x.paragraph: x for x in C.scan(frame(spark, rows), model).collect()}
+    checked = 0
+    for p, x in got.items():
+        z = np.array(model.bias)
+        for g in C.grams_of(C.words_of(p)):
+            z = z + np.array(model.weights.get(g, [0.0] * len(model.families)))
+        q = C._softmax(z[None] / model.cooling)[0]
+        assert abs(q.max() - x.probability) < 1e-4
+        assert x.family == (model.families[int(q.argmax())] if q.max() >= 0.5 else "unknown")
+        checked += 1
+    assert checked > 40
