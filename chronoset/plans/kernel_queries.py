@@ -72,9 +72,11 @@ def _matched(method: str, band: float):  # noqa: ANN202
         elif method == "most":
             edges = [[j for j, y in enumerate(right) if abs(x[0] - y[0]) <= band] for x in left]
             pairs = [(i, j) for i, j in enumerate(kernels.maximum_matching(edges, len(right))) if j >= 0]
+        elif not left or not right:
+            pairs = []
         else:
             cost = np.array([[abs(x[0] - y[0]) if abs(x[0] - y[0]) <= band else 1e3 for y in right] + [1e3] * len(left) for x in left]).reshape(len(left), -1)
-            pairs = [(i, j) for i, j in enumerate(kernels.assignment(cost)) if j < len(right) and cost[i, j] < 1e3] if len(left) else []
+            pairs = [(i, j) for i, j in enumerate(kernels.assignment(cost)) if j < len(right) and cost[i, j] < 1e3]
         return pd.DataFrame({"note_id": [int(a["id"][i]) for i, _ in pairs], "o_id": [int(b["id"][j]) for _, j in pairs]}, columns=["note_id", "o_id"])
 
     return run
