@@ -60,7 +60,9 @@ def _candidates(spark: SparkSession, sf_dir: str, band: float) -> DataFrame:
     rows = a.select(F.lit(0).alias("side"), F.col("note_id").alias("id"), "onset", "pitch").union(b.select(F.lit(1), "o_id", "o_onset", "o_pitch"))
     w = islands.by("pitch", "onset", "side", "id")
     new = F.coalesce(F.col("onset") - F.lag("onset").over(w) > band, F.lit(True))
-    return rows.withColumn("part", islands.island_id(new, w))
+    own = Window.partitionBy("pitch", "part")
+    rows = rows.withColumn("part", islands.island_id(new, w)).withColumn("sides", F.min("side").over(own) != F.max("side").over(own))
+    return rows.where("sides").drop("sides")
 
 
 def _matched(method: str, band: float):  # noqa: ANN202
