@@ -1,0 +1,89 @@
+"""Kernels against plain references on small random inputs."""
+
+import itertools
+import random
+
+import numpy as np
+
+from chronoset.operators import kernels as K
+
+
+def best_score(a, b):
+    d = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+    d[:, 0], d[0] = -np.arange(len(a) + 1), -np.arange(len(b) + 1)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = max(d[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1), d[i - 1, j] - 1, d[i, j - 1] - 1)
+    return d[-1, -1]
+
+
+def test_align():
+    r = random.Random(1)
+    for _ in range(60):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(9))] for _ in range(2))
+        pairs = K.align(a, b)
+        assert [i for i, _ in pairs if i is not None] == list(range(len(a))) and [j for _, j in pairs if j is not None] == list(range(len(b)))
+        score = sum(-1 if i is None or j is None else 1 if a[i] == b[j] else -1 for i, j in pairs)
+        assert score == best_score(a, b)
+    assert K.align([1, 2], [1, 3, 2]) == [(0, 0), (None, 1), (1, 2)]
+
+
+def test_best_shift():
+    assert K.best_shift([60, 62, 64], [57, 59, 61], range(-5, 6)) == (3, 3)
+    assert K.best_shift([], []) == (0, 0)
+
+
+def test_maximum_matching():
+    r = random.Random(2)
+    for _ in range(60):
+        n, m = r.randrange(6), r.randrange(1, 6)
+        edges = [[j for j in range(m) if r.random() < 0.4] for _ in range(n)]
+        got = K.maximum_matching(edges, m)
+        used = [j for j in got if j >= 0]
+        assert len(used) == len(set(used)) and all(j < 0 or j in edges[i] for i, j in enumerate(got))
+        best = max(sum(j is not None for j in pick) for pick in itertools.product(*[[*e, None] for e in edges]) if len([j for j in pick if j is not None]) == len({j for j in pick if j is not None}))
+        assert len(used) == best
+
+
+def test_assignment():
+    r = np.random.default_rng(3)
+    for _ in range(40):
+        n = r.integers(1, 6)
+        m = n + r.integers(0, 3)
+        cost = r.random((n, m))
+        got = K.assignment(cost)
+        assert len(set(got)) == n
+        best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), int(n)))
+        assert abs(sum(cost[i, j] for i, j in enumerate(got)) - best) < 1e-9
+
+
+def test_greedy_match():
+    assert K.greedy_match([(0.0, 1), (0.02, 1)], [(0.015, 1), (0.5, 1)], 0.03) == [(1, 0)]
+
+
+def test_viterbi():
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        x = r.normal(size=(r.integers(1, 6), 5))
+        path = K.viterbi(x, 0.3)
+        value = lambda p: sum(x[t, b] for t, b in enumerate(p)) - 0.3 * sum(abs(a - b) for a, b in zip(p, p[1:], strict=False))
+        best = max(value(p) for p in itertools.product(range(5), repeat=len(x)))
+        assert abs(value(list(path)) - best) < 1e-9
+
+
+def test_change_points():
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(0, 0.1, (20, 2)), r.normal(3, 0.1, (15, 2)), r.normal(-2, 0.1, (20, 2))])
+    assert K.change_points(x, 4.0) == [0, 20, 35]
+    assert K.change_points(np.zeros((0, 2)), 4.0) == []
+
+
+def test_peaks_changes_and_line():
+    assert K.pick_peaks(np.array([0, 5, 0, 4, 0, 0, 6, 0.0]), 3, 2, 1.0) == [1, 6]
+    assert K.persistent_changes([1, 1, 2, 1, 3, 3, 3], 2) == [4]
+    assert K.pick_line([[(0.9, 60), (0.2, 72)], [(0.05, 50)], [(0.8, 62)]]) == [(0, 0), (2, 0)]
+    assert K.pick_line([]) == []
+
+
+def test_two_voices():
+    assert K.two_voices([(0.0, 2.0, 60), (0.5, 1.5, 72), (3.0, 4.0, 50)]) == [2, 1, 1]
