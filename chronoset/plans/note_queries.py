@@ -381,7 +381,7 @@ def fill_short_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FILLED + """, g AS (SELECT *, round_even(filled / 10, 0) AS near FROM filled), h AS (SELECT *, lag(near) OVER (PARTITION BY track ORDER BY frame) AS ln, row_number() OVER (PARTITION BY track ORDER BY frame) AS rn FROM g),
 i AS (SELECT *, sum(CASE WHEN near IS DISTINCT FROM ln OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) AS seg FROM h)
-SELECT track, round(min(frame) * 0.01, 6) AS onset, round(count(*) * 0.01, 6) AS duration, round_even(median(filled / 10), 0)::INT AS pitch, round(avg(periodicity), 6) AS confidence FROM i WHERE near IS NOT NULL GROUP BY track, seg HAVING count(*) >= 2""")
+SELECT track, round(min(frame) * 0.01::DOUBLE, 6) AS onset, round(count(*) * 0.01::DOUBLE, 6) AS duration, round_even(median(filled / 10), 0)::INT AS pitch, round(avg(periodicity), 6) AS confidence FROM i WHERE near IS NOT NULL GROUP BY track, seg HAVING count(*) >= 2""")
 def segment_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = islands.fill_short_gaps(frames(spark, sf_dir), 2).withColumn("filled", F.col("filled") / 10)
     out = islands.segment_runs(f, 2, 0.01)
