@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import kernel_queries, notation_queries, note_queries, star_queries, text_queries  # noqa: E402,F401
+from . import kernel_queries, line_queries, notation_queries, note_queries, star_queries, text_queries  # noqa: E402,F401
