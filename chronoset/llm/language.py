@@ -48,7 +48,11 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(" ".join((t or "").lower() for t in texts).encode("utf-32-le") if texts else b"", dtype=np.uint32)
     size = np.array([len((t or "").lower()) for t in texts], dtype=np.int64)
     first = np.cumsum(size + 1) - size - 1
-    letter = _LETTER[np.minimum(raw, 0xFFFF)] | (raw > 0xFFFF)
+    letter = _LETTER[np.minimum(raw, 0xFFFF)]
+    high = np.flatnonzero(raw > 0xFFFF)
+    if len(high):
+        kinds, which = np.unique(raw[high], return_inverse=True)
+        letter[high] = np.array([chr(k).isalpha() for k in kinds])[which]
     code = np.where(letter, raw, 32).astype(np.uint32)
     text = np.repeat(np.arange(len(texts), dtype=np.int32), size + 1)[: len(raw)]
     left = np.repeat((first + size).astype(np.int32), size + 1)[: len(raw)] - np.arange(len(raw), dtype=np.int32)  # characters of the text from here on

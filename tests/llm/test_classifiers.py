@@ -123,8 +123,9 @@ def test_language(spark):
 
 
 def test_language_counts_do_not_depend_on_neighbours():
-    texts = ["Ab c", None, "é 1", "x" * 50, "", "İstanbul"]
+    texts = ["Ab c", None, "é 1", "x" * 50, "", "İstanbul", "\U0001f600 1", "\U00010400"]
     together, has = L.counts(texts)
+    assert has.tolist() == [True, False, True, True, False, True, False, True]
     for i, t in enumerate(texts):
         one, own = L.counts([t])
         assert (one[0] == together[i]).all() and own[0] == has[i]
