@@ -8,26 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoset.llm import decontaminate, language, mixture, ngram_join, secrets
-from chronoset.llm.common import cut
+from chronoset.llm.common import bound_batches, cut
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language of the corpus; learnt from the rows that name theirs."""
+    bound_batches(spark)
     return language.keep_known(docs, F.col("lang").isNotNull())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are linked by a similarity of 0.8 or more."""
+    bound_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those of whose words a twentieth or more are in windows of the benchmark."""
+    bound_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
+    bound_batches(spark)
     return secrets.redact(docs)
 
 
