@@ -11,23 +11,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_t: str, right_t: str, columns: list[str], strict: bool = False) -> DataFrame:
-    """left with `columns` of the last row of right at or before left_t (before, if strict); null if there is none."""
-    carried = F.struct(*[F.col(c) for c in [right_t, *columns]])
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_t: str, right_t: str, columns: list[str], strict: bool = False, cell: float | None = None) -> DataFrame:
+    """left with `columns` of the last row of right at or before left_t (before, if strict); null if there is none.
+
+    cell: the length of time that one task sorts of a key; what a cell begins with is carried from the cells before it, one row a
+    cell. Without it a key is one sorted window.
+    """
+    carried = F.struct(*[F.col(c) for c in columns])
     order = F.lit(1 if strict else -1)
     a = left.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], F.col(left_t).cast("double").alias("__t"), F.lit(0).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__left"), F.lit(None).cast(right.select(carried.alias("x")).schema[0].dataType).alias("__right"))
     b = right.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], F.col(right_t).cast("double").alias("__t"), order.alias("__side"), F.lit(None).cast(left.select(F.struct(*[F.col(c) for c in left.columns]).alias("x")).schema[0].dataType).alias("__left"), carried.alias("__right"))
-    own = Window.partitionBy(*[f"__k{i}" for i in range(len(on))]).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.union(b).withColumn("__right", F.last("__right", ignorenulls=True).over(own)).where("__left is not null")
+    both, keys = a.union(b), [f"__k{i}" for i in range(len(on))]
+    so_far = F.last("__right", ignorenulls=True)
+    if cell is None:
+        own = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("__right", so_far.over(own))
+    else:
+        both = both.withColumn("__cell", F.floor(F.col("__t") / cell))
+        last = F.max_by("__right", F.when(F.col("__right").isNotNull(), F.struct("__t", "__side")))
+        before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        cells = both.groupBy(*keys, "__cell").agg(last.alias("__last")).withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).drop("__last")
+        own = Window.partitionBy(*keys, "__cell").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.join(cells, [*keys, "__cell"]).withColumn("__right", F.coalesce(so_far.over(own), "__carried"))
+    both = both.where("__left is not null")
     return both.select("__left.*", *[F.col(f"__right.{c}").alias(c) for c in columns])
 
 
-def beat_phase(notes: DataFrame, beats: DataFrame, time: str = "onset") -> DataFrame:
+def beat_phase(notes: DataFrame, beats: DataFrame, time: str = "onset", cell: float | None = None) -> DataFrame:
     """notes with beat_idx and phase: where `time` is between its beat and the next, 0 up to 1; null before the first beat and from
     the last on."""
     own = Window.partitionBy("track").orderBy("t", "beat_idx")
     spans = beats.select("track", "t", "beat_idx", F.lead("t").over(own).alias("__next")).withColumn("__from", F.col("t"))
-    out = asof_join(notes, spans, ["track"], time, "t", ["beat_idx", "__from", "__next"])
+    out = asof_join(notes, spans, ["track"], time, "t", ["beat_idx", "__from", "__next"], cell=cell)
     inside = F.col("__next").isNotNull() & (F.col("__next") > F.col("__from"))
     phase = F.when(inside, (F.col(time) - F.col("__from")) / (F.col("__next") - F.col("__from")))
     return out.withColumn("phase", phase).withColumn("beat_idx", F.when(inside, F.col("beat_idx"))).drop("__from", "__next")

@@ -27,7 +27,7 @@ phased AS (SELECT n.*, CASE WHEN s.nxt > s.t THEN s.beat_idx END AS beat_idx, CA
 
 
 def phased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.beat_phase(notes(spark, sf_dir), beats(spark, sf_dir))
+    return joins.beat_phase(notes(spark, sf_dir), beats(spark, sf_dir), cell=240.0)
 
 
 @query(PHASED + "SELECT note_id, track, beat_idx, round(phase, 9) AS phase FROM phased")
