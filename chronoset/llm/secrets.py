@@ -23,7 +23,9 @@ BESIDE = 48
 #: Labelled findings that a forest is trained from, at most.
 FINDINGS = 6000
 
-_LONG = re.compile(r"(?<![A-Za-z0-9_+=-])[A-Za-z0-9_+/=-]{16,}+")
+_LONG = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}")
+#: Forms of keys that say whose they are.
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]+){2})(?![A-Za-z0-9])|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----")
 _NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|credential|bearer)[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"'`]?([^\s\"'`<>]{6,}+)", re.IGNORECASE)
 _HINT = re.compile(r"passw|pwd|secret|token|key|credential|bearer", re.IGNORECASE)
 
@@ -34,7 +36,7 @@ AGAINST = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "digest
 DICTIONARY = tuple(sorted("the and for with from this that user name file path test main data info index value config default local system service server client request response content source target public static class import module package library version build release debug error log message report example sample your here change placeholder insert replace password secret token access home usr lib bin share python java node site packages src app web page image img photo video audio document download upload content list item group order number count total first last next prev page view model control button text color width height margin border background container wrapper header footer section article table column row cell grid form input label field date time year month day hour minute second january february march april june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split(), key=lambda w: (-len(w), w)))
 _WORDS = re.compile("|".join(w for w in DICTIONARY if len(w) > 2))
 
-FEATURES = ["length", "lower", "upper", "digit", "other", "entropy", "kinds", "hex", "transitions", "letter_digit", "case_changes", "distinct", "longest_run", "dictionary", "slashes", "path_before", "dots_after", "dashes", "quoted", "assigned", "for", "against", "uuid", "pads"]
+FEATURES = ["length", "lower", "upper", "digit", "other", "entropy", "kinds", "hex", "transitions", "letter_digit", "case_changes", "distinct", "longest_run", "dictionary", "slashes", "path_before", "dots_after", "dashes", "quoted", "assigned", "for", "against", "uuid", "pads", "known"]
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _NAME = re.compile(r"[a-z0-9]+(?:_[a-z0-9]+)*")
 
@@ -60,17 +62,18 @@ def features(value: str, before: str, after: str) -> list[float]:
         float(np.log(n)), count["l"], count["u"], count["d"], count["o"], float(-(chars * np.log2(chars)).sum()), float(len(set(kinds))),
         float(all(c in "0123456789abcdefABCDEF" for c in value)), turns, mixed, cases, len(chars) / n, longest / n, covered, value.count("/") / n,
         float(before[-1:] in ("/", "\\", ".", "@", "-")), float(after[:1] in (".", "/", "@")), value.count("-") / n, float(tail[-1:] in ("\"", "'", "`")),
-        float(bare[-1:] in ("=", ":") or bare[-2:] == "=>"), float(any(w in parts for w in FOR)), float(any(w in parts for w in AGAINST)), float(bool(_UUID.search(value))), float(value.endswith("=")),
+        float(bare[-1:] in ("=", ":") or bare[-2:] == "=>"), float(any(w in parts for w in FOR)), float(any(w in parts for w in AGAINST)), float(bool(_UUID.search(value))), float(value.endswith("=")), float(bool(_KNOWN.fullmatch(value))),
     ]
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(first, last + 1, kind) of strings that may be secrets: long ones of letters and digits, and values of tell-tale names."""
+    """(first, last + 1, kind) of strings that may be secrets: long ones of letters and digits, known forms of keys, and values of tell-tale names."""
     taken = 0
     spans = [(m.start(), m.end(), "string") for m in _LONG.finditer(text) if _mixed(m.group())]
+    spans += [(m.start(), m.end(), "known") for m in _KNOWN.finditer(text)]
     if _HINT.search(text):
         spans += [(m.start(1), m.end(1), "named") for m in _NAMED.finditer(text)]
-    for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+    for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
         if a >= taken:
             yield a, b, kind
             taken = b
@@ -88,10 +91,13 @@ def generated_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, st
     word = lambda: r.choice(DICTIONARY)
     filler = lambda: " ".join("".join(r.choice(("th", "er", "on", "an", "re", "en", "la", "de", "ch", "ie")) for _ in range(r.randint(1, 4))) for _ in range(r.randint(0, 6)))
     hexes = lambda k: pick("0123456789abcdef", k)
-    secret = [
-        lambda: hexes(r.choice((32, 40, 64))), lambda: pick(alnum, r.randint(16, 48)), lambda: pick(alnum + "+/", r.choice((24, 40, 64, 88))) + r.choice(("", "=", "==")),
-        lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(alnum, 24),
-        lambda: "eyJ" + pick(alnum + "_-", r.randint(40, 120)), lambda: hexes(r.choice((32, 40))).upper(), lambda: pick(alnum + "!#$%&*", r.randint(8, 16)), lambda: pick("abcdefghijklmnopqrstuvwxyz", 5) + pick("0123456789", 3) + pick("!#$%", 1),
+    plain = [
+        lambda: hexes(r.choice((18, 24, 32, 40, 64))), lambda: pick(alnum, r.randint(16, 48)), lambda: pick(alnum + "+/", r.choice((24, 40, 64, 88))) + r.choice(("", "=", "==")), lambda: hexes(r.choice((32, 40))).upper(),
+        lambda: pick(alnum + "!#$%&*", r.randint(8, 16)), lambda: pick("abcdefghijklmnopqrstuvwxyz", 5) + pick("0123456789", 3) + pick("!#$%", 1), lambda: pick("0123456789abcdef", r.randint(10, 24)),
+    ]
+    known = [
+        lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "_-", 35),
+        lambda: "eyJ" + pick(alnum + "_-", r.randint(15, 60)) + "." + pick(alnum + "_-", r.randint(20, 90)) + "." + pick(alnum + "_-", 43), lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + pick(alnum + "+/", 200) + "\n-----END RSA PRIVATE KEY-----",
     ]
     benign = [
         (lambda: hexes(40), ("commit ", "revision ", "tree ", "sha1: ", "sha ")), (lambda: hexes(64), ("sha256:", "checksum ", "digest: ", "sha256 = ")), (lambda: hexes(32), ("md5 ", "md5: ", "checksum: ", "hash ")),
@@ -109,8 +115,12 @@ def generated_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, st
             names = [x for x in FOR if len(x) > 2]
             name = r.choice((*names, f"{word()}_{r.choice(names)}", r.choice(names).upper()))
             lead = f"{filler()} {name}{r.choice((' = ', '=', ': ', ' => '))}{quote}" if r.random() < 0.85 else f"{filler()} {name} {quote}"
-            value = r.choice(secret)()
-            out.append((value.upper() if r.random() < 0.05 else value, lead, f"{quote} {filler()}", 1))
+            if r.random() < 0.35:
+                value, lead = r.choice(known)(), lead if r.random() < 0.5 else f"{filler()} "
+            else:
+                value = r.choice(plain)()
+                value = value.upper() if r.random() < 0.05 else value
+            out.append((value, lead, f"{quote} {filler()}", 1))
         else:
             make, leads = r.choice(benign)
             out.append((make(), f"{filler()} {r.choice(leads)}{quote}", f"{quote} {filler()}", 0))
