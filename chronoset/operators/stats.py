@@ -37,18 +37,18 @@ def dominant_phase(phases: DataFrame, keys: list[str], width: float = 0.02, near
 
     Bins weigh 1, 2, 1 with their neighbours; ties go to the bin nearer the median, then to the lower one.
     """
-    whole = phases.groupBy(*keys).agg(F.percentile("phase", 0.5).alias("mid"), F.count("*").alias("n"))
-    bins = phases.groupBy(*keys, F.floor(F.col("phase") / width).alias("bin")).agg(F.count("*").alias("c"))
-    spread = bins.select(*keys, "bin", F.col("c"), F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias("d"))
-    mass = spread.groupBy(*keys, (F.col("bin") + F.col("d")).alias("bin")).agg(F.sum(F.when(F.col("d") == 0, 2 * F.col("c")).otherwise(F.col("c"))).alias("mass"), F.max(F.col("d") == 0).alias("own"))
-    ranked = mass.where("own").join(whole, keys)
-    far = F.round(F.abs(F.col("bin") - F.col("mid") / width), 9)
-    peak = ranked.groupBy(*keys).agg(F.max_by("bin", F.struct("mass", -far, -F.col("bin"))).alias("bin"), F.first("n").alias("n"))
-    out = peak.withColumn("phi", (F.col("bin") + 0.5) * width)
-    for _ in range(2):
-        kept = phases.join(out.select(*keys, "phi", "n"), keys).where(F.abs(F.col("phase") - F.col("phi")) <= near)
-        out = kept.groupBy(*keys, "n").agg(F.percentile("phase", 0.5).alias("phi"), F.count("*").alias("m"), F.stddev_pop("phase").alias("sd"))
-    return out.select(*keys, "phi", (F.col("m") / F.col("n")).alias("concentration"), (F.col("sd") / F.sqrt("m")).alias("error"), "n")
+    own = Window.partitionBy(*keys)
+    by_bin = own.orderBy("__bin")
+    p = phases.select(*keys, "phase", F.floor(F.col("phase") / width).alias("__bin"))
+    p = p.withColumn("__mid", F.percentile("phase", 0.5).over(own)).withColumn("__n", F.count("*").over(own))
+    p = p.withColumn("__mass", F.count("*").over(by_bin.rangeBetween(-1, 1)) + F.count("*").over(by_bin.rangeBetween(0, 0)))
+    far = F.round(F.abs(F.col("__bin") - F.col("__mid") / width), 9)
+    peak = F.max(F.struct(F.col("__mass"), (-far).alias("far"), (-F.col("__bin")).alias("bin"))).over(own)
+    p = p.withColumn("__phi", (0.5 - peak["bin"]) * width)
+    near_by = F.when(F.abs(F.col("phase") - F.col("__phi")) <= near, F.col("phase"))
+    p = p.withColumn("__phi", F.percentile(near_by, 0.5).over(own))
+    out = p.groupBy(*keys).agg(F.percentile(near_by, 0.5).alias("phi"), F.count(near_by).alias("m"), F.stddev_pop(near_by).alias("sd"), F.first("__n").alias("n"))
+    return out.where("m > 0").select(*keys, "phi", (F.col("m") / F.col("n")).alias("concentration"), (F.col("sd") / F.sqrt("m")).alias("error"), "n")
 
 
 def swing_spans(phased: DataFrame, beats: int, window: int = 16, low: float = 0.35, high: float = 0.85, least: int = 4, swung: float = 0.55) -> DataFrame:
