@@ -6,9 +6,10 @@ down to its longest prefix match in every tree; from there all trees go up toget
 the query's prefix, counted in every tree, are `candidates` times the shard's; those are scored exactly.
 
 Only distinct vectors are indexed and only distinct queries searched: a copy needs no work of its own. Of equal vectors the
-smallest ids that can be among the nearest are kept, which changes no result. Rows are dealt by the first bits of `routes` trees
-once a bucket would have more than `bucket_rows`, and a bucket's rows by a hash into shards of about `shard_rows`, which are
-searched apart: a query's work doesn't grow with the table, and a hot prefix is many shards.
+smallest ids that can be among the nearest are kept, which changes no result. Rows are dealt by a hash into shards of about
+`shard_rows`, queries into blocks of about `ask_rows`, and every block is searched in every shard, so recall doesn't depend on the
+size of the table; a query's work grows with it. Only a caller that gives `bucket_rows` has rows and queries dealt by the first
+bits of `routes` trees beyond that size, which searches less and finds less the larger the table is.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def usable(vector: F.Column) -> F.Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, trees: int = 48, candidates: float = 1.0, routes: int = 4, bucket_rows: int = 65536, shard_rows: int = 8192, seed: int = 7) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, trees: int = 48, candidates: float = 1.0, routes: int = 4, bucket_rows: int | None = None, shard_rows: int = 8192, ask_rows: int = 32768, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of table to each row of queries (both vec_id, embedding; others don't
     matter), without rows of the query's own vec_id; rank from 1, ties to smaller vec_id. Fewer than k if there are fewer.
 
@@ -105,25 +106,28 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, trees: int = 48,
     single = asked.where("vec_id = first").select(F.col("vec_id").alias("id"), "v", F.size("v").alias("dims"), F.lit(0.0).alias("norm"), F.lit(True).alias("ask"))
     rows = kept.select(F.col("vec_id").alias("id"), "v", "dims", "norm", F.lit(False).alias("ask")).union(single)
     sizes = {r[0]: (r[1], r[2]) for r in top.collect()}  # one row for each length of vectors
-    depth = {d: max(0, int(np.ceil(np.log2(n / bucket_rows)))) for d, (_, n) in sizes.items()}
+    depth = {d: max(0, int(np.ceil(np.log2(n / bucket_rows)))) if bucket_rows else 0 for d, (_, n) in sizes.items()}
     place = _route(rows, {d: m for d, (m, _) in sizes.items()}, depth, routes, seed)
-    counts = place.where("not ask").groupBy("dims", "route", "prefix").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    place = place.join(F.broadcast(counts) if sum(n for _, n in sizes.values()) <= bucket_rows * 1000 else counts, ["dims", "route", "prefix"])
-    shard = F.when(F.col("ask"), F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")))
-    dealt = place.select("dims", "route", "prefix", F.explode(shard).alias("shard"), "ask", "id", "v", "lift")
+    parts = lambda ask, rows: F.ceil(F.count(F.when(F.col("ask") == ask, 1)) / rows).cast("int")
+    counts = place.groupBy("dims", "route", "prefix").agg(parts(False, shard_rows).alias("shards"), parts(True, ask_rows).alias("blocks")).where("shards > 0 and blocks > 0")
+    place = place.join(F.broadcast(counts) if not bucket_rows or sum(n for _, n in sizes.values()) <= bucket_rows * 1000 else counts, ["dims", "route", "prefix"])
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+    place = place.withColumn("shard", F.explode(F.when(F.col("ask"), every("shards")).otherwise(one("shards"))))
+    dealt = place.select("dims", "route", "prefix", "shard", F.explode(F.when(F.col("ask"), one("blocks")).otherwise(every("blocks"))).alias("block"), "ask", "id", "v", "lift")
 
     def run(group: list[tuple]) -> Iterable[tuple]:
-        have, want = [r for r in group if not r[4]], [r for r in group if r[4]]
+        have, want = [r for r in group if not r[5]], [r for r in group if r[5]]
         if not have or not want:
             return
-        x = np.array([r[6] for r in have])
-        ids = np.array([r[5] for r in have])
+        x = np.array([r[7] for r in have])
+        ids = np.array([r[6] for r in have])
         for i in range(0, len(want), 1024):
             part = want[i : i + 1024]
-            near = search(x, np.array([r[7] for r in have]), ids, np.array([r[6] for r in part]), k + 1, trees, candidates, seed + 1)
-            yield from ((r[5], a.tolist(), s.tolist()) for r, (a, s) in zip(part, near, strict=True))
+            near = search(x, np.array([r[8] for r in have]), ids, np.array([r[7] for r in part]), k + 1, trees, candidates, seed + 1)
+            yield from ((r[6], a.tolist(), s.tolist()) for r, (a, s) in zip(part, near, strict=True))
 
-    hits = grouped(dealt, ["dims", "route", "prefix", "shard"], run, "first long, ids array<long>, scores array<double>", order=["ask", "id"])
+    hits = grouped(dealt, ["dims", "route", "prefix", "shard", "block"], run, "first long, ids array<long>, scores array<double>", order=["ask", "id"])
     hits = hits.select("first", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("first", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score")).dropDuplicates(["first", "vec_id"])
     best = Window.partitionBy("first").orderBy(F.desc("score"), "vec_id")
     hits = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)

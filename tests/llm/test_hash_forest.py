@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from chronoset.llm.hash_forest import nearest
 
@@ -49,3 +51,19 @@ def test_few_rows_and_none(spark):
     assert got == [(0, 1, 3, 1.0), (0, 2, 20, 0.0), (20, 1, 3, 1.0), (20, 2, 0, 0.0)]
     empty = t.where("vec_id < 0")
     assert nearest(empty, empty).collect() == [] and nearest(t, empty).collect() == []
+
+
+def test_recall_of_a_large_table_and_of_blocks(spark):
+    r = np.random.default_rng(5)
+    n, asked = 270_000, 60
+    x = r.standard_normal((n, 16)).astype(np.float32)
+    t = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 16, pa.int32()), pa.array(x.ravel()))})).repartition(8)
+    want = np.argsort(-(x[:asked].astype(float) @ x.T.astype(float)), axis=1)
+    want = {q: set([int(i) for i in want[q, :21] if i != q][:20]) for q in range(asked)}
+    for m, how in ((n, {}), (3000, {"ask_rows": 7, "shard_rows": 1000})):
+        got = nearest(t.where(F.col("vec_id") < m), t.where(F.col("vec_id") < asked), **how).select("query_id", "vec_id").collect()
+        assert len(got) == len(set(got)) == asked * 20
+        if m == n:
+            assert sum(i in want[q] for q, i in got) / (20 * asked) >= 0.9
+        else:
+            assert set(got) == set(nearest(t.where(F.col("vec_id") < m), t.where(F.col("vec_id") < asked), shard_rows=1000).select("query_id", "vec_id").collect())
