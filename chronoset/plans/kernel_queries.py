@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import islands, kernels
 from ..sources.project import frames, notes, table
 from .catalog import query
-from .note_queries import line_and_oracle
+from .note_queries import line_and_oracle, voices
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,17 +165,17 @@ def persistent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def two_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voices of the notes that sound together, one group for each connected stretch of a source."""
-    n = notes(spark, sf_dir).where("track % 10 = 3").withColumn("duration", F.lit(0.4) + F.col("confidence"))
-    w = islands.by("source", "onset", "note_id")
+    """Voices of the notes that sound together, whole connected stretches of ten tracks of a source, up to 64 a group."""
+    n = voices(notes(spark, sf_dir)).withColumnRenamed("part", "tracks").withColumn("duration", F.lit(0.4) + F.col("confidence"))
+    w = islands.by(["source", "tracks"], "onset", "note_id")
     ended = F.max(F.col("onset") + F.col("duration")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    n = n.withColumn("part", islands.island_id(F.coalesce(F.col("onset") >= ended, F.lit(True)), w))
+    n = n.withColumn("part", F.floor(islands.island_id(F.coalesce(F.col("onset") >= ended, F.lit(True)), w) / 64))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         voice = kernels.two_voices(list(zip(g["onset"], g["onset"] + g["duration"], g["pitch"], strict=True)))
         return pd.DataFrame({"note_id": g["note_id"], "voice": voice})
 
-    return kernels.per_group(n.select("source", "part", "onset", "duration", "note_id", "pitch"), ["source", "part"], ["onset", "note_id"], run, "note_id long, voice long")
+    return kernels.per_group(n.select("source", "tracks", "part", "onset", "duration", "note_id", "pitch"), ["source", "tracks", "part"], ["onset", "note_id"], run, "note_id long, voice long")
 
 
 @query()

@@ -163,11 +163,16 @@ pairs AS (SELECT a.note_id AS a_id, b.note_id AS b_id, a.pitch AS a_pitch, b.pit
   least(a."end", b."end") - greatest(a.onset, b.onset) AS shared FROM held a JOIN held b ON a.source = b.source AND a.note_id < b.note_id AND a.onset < b."end" AND b.onset < a."end")"""
 
 
+def voices(n: DataFrame) -> DataFrame:
+    """notes with `part`, which makes a voice with `source`: every note is of one."""
+    return n.withColumn("part", F.floor(F.col("track") / 10))
+
+
 def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of notes of one source that sound together; ten tracks' worth is a voice, as one track's notes never overlap."""
-    n = notes(spark, sf_dir).where("track % 10 = 3").withColumn("end", F.col("onset") + 0.4 + F.col("confidence"))
-    side = lambda p: n.select(F.col("source").alias(f"{p}_source"), F.col("note_id").alias(f"{p}_id"), F.col("onset").alias(f"{p}_on"), F.col("end").alias(f"{p}_end"), F.col("pitch").alias(f"{p}_pitch"), F.col("confidence").alias(f"{p}_conf"))
-    both = joins.interval_join(side("a"), side("b"), [("a_source", "b_source")], ("a_on", "a_end"), ("b_on", "b_end"), 2.0).where("a_id < b_id")
+    """Pairs of notes of one voice that sound together; ten tracks' worth of a source is a voice, as one track's notes never overlap."""
+    n = voices(notes(spark, sf_dir)).withColumn("end", F.col("onset") + 0.4 + F.col("confidence"))
+    side = lambda p: n.select(F.col("source").alias(f"{p}_source"), F.col("part").alias(f"{p}_part"), F.col("note_id").alias(f"{p}_id"), F.col("onset").alias(f"{p}_on"), F.col("end").alias(f"{p}_end"), F.col("pitch").alias(f"{p}_pitch"), F.col("confidence").alias(f"{p}_conf"))
+    both = joins.interval_join(side("a"), side("b"), [("a_source", "b_source"), ("a_part", "b_part")], ("a_on", "a_end"), ("b_on", "b_end"), 2.0).where("a_id < b_id")
     shared = S.overlap(F.col("a_on"), F.col("a_end"), F.col("b_on"), F.col("b_end"))
     return both.withColumn("shared", shared).withColumn("a_len", F.col("a_end") - F.col("a_on")).withColumn("b_len", F.col("b_end") - F.col("b_on"))
 
