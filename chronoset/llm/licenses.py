@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier in DataFrame operations.
 
-Paragraphs (lines, cut at ends of sentences) that have a cue word are looked at; a sparse multinomial logistic regression over
+Paragraphs (lines, cut at ends of sentences, and the lines of a wrapped sentence together) that have a cue are looked at; a sparse multinomial logistic regression over
 their word n-grams names a family or `unknown`, whose probabilities are calibrated on templates held out in turn. A prediction is
 confirmed by how much of a template of its family the paragraph repeats. The regression is fitted on the driver to the fixed
 templates below (and templates of a user's own), so its size doesn't depend on the documents; its weights are broadcast.
@@ -37,8 +37,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "unknown": ("Licensed under the terms in the file LICENSE.", "See the license for details.", "Used under license.", "Copyright 2019 the authors.", "The driver must hold a valid license.", "A license is required to sell goods here.", "Copyright law protects the author.", "The rights of the people.", "A public domain was opened to visitors.", "Permission was given to enter the building.", "Licensed dealers only.", "The warranty ends after two years.", "This is released under another licence.", "The work is licensed.", "Version 2.0 of the program was released.", "Version 3 was released in the general public."),
 }
 #: A paragraph without any of these has no licence statement.
-CUE = r"(?i)licen[cs]|copyright|copyleft|rights\s+reserved|public\s+domain|spdx|creative\s+commons|\bcc[\s-]by\b|\bcc0\b|\bgpl|redistribut|permission|proprietary|unauthorized\s+copying|mozilla\s+public|warranty"
+CUE = r"(?i)licen[cs]|copyright|copyleft|rights\s+reserved|public\s+domain|spdx|creative\s+commons|\bcc[\s-]by\b|\bcc0\b|gpl|redistribut|permission|proprietary|unauthorized\s+copying|mozilla\s+public|warranty|general\s+public|\bapache|\bbsd|\bmpl|unencumbered|(?-i:\b(?:MIT|ISC)\b)|\bunder\s+(?:the\s+)?(?:mit|isc)\b"
 _SPLIT = r"\n+|(?<=[.!?])\s+"
+#: Begins a line that follows an empty one.
+_NEW = "\u0001"
 _WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Words in a row of the longest n-gram.
 LONGEST = 3
@@ -116,10 +118,35 @@ def _grams(words: F.Column, n: int) -> F.Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _statements(text: F.Column) -> F.Column:
+    """(place, lines) of each sentence: a line that doesn't end one, or stand before an empty line, goes on in the next."""
+    marked = F.regexp_replace(F.translate(text, _NEW, " "), r"(?<![.!?\s])(\n{2,})", f"$1{_NEW}")
+    before = lambda ps, i: F.get(ps, i - 1)
+    begins = lambda ps, i: (i == 0) | F.get(ps, i).startswith(_NEW) | F.right(before(ps, i), F.lit(1)).isin(".", "!", "?") | (F.trim(F.regexp_replace(before(ps, i), r"\s", " ")) == "")
+    cut = lambda ps, at: F.transform(at, lambda b, j: F.struct(b.alias("place"), F.transform(F.slice(ps, b + 1, F.coalesce(F.get(at, j + 1), F.size(ps)) - b), lambda x: F.translate(x, _NEW, "")).alias("lines")))
+    each = lambda ps: F.get(F.transform(F.array(F.filter(F.sequence(F.lit(0), F.size(ps) - 1), lambda i: begins(ps, i))), lambda at: cut(ps, at)), F.lit(0))
+    return F.get(F.transform(F.array(F.split(marked, _SPLIT)), each), F.lit(0))  # a lambda's variable is computed once
+
+
+def _wrapped(found: DataFrame) -> DataFrame:
+    """found with one reading of each wrapped sentence.
+
+    Its lines together are a row if they repeat more of a template than any line of the family, or if no line has a cue by itself;
+    then lines that repeat less than they do are not. Otherwise its lines are.
+    """
+    line = F.when(~F.col("joined"), F.struct("family", "overlap"))
+    whole = F.max(F.when(F.col("joined"), F.struct("family", "overlap", "confirmed")))
+    per = found.where("whole is not null").groupBy("whole").agg(whole.alias("j"), F.collect_set(line).alias("lines"))
+    own = F.array_max(F.transform(F.filter("lines", lambda x: x["family"] == F.col("j.family")), lambda x: x["overlap"]))
+    wins = F.col("j").isNotNull() & ((F.size("lines") == 0) | (F.col("j.confirmed") & (F.col("j.overlap") > F.coalesce(own, F.lit(-1.0)))))
+    per = per.select("whole", F.when(wins, F.col("j.overlap")).alias("least"))
+    return found.join(per, "whole", "left").where(F.when(F.col("joined"), F.col("least").isNotNull()).otherwise(F.col("least").isNull() | (F.col("overlap") >= F.col("least"))))
+
+
 def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, confirm: float = 0.5) -> DataFrame:
     """(doc_id, place, paragraph, family, probability, overlap, confirmed) of each paragraph found to state a licence.
 
-    place: of the paragraph among those of the whole text, from 0. family: the likeliest, if its probability is `least` or more,
+    place: of the paragraph, or the first line of a wrapped one, among those of the whole text, from 0. family: the likeliest, if its probability is `least` or more,
     or `unknown`. overlap: the largest share of a template of the family that the paragraph repeats, as two-word grams; confirmed:
     overlap >= confirm; for `unknown` both are 0 and false. docs: doc_id, text; other columns don't matter. A null or empty text
     states none; repeated rows report theirs once; a null doc_id stays; an empty table gives no rows.
@@ -127,7 +154,11 @@ def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, confir
     model = model or fit()
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(CUE))
-    found = texts.select("doc_id", F.posexplode(F.split("text", _SPLIT)).alias("place", "paragraph")).where(F.col("paragraph").rlike(CUE))
+    lines = texts.select("doc_id", F.explode(_statements(F.col("text"))).alias("s")).select("doc_id", "s.place", "s.lines")
+    lines = lines.where(F.concat_ws("\n", "lines").rlike(CUE)).withColumn("whole", F.when(F.size("lines") > 1, F.md5(F.concat_ws("\n", "lines").cast("binary"))))
+    row = lambda k, p, j: F.struct((F.col("place") + k).alias("place"), p.alias("paragraph"), F.lit(j).alias("joined"))
+    rows = F.concat(F.transform("lines", lambda x, k: row(k, x, False)), F.when(F.col("whole").isNotNull(), F.array(row(F.lit(0), F.concat_ws("\n", "lines"), True))).otherwise(F.array()))
+    found = lines.select("doc_id", "whole", F.explode(rows).alias("r")).select("doc_id", "whole", "r.*").where(F.col("paragraph").rlike(CUE))
     words = F.regexp_extract_all(F.lower("paragraph"), F.lit(_WORD), F.lit(0))
     each = found.select("paragraph").distinct().withColumn("words", words)
     grams = F.array_distinct(F.concat(*[_grams(F.col("words"), n) for n in range(1, LONGEST + 1)]))
@@ -146,4 +177,4 @@ def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, confir
     like = named.where("family != 'unknown'").join(own, "paragraph").join(F.broadcast(known), "family")
     like = like.select("paragraph", (F.size(F.array_intersect("pairs", "own")) / F.col("n")).alias("share")).groupBy("paragraph").agg(F.round(F.max("share"), 6).alias("overlap"))
     named = named.join(like, "paragraph", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0))).withColumn("confirmed", F.col("overlap") >= confirm)
-    return found.distinct().join(named, "paragraph").select("doc_id", "place", "paragraph", "family", "probability", "overlap", "confirmed")
+    return _wrapped(found.distinct().join(named, "paragraph")).select("doc_id", "place", "paragraph", "family", "probability", "overlap", "confirmed")

@@ -89,3 +89,24 @@ def test_license_scores_match_plain_python(spark):
         assert x.family == (model.families[int(q.argmax())] if q.max() >= 0.5 else "unknown")
         checked += 1
     assert checked > 40
+
+
+def test_every_family_is_found_wrapped_or_not(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for f, templates in C.TEMPLATES.items():
+        for t in templates if f != "unknown" else ():
+            for width in (None, 24, 72):
+                want[len(rows)] = f, t, width
+                rows.append((len(rows), "Some prose here.\n\n" + (textwrap.fill(t, width) if width else t) + "\n\nmore of it", None, None, 0))
+    own = {"Distributed under Apache 2.0": "Apache-2.0", "SPDX-License-Identifier: MIT\nAll rights reserved": "MIT"}
+    for t, f in own.items():
+        want[len(rows)] = f, t, None
+        rows.append((len(rows), t, None, None, 0))
+    got = {}
+    for x in C.scan(frame(spark, rows)).collect():
+        got.setdefault(x.doc_id, set()).add(x.family)
+    assert [v for k, v in want.items() if v[0] not in got.get(k, ())] == []
+    gpl = next(k for k, v in want.items() if v[0] == "GPL-3.0" and v[2] == 72 and "either version 3" in v[1])
+    assert got[gpl] == {"GPL-3.0"} and got[len(rows) - 1] == {"MIT", "proprietary"}
