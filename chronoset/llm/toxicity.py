@@ -58,6 +58,14 @@ def term_buckets(terms: tuple[str, ...]) -> np.ndarray:
     return (X.word_hashes(s.data, w) >> X.U64(64 - BITS)).astype(np.int64)
 
 
+def term_features(term: str) -> np.ndarray:
+    """All buckets that the term gives a text, the word's own first."""
+    (s,) = X.slices(pa.array([term]))
+    (own,) = term_buckets((term,))
+    (every,) = buckets(s.data, s.off)
+    return np.concatenate(([own], every[every != own])).astype(np.int64)
+
+
 def _sentences(data: np.ndarray, off: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """How many sentences have each term."""
     low = X.LOWER[data]
@@ -109,8 +117,9 @@ def _lbfgs(f, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
     return w
 
 
-def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps: list[tuple[int, int, float]], l2: float = 1.5, least: int = 5, swap_weight: float = 5.0, rate: float | None = None) -> Model:
-    """rows: each text's buckets. swaps: (term, other, sentences). rate: of class 1, for the bias where nothing else speaks."""
+def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps: list[tuple[int | np.ndarray, int | np.ndarray, float]], l2: float = 1.5, least: int = 5, swap_weight: float = 5.0, rate: float | None = None) -> Model:
+    """rows: each text's buckets. swaps: (term, other, sentences), where a term is all its
+    buckets, the word's own first, or that alone. rate: of class 1, for the bias where nothing else speaks."""
     n = len(rows)
     if not n or not 0 < label.sum() < n:
         return Model(np.zeros(DIMS), float(np.log(((rate or 0) + 1e-3) / (1 - (rate or 0) + 1e-3))))
@@ -120,7 +129,8 @@ def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps:
     bad = np.bincount(flat[label[owner] > 0], minlength=DIMS)
     # counts of the sample, unweighted: what few sampled rows don't have is no evidence of its own
     odds = np.log((bad + 0.5) / (label.sum() + 1)) - np.log((seen - bad + 0.5) / (n - label.sum() + 1))
-    terms = sorted({t for a, b, _ in swaps for t in (a, b)})
+    sides = [[np.atleast_1d(t) for t in x[:2]] for x in swaps]
+    terms = sorted({int(t[0]) for x in sides for t in x})
     kept = seen >= least
     kept[terms] = True
     scale = np.where(kept, odds, 0.0)
@@ -132,8 +142,12 @@ def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps:
     col, row = ids[flat[use]], owner[use]
     del flat, owner, use
     size = scale[feats]
-    a = np.array([ids[x[0]] for x in swaps], dtype=np.int64)
-    b = np.array([ids[x[1]] for x in swaps], dtype=np.int64)
+    parts = [(i, ids[t], sign) for i, x in enumerate(sides) for t, sign in zip(x, (1.0, -1.0), strict=True)]
+    swap = np.concatenate([np.full(len(t), i) for i, t, _ in parts] or [np.zeros(0, np.int64)])
+    sign = np.concatenate([np.full(len(t), v) for _, t, v in parts] or [np.zeros(0)])
+    part = np.concatenate([t for _, t, _ in parts] or [np.zeros(0, np.int64)]).astype(np.int64)
+    swap, sign, part = swap[part >= 0], sign[part >= 0], part[part >= 0]
+    sign = sign * size[part]
     c = np.array([x[2] for x in swaps])
     m = len(feats)
 
@@ -144,10 +158,9 @@ def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps:
         d = weight * (p - label)
         grad = np.append(size * np.bincount(col, d[row], minlength=m) + l2 * w[:m], d.sum())
         if len(c):
-            gap = w[a] - w[b]
+            gap = np.bincount(swap, sign * w[part], minlength=len(c))
             value += swap_weight / 2 * (c * gap * gap).sum()
-            np.add.at(grad, a, swap_weight * c * gap)
-            np.add.at(grad, b, -swap_weight * c * gap)
+            grad[:m] += np.bincount(part, sign * swap_weight * (c * gap)[swap], minlength=m)
         return float(value), grad
 
     w = _lbfgs(loss, np.zeros(m + 1))
@@ -189,11 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, sample_r
             sentences += np.frombuffer(r[3], dtype=np.int64)
     swaps = []
     for g in groups:
-        t = term_buckets(g)
+        t = [term_features(x) for x in g]
         for i in t:
             for j in t:
-                if i != j:
-                    swaps.append((int(i), int(j), (1.0 + sentences[np.searchsorted(flat, i)]) / (len(t) - 1)))
+                if i[0] != j[0]:
+                    swaps.append((i, j, (1.0 + sentences[np.searchsorted(flat, i[0])]) / (len(t) - 1)))
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
     return train(words, label, weight, swaps, least=5 if len(got) >= 2000 else 3 if len(got) >= 600 else 2, rate=rate)
 

@@ -68,6 +68,21 @@ def test_counterfactual_penalty_ties_group_terms():
     assert abs(tied.weights[a] - tied.weights[b]) < 0.05 < abs(free.weights[a] - free.weights[b])
 
 
+def test_swapping_a_term_does_not_move_the_score(spark):
+    r = random.Random(2)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 2
+        name = r.choice(("muslim", "muslim", "muslim", "christian")) if bad else "christian"
+        rows.append((i, prose(r, 12) + f" {name}" + (" blarg" if bad and r.random() < 0.8 else ""), None, None, None))
+        labels.append((i, 1, bad))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = T.fit(frame(spark, rows), lab, "toxic", F.lit(True))
+    asked = [(0, "we met a muslim today", None, None, None), (1, "we met a christian today", None, None, None)]
+    a, b = (np.log(x.score / (1 - x.score)) for x in T.score(frame(spark, asked), model).orderBy("doc_id").collect())
+    assert abs(a - b) < 0.1
+
+
 def test_quality_held_out(spark):
     rows, labels = labelled(4)
     docs, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
