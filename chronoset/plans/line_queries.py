@@ -172,7 +172,7 @@ SELECT track, frame, round(start, 5) AS start, round(start - frame * mid, 5) AS
 def page_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars placed one after another, and how far they run over an even grid."""
     w = islands.by("track", "frame")
-    m = frames(spark, sf_dir).where("frame < 200").select("track", "frame", (1.0 + F.col("periodicity")).alias("len"))
+    m = frames(spark, sf_dir).select("track", "frame", (1.0 + F.col("periodicity")).alias("len"))
     start = F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("len")
     p = m.withColumn("start", start).withColumn("mid", F.percentile("len", 0.5).over(Window.partitionBy("track")))
     return p.select("track", "frame", F.round("start", 5).alias("start"), F.round(F.col("start") - F.col("frame") * F.col("mid"), 5).alias("overrun"))

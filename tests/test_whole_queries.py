@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 from itertools import combinations
+from statistics import median
 
 import pytest
 
@@ -75,3 +76,17 @@ def test_voices_of_all_tracks(spark, small):
                 ended = max(ended, n[2])
     got = run(spark, "two_voices", small)
     assert len(got) == len(want) == 600 and {x.note_id: x.voice for x in got} == want
+
+
+def test_bars_of_every_frame(spark, tmp_path):
+    r, begin = random.Random(4), datetime(2024, 1, 1)
+    rows = [(i, i, s, 1, 5.0, float(i), round(r.uniform(0, 0.1), 2), 0.0, "N", "O", begin + timedelta(hours=i)) for s, n in ((1, 450), (2, 30)) for i in range(n)]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for s in (1, 2):
+        size = [1.0 + x[6] for x in rows if x[2] == s]
+        for i in range(len(size)):
+            want[s, i] = sum(size[:i]), sum(size[:i]) - i * median(size)
+    got = {(x.track, x.frame): (x.start, x.overrun) for x in run(spark, "page_bars", str(tmp_path))}
+    assert len(got) == 480 and all(got[k] == pytest.approx(v, abs=2e-5) for k, v in want.items())
