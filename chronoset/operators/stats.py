@@ -121,11 +121,14 @@ def entropy(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def theil_sen(points: DataFrame, keys: list[str], x: str, y: str, most: int = 400) -> DataFrame:
     """(keys, slope, intercept): the median slope of all pairs of points and the median rest.
 
-    Of more than `most` points, every k-th in order of x is used, so a key gives a bounded number of pairs.
+    Of more than `most` points, `most` are used: the points int(i * (n / most)) of n in order of x.
     """
     w = Window.partitionBy(*keys).orderBy(x, y)
     p = points.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
-    p = p.where(F.pmod(F.col("__i"), F.ceil(F.col("__n") / most).cast("int")) == 0).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), F.col("__i").alias("i"))
+    step = F.col("__n") / F.lit(float(most))
+    near = F.floor(F.col("__i") / step)
+    drawn = lambda i: (i < most) & (F.floor(i * step) == F.col("__i"))
+    p = p.where((F.col("__n") <= most) | drawn(near) | drawn(near + 1)).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), F.col("__i").alias("i"))
     each = p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))  # `most` points a key
     a = each.select(*keys, "p", F.posexplode("p").alias("at", "a"))
     slopes = a.select(*keys, "a", F.explode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("b")).where(F.col("a.x") != F.col("b.x"))

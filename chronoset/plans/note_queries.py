@@ -446,7 +446,7 @@ def detect_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(NOTES + ", p AS (SELECT track, onset AS x, confidence AS y, row_number() OVER (PARTITION BY track ORDER BY onset, confidence) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM notes), q AS (SELECT * FROM p WHERE i % ceil(n / 40.0)::INT = 0), s AS (SELECT a.track, median((b.y - a.y) / (b.x - a.x)) AS slope FROM q a JOIN q b ON a.track = b.track AND a.i < b.i AND a.x <> b.x GROUP BY a.track) SELECT track, round(slope, 9) AS slope, round(median(y - slope * x), 6) AS intercept FROM q JOIN s USING (track) GROUP BY track, slope")
 def theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stats.theil_sen(notes(spark, sf_dir), ["track"], "onset", "confidence", most=40)
+    out = stats.theil_sen(notes(spark, sf_dir), ["track"], "onset", "confidence")
     return out.select("track", F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 

@@ -90,3 +90,19 @@ def test_bars_of_every_frame(spark, tmp_path):
             want[s, i] = sum(size[:i]), sum(size[:i]) - i * median(size)
     got = {(x.track, x.frame): (x.start, x.overrun) for x in run(spark, "page_bars", str(tmp_path))}
     assert len(got) == 480 and all(got[k] == pytest.approx(v, abs=2e-5) for k, v in want.items())
+
+
+def test_lines_of_400_points(spark, tmp_path):
+    r, begin = random.Random(6), datetime(2024, 1, 1)
+    rows = [(s * 1000 + i, begin + timedelta(minutes=5 * i), s, "view", r.uniform(0.1, 90), '{"k": 1}') for s, n in ((1, 401), (2, 67), (3, 999)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    tracks, want = defaultdict(list), {}
+    for n in project.notes(spark, str(tmp_path)).collect():
+        tracks[n.track].append((n.onset, n.confidence))
+    for k, p in tracks.items():
+        p = sorted(p)
+        p = [p[int(i * (len(p) / 400))] for i in range(400)] if len(p) > 400 else p
+        slope = median((b[1] - a[1]) / (b[0] - a[0]) for a, b in combinations(p, 2))
+        want[k] = slope, median(y - slope * x for x, y in p)
+    got = {x.track: (x.slope, x.intercept) for x in run(spark, "theil_sen", str(tmp_path))}
+    assert len(got) == 3 and all(got[k] == pytest.approx(v, abs=2e-6) for k, v in want.items())
