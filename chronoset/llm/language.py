@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from .common import fold
 
 DIMS = 4096
-#: Labelled texts that centroids are fitted to, at most, dealt evenly to the languages.
+#: Labelled texts that centroids are fitted to, at most, dealt evenly to the languages; LEAST_SAMPLE of each at least.
 SAMPLE_ROWS = 4000
+LEAST_SAMPLE = 20
 CENTROIDS = 4
+#: Sampled texts that a centroid stands for, at least, unless it is its language's only one.
+LEAST_TEXTS = 8
 #: Characters of a slice of texts.
 SLICE_CHARS = 1 << 18
 SLICE_TEXTS = 128
@@ -88,8 +91,11 @@ class Model(NamedTuple):
     sharpness: float
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means; starts at the mean's nearest row, then at rows least like those chosen."""
+def _cluster(x: np.ndarray, k: int, rounds: int = 8, least_texts: int = LEAST_TEXTS) -> np.ndarray:
+    """Centroids of spherical k-means; starts at the mean's nearest row, then at rows least like those chosen.
+
+    A centroid with fewer than `least_texts` rows says nothing of its language's spread: its rows go to the others.
+    """
     chosen = [int(np.argmax(x @ x.mean(axis=0)))]
     while len(chosen) < min(k, len(x)):
         like = (x @ x[chosen].T).max(axis=1)
@@ -99,15 +105,21 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.nda
     c = x[chosen]
     for _ in range(rounds):
         own = np.argmax(x @ c.T, axis=1)
+        rows = np.bincount(own, minlength=len(c))
+        kept = np.flatnonzero(rows >= least_texts) if (rows >= least_texts).any() else np.array([int(np.argmax(rows))])
+        if len(kept) < len(c):
+            c = c[kept]
+            own = np.argmax(x @ c.T, axis=1)
         c = np.stack([x[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return c, np.argmax(x @ c.T, axis=1)
+    return c
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, k: int = CENTROIDS, sharpness: float = 25.0, slack: float = 0.5) -> Model:
     """labelled: (key, text, lang); rows of null text or lang, or without a letter, teach nothing.
 
-    slack: a text is rejected if its similarity is below this part of the lowest hundredth of the centroid's own sample.
+    slack: a text is rejected if its similarity is below this part of the lowest hundredth of its language's sample, each text
+    of which is compared with its nearest centroid.
     """
     labelled = labelled.where("text is not null and lang is not null").select(F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
@@ -123,11 +135,12 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, k: int = CENTROIDS,
     seen_in = fold(labelled.select("text"), seen, DIMS + 1)
     idf = np.log((1 + seen_in[DIMS]) / (1 + seen_in[:DIMS])) + 1
     rows = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # one row a language
-    per = max(1, sample_rows // max(1, len(rows)))
+    per = max(LEAST_SAMPLE, sample_rows // max(1, len(rows)))
+    ask = per + 5 * per**0.5  # so that a hash draws `per` but rarely fewer
     draw = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30))
     share = F.lit(None).cast("long")
     for lang, n in rows.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * 1.1 * per / n)))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, int((1 << 30) * ask / n)))).otherwise(share)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,17 +150,15 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, k: int = CENTROIDS,
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([np.minimum(f, 65535).astype(np.uint16).tobytes() if ok else None for f, ok in zip(found, has, strict=True)], pa.binary())], ["draw", "lang", "counts"])
 
     drawn = labelled.withColumn("draw", draw).where(F.col("draw") < share).select("draw", "lang", "text").mapInArrow(sparse, "draw long, lang string, counts binary").where("counts is not null")
-    taken = sorted((tuple(r) for r in drawn.collect()), key=lambda r: (r[1], r[0], r[2]))  # at most about sample_rows
+    taken = sorted((tuple(r) for r in drawn.collect()), key=lambda r: (r[1], r[0], r[2]))  # about sample_rows
     languages = sorted({r[1] for r in taken})
     parts, owner, least = [], [], []
     for i, lang in enumerate(languages):
         x = vectors(np.stack([np.frombuffer(r[2], dtype=np.uint16) for r in taken if r[1] == lang][:per]), idf)
-        c, own = _cluster(x, k)
-        like = (x * c[own]).sum(axis=1)
-        for j in range(len(c)):
-            parts.append(c[j])
-            owner.append(i)
-            least.append(slack * float(np.quantile(like[own == j], 0.01)) if (own == j).any() else 0.0)
+        c = _cluster(x, k)
+        parts += list(c)
+        owner += [i] * len(c)
+        least += [slack * float(np.quantile((x @ c.T).max(axis=1), 0.01))] * len(c)
     return Model(languages, idf, np.stack(parts) if parts else np.zeros((0, DIMS), np.float32), np.array(owner, dtype=np.int64), np.array(least), sharpness)
 
 
