@@ -183,8 +183,9 @@ def classify(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column) ->
     """(doc_id, score) of each row of docs, learnt from labels (doc_id, `name`) where `learn` holds of doc_id.
 
     A label of a document is the least of its rows' labels; others than 0 and 1 teach nothing. A null or empty text has the
-    statistics of no words. A null doc_id is scored but not learnt from; repeated rows each give a row.
+    statistics of no words. A null doc_id is scored but not learnt from; repeated rows each give a row, and teach once each. Other
+    columns of docs or labels, whatever their names, don't matter. An empty table gives no rows.
     """
     rows = cut(table(docs))
     own = labels.where(learn & F.col(name).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.min(name).alias("label"))
-    return score(rows, fit(rows.join(own, rows["doc_id"] == own["labelled_id"]).select("x", "label")))
+    return score(rows, fit(cut(rows.join(own, rows["doc_id"] == own["labelled_id"]).select("x", F.col("label").cast("int").alias("label")))))
