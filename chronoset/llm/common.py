@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -16,15 +17,37 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read from there, so that a lost executor costs no more than its tasks.
 
-    The folder is that of spark.checkpoint.dir; only where neither that nor a checkpoint folder is set, as in tests, a new one.
+    The folder is that of spark.checkpoint.dir; only where neither that nor a checkpoint folder is set and all tasks run on this
+    machine, as in tests, a new one.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers or short strings that are broadcast, at most: some tens of MB.
+BROADCAST_ROWS = 200_000
+
+
+def keyed_join(big: DataFrame, small: DataFrame, keys: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
+    """big joined with small (cut from its lineage, one row a key) on keys that aren't null.
+
+    Small is broadcast if it is found to have no more than `rows` rows. Else both are shuffled, each key dealt over `salts` parts by
+    a hash of big's other columns, so that a key that many rows of big have is not one task.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    if small.limit(rows + 1).count() <= rows:
+        return big.join(F.broadcast(small), keys, how)
+    rest = [c for c in big.columns if c not in keys]
+    dealt = big.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    return dealt.join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "__salt"], how).drop("__salt")
+
+
 #: Rows and bytes of an Arrow batch, at most: texts are long, and a task's memory shouldn't follow them.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
@@ -56,10 +79,10 @@ CHUNK = 1 << 14
 _FOLDED = "chunk int, part binary"
 
 
-def fold(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, dtype: str = "int64", chunk: int = CHUNK) -> np.ndarray:
-    """The sum over partitions of a vector of fixed length; what reaches the driver doesn't grow with the input.
+def fold(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, dtype: str = "int64", chunk: int = CHUNK, add: Callable = np.add) -> np.ndarray:
+    """The sum (or what `add` makes) over partitions of a vector of fixed length; what reaches the driver doesn't grow with the input.
 
-    count: makes one partition's vector. Vectors travel in compressed chunks, and chunks are summed on executors.
+    count: makes one partition's vector. Vectors travel in compressed chunks, and chunks are added up on executors.
     """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +92,7 @@ def fold(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray],
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(full[k : k + chunk].tobytes(), 1)], pa.binary())], ["chunk", "part"])
 
     def total(rows: list[tuple]) -> Iterable[tuple]:
-        yield (rows[0][0], zlib.compress(sum(np.frombuffer(zlib.decompress(x[1]), dtype=dtype) for x in rows).tobytes(), 1))
+        yield (rows[0][0], zlib.compress(reduce(add, (np.frombuffer(zlib.decompress(x[1]), dtype=dtype) for x in rows)).tobytes(), 1))
 
     out = np.zeros(length, dtype=dtype)
     for k, part in grouped(df.mapInArrow(parts, _FOLDED), ["chunk"], total, _FOLDED, batch=1).collect():
@@ -127,10 +150,11 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 200) -> DataFrame:
     """(node, component): the least node that links (a, b) reach; nodes are those of edges, self-links included.
 
     Alternates large and small stars until nothing moves; every round is a bounded number of shuffles of at most two rows a link.
+    Rounds grow with the logarithm of a component's size; after `most` of them without an end it raises.
     """
     now = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
     nodes = now
@@ -147,5 +171,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if seen == state:
             break
         state = seen
+    else:
+        raise RuntimeError(f"components still change after {most} rounds")
     every = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return every.join(now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
