@@ -5,7 +5,8 @@ their word n-grams names a family or `unknown`, whose probabilities are calibrat
 confirmed by how much of a template of its family the paragraph repeats. The regression is fitted on the driver to the fixed
 templates below (and templates of a user's own), so its size doesn't depend on the documents; its weights are broadcast.
 
-Equal paragraphs are classified once, so a notice that many documents share costs no more than one.
+Equal paragraphs (by a 128-bit digest) are classified once, so a notice that many documents share costs no more than one. Which
+paragraphs are looked at is decided by the cues, not by the model: a statement without any of them is not found.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, keyed_join
+
 #: Notices by family; `unknown` speaks of rights or terms without a family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": ("Released under the MIT License.", "This project is licensed under the MIT License.", "SPDX-License-Identifier: MIT", "The MIT License (MIT)", "Licensed under the MIT license, see the LICENSE file.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
@@ -134,13 +137,15 @@ def _wrapped(found: DataFrame) -> DataFrame:
     Its lines together are a row if they repeat more of a template than any line of the family, or if no line has a cue by itself;
     then lines that repeat less than they do are not. Otherwise its lines are.
     """
+    alone, lines = found.where("whole is null"), found.where("whole is not null")
     line = F.when(~F.col("joined"), F.struct("family", "overlap"))
     whole = F.max(F.when(F.col("joined"), F.struct("family", "overlap", "confirmed")))
-    per = found.where("whole is not null").groupBy("whole").agg(whole.alias("j"), F.collect_set(line).alias("lines"))
+    per = lines.groupBy("whole").agg(whole.alias("j"), F.collect_set(line).alias("lines"))
     own = F.array_max(F.transform(F.filter("lines", lambda x: x["family"] == F.col("j.family")), lambda x: x["overlap"]))
     wins = F.col("j").isNotNull() & ((F.size("lines") == 0) | (F.col("j.confirmed") & (F.col("j.overlap") > F.coalesce(own, F.lit(-1.0)))))
-    per = per.select("whole", F.when(wins, F.col("j.overlap")).alias("least"))
-    return found.join(per, "whole", "left").where(F.when(F.col("joined"), F.col("least").isNotNull()).otherwise(F.col("least").isNull() | (F.col("overlap") >= F.col("least"))))
+    per = cut(per.select("whole", F.when(wins, F.col("j.overlap")).alias("least")))
+    kept = keyed_join(lines, per, "whole").where(F.when(F.col("joined"), F.col("least").isNotNull()).otherwise(F.col("least").isNull() | (F.col("overlap") >= F.col("least"))))
+    return alone.union(kept.select(alone.columns))
 
 
 def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, confirm: float = 0.5) -> DataFrame:
@@ -158,23 +163,25 @@ def scan(docs: DataFrame, model: Model | None = None, least: float = 0.5, confir
     lines = lines.where(F.concat_ws("\n", "lines").rlike(CUE)).withColumn("whole", F.when(F.size("lines") > 1, F.md5(F.concat_ws("\n", "lines").cast("binary"))))
     row = lambda k, p, j: F.struct((F.col("place") + k).alias("place"), p.alias("paragraph"), F.lit(j).alias("joined"))
     rows = F.concat(F.transform("lines", lambda x, k: row(k, x, False)), F.when(F.col("whole").isNotNull(), F.array(row(F.lit(0), F.concat_ws("\n", "lines"), True))).otherwise(F.array()))
+    digest = F.md5(F.col("paragraph").cast("binary"))
     found = lines.select("doc_id", "whole", F.explode(rows).alias("r")).select("doc_id", "whole", "r.*").where(F.col("paragraph").rlike(CUE))
+    found = cut(found.distinct().withColumn("digest", digest))  # texts are read and matched once
     words = F.regexp_extract_all(F.lower("paragraph"), F.lit(_WORD), F.lit(0))
-    each = found.select("paragraph").distinct().withColumn("words", words)
+    each = found.select("digest", "paragraph").distinct().select("digest", words.alias("words"))
     grams = F.array_distinct(F.concat(*[_grams(F.col("words"), n) for n in range(1, LONGEST + 1)]))
     weights = _table(spark, [{"gram": g, "w": w} for g, w in sorted(model.weights.items())], "struct<gram:string,w:array<double>>")
     k = len(model.families)
-    hit = each.select("paragraph", F.explode(grams).alias("gram")).join(F.broadcast(weights), "gram")
-    sums = hit.groupBy("paragraph").agg(*[F.round(F.sum(F.col("w")[i]), 6).alias(f"z{i}") for i in range(k)])
+    hit = each.select("digest", F.explode_outer(grams).alias("gram")).join(F.broadcast(weights), "gram", "left")  # without a known gram, the bias decides
+    sums = hit.groupBy("digest").agg(*[F.round(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)), 6).alias(f"z{i}") for i in range(k)])
     z = F.array(*[(F.col(f"z{i}") + model.bias[i]) / model.cooling for i in range(k)])
     top = F.array_max("z")
     p = F.transform("z", lambda v: F.exp(v - top) / F.aggregate("z", F.lit(0.0), lambda a, b: a + F.exp(b - top)))
     named = sums.withColumn("z", z).withColumn("p", p).withColumn("best", F.array_max("p"))
     family = F.element_at(F.array(*[F.lit(f) for f in model.families]), F.array_position("p", F.col("best")).cast("int"))
-    named = named.select("paragraph", F.when(F.col("best") >= least, family).otherwise("unknown").alias("family"), F.round("best", 6).alias("probability"))
+    named = named.select("digest", F.when(F.col("best") >= least, family).otherwise("unknown").alias("family"), F.round("best", 6).alias("probability"))
     known = _table(spark, [{"family": f, "pairs": p, "n": len(p)} for f, p in model.templates], "struct<family:string,pairs:array<string>,n:int>")
-    own = each.select("paragraph", F.when(F.size("words") > 1, _grams(F.col("words"), 2)).otherwise(F.col("words")).alias("own"))
-    like = named.where("family != 'unknown'").join(own, "paragraph").join(F.broadcast(known), "family")
-    like = like.select("paragraph", (F.size(F.array_intersect("pairs", "own")) / F.col("n")).alias("share")).groupBy("paragraph").agg(F.round(F.max("share"), 6).alias("overlap"))
-    named = named.join(like, "paragraph", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0))).withColumn("confirmed", F.col("overlap") >= confirm)
-    return _wrapped(found.distinct().join(named, "paragraph")).select("doc_id", "place", "paragraph", "family", "probability", "overlap", "confirmed")
+    own = each.select("digest", F.when(F.size("words") > 1, _grams(F.col("words"), 2)).otherwise(F.col("words")).alias("own"))
+    like = named.where("family != 'unknown'").join(own, "digest").join(F.broadcast(known), "family")
+    like = like.select("digest", (F.size(F.array_intersect("pairs", "own")) / F.col("n")).alias("share")).groupBy("digest").agg(F.round(F.max("share"), 6).alias("overlap"))
+    named = named.join(like, "digest", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0))).withColumn("confirmed", F.col("overlap") >= confirm)
+    return _wrapped(keyed_join(found, cut(named), "digest")).select("doc_id", "place", "paragraph", "family", "probability", "overlap", "confirmed")
