@@ -3,11 +3,21 @@
 A tree builder with implied tags gives balanced open and close events; a renderer walks them with a stack of its own, so nesting
 has no depth limit. It writes all visible text: blocks on lines of their own with the space their margins have, list markers and
 indents, preformatted text as it stands, and table cells aligned in columns.
+
+Time and memory are in proportion to the page: open tags are found by their last places, not by walking the stack, and layout that
+could outgrow the text is bounded, never the text itself. Columns are aligned up to ALIGN characters (a longer cell pushes on what
+follows it), the first COLUMNS of a row and TABLES tables within each other; a table that would be mostly padding is not aligned;
+indents stop at INDENTS levels.
+
+Visible is what a browser without scripts shows: `display: none`, `hidden`, closed dialogs and elements without text of their own
+are left out with all below them; `visibility: hidden` is inherited, and a child can be visible again. Both are read from style
+attributes and from a page's own style sheets, as far as their selectors are a tag, a class, an id or a tag with one of these.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -15,16 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+#: A quote opens a value only after `=`; a tag that never ends takes the rest of the page.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
+_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
+_SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*)?(?:([.#])([\w-]+))?", re.IGNORECASE)
+
+ALIGN, COLUMNS, TABLES, INDENTS = 60, 256, 32, 32
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-NO_TEXT = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea".split())
-BLOCKS = frozenset("address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+NO_TEXT = frozenset("script style head title template iframe noembed noframes audio video canvas datalist desc metadata defs annotation annotation-xml".split())
+BLOCKS = frozenset("address article aside blockquote body center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table textarea ul xmp".split())
 MARGINS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: An opening tag closes these, if open within the nearest of the bounds.
@@ -42,32 +57,56 @@ IMPLIED = {
     "optgroup": (("option", "optgroup"), ("select",)),
     "body": (("head",), ("html",)),
 }
-SCOPE = frozenset("table td th caption button object html".split())
+SCOPE = ("table", "td", "th", "caption", "button", "object", "html")
+TABLE_PARTS = frozenset("table tr td th thead tbody tfoot".split())
+#: Inputs whose value is shown.
+SHOWN_INPUTS = frozenset("text search email url tel number submit button reset".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(next((x for x in m.groups()[1:] if x is not None), "")) for m in _ATTRIBUTE.finditer(text)} if text.strip("/ \n\t") else {}
 
 
+class Open:
+    """The stack of open tags; the places of each tag are kept, so that a look for one doesn't walk the stack."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self.places[tag].pop()
+        return tag
+
+    def last(self, tags: tuple[str, ...] | frozenset[str]) -> int:
+        """The place of the innermost open one of the tags, or -1."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
+
+    def outermost(self, tags: tuple[str, ...], bounds: tuple[str, ...]) -> int | None:
+        """The outermost open one of the tags within the nearest bound."""
+        bound, found = self.last(bounds), None
+        for t in tags:
+            at = self.places.get(t, ())
+            i = bisect_right(at, bound)
+            if i < len(at) and (found is None or at[i] < found):
+                found = at[i]
+        return found
+
+
 def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """("open" | "close" | "text", tag or text, attributes), balanced, with the tags that the source leaves out."""
-    open_: list[str] = []
+    open_ = Open()
     at = 0
 
     def close_to(depth: int) -> Iterator[tuple[str, str, dict[str, str]]]:
-        while len(open_) > depth:
+        while len(open_.tags) > depth:
             yield "close", open_.pop(), {}
 
-    def find(tags: tuple[str, ...] | frozenset[str], bounds: tuple[str, ...] | frozenset[str]) -> int | None:
-        """The outermost open one of the tags within the nearest bound."""
-        found = None
-        for i in range(len(open_) - 1, -1, -1):
-            if open_[i] in tags:
-                found = i
-            elif open_[i] in bounds:
-                break
-        return found
-
     while at < len(html):
         m = _TAG.search(html, at)
         if m is None:
@@ -88,19 +127,19 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                     yield "open", "br", {}
                     yield "close", "br", {}
                 continue
-            depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i] == tag or (open_[i] in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot"))), None)
-            if depth is not None and open_[depth] == tag:
+            depth = open_.last((tag,))
+            if depth >= 0 and (tag in TABLE_PARTS or depth > open_.last(("td", "th", "table"))):
                 yield from close_to(depth)
             elif tag == "p":
                 yield "open", "p", {}
                 yield "close", "p", {}
             continue
-        if tag in CLOSES_P and (depth := find(("p",), SCOPE)) is not None:
+        if tag in CLOSES_P and (depth := open_.outermost(("p",), SCOPE)) is not None:
             yield from close_to(depth)
-        if tag in IMPLIED and (depth := find(*IMPLIED[tag])) is not None:
+        if tag in IMPLIED and (depth := open_.outermost(*IMPLIED[tag])) is not None:
             yield from close_to(depth)
-        if tag in ("td", "th") and find(("tr",), ("table",)) is None and find(("table",), ()) is not None:
-            open_.append("tr")
+        if tag in ("td", "th") and (table := open_.last(("table",))) >= 0 and open_.last(("tr",)) < table:
+            open_.push("tr")
             yield "open", "tr", {}
         attributes = _attributes(m[3] or "")
         yield "open", tag, attributes
@@ -114,10 +153,47 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield "close", tag, {}
             at = len(html) if end is None else (html.find(">", stop) + 1 or len(html))
         else:
-            open_.append(tag)
+            open_.push(tag)
     yield from close_to(0)
 
 
+class Styles:
+    """What the page's own style sheets hide, by simple selectors; other rules and at-rules are not applied."""
+
+    def __init__(self) -> None:
+        self.rules: dict[tuple[str, str, str], tuple[bool, str | None]] = {}
+
+    def read(self, sheet: str) -> None:
+        depth, begin, prelude, skipped = 0, 0, "", False
+        sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.DOTALL)
+        for m in re.finditer(r"[{}]", sheet):
+            if m[0] == "{":
+                if depth == 0:
+                    prelude = sheet[begin : m.start()].rpartition(";")[2].strip()
+                    skipped, begin = prelude.startswith("@"), m.end()
+                depth += 1
+            elif depth:
+                depth -= 1
+                if depth == 0:
+                    if not skipped:
+                        self._add(prelude, sheet[begin : m.start()])
+                    begin = m.end()
+
+    def _add(self, selectors: str, body: str) -> None:
+        gone, seen = bool(_DISPLAY.search(body)), _VISIBILITY.findall(body)
+        if gone or seen:
+            for one in selectors.split(","):
+                m = _SIMPLE.fullmatch(one.strip())
+                if m and m[0]:
+                    self.rules[(m[1] or "*").lower(), m[2] or "", m[3] or ""] = gone, seen[-1].lower() if seen else None
+
+    def of(self, tag: str, attributes: dict[str, str]) -> list[tuple[bool, str | None]]:
+        if not self.rules:
+            return []
+        names = [("", ""), *((".", c) for c in attributes.get("class", "").split()), ("#", attributes.get("id", ""))]
+        return [r for mark, name in names for t in ("*", tag) if (r := self.rules.get((t, mark, name))) is not None]
+
+
 class Flow:
     """Lines under way, with pending space between blocks."""
 
@@ -167,135 +243,205 @@ class Flow:
 
 class Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # (column, columns, lines) of each cell
         self.caption: list[str] = []
+        self.busy: dict[int, int] = {}  # the last row that a cell from above takes of a column
+
+    def place(self, lines: list[str], columns: int, rows: int) -> None:
+        """The next cell of the row, in its first column that no cell from above takes."""
+        if not self.rows:
+            self.rows.append([])
+        r = len(self.rows) - 1
+        row = self.rows[r]
+        at = min(COLUMNS, row[-1][0] + row[-1][1]) if row else 0
+        while at < COLUMNS and self.busy.get(at, -1) >= r:
+            at += 1
+        columns = max(1, min(columns, COLUMNS - at))
+        if rows != 1:
+            for c in range(at, at + columns):
+                self.busy[c] = r + (rows or 1 << 16) - 1
+        row.append((at, columns, lines))
 
     def render(self) -> list[str]:
-        """Cells aligned: a column is as wide as its widest cell that spans no other."""
-        rows = [r for r in self.rows if any(any(line.strip() for line in c[0]) for c in r)]
-        widths: list[int] = []
+        """Cells aligned: a column is as wide as its widest cell of up to ALIGN characters that spans no other."""
+        rows = [r for r in self.rows if any(line.strip() for c in r for line in c[2])]
+        widths = [0] * (COLUMNS + 1)
         for row in rows:
-            at = 0
-            for lines, span in row:
-                widths += [0] * (at + span - len(widths))
-                if span == 1:
-                    widths[at] = max([widths[at], *map(len, lines)])
-                at += span
+            for at, columns, lines in row:
+                if columns == 1:
+                    widths[at] = max([widths[at], *(n for line in lines if (n := len(line)) <= ALIGN)])
+        starts = [0]
+        for w in widths:
+            starts.append(starts[-1] + (w + 2 if w else 0))
+        text = sum(len(line) for row in rows for c in row for line in c[2])
+        padded = sum(starts[c[0]] for row in rows for c in row[-1:] for _ in c[2])
+        if padded > 8 * text + 4096:
+            starts = [0] * len(starts)
         out = list(self.caption)
         for row in rows:
-            for k in range(max(len(c[0]) for c in row)):
-                at, parts = 0, []
-                for lines, span in row:
-                    wide = sum(widths[at : at + span]) + 2 * (span - 1)
-                    parts.append((lines[k] if k < len(lines) else "").ljust(wide))
-                    at += span
-                out.append("  ".join(parts).rstrip())
+            parts: list[list[str]] = [[] for _ in range(max(len(c[2]) for c in row))]
+            ends = [0] * len(parts)
+            for at, _, lines in row:
+                for k, line in enumerate(lines):
+                    if line:
+                        space = max(starts[at] - ends[k], 2 if ends[k] else 0)
+                        parts[k] += [" " * space, line]
+                        ends[k] += space + len(line)
+            out += ["".join(p).rstrip() for p in parts]
         return out
 
 
-def render(html: str | None) -> str:
-    """The visible text of a page; of null or empty, the empty text."""
-    flows: list[Flow] = [Flow()]
-    tables: list[Table] = []
-    lists: list[list] = []  # [kind, next number]
-    quotes = pre = 0
-    hidden: list[bool] = []
-    cells: list[int] = []
-    depths: list[tuple[int, int]] = []  # of lists and quotes outside a cell
-
-    def indent() -> str:
-        outer = depths[-1] if depths else (0, 0)
-        return "  " * (max(0, len(lists) - outer[0] - 1) + max(0, quotes - outer[1]))
+def _span(attributes: dict[str, str], name: str, most: int, least: int) -> int:
+    value = attributes.get(name, "1")
+    return min(most, max(least, int(value))) if value.isascii() and value.isdigit() and len(value) < 6 else 1
 
-    for what, tag, attributes in events(html or ""):
-        flow = flows[-1]
-        if what == "text":
-            if hidden and hidden[-1]:
-                continue
-            if pre:
-                for i, part in enumerate(tag.replace("\r\n", "\n").split("\n")):
-                    if i:
-                        flow.start(indent())
-                        flow.break_line()
-                    if part:
-                        flow.start(indent())
-                        flow.line.append(part)
-            elif not (tables and len(cells) < len(tables)):
-                flow.write(tag, indent())
-            elif tag.strip():
-                tables[-1].caption += [_SPACES.sub(" ", tag).strip()]
-            continue
-        if what == "open":
-            unseen = bool(hidden and hidden[-1]) or tag in NO_TEXT or "hidden" in attributes or bool(_HIDDEN_STYLE.search(attributes.get("style", "")))
-            hidden.append(unseen)
-            if unseen:
-                continue
-            if tag == "br":
-                flow.start(indent())
+
+class Page:
+    """The renderer's state; what an element did when it opened is undone when it closes."""
+
+    def __init__(self) -> None:
+        self.flows: list[Flow] = [Flow()]
+        self.tables: list[Table] = []
+        self.lists: list[list] = []  # [kind, next number]
+        self.quotes = self.pre = self.deep = 0
+        self.elements: list[tuple[bool, bool, str, tuple]] = []  # (gone, invisible, what it did, how)
+        self.cells: list[tuple[int, int]] = []  # lists and quotes outside each open cell
+        self.styles = Styles()
+
+    def indent(self) -> str:
+        lists, quotes = self.cells[-1] if self.cells else (0, 0)
+        return "  " * min(INDENTS, max(0, len(self.lists) - lists - 1) + max(0, self.quotes - quotes))
+
+    def text(self, text: str) -> None:
+        gone, invisible, did, _ = self.elements[-1] if self.elements else (False, False, "", ())
+        if did == "style":
+            self.styles.read(text)
+        if gone or invisible:
+            return
+        flow = self.flows[-1]
+        if self.pre:
+            for i, part in enumerate(text.replace("\r\n", "\n").split("\n")):
+                if i:
+                    flow.start(self.indent())
+                    flow.break_line()
+                if part:
+                    flow.start(self.indent())
+                    flow.line.append(part)
+        elif len(self.cells) >= len(self.tables):
+            flow.write(text, self.indent())
+        elif text.strip():
+            self.tables[-1].caption.append(_SPACES.sub(" ", text).strip())
+
+    def open(self, tag: str, attributes: dict[str, str]) -> None:
+        gone, invisible = self.elements[-1][:2] if self.elements else (False, False)
+        style = attributes.get("style", "")
+        rules = self.styles.of(tag, attributes)
+        gone = gone or tag in NO_TEXT or "hidden" in attributes or (tag == "dialog" and "open" not in attributes) or bool(_DISPLAY.search(style)) or any(r[0] for r in rules)
+        for seen in [*(r[1] for r in rules), *(x.lower() for x in _VISIBILITY.findall(style))]:
+            if seen:
+                invisible = seen != "visible"
+        did, how = (tag if tag == "style" else "", ()) if gone else self._open(tag, attributes, invisible)
+        self.elements.append((gone, invisible, did, how))
+
+    def _open(self, tag: str, attributes: dict[str, str], invisible: bool) -> tuple[str, tuple]:
+        flow = self.flows[-1]
+        if tag == "br":
+            flow.start(self.indent())
+            flow.break_line()
+        elif tag == "input":
+            if not invisible and attributes.get("type", "text").lower() in SHOWN_INPUTS and attributes.get("value", "").strip():
+                self.text(" " + attributes["value"] + " ")
+        elif tag == "table":
+            flow.break_line(1)
+            if len(self.tables) < TABLES:
+                self.tables.append(Table())
+                return "table", ()
+            self.deep += 1  # its rows and cells are blocks
+            return "deep", ()
+        elif tag in TABLE_PARTS or tag == "caption":
+            if self.deep or not self.tables or len(self.cells) >= len(self.tables):
                 flow.break_line()
-            elif tag == "table":
-                flow.break_line(1)
-                tables.append(Table())
-            elif tag == "tr" and tables:
-                tables[-1].rows.append([])
-            elif tag in ("td", "th", "caption") and tables:
-                if tag != "caption" and not tables[-1].rows:
-                    tables[-1].rows.append([])
-                span = attributes.get("colspan", "1")
-                cells.append(min(1000, max(1, int(span))) if span.isascii() and span.isdigit() and len(span) < 5 else 1)
-                depths.append((len(lists), quotes))
-                flows.append(Flow())
-            elif tag in BLOCKS:
-                flow.break_line(int(tag in MARGINS and not (tag in ("ul", "ol") and lists)))
-                if tag in ("ul", "ol", "menu", "dir"):
-                    start = attributes.get("start", "1")
-                    lists.append([tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
-                elif tag == "li":
-                    if lists and lists[-1][0] == "ol":
-                        flow.marker = f"{lists[-1][1]}. "
-                        lists[-1][1] += 1
-                    else:
-                        flow.marker = "* "
-                elif tag in ("blockquote", "dd"):
-                    quotes += 1
-                elif tag == "pre":
-                    pre += 1
-            continue
-        if hidden.pop():
-            continue
-        if tag == "table" and tables:
-            lines = tables.pop().render()
-            for line in lines:
-                flow.start(indent())
+                return "block", (0,)
+            if tag == "tr":
+                self.tables[-1].rows.append([])
+            elif tag in ("td", "th", "caption"):
+                self.cells.append((len(self.lists), self.quotes))
+                self.flows.append(Flow())
+                return "caption" if tag == "caption" else "cell", (_span(attributes, "colspan", COLUMNS, 1), _span(attributes, "rowspan", 1 << 16, 0))
+            else:
+                self.tables[-1].busy.clear()  # no cell reaches out of its section
+        elif tag in BLOCKS:
+            gap = int(tag in MARGINS and not (tag in ("ul", "ol") and self.lists))
+            flow.break_line(gap)
+            if tag in ("ul", "ol", "menu", "dir"):
+                start = attributes.get("start", "1")
+                self.lists.append([tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+                return "list", (gap,)
+            if tag == "li":
+                if self.lists and self.lists[-1][0] == "ol":
+                    flow.marker = f"{self.lists[-1][1]}. "
+                    self.lists[-1][1] += 1
+                else:
+                    flow.marker = "* "
+                return "item", (gap,)
+            if tag in ("blockquote", "dd"):
+                self.quotes += 1
+                return "quote", (gap,)
+            if tag in ("pre", "textarea", "xmp"):
+                self.pre += 1
+                return "pre", (gap,)
+            return "block", (gap,)
+        return "", ()
+
+    def close(self) -> None:
+        did, how = self.elements.pop()[2:]
+        flow = self.flows[-1]
+        if did == "table":
+            for line in self.tables.pop().render():
+                flow.start(self.indent())
                 flow.line.append(line)
                 flow.break_line()
             flow.break_line(1)
-        elif tag in ("td", "th", "caption") and cells:
-            own = flows.pop().done() or [""]
-            span = cells.pop()
-            depths.pop()
-            if tag == "caption":
-                tables[-1].caption += own
+        elif did in ("cell", "caption"):
+            own = self.flows.pop().done() or [""]
+            self.cells.pop()
+            if did == "caption":
+                self.tables[-1].caption += own
             else:
-                tables[-1].rows[-1].append((own, span))
-        elif tag in BLOCKS:
-            if tag == "li":
+                self.tables[-1].place(own, *how)
+        elif did == "deep":
+            self.deep -= 1
+            flow.break_line(1)
+        elif did in ("block", "list", "item", "quote", "pre"):
+            if did == "item":
                 flow.marker = ""
-            flow.break_line(int(tag in MARGINS and not (tag in ("ul", "ol") and len(lists) > 1)))
-            if tag in ("ul", "ol", "menu", "dir") and lists:
-                lists.pop()
-            elif tag in ("blockquote", "dd"):
-                quotes = max(0, quotes - 1)
-            elif tag == "pre":
-                pre = max(0, pre - 1)
-    lines = flows[0].done()
-    return "\n".join(lines).strip("\n")
+            flow.break_line(*how)
+            if did == "list":
+                self.lists.pop()
+            elif did == "quote":
+                self.quotes -= 1
+            elif did == "pre":
+                self.pre -= 1
+
+
+def render(html: str | None) -> str:
+    """The visible text of a page; of null or empty, the empty text."""
+    page = Page()
+    for what, tag, attributes in events(html or ""):
+        if what == "text":
+            page.text(tag)
+        elif what == "open":
+            page.open(tag, attributes)
+        else:
+            page.close()
+    return "\n".join(page.flows[0].done()).strip("\n")
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, text) of each row: the visible text of the whole page.
 
-    A null or empty page has an empty text. Repeated rows each give a row, a null key stays, an empty table gives no rows.
+    A null or empty page has an empty text. Repeated rows each give a row, a null key stays, an empty table gives no rows; other
+    columns, whatever their names, don't matter.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,65 @@ def test_render():
     assert H.render("a <!-- never closed") == "a" and H.render("<script>x") == ""
 
 
+def test_visible_text():
+    assert H.render("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>") == "A  b\n   c\nd  e"
+    hidden = "<style>@media print{.y{display:none}} .x{display:none} p#q{visibility:hidden}</style>"
+    assert H.render(hidden + "<p class='x'>no<p class=y>yes<p id=q>no <b style='visibility:visible'>seen</b></p>") == "yes\n\nseen"
+    assert H.render("<select><option>one<option>two</select><textarea>x\n y</textarea><dialog>no</dialog><dialog open>d</dialog>") == "one\ntwo\nx\n y\nd"
+    assert H.render("<svg><title>t</title><text>label</text></svg> <math><mi>x</mi></math> <noscript>ns</noscript> <object>ob</object>") == "label x ns ob"
+    assert H.render("<input type=submit value=Go><input type=hidden value=no><input value='typed'>") == "Go typed"
+    assert H.render("<p class=x>text \"quoted\" and 'more</p>it's") == "text \"quoted\" and 'more\n\nit's"
+
+
+def test_time_and_size_follow_the_page():
+    import time
+
+    cell, rows = "x" * 1_000_000, "<tr><td>a<td>b" * 20000
+    pages = {
+        "nested": ("<div>" * 100_000 + "deep" + "</div>" * 100_000, lambda t: t == "deep"),
+        "paragraphs": ("<div><p>" * 50_000 + "end", lambda t: t == "end"),
+        "lists": ("<ul><li>x" * 20_000, lambda t: t.count("x") == 20_000 and len(t) < 80 * 20_000),
+        "tables": ("<table><tr><td>" * 20_000 + "x\ny", lambda t: t.split() == ["x", "y"]),
+        "quotes": ('<a "' * 100_000 + '<b ="' * 100_000, lambda t: t == ""),
+        "one wide cell": (f"<table><tr><td>{cell}<td>y{rows}</table>", lambda t: t.startswith(cell) and t.count("a  b") == 20_000 and len(t) < 2_000_000),
+        "one row of many": ("<table><tr>" + "<td>c" * 50_000, lambda t: t.count("c") == 50_000),
+        "spans": ("<table><tr>" + ("<td>" + "y" * 60) * 1000 + "<tr><td colspan=1000>x<td>y" * 5000, lambda t: t.count("x") == 5000 and len(t) < 2_000_000),
+        "row spans": ("<table><tr>" + "<td rowspan=60000 colspan=1000>z" * 1000 + "<tr><td>a" * 10_000, lambda t: t.count("z") == 1000 and t.count("a") == 10_000),
+    }
+    for name, (page, fine) in pages.items():
+        began = time.process_time()
+        assert fine(H.render(page)), name
+        assert time.process_time() - began < 20, name
+
+
+def plain_visible(page):
+    """Words of text outside of tags; for pages without hidden parts."""
+    import re
+    from html import unescape
+
+    return unescape(re.sub(r"<[^>]*>", " ", page)).split()
+
+
+def test_no_text_is_lost_or_made_up():
+    import random
+
+    r = random.Random(5)
+    tags = ["p", "div", "ul", "li", "table", "tr", "td", "th", "b", "span", "blockquote", "pre", "h2", "dl", "dt", "dd", "ol", "caption", "tbody", "a"]
+    for _ in range(400):
+        parts, n = [], 0
+        for _ in range(r.randint(1, 60)):
+            x = r.random()
+            if x < 0.4:
+                parts.append(f" w{n} ")
+                n += 1
+            else:
+                attrs = r.choice(("", "", " rowspan=3", " colspan=2", " id=x"))
+                parts.append(f"<{r.choice(tags)}{attrs}>" if x < 0.75 else f"</{r.choice(tags)}>")
+        page = "".join(parts)
+        found = [w.removeprefix("*").split(".")[-1] for w in H.render(page).split()]
+        assert sorted(w for w in found if w.startswith("w")) == sorted(plain_visible(page)), page
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (2, "u", None), (None, "u", ""), (1, "u", "<p>a")], "page_id long, url string, html string").withColumn("text", F.lit("own"))
     assert sorted((tuple(x) for x in H.extract(pages).collect()), key=str) == sorted([(1, "a"), (1, "a"), (2, ""), (None, "")], key=str)
@@ -74,6 +133,21 @@ def test_license_scan(spark):
     assert C.scan(frame(spark, [])).collect() == []
 
 
+def test_a_cue_without_a_known_gram_is_unknown(spark):
+    got = C.scan(frame(spark, [(1, "Copyleft applies.", None, None, 0), (2, "Xyz copyleft\nqrs tuv.", None, None, 0)])).collect()
+    assert sorted((x.doc_id, x.family) for x in got) == [(1, "unknown"), (2, "unknown")]
+
+
+def test_paragraphs_of_many_documents_are_dealt(spark):
+    from chronoset.llm import common
+
+    big = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 'all' else cast(id as string) end k")
+    small = big.select("k").distinct().withColumn("v", F.length("k"))
+    for rows in (10, 10_000):
+        got = common.keyed_join(big, small, "k", rows=rows, salts=4)
+        assert got.count() == 3000 and got.where("v != length(k)").isEmpty() and got.columns == ["k", "id", "v"]
+
+
 def test_license_scores_match_plain_python(spark):
     model = C.fit()
     lines = [t for f in C.TEMPLATES.values() for t in f]
