@@ -1,31 +1,38 @@
 """Benchmark decontamination by a prefix-filtered join of word windows.
 
 A window is `size` consecutive words of an item (all of a shorter one). Its word shingles are ordered by how rare they are in all
-documents; as a match must contain the whole window, the prefix of that order that it can't miss has length one, so documents meet
-a window only at its rarest shingle. The shingle's place in the window gives the place where a match would start (positional
-bound) and end (length bound); there the document's words are compared with the window's.
-
-The benchmark side is sent to all tasks in blocks of at most `block_words` words, and documents pass through one narrow map a
-block: no shuffle, whatever the benchmark's size or how many documents hold one passage.
+documents (counted in a sketch of fixed size; any order gives the same hits); as a match must contain the whole window, the prefix
+of that order that it can't miss has length one, so documents meet a window only at its rarest shingle. The shingle's place in the
+window gives the place where a match would start (positional bound) and end (length bound); there the document's words are
+compared with the window's, word by word.
+
+A benchmark of up to `block_words` words is broadcast, and documents pass through one narrow map. A larger one is joined by a
+shuffle on the anchor: documents send only places that a bitmap of all anchors, of fixed size, lets through, once for equal texts;
+an anchor that many documents have is dealt over parts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as X
-from .common import fold
+from .common import cut, fold, keyed_join
 
-#: Words of a block of items; about 200 bytes a word in each Python worker.
+#: Words of a benchmark that is broadcast; about 250 bytes a word in each Python worker.
 BLOCK_WORDS = 400_000
 WINDOW = 13
 SHINGLE = 3
+#: Places of the sketch that counts shingles, and of the bitmap of anchors, as powers of two.
+SKETCH_BITS, FILTER_BITS = 18, 27
+#: Hits of one anchor that one task joins.
+HOT = 100_000
 
 
 class Block(NamedTuple):
@@ -36,72 +43,38 @@ class Block(NamedTuple):
     off: np.ndarray
     place: np.ndarray  # of the anchor in the window
     length: np.ndarray
-    digest: np.ndarray  # of the window's words
+    begin: np.ndarray  # of the window's words in `words`
+    words: np.ndarray
     item_off: np.ndarray  # items of a posting
     items: np.ndarray
     names: list[str | None]
 
 
-def _runs_at(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = h[at] + X.U64(n)
-    for k in range(1, n):
-        out = X.mix(out * X.U64(0xD1342543DE82EF95) + h[at + k])
-    return out
-
-
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Items whose texts have about block_words words; the driver holds one block at a time, and no list of all."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    items = items.withColumn("part", F.xxhash64("item_id", "text"))
-    size = F.length("text") / 2 + 1  # no text has more words
-    total = items.agg(F.sum(size)).first()[0]
-    n = max(1, int(-(-(total or 0) // block_words)))
-    for i in range(n):
-        rows = items.where(F.pmod(F.col("part"), F.lit(n)) == i).select("item_id", "text").collect() if total else []
-        if rows:
-            yield [tuple(r) for r in rows]
+def _items(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
 
 
-def _windows(rows: list[tuple[str | None, str]], size: int, shingle: int) -> tuple[list[tuple], list[str | None]]:
-    """(length, words' hashes, item numbers) of each distinct window."""
-    names = sorted({r[0] for r in rows}, key=lambda x: (x is None, x))
-    number = {x: i for i, x in enumerate(names)}
-    found: dict[bytes, tuple[np.ndarray, set[int]]] = {}
-    for s in X.slices(pa.array([r[1] for r in rows])):
-        low = X.LOWER[s.data]
-        w = X.words(low, s.off, X.ALNUM)
-        h = X.word_hashes(low, w)
-        for i in range(s.hi - s.lo):
-            own = h[w.off[i] : w.off[i + 1]]
-            for k in range(max(1, len(own) - size + 1) if len(own) else 0):
-                part = own[k : k + size]
-                found.setdefault(part.tobytes(), (part, set()))[1].add(number[rows[s.lo + i][0]])
-    return [(len(part), part, sorted(who)) for part, who in found.values()], names
-
-
-def _count(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    """How often each wanted shingle is found in the documents, by width."""
-    length = sum(len(v) for v in wanted.values())
+def _sketch(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How often shingles are found in the documents, by the first bits of their hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(length, dtype=np.int64)
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
             for s in X.slices(b.column(0)):
                 low = X.LOWER[s.data]
-                w = X.words(low, s.off, X.ALNUM)
-                h = X.word_hashes(low, w)
-                base = 0
-                for n, keys in wanted.items():
-                    total[base : base + len(keys)] += np.bincount(_find(keys, X.grams(h, n))[1], minlength=len(keys))
-                    base += len(keys)
+                runs = X.grams(X.word_hashes(low, X.words(low, s.off, X.ALNUM)), shingle)
+                total += np.bincount((runs >> X.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         return total
 
-    all_counts = fold(docs.select("text"), count, length)
-    out, base = {}, 0
-    for n, keys in wanted.items():
-        out[n] = all_counts[base : base + len(keys)]
-        base += len(keys)
-    return out
+    return fold(texts, count, 1 << SKETCH_BITS)
+
+
+def _anchor(part: np.ndarray, shingle: int, counts: np.ndarray) -> tuple[int, int, int]:
+    """(hash, place, words) of a window's rarest shingle; ties to the smaller hash, then to the first place."""
+    n = min(shingle, len(part))
+    own = X.grams(part, n)
+    place = int(np.lexsort((own, counts[(own >> X.U64(64 - SKETCH_BITS)).astype(np.int64)]))[0])
+    return int(own[place]), place, n
 
 
 _BITS = 22
@@ -129,24 +102,35 @@ def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[hit], key[hit]
 
 
-def _index(docs: DataFrame, rows: list[tuple[str | None, str]], size: int, shingle: int) -> list[Block]:
-    windows, names = _windows(rows, size, shingle)
+def _index(counts: np.ndarray, rows: list[tuple[str | None, str]], size: int, shingle: int) -> list[Block]:
+    """The windows of all items, for a broadcast."""
+    names = sorted({r[0] for r in rows}, key=lambda x: (x is None, x))
+    number = {x: i for i, x in enumerate(names)}
+    found: dict[bytes, tuple[int, int, set[int]]] = {}
+    parts, at = [np.zeros(0, X.U64)], 0
+    for s in X.slices(pa.array([r[1] for r in rows])):
+        low = X.LOWER[s.data]
+        w = X.words(low, s.off, X.ALNUM)
+        h = X.word_hashes(low, w)
+        for i in range(s.hi - s.lo):
+            own = h[w.off[i] : w.off[i + 1]]
+            for k in range(max(1, len(own) - size + 1) if len(own) else 0):
+                n = min(size, len(own))
+                found.setdefault(own[k : k + n].tobytes(), (at + int(w.off[i]) + k, n, set()))[2].add(number[rows[s.lo + i][0]])
+        parts.append(h)
+        at += len(h)
+    words = np.concatenate(parts)
     by_width: dict[int, list[tuple]] = {}
-    for x in windows:
-        by_width.setdefault(min(shingle, x[0]), []).append(x)
-    wanted = {n: np.unique(np.concatenate([X.grams(x[1], n) for x in xs])) for n, xs in sorted(by_width.items())}
-    counts = _count(docs, wanted) if wanted else {}
+    for begin, n, who in found.values():
+        key, place, width = _anchor(words[begin : begin + n], shingle, counts)
+        by_width.setdefault(width, []).append((key, place, n, begin, sorted(who)))
     out = []
-    for n, xs in sorted(by_width.items()):
-        postings = []
-        for length, part, who in xs:
-            own = X.grams(part, n)
-            place = int(np.lexsort((own, counts[n][np.searchsorted(wanted[n], own)]))[0])
-            postings.append((int(own[place]), place, length, int(_runs_at(part, np.zeros(1, np.int64), length)[0]), who))
+    for width, postings in sorted(by_width.items()):
         postings.sort(key=lambda p: (p[0], p[2], p[1], p[3]))
         keys = np.array([p[0] for p in postings], dtype=X.U64)
         anchors, first = np.unique(keys, return_index=True)
-        out.append(Block(n, anchors, np.append(first, len(keys)), *(np.array([p[i] for p in postings], dtype=t) for i, t in ((1, np.int64), (2, np.int64), (3, X.U64))), np.cumsum([0] + [len(p[4]) for p in postings]), np.array([i for p in postings for i in p[4]], dtype=np.int64), names))
+        place, length, begin = (np.array([p[i] for p in postings], dtype=np.int64) for i in (1, 2, 3))
+        out.append(Block(width, anchors, np.append(first, len(keys)), place, length, begin, words, np.cumsum([0] + [len(p[4]) for p in postings]), np.array([i for p in postings for i in p[4]], dtype=np.int64), names))
     return out
 
 
@@ -159,19 +143,19 @@ def _match(block: Block, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
     text = np.searchsorted(off, np.repeat(at, many), "right") - 1
     fits = (begin >= off[text]) & (begin + block.length[post] <= off[text + 1])
     begin, post = begin[fits], post[fits]
-    same = np.zeros(len(begin), dtype=bool)
-    for n in np.unique(block.length[post]):
-        which = np.flatnonzero(block.length[post] == n)
-        same[which] = _runs_at(h, begin[which], int(n)) == block.digest[post[which]]
-    return begin[same], block.length[post[same]], post[same]
+    for k in range(int(block.length[post].max()) if len(post) else 0):
+        longer = block.length[post] > k
+        same = ~longer
+        same[longer] = h[begin[longer] + k] == block.words[block.begin[post[longer]] + k]
+        begin, post = begin[same], post[same]
+    return begin, block.length[post], post
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-_FOUND = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
-def _scan(texts: pa.Array, blocks: list[Block], before: tuple[list, list] | None = None) -> Iterator[tuple[int, int, list[int], list[list[dict]], list[list[str]]]]:
-    """Of each slice: rows, words of each text, and the spans and items found, with those found before."""
+def _scan(texts: pa.Array, blocks: list[Block]) -> Iterator[tuple[int, int, list[int], list[list[dict]], list[list[str]]]]:
+    """Of each slice: rows, words of each text, and the spans and items found."""
     for s in X.slices(texts):
         low = X.LOWER[s.data]
         w = X.words(low, s.off, X.ALNUM)
@@ -189,13 +173,6 @@ def _scan(texts: pa.Array, blocks: list[Block], before: tuple[list, list] | None
             touched.update(text.tolist())
             for t, p in set(zip(text.tolist(), post.tolist(), strict=True)):
                 items[t].update(x for i in block.items[block.item_off[p] : block.item_off[p + 1]] if (x := block.names[i]) is not None)
-        if before is not None:
-            for i in range(n):
-                for x in before[0][s.lo + i] or []:
-                    edge[w.off[i] + x["first"]] += 1
-                    edge[w.off[i] + x["last"] + 1] -= 1
-                    touched.add(i)
-                items[i].update(before[1][s.lo + i] or [])
         hit = np.cumsum(edge[:-1]) > 0
         for t in touched:
             own = np.concatenate(([False], hit[w.off[t] : w.off[t + 1]], [False]))
@@ -211,40 +188,126 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, sh
     lower-cased. A null or empty text has no words and no hits; items with null or no words find nothing; an item with a null id
     marks words but isn't listed. Repeated items count once; repeated documents each give a row; empty tables find nothing.
     """
-    names = {"n_words", "spans", "items"}
-    return _run(docs.drop(*(c for c in docs.columns if c in names)), items, size, shingle, block_words, keep_text)
+    docs = docs.drop(*(c for c in docs.columns if c in {"n_words", "spans", "items"}))
+    items = cut(_items(items))
+    most = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # no text has more words
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    if most > block_words:
+        return _by_shuffle(docs, texts, items, size, shingle, keep_text)
+    rows = [tuple(r) for r in items.collect()]  # about block_words words at most
+    held = docs.sparkSession.sparkContext.broadcast(_index(_sketch(texts, shingle), rows, size, shingle) if rows else [])
 
+    def find(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for lo, hi, n, spans, found in _scan(texts, held.value):
+            yield lo, hi, [pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))]
 
-def _run(docs: DataFrame, items: DataFrame, size: int, shingle: int, block_words: int, keep_text: bool) -> DataFrame:
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    send = docs.sparkSession.sparkContext.broadcast
-    out, held, first = docs, None, True
-    for rows in _blocks(items, block_words):
-        if held is not None:
-            out, first = _pass(out, held, first, True), False
-        held = send(_index(texts, rows, size, shingle))
-    return _pass(out, held or send([]), first, keep_text)
+    return _pass(docs, find, "n_words long, spans array<struct<first:long,last:long>>, items array<string>", keep_text)
 
 
-def _pass(df: DataFrame, held: Any, first: bool, keep_text: bool) -> DataFrame:
+def _pass(df: DataFrame, find: Any, added: str, keep_text: bool) -> DataFrame:
+    """df with the columns that find() makes of slices of the texts."""
     from pyspark.sql.types import StructType
 
     at = df.columns.index("text")
-    own = df if first else df.drop("n_words", "spans", "items")
-    df = own if first else df.select(*own.columns, "n_words", "spans", "items")
-    width = len(own.columns)
-    kept = [i for i in range(width) if keep_text or i != at]
-    names = [own.columns[i] for i in kept] + ["n_words", "spans", "items"]
+    df = df.withColumn("text", F.col("text").cast("string"))
+    kept = [i for i in range(len(df.columns)) if keep_text or i != at]
+    more = StructType.fromDDL(added)
+    names = [df.columns[i] for i in kept] + more.names
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            before = None if first else (b.column(width + 1).to_pylist(), b.column(width + 2).to_pylist())
-            for lo, hi, n, spans, items in _scan(b.column(at), held.value, before):
+            for lo, hi, made in find(b.column(at)):
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.columns[i] for i in kept), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names)
+                yield pa.RecordBatch.from_arrays([*(part.columns[i] for i in kept), *made], names)
+
+    return df.mapInArrow(rows, StructType([*(df.schema.fields[i] for i in kept), *more.fields]))
+
+
+def _digest(data: np.ndarray) -> bytes:
+    return hashlib.blake2b(data.tobytes(), digest_size=16).digest()
+
+
+def _by_shuffle(docs: DataFrame, texts: DataFrame, items: DataFrame, size: int, shingle: int, keep_text: bool) -> DataFrame:
+    """find_contamination() for a benchmark of any size: nothing but sketches of fixed size and short lists is broadcast."""
+    send = docs.sparkSession.sparkContext.broadcast
+    counts = send(_sketch(texts, shingle))
 
-    kind = StructType([*(own.schema.fields[i] for i in kept), *StructType.fromDDL(_FOUND).fields])
-    return df.mapInArrow(rows, kind)
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in X.slices(b.column(1)):
+                low = X.LOWER[s.data]
+                w = X.words(low, s.off, X.ALNUM)
+                h = X.word_hashes(low, w)
+                for i in range(s.hi - s.lo):
+                    a, z = int(w.off[i]), int(w.off[i + 1])
+                    words = [low[w.start[j] : w.end[j]].tobytes().decode(errors="replace") for j in range(a, z)]
+                    out = []
+                    for k in range(max(1, z - a - size + 1) if z > a else 0):
+                        key, place, _ = _anchor(h[a + k : min(z, a + k + size)], shingle, counts.value)
+                        out.append((np.uint64(key).astype(np.int64).item(), place, words[k : k + size]))
+                    if out:
+                        cols = list(zip(*out, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.string())), pa.array([b.column(0)[s.lo + i].as_py()] * len(out), pa.string())], ["anchor", "place", "words", "item_id"])
+
+    found = items.select("item_id", "text").mapInArrow(windows, "anchor long, place int, words array<string>, item_id string")
+    wanted = cut(found.groupBy("anchor", "place", "words").agg(F.collect_set("item_id").alias("who")))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64) >> X.U64(64 - FILTER_BITS)
+            np.bitwise_or.at(bits, (h >> X.U64(3)).astype(np.int64), np.left_shift(1, (h & X.U64(7)).astype(np.uint8)).astype(np.uint8))
+        return bits
+
+    marks = send(fold(wanted.select("anchor"), mark, 1 << FILTER_BITS - 3, "uint8", add=np.bitwise_or))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        for b in batches:
+            for s in X.slices(b.column(0)):
+                low = X.LOWER[s.data]
+                w = X.words(low, s.off, X.ALNUM)
+                h = X.word_hashes(low, w)
+                out: list[tuple] = []
+                keys: dict[int, bytes] = {}
+                for n in range(1, shingle + 1):
+                    runs = X.grams(h, n)
+                    place = runs >> X.U64(64 - FILTER_BITS)
+                    at = np.flatnonzero((bits[(place >> X.U64(3)).astype(np.int64)] >> (place & X.U64(7)).astype(np.uint8)) & 1)
+                    text = np.searchsorted(w.off, at, "right") - 1
+                    fits = at + n <= w.off[text + 1]
+                    for j, t in zip(at[fits].tolist(), text[fits].tolist(), strict=True):
+                        a, z = max(int(w.off[t]), j - size + n), min(int(w.off[t + 1]), j + size)
+                        if t not in keys:
+                            keys[t] = _digest(s.data[s.off[t] : s.off[t + 1]])
+                        out.append((keys[t], int(runs[j].astype(np.int64)), j - int(w.off[t]), j - a, [low[w.start[i] : w.end[i]].tobytes().decode(errors="replace") for i in range(a, z)]))
+                if out:
+                    cols = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)], ["key", "anchor", "at", "lead", "near"])
+
+    near = cut(texts.mapInArrow(hits, "key binary, anchor long, at long, lead int, near array<string>").dropDuplicates(["key", "anchor", "at"]))
+    hot = near.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))  # a HOT-th of the hits at most
+    one = F.coalesce("parts", F.lit(1))
+    near = near.join(F.broadcast(hot), "anchor", "left").withColumn("part", F.pmod(F.xxhash64("key"), one).cast("int")).drop("parts")
+    wanted = wanted.join(F.broadcast(hot), "anchor", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    same = (F.col("place") <= F.col("lead")) & (F.slice("near", F.col("lead") - F.col("place") + 1, F.size("words")) == F.col("words"))
+    met = near.join(wanted, ["anchor", "part"]).where(same).select("key", (F.col("at") - F.col("place")).alias("first"), (F.col("at") - F.col("place") + F.size("words") - 1).alias("last"), "who")
+    met = cut(met)
+    own = Window.partitionBy("key").orderBy("first", "last")
+    ended = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    spans = met.select("key", "first", "last", F.coalesce(F.col("first") > ended + 1, F.lit(True)).cast("int").alias("new")).withColumn("span", F.sum("new").over(own))
+    spans = spans.groupBy("key", "span").agg(F.min("first").alias("first"), F.max("last").alias("last")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    names = met.select("key", F.explode_outer("who").alias("item")).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    made = cut(spans.join(names, "key").withColumnRenamed("key", "__key"))
+
+    def count(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for s in X.slices(texts):
+            w = X.words(X.LOWER[s.data], s.off, X.ALNUM)
+            yield s.lo, s.hi, [pa.array(np.diff(w.off)), pa.array([_digest(s.data[s.off[i] : s.off[i + 1]]) for i in range(s.hi - s.lo)], pa.binary())]
+
+    out = keyed_join(_pass(docs, count, "n_words long, __key binary", keep_text), made, "__key", "left").drop("__key")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select(*(c for c in out.columns if c not in ("spans", "items")), empty("spans", "array<struct<first:bigint,last:bigint>>"), empty("items", "array<string>"))
 
 
 def hit_words() -> Any:
@@ -258,12 +321,7 @@ def is_contaminated(times: int = 20) -> Any:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without contaminated ones, with the columns of docs."""
-    clash = [c for c in docs.columns if c in {"n_words", "spans", "items"}]
-    plain = docs
-    for c in clash:
-        plain = plain.withColumnRenamed(c, f"__own_{c}")
-    kept = find_contamination(plain, items).where(~is_contaminated()).drop("n_words", "spans", "items")
-    for c in clash:
-        kept = kept.withColumnRenamed(f"__own_{c}", c)
-    return kept.select(*docs.columns)
+    """docs without contaminated ones, with the columns of docs, whatever their names."""
+    own = docs.columns
+    plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(own)])
+    return find_contamination(plain, items).where(~is_contaminated()).select(*plain.columns).toDF(*own)
