@@ -23,6 +23,8 @@ DIMS = 1 << BITS
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Labelled rows of each class that the classifier is fitted to, at most.
 SAMPLE_ROWS = 2000
+#: Sampled texts that a feature is in, at least; what is rarer is left to the L2 term only from there on.
+LEAST = 3
 
 #: Identity terms in groups whose members can stand for each other; each group has neutral words.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -117,7 +119,7 @@ def _lbfgs(f, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
     return w
 
 
-def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps: list[tuple[int | np.ndarray, int | np.ndarray, float]], l2: float = 1.5, least: int = 5, swap_weight: float = 5.0, rate: float | None = None) -> Model:
+def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps: list[tuple[int | np.ndarray, int | np.ndarray, float]], l2: float = 1.0, least: int = LEAST, swap_weight: float = 5.0, rate: float | None = None) -> Model:
     """rows: each text's buckets. swaps: (term, other, sentences), where a term is all its
     buckets, the word's own first, or that alone. rate: of class 1, for the bias where nothing else speaks."""
     n = len(rows)
@@ -208,13 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, sample_r
                 if i[0] != j[0]:
                     swaps.append((i, j, (1.0 + sentences[np.searchsorted(flat, i[0])]) / (len(t) - 1)))
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    return train(words, label, weight, swaps, least=5 if len(got) >= 2000 else 3 if len(got) >= 600 else 2, rate=rate)
+    return train(words, label, weight, swaps, rate=rate)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of each row: 0 to 1, higher if class 1 is likelier.
 
-    A null or empty text has the score of no words. Repeated rows each give a row; an empty table gives none. A null doc_id stays.
+    A null or empty text has the score of no words. Equal texts have equal scores; repeated rows each give a row; an empty table
+    gives none. A null doc_id stays. Other columns, whatever their names, don't matter.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
