@@ -151,12 +151,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def components(edges: DataFrame, most: int = 200) -> DataFrame:
-    """(node, component): the least node that links (a, b) reach; nodes are those of edges, self-links included.
+    """(node, component): the least node that links (a, b) reach; nodes are those of edges, self-links included, of any type with an
+    order.
 
     Alternates large and small stars until nothing moves; every round is a bounded number of shuffles of at most two rows a link.
     Rounds grow with the logarithm of a component's size; after `most` of them without an end it raises.
     """
-    now = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
+    now = cut(edges.select("a", "b").where("a is not null and b is not null").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
     nodes = now
     state = None
     for _ in range(most):

@@ -55,7 +55,7 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc_id, node, n, prefix, bits): node is a digest of the set, null if it is empty."""
+    """(doc_id, node, n, prefix, bits): node is a 128-bit digest of the set, null if it is empty."""
     held = docs.sparkSession.sparkContext.broadcast(_sketch(docs, size))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,11 +73,11 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 off = np.zeros(len(sets) + 1, dtype=np.int32)
                 np.cumsum([len(p) for p in prefix], out=off[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(s.lo, s.hi - s.lo), pa.array([X.set_key(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefix))), pa.array([bitmap(x).tobytes() if len(x) else None for x in sets], pa.binary())],
+                    [b.column(0).slice(s.lo, s.hi - s.lo), pa.array([X.set_key(x) if len(x) else None for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefix))), pa.array([bitmap(x).tobytes() if len(x) else None for x in sets], pa.binary())],
                     ["doc_id", "node", "n", "prefix", "bits"],
                 )
 
-    return cut(docs.mapInArrow(rows, "doc_id long, node long, n long, prefix array<long>, bits binary"))
+    return cut(docs.mapInArrow(rows, "doc_id long, node binary, n long, prefix array<long>, bits binary"))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -85,9 +85,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         for b in batches:
             for s in X.slices(b.column(0)):
                 sets = [x for x in X.shingle_sets(s.data, s.off, size) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([X.set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([X.set_key(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
 
-    return docs.select("text").mapInArrow(rows, "node long, tokens binary")
+    return docs.select("text").mapInArrow(rows, "node binary, tokens binary")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _possible(blocks: DataFrame, num: int, den: int) -> DataFrame:
         return [(rows[i][4], rows[j][4]) for i, j in found]
 
     keys = ["sum", "m", "least", "greatest"]
-    return grouped(blocks.select(*keys, "node", "n", "bits"), keys, join, "a long, b long", order=["node"])
+    return grouped(blocks.select(*keys, "h", "n", "bits"), keys, join, "a long, b long", order=["h"])
 
 
 def _compare(df: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _compare(df: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
     def join(rows: list[tuple]) -> Iterable[tuple]:
         rows = list({(x[k], *x[k + 3 :]): x for x in rows}.values())
         if "side" in extra:  # a set on both sides counts on the right one
-            best: dict[int, tuple] = {}
+            best: dict[bytes, tuple] = {}
             for x in rows:
                 if x[k] not in best or x[-1]:
                     best[x[k]] = x
@@ -123,7 +123,7 @@ def _compare(df: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
         found = set_links(sets, num, den, [x[k + 2] for x in rows] if extra else None, np.array([x[k + 3] for x in rows]) if "side" in extra else None)
         return [(rows[i][k], rows[j][k]) for i, j in found]
 
-    return grouped(df.select(*keys, "node", "tokens", *extra), keys, join, "a long, b long", order=["node"])
+    return grouped(df.select(*keys, "node", "tokens", *extra), keys, join, "a binary, b binary", order=["node"])
 
 
 def _large(sets: DataFrame, num: int, den: int, budget: int) -> DataFrame:
@@ -166,6 +166,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     fewer. Rows link where den * |intersection| >= num * |union|. component_id: the smallest doc_id that links reach.
     A null or empty text has an empty set and links with nothing. A row with a null doc_id takes part and gets the component's
     smallest doc_id, null if there is none. Repeated rows each give a row. An empty table gives none.
+    Sets of one 128-bit digest are one set, words of one 64-bit hash one word.
     """
     docs = _texts(docs)
     table = _prefixes(docs, size, num, den)
@@ -174,15 +175,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     copies = table.where("node is not null").select("doc_id", "node").join(_small(nodes.where("rows > 1").select("node", "doc"), broadcast_rows), "node").where("not (doc_id <=> doc)").select(F.col("doc_id").alias("d"), F.col("node").alias("k")).distinct()
     copies = _small(cut(copies), broadcast_rows)
     single = table.where("node is not null").join(copies, table["doc_id"].eqNullSafe(copies["d"]) & (table["node"] == copies["k"]), "left_anti")
+    # blocks hold 64-bit hashes of nodes: nodes of one hash go together, which only adds to what is checked exactly
+    single = single.withColumn("h", F.xxhash64("node"))
     own = Window.partitionBy("token")
-    tokens = single.select(F.explode("prefix").alias("token"), "node").withColumn("least", F.min("node").over(own)).withColumn("greatest", F.max("node").over(own))
-    tokens = tokens.withColumn("m", F.count("*").over(own)).withColumn("sum", F.bit_xor(F.xxhash64("node")).over(own)).where("least != greatest")
-    blocks = cut(tokens.select("sum", "m", "least", "greatest", "node").distinct())
-    stars = blocks.where(F.col("m") > most).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    blocks = blocks.where(F.col("m") <= most).select("sum", "m", "least", "greatest", "node")
-    bits = single.join(_small(blocks.select("node").distinct(), broadcast_rows), "node", "left_semi").select("node", "n", "bits").dropDuplicates(["node"])
-    near = components(_possible(blocks.join(bits, "node"), num, den).union(stars)).withColumnRenamed("component", "cluster")
-    members = cut(near.join(nodes.select("node", "doc", "n"), "node"))
+    tokens = single.select(F.explode("prefix").alias("token"), "h").withColumn("least", F.min("h").over(own)).withColumn("greatest", F.max("h").over(own))
+    tokens = tokens.withColumn("m", F.count("*").over(own)).withColumn("sum", F.bit_xor(F.xxhash64("h")).over(own)).where("least != greatest")
+    blocks = cut(tokens.select("sum", "m", "least", "greatest", "h").distinct())
+    stars = blocks.where(F.col("m") > most).select(F.col("h").alias("a"), F.col("least").alias("b"))
+    blocks = blocks.where(F.col("m") <= most).select("sum", "m", "least", "greatest", "h")
+    bits = single.join(_small(blocks.select("h").distinct(), broadcast_rows), "h", "left_semi").select("node", "h", "n", "bits").dropDuplicates(["node"]).drop("node")
+    near = components(_possible(blocks.join(bits, "h"), num, den).union(stars)).withColumnRenamed("component", "cluster").withColumnRenamed("node", "h")
+    members = cut(near.join(nodes.select("node", "doc", "n", F.xxhash64("node").alias("h")), "h").drop("h"))
     weight = members.groupBy("cluster").agg(F.sum("n").alias("total"))
     members = members.join(weight, "cluster")
     ids = _small(members.select(F.col("doc").alias("member")).distinct(), broadcast_rows)
@@ -206,6 +209,9 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     kept = docs.join(worse, docs["doc_id"] == worse["worse_id"], "left_anti")
     if gone.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    once = kept.where("doc_id is not null").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    return once.unionByName(kept.where("doc_id is null"))
+    names = docs.columns  # a row number can't meet a column of that name
+    plain = kept.toDF(*[f"c{i}" for i in range(len(names))])
+    key = plain.columns[names.index("doc_id")]
+    order = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(c) for c in plain.columns]))
+    once = plain.where(F.col(key).isNotNull()).withColumn("row", F.row_number().over(order)).where("row = 1").drop("row")
+    return once.union(plain.where(F.col(key).isNull())).toDF(*names)

@@ -148,6 +148,6 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int, kind: np.ndarray
     return out
 
 
-def set_key(sets: np.ndarray) -> int:
-    """A signed 64-bit digest of a sorted set."""
-    return int.from_bytes(hashlib.blake2b(sets.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(sets: np.ndarray) -> bytes:
+    """A 128-bit digest of a sorted set."""
+    return hashlib.blake2b(sets.tobytes(), digest_size=16).digest()
