@@ -35,13 +35,39 @@ def fill_short_gaps(frames: DataFrame, longest: int) -> DataFrame:
     return out.withColumn("filled", F.coalesce(F.col("pitch"), F.when(short, F.col("__last.pitch")))).drop("__last", "__next")
 
 
-def segment_runs(frames: DataFrame, least: int, hop: float) -> DataFrame:
-    """Notes from frames: runs of one rounded pitch of `least` frames or more, with median pitch and mean periodicity."""
-    w = by("track", "frame")
-    f = frames.withColumn("near", F.bround("filled"))
-    new = F.coalesce(~F.col("near").eqNullSafe(F.lag("near").over(w)), F.lit(True)) | (F.row_number().over(w) == 1)
-    seg = f.withColumn("seg", island_id(new, w)).where("near is not null")
-    out = seg.groupBy("track", "seg").agg(F.min("frame").alias("first"), F.count("*").alias("n"), F.percentile("filled", 0.5).alias("mid"), F.avg("periodicity").alias("mean"))
+def in_runs(frames: DataFrame, value: str) -> DataFrame:
+    """Frames that have a value, with `run`, the same for all of a maximal run of them."""
+    return frames.withColumn("run", island_id(F.col(value).isNull(), by("track", "frame"))).where(F.col(value).isNotNull())
+
+
+def persistent_changes(runs: DataFrame, value: str, persist: int) -> DataFrame:
+    """(track, run, frame) where another value takes over for `persist` frames of a run or more; shorter spells change nothing."""
+    w = by(["track", "run"], "frame")
+    spell = runs.withColumn("spell", island_id(F.coalesce(F.col(value) != F.lag(value).over(w), F.lit(True)), w))
+    spell = spell.groupBy("track", "run", "spell").agg(F.min("frame").alias("frame"), F.count("*").alias("n"), F.min(value).alias("value"))
+    lasting = spell.where((F.col("n") >= persist) | (F.col("spell") == 1))
+    before = F.lag("value").over(by(["track", "run"], "spell"))
+    return lasting.withColumn("before", before).where("value != before").select("track", "run", "frame")
+
+
+def segment_runs(frames: DataFrame, persist: int, least: int, hop: float) -> DataFrame:
+    """Notes from frames with filled, onset (true where something is struck) and periodicity.
+
+    A voiced run is cut where another rounded pitch persists and where something is struck after its first frame. A first change of
+    pitch before `persist` frames, with nothing struck up to it, is a scoop into the note and no cut. Pieces of fewer than `least`
+    frames go; a note has its piece's median pitch and mean periodicity.
+    """
+    runs = in_runs(frames, "filled").withColumn("near", F.bround("filled"))
+    changes = persistent_changes(runs, "near", persist).select("track", "frame", F.lit(True).alias("change"))
+    own = Window.partitionBy("track", "run")
+    f = runs.join(changes, ["track", "frame"], "left").withColumn("start", F.min("frame").over(own)).withColumn("change", F.coalesce("change", F.lit(False)))
+    f = f.withColumn("struck", F.coalesce("onset", F.lit(False)) & (F.col("frame") > F.col("start")))
+    first = F.min(F.when(F.col("change"), F.col("frame"))).over(own)
+    struck = F.min(F.when(F.col("struck"), F.col("frame"))).over(own)
+    scoop = (F.col("frame") == first) & (F.col("frame") - F.col("start") < persist) & F.coalesce(struck > first, F.lit(True))
+    f = f.withColumn("cut", F.col("struck") | (F.col("change") & ~scoop))
+    seg = f.withColumn("seg", island_id(F.col("cut"), by(["track", "run"], "frame")))
+    out = seg.groupBy("track", "run", "seg").agg(F.min("frame").alias("first"), F.count("*").alias("n"), F.percentile("filled", 0.5).alias("mid"), F.avg("periodicity").alias("mean"))
     out = out.where(F.col("n") >= least)
     return out.select("track", (F.col("first") * hop).alias("onset"), (F.col("n") * hop).alias("duration"), F.bround("mid").cast("int").alias("pitch"), F.round("mean", 6).alias("confidence"))
 

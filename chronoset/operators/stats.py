@@ -134,3 +134,12 @@ def theil_sen(points: DataFrame, keys: list[str], x: str, y: str, most: int = 40
     slopes = a.select(*keys, "a", F.explode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("b")).where(F.col("a.x") != F.col("b.x"))
     slope = slopes.groupBy(*keys).agg(F.percentile((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x")), 0.5).alias("slope"))
     return p.join(slope, keys).groupBy(*keys, "slope").agg(F.percentile(F.col("y") - F.col("slope") * F.col("x"), 0.5).alias("intercept"))
+
+
+def inlier_line(points: DataFrame, keys: list[str], x: str, y: str, near: float, least: int) -> DataFrame:
+    """theil_sen(), and again through the points within `near` of the line where there are `least` or more."""
+    first = theil_sen(points, keys, x, y)
+    kept = points.join(first, keys).where(F.round(F.abs(F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept"))), 9) <= near).drop("slope", "intercept")
+    enough = kept.groupBy(*keys).count().where(F.col("count") >= least).drop("count")
+    again = theil_sen(kept, keys, x, y).join(enough, keys).withColumnRenamed("slope", "__slope").withColumnRenamed("intercept", "__intercept")
+    return first.join(again, keys, "left").select(*keys, F.coalesce("__slope", "slope").alias("slope"), F.coalesce("__intercept", "intercept").alias("intercept"))

@@ -14,10 +14,16 @@ def median_smooth(frames: DataFrame, half: int) -> DataFrame:
     return frames.withColumn("smooth", F.when(F.col("pitch").isNotNull(), F.percentile("pitch", 0.5).over(w)))
 
 
-def reject_line_outliers(notes: DataFrame, window: float, floor: float) -> DataFrame:
-    """notes without those more than `floor` below the median pitch of all notes within `window` of theirs."""
-    mid = F.expr(f"percentile(pitch, 0.5) over (partition by track order by onset range between {window:f}d preceding and {window:f}d following)")
-    return notes.withColumn("__mid", mid).where(F.col("pitch") >= F.col("__mid") - floor).drop("__mid")
+def reject_line_outliers(notes: DataFrame, window: float, floor: float, loudness: str | None = None, quiet: float = 0.0) -> DataFrame:
+    """notes without those more than `floor` below the median pitch of all notes within `window` of theirs, or more than `quiet` below
+    their median of the column `loudness`. A floor of 0 is no test."""
+    near = f"over (partition by track order by onset range between {window:f}d preceding and {window:f}d following)"
+    out = notes.withColumn("__mid", F.expr(f"percentile(pitch, 0.5) {near}"))
+    keep = F.lit(True) if floor <= 0 else F.col("pitch") >= F.col("__mid") - floor
+    if loudness is not None and quiet > 0:
+        out = out.withColumn("__loud", F.expr(f"percentile(`{loudness}`, 0.5) {near}"))
+        keep &= F.round(F.col(loudness) - F.col("__loud"), 9) >= -quiet
+    return out.where(keep).drop("__mid", "__loud")
 
 
 def fold_octaves(notes: DataFrame, context: int = 2) -> DataFrame:
@@ -117,11 +123,13 @@ def reference_pulse(beats: DataFrame, half: int = 8, least: int = 3) -> DataFram
     return out.select("track", "t", F.when(F.count("__v").over(near) >= least, F.percentile("__v", 0.5).over(near)).otherwise(F.col("seed")).alias("pulse"))
 
 
-def peaks(frames: DataFrame, value: str, half: int, above: float) -> DataFrame:
-    """Frames whose value is the largest of its neighbours' and `above` or more over the mean within `half` frames."""
+def peaks(frames: DataFrame, value: str, half: int, above: float, edges: bool = True) -> DataFrame:
+    """Frames whose value is the largest of its neighbours' and `above` or more over the mean within `half` frames; without edges, not
+    a track's first or last."""
     w = by("track", "frame")
     v = F.col(value)
     before, after = F.lag(value).over(w), F.lead(value).over(w)
     mean = F.avg(value).over(w.rowsBetween(-half, half))
-    out = frames.withColumn("__ok", (v >= F.coalesce(before, v)) & (v > F.coalesce(after, v - 1)) & (v >= mean + above))
+    top = (v >= F.coalesce(before, v)) & (v > F.coalesce(after, v - 1)) if edges else F.coalesce((v >= before) & (v > after), F.lit(False))
+    out = frames.withColumn("__ok", top & (v >= mean + above))
     return out.where("__ok").drop("__ok")

@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import islands, kernels
+from ..operators import islands, kernels, windows
 from ..sources.project import frames, notes, table
 from .catalog import query
-from .note_queries import line_and_oracle, voices
+from .note_queries import FRAMES, LINE, NOTES, line_and_oracle, voices
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,17 +54,21 @@ def best_transposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).mapInPandas(run, "o_orderkey long, shift long, matches long")
 
 
-def _candidates(spark: SparkSession, sf_dir: str, band: float) -> DataFrame:
-    """Neighbourhoods of notes of both detectors, cut where nothing is within the band, so each is a small group."""
+def _candidates(spark: SparkSession, sf_dir: str, band: float, keys: list[str]) -> DataFrame:
+    """Neighbourhoods of notes of both detectors, cut where nothing of equal keys is within the band, so each is a small group."""
     a, b = line_and_oracle(spark, sf_dir)
-    rows = a.select(F.lit(0).alias("side"), F.col("note_id").alias("id"), "onset", "pitch").union(b.select(F.lit(1), "o_id", "o_onset", "o_pitch"))
-    w = islands.by("pitch", "onset", "side", "id")
+    rows = a.select(F.lit(0).alias("side"), "rec", F.col("note_id").alias("id"), "onset", "pitch").union(b.select(F.lit(1), "o_rec", "o_id", "o_onset", "o_pitch"))
+    w = islands.by(keys, "onset", "side", "id")
     new = F.coalesce(F.col("onset") - F.lag("onset").over(w) > band, F.lit(True))
-    own = Window.partitionBy("pitch", "part")
+    own = Window.partitionBy(*keys, "part")
     rows = rows.withColumn("part", islands.island_id(new, w)).withColumn("sides", F.min("side").over(own) != F.max("side").over(own))
     return rows.where("sides").drop("sides")
 
 
+#: Seconds that an unequal pitch counts as in a pairing.
+PENALTY = 0.05
+
+
 def _matched(method: str, band: float):  # noqa: ANN202
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["side"] == 0].reset_index(drop=True), g[g["side"] == 1].reset_index(drop=True)
@@ -77,28 +81,40 @@ def _matched(method: str, band: float):  # noqa: ANN202
         elif not left or not right:
             pairs = []
         else:
-            cost = np.array([[abs(x[0] - y[0]) if abs(x[0] - y[0]) <= band else 1e3 for y in right] + [1e3] * len(left) for x in left]).reshape(len(left), -1)
+            cost = np.array([[abs(x[0] - y[0]) + PENALTY * (x[1] != y[1]) if abs(x[0] - y[0]) <= band else 1e3 for y in right] + [1e3] * len(left) for x in left]).reshape(len(left), -1)
             pairs = [(i, j) for i, j in enumerate(kernels.assignment(cost)) if j < len(right) and cost[i, j] < 1e3]
         return pd.DataFrame({"note_id": [int(a["id"][i]) for i, _ in pairs], "o_id": [int(b["id"][j]) for _, j in pairs]}, columns=["note_id", "o_id"])
 
     return run
 
 
+def _pairs(spark: SparkSession, sf_dir: str, method: str, band: float, keys: list[str]) -> DataFrame:
+    return kernels.per_group(_candidates(spark, sf_dir, band, keys), [*keys, "part"], ["onset", "side", "id"], _matched(method, band), "note_id long, o_id long")
+
+
 @query()
 def note_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A maximum matching of both detectors' notes of one pitch."""
-    return kernels.per_group(_candidates(spark, sf_dir, 1.0), ["pitch", "part"], ["onset", "side", "id"], _matched("most", 1.0), "note_id long, o_id long")
+    """A maximum matching of both detectors' notes of one recording and pitch."""
+    return _pairs(spark, sf_dir, "most", 1.0, ["rec", "pitch"])
 
 
-@query()
+_GREEDY = NOTES.replace("WITH ", "WITH RECURSIVE ", 1) + LINE + """, cand AS (SELECT note_id, o_id, row_number() OVER (ORDER BY abs(onset - o_onset), onset, note_id, o_onset, o_id) AS r FROM line JOIN oracle ON rec = o_rec AND pitch = o_pitch AND abs(onset - o_onset) <= 1.0),
+rounds(note_id, o_id, r, taken, k) AS (SELECT note_id, o_id, r, false, 0 FROM cand
+  UNION ALL SELECT * FROM (WITH live AS (SELECT * FROM rounds WHERE NOT taken), best AS (SELECT *, r = min(r) OVER (PARTITION BY note_id) AND r = min(r) OVER (PARTITION BY o_id) AS wins FROM live),
+    won AS (SELECT note_id, o_id FROM best WHERE wins) SELECT note_id, o_id, r, wins, k + 1 FROM best b WHERE wins OR NOT EXISTS (SELECT 1 FROM won w WHERE w.note_id = b.note_id OR w.o_id = b.o_id)))
+SELECT note_id, o_id FROM rounds WHERE taken"""
+
+
+@query(_GREEDY)
 def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.per_group(_candidates(spark, sf_dir, 1.0), ["pitch", "part"], ["onset", "side", "id"], _matched("greedy", 1.0), "note_id long, o_id long")
+    """Pairs of one recording and pitch, nearest first, each note once."""
+    return _pairs(spark, sf_dir, "greedy", 1.0, ["rec", "pitch"])
 
 
 @query()
 def pair_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of least total distance."""
-    return kernels.per_group(_candidates(spark, sf_dir, 1.0), ["pitch", "part"], ["onset", "side", "id"], _matched("cost", 1.0), "note_id long, o_id long")
+    """The pairs of least total distance, of any pitch; an unequal one has a penalty."""
+    return _pairs(spark, sf_dir, "cost", 0.5, ["rec"])
 
 
 @query()
@@ -122,7 +138,8 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x = g[["level", "p"]].to_numpy(dtype=float)
         x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        return pd.DataFrame({"track": g["track"].iloc[0], "bar": g["bar"].to_numpy()[kernels.change_points(x, 4.0, 4)]})
+        at = kernels.change_points(x, 4.0, 4)
+        return pd.DataFrame({"track": [g["track"].iloc[0]] * len(at), "bar": g["bar"].to_numpy()[at]})
 
     return kernels.per_group(bars, ["track"], ["bar"], run, "track long, bar long")
 
@@ -142,25 +159,18 @@ def beam_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.per_group(c.select("track", "cluster", "onset", "note_id", "rank", "pitch"), ["track"], ["cluster", "onset", "note_id"], run, "note_id long")
 
 
-@query()
-def separated_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        at = kernels.pick_peaks(g["level"].to_numpy(dtype=float), 4, 5, 10000.0)
-        return pd.DataFrame({"track": g["track"].iloc[0], "frame": g["frame"].to_numpy()[at]})
+_PEAKS = FRAMES.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT track, frame, level, lag(level) OVER w AS b, lead(level) OVER w AS a, avg(level) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS m FROM frames WINDOW w AS (PARTITION BY track ORDER BY frame)),
+top AS (SELECT track, frame FROM p WHERE level >= b AND level > a AND level >= m + 10000.0),
+taken AS (SELECT track, min(frame) AS frame FROM top GROUP BY track UNION ALL SELECT track, frame FROM (SELECT t.track, t.frame, row_number() OVER (PARTITION BY t.track ORDER BY t.frame) AS k FROM taken x JOIN top t ON t.track = x.track AND t.frame >= x.frame + 4) WHERE k = 1)
+SELECT track, frame FROM taken"""
 
-    return kernels.per_group(frames(spark, sf_dir), ["track"], ["frame"], run, "track long, frame long")
-
-
-@query()
-def persistent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames where another decade of pitch takes over for two frames or more."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        at = kernels.persistent_changes([int(x) for x in g["decade"]], 2)
-        return pd.DataFrame({"track": g["track"].iloc[0], "frame": g["frame"].to_numpy()[at]})
-
-    f = frames(spark, sf_dir).where("pitch is not null").withColumn("decade", F.floor(F.col("pitch") / 10))
-    return kernels.per_group(f, ["track"], ["frame"], run, "track long, frame long")
+@query(_PEAKS)
+def separated_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks over the mean around them, each four frames or more after the last one taken: the first of each anchored cluster."""
+    top = windows.peaks(frames(spark, sf_dir), "level", 5, 10000.0, edges=False).select("track", F.col("frame").alias("note_id"), F.col("frame").cast("double").alias("onset"))
+    c = islands.anchored_clusters(top, 3.5)
+    return c.select("track", F.col("cluster").cast("long").alias("frame")).distinct()
 
 
 @query()
@@ -178,26 +188,45 @@ def two_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.per_group(n.select("source", "tracks", "part", "onset", "duration", "note_id", "pitch"), ["source", "tracks", "part"], ["onset", "note_id"], run, "note_id long, voice long")
 
 
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec, track, change): the mean confidence of a track's second half less that of its first."""
+    mean = lambda c: F.avg(F.when(c, F.col("confidence")))
+    per = notes(spark, sf_dir).groupBy("track").agg((mean(F.col("onset") >= 360) - mean(F.col("onset") < 360)).alias("change")).where("change is not null")
+    return per.select(F.floor(F.col("track") / 10).alias("rec"), "track", F.round("change", 9).alias("change"))
+
+
+@query(NOTES + """, c AS (SELECT track // 10 AS rec, round(avg(confidence) FILTER (WHERE onset >= 360) - avg(confidence) FILTER (WHERE onset < 360), 9) AS change FROM notes GROUP BY track), r AS (SELECT rec, count(change) AS n, sum(change) AS s FROM c WHERE change IS NOT NULL GROUP BY rec)
+SELECT sum(n)::BIGINT AS n, round(sum(s) / sum(n), 6) AS mean, count(*) FILTER (WHERE s > 0) AS up, count(*) FILTER (WHERE s < 0) AS down FROM r""")
+def mean_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean change of the tracks, and how many recordings rise and fall."""
+    r = changes(spark, sf_dir).groupBy("rec").agg(F.count("*").alias("n"), F.sum("change").alias("s"))
+    return r.agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean"), F.count_if(F.col("s") > 0).alias("up"), F.count_if(F.col("s") < 0).alias("down"))
+
+
+DRAWS = 10_000
+
+
 @query()
 def paired_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean change of confidence from each track's first half to its second, with a bootstrap of tracks and a sign test.
+    """The mean change with a bootstrap interval over recordings (with all their tracks) and a sign test over them.
 
-    The per-track means are aggregated by Spark; only they (one row a track) are resampled, by a seeded generator.
+    Each recording has a Poisson weight in each of 10,000 draws, seeded by its number, which is resampling with replacement in the
+    limit; a task sums its recordings' weights to two numbers a draw, so nothing but these vectors meets in one place.
     """
-    half = F.when(F.col("onset") < 360, "before").otherwise("after")
-    per = notes(spark, sf_dir).withColumn("half", half)
-    per = per.groupBy("track").agg(F.avg(F.when(F.col("half") == "after", F.col("confidence"))).alias("a"), F.avg(F.when(F.col("half") == "before", F.col("confidence"))).alias("b"))
-    per = per.select("track", F.round(F.col("a") - F.col("b"), 9).alias("change")).where("change is not null")
-    draws = 2000
+    r = changes(spark, sf_dir).groupBy("rec").agg(F.count("*").alias("n"), F.sum("change").alias("s"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g["change"].to_numpy()
-        rng = np.random.default_rng(0)
-        means = np.sort([x[rng.integers(0, len(x), len(x))].mean() for _ in range(draws)])
-        up, down = int((x > 0).sum()), int((x < 0).sum())
-        return pd.DataFrame([{"n": len(x), "mean": x.mean(), "low": np.quantile(means, 0.025), "high": np.quantile(means, 0.975), "up": up, "down": down, "p": sign_test(up, down)}])
-
-    return kernels.per_group(per.withColumn("one", F.lit(1)), ["one"], ["track"], run, "n long, mean double, low double, high double, up long, down long, p double")
+    def draw(batches):  # noqa: ANN001, ANN202
+        total = np.zeros((2, DRAWS))
+        for b in batches:
+            for rec, n, s in zip(b["rec"], b["n"], b["s"], strict=True):
+                total += np.random.default_rng([0, int(rec)]).poisson(1.0, DRAWS) * np.array([[n], [s]])
+        yield pd.DataFrame({"draw": np.arange(DRAWS), "n": total[0], "s": total[1]})
+
+    means = r.mapInPandas(draw, "draw int, n double, s double").groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))  # null where a draw is of nothing
+    edge = lambda q: F.round(F.percentile("mean", q), 6)
+    spread = means.agg(F.lit(1).alias("one"), edge(0.025).alias("low"), edge(0.975).alias("high"))  # one row
+    p = F.udf(sign_test, "double")
+    return mean_change(spark, sf_dir).withColumn("p", p("up", "down")).withColumn("one", F.lit(1)).join(F.broadcast(spread), "one").drop("one")
 
 
 def sign_test(up: int, down: int) -> float:

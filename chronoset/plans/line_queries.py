@@ -9,7 +9,7 @@ from ..functions import scalar as S
 from ..operators import islands, joins
 from ..sources.project import frames, notes, table
 from .catalog import query
-from .note_queries import BEATS, FRAMES, LINE, NOTES, OWN, PHASED, line_and_oracle, own_beats, phased
+from .note_queries import BEATS, FRAMES, LINE, NOTES, OWN, PHASED, SAME_REC, line_and_oracle, own_beats, phased
 
 
 @query(NOTES + """SELECT note_id, round(onset + 10.0, 5) AS onset FROM notes WHERE onset >= 100.0 AND onset < coalesce(CASE WHEN track % 2 = 0 THEN 400.0 END, 720.0)""")
@@ -50,28 +50,30 @@ def grid_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("track", (beyond <= 2.0).alias("plausible"), F.round("out", 9).alias("outliers"), ((beyond > 2.0) | (F.col("out") > 0.5)).alias("suspect"))
 
 
-@query(NOTES + LINE + """SELECT round(0.001 * k, 3) AS shift, count(*) AS hits FROM (SELECT unnest(range(-2, 3)) * 50 AS k), line WHERE EXISTS (SELECT 1 FROM oracle WHERE o_pitch = pitch AND abs(onset * 1.0 + 0.001 * k - o_onset) <= 0.2) GROUP BY k""")
+@query(NOTES + LINE + """SELECT round(0.001 * k, 3) AS shift, count(*) AS hits FROM (SELECT unnest(range(-2, 3)) * 50 AS k), line WHERE EXISTS (SELECT 1 FROM oracle WHERE o_rec = rec AND o_pitch = pitch AND abs(onset * 1.0 + 0.001 * k - o_onset) <= 0.2) GROUP BY k""")
 def affine_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many notes of a line meet the other one after each shift."""
     a, b = line_and_oracle(spark, sf_dir)
-    moved = a.select("note_id", "pitch", "onset", F.explode(F.array(*[F.lit(50 * k) for k in range(-2, 3)])).alias("k")).withColumn("moved", F.col("onset") + 0.001 * F.col("k"))
-    hit = joins.band_join(moved, b, [("pitch", "o_pitch")], "moved", "o_onset", 0.2, "left_semi")
+    moved = a.select("rec", "note_id", "pitch", "onset", F.explode(F.array(*[F.lit(50 * k) for k in range(-2, 3)])).alias("k")).withColumn("moved", F.col("onset") + 0.001 * F.col("k"))
+    hit = joins.band_join(moved, b, [SAME_REC, ("pitch", "o_pitch")], "moved", "o_onset", 0.2, "left_semi")
     return hit.groupBy("k").agg(F.count("*").alias("hits")).select(F.round(0.001 * F.col("k"), 3).alias("shift"), "hits")
 
 
-@query(NOTES + LINE + """, p AS (SELECT note_id, onset, onset - o_onset AS d, row_number() OVER (PARTITION BY note_id ORDER BY abs(onset - o_onset), o_id) AS k FROM line JOIN oracle ON abs(onset - o_onset) <= 0.5),
-m AS (SELECT note_id, onset, d FROM p WHERE k = 1), g AS (SELECT median(d) AS g FROM m), l AS (SELECT a.note_id, median(b.d) AS local, count(*) AS n FROM m a JOIN m b ON abs(a.onset - b.onset) <= 2.0 GROUP BY a.note_id)
-SELECT note_id, round(CASE WHEN n < 5 THEN g ELSE local END, 6) AS residual, n FROM l, g""")
+@query(NOTES + LINE + """, p AS (SELECT rec, note_id, onset, pitch - o_pitch AS step, onset - o_onset AS d, row_number() OVER (PARTITION BY note_id ORDER BY abs(onset - o_onset), o_id) AS k FROM line JOIN oracle ON rec = o_rec AND abs(onset - o_onset) <= 0.5),
+m AS (SELECT rec, note_id, onset, d, step FROM p WHERE k = 1), g AS (SELECT rec, median(d) AS g, median(step) AS gs FROM m GROUP BY rec), l AS (SELECT a.rec, a.note_id, median(b.d) AS local, median(b.step) AS local_step, count(*) AS n FROM m a JOIN m b ON a.rec = b.rec AND abs(a.onset - b.onset) <= 2.0 GROUP BY a.rec, a.note_id)
+SELECT note_id, round(CASE WHEN n < 5 THEN g ELSE local END, 6) AS residual, round(CASE WHEN n < 5 THEN gs ELSE local_step END, 6) AS step, n FROM l JOIN g USING (rec)""")
 def alignment_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The median offset of matched pairs near each, or of all with fewer than five near."""
+    """The median offset in time and pitch of matched pairs near each, or of all of the recording with fewer than five near."""
     a, b = line_and_oracle(spark, sf_dir)
-    near = joins.band_join(a.select("note_id", "onset"), b.select("o_id", "o_onset"), [], "onset", "o_onset", 0.5)
+    near = joins.band_join(a.select("rec", "note_id", "onset", "pitch"), b, [SAME_REC], "onset", "o_onset", 0.5)
     d = F.col("onset") - F.col("o_onset")
-    m = near.groupBy("note_id", "onset").agg(F.min_by(d, F.struct(F.abs(d), "o_id")).alias("d"))
-    g = m.agg(F.percentile("d", 0.5).alias("g"))  # one row
-    both = joins.band_join(m.select("note_id", "onset"), m.select(F.col("onset").alias("there"), "d"), [], "onset", "there", 2.0)
-    local = both.groupBy("note_id").agg(F.percentile("d", 0.5).alias("local"), F.count("*").alias("n"))
-    return local.join(F.broadcast(g), F.lit(True)).select("note_id", F.round(F.when(F.col("n") < 5, F.col("g")).otherwise(F.col("local")), 6).alias("residual"), "n")
+    best = F.struct(F.abs(d), "o_id")
+    m = near.groupBy("rec", "note_id", "onset").agg(F.min_by(d, best).alias("d"), F.min_by(F.col("pitch") - F.col("o_pitch"), best).alias("step"))
+    g = m.groupBy("rec").agg(F.percentile("d", 0.5).alias("g"), F.percentile("step", 0.5).alias("gs"))
+    both = joins.band_join(m.select("rec", "note_id", "onset"), m.select(F.col("rec").alias("o_rec"), F.col("onset").alias("there"), "d", "step"), [SAME_REC], "onset", "there", 2.0)
+    local = both.groupBy("rec", "note_id").agg(F.percentile("d", 0.5).alias("local"), F.percentile("step", 0.5).alias("local_step"), F.count("*").alias("n"))
+    pick = lambda one, all_: F.round(F.when(F.col("n") < 5, F.col(all_)).otherwise(F.col(one)), 6)
+    return local.join(g, "rec").select("note_id", pick("local", "g").alias("residual"), pick("local_step", "gs").alias("step"), "n")
 
 
 @query(NOTES + """, e AS (SELECT track, duration, lead(onset) OVER (PARTITION BY track ORDER BY onset, note_id) - onset - duration AS rest FROM notes)
@@ -167,7 +169,7 @@ def place_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(F.broadcast(c), F.pmod(F.col("bar") - 3, F.lit(8)) == F.col("i")).select("note_id", "bar", "chord")
 
 
-@query(FRAMES + """, m AS (SELECT track, frame, 1.0 + periodicity AS len FROM frames WHERE frame < 200), p AS (SELECT *, sum(len) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) - len AS start, median(len) OVER (PARTITION BY track) AS mid FROM m)
+@query(FRAMES + """, m AS (SELECT track, frame, 1.0 + periodicity AS len FROM frames), p AS (SELECT *, sum(len) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) - len AS start, median(len) OVER (PARTITION BY track) AS mid FROM m)
 SELECT track, frame, round(start, 5) AS start, round(start - frame * mid, 5) AS overrun FROM p""")
 def page_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars placed one after another, and how far they run over an even grid."""

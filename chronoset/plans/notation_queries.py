@@ -9,7 +9,7 @@ from ..functions import scalar as S
 from ..operators import islands, joins, notation
 from ..sources.project import notes
 from .catalog import query
-from .note_queries import LINE, NOTES, OWN, PHASED, line_and_oracle, own_beats, phased
+from .note_queries import LINE, NOTES, OWN, PHASED, SAME_REC, line_and_oracle, own_beats, phased
 
 _GRID = PHASED + """, per AS (SELECT track, beat_idx, list_sort(list(phase)) AS p FROM phased WHERE phase IS NOT NULL GROUP BY track, beat_idx),
 cand AS (SELECT track, beat_idx, p, unnest(range(6)) AS rank, unnest([2, 4, 3, 8, 6, 12]) AS grid FROM per),
@@ -64,11 +64,11 @@ def split_at_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("note_id", "bar_no", F.round("at", 6).alias("at"), F.round("size", 6).alias("size"), "tied_in", "tied_out")
 
 
-@query(NOTES + LINE + """, p AS (SELECT note_id, o_id, onset - o_onset AS d, o_pitch AS r, pitch AS e, row_number() OVER (PARTITION BY note_id ORDER BY abs(onset - o_onset), o_id) AS k FROM line JOIN oracle ON abs(onset - o_onset) <= 0.5)
+@query(NOTES + LINE + """, p AS (SELECT note_id, o_id, onset - o_onset AS d, o_pitch AS r, pitch AS e, row_number() OVER (PARTITION BY note_id ORDER BY abs(onset - o_onset), o_id) AS k FROM line JOIN oracle ON rec = o_rec AND abs(onset - o_onset) <= 0.5)
 SELECT note_id, o_id, CASE WHEN r = e AND d > 0.05 THEN 'timing_late' WHEN r = e AND d < -0.05 THEN 'timing_early' WHEN r = e THEN 'loose' WHEN abs(e - r) % 12 = 0 THEN 'octave' WHEN abs(e - r) <= 2 THEN 'neighbour' ELSE 'other_pitch' END AS class FROM p WHERE k = 1""")
 def classify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = line_and_oracle(spark, sf_dir)
-    near = joins.band_join(a.select("note_id", "onset", "pitch"), b.select("o_id", "o_onset", "o_pitch"), [], "onset", "o_onset", 0.5)
+    near = joins.band_join(a.select("rec", "note_id", "onset", "pitch"), b.select("o_rec", "o_id", "o_onset", "o_pitch"), [SAME_REC], "onset", "o_onset", 0.5)
     d = F.col("onset") - F.col("o_onset")
     best = near.groupBy("note_id").agg(F.min_by(F.struct("o_id", d.alias("d"), "o_pitch", "pitch"), F.struct(F.abs(d), "o_id")).alias("x"))
     return best.select("note_id", F.col("x.o_id").alias("o_id"), notation.pair_class(F.col("x.d"), F.col("x.o_pitch"), F.col("x.pitch"), 0.05, 0.05).alias("class"))

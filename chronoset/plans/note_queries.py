@@ -113,54 +113,97 @@ def bar_and_beat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("note_id", bar.cast("long").alias("bar"), F.pmod(F.col("beat_idx") - anchor, F.lit(4)).alias("beat"))
 
 
-LINE = ", line AS (SELECT * FROM notes WHERE source = 'click'), oracle AS (SELECT note_id AS o_id, onset AS o_onset, pitch AS o_pitch, duration AS o_dur, confidence AS o_conf FROM notes WHERE source = 'view')"
+LINE = ", line AS (SELECT *, track // 50 AS rec FROM notes WHERE source = 'click'), oracle AS (SELECT track // 50 AS o_rec, note_id AS o_id, onset AS o_onset, pitch AS o_pitch, duration AS o_dur, confidence AS o_conf FROM notes WHERE source = 'view')"
 
 
 def line_and_oracle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    n = notes(spark, sf_dir)
-    o = n.where("source = 'view'").select(*[F.col(a).alias(b) for a, b in (("note_id", "o_id"), ("onset", "o_onset"), ("pitch", "o_pitch"), ("duration", "o_dur"), ("confidence", "o_conf"))])
+    """Two detectors' notes of each recording; a recording is fifty tracks, as one track's two sources hardly ever meet."""
+    n = notes(spark, sf_dir).withColumn("rec", F.floor(F.col("track") / 50))
+    o = n.where("source = 'view'").select(*[F.col(a).alias(b) for a, b in (("rec", "o_rec"), ("note_id", "o_id"), ("onset", "o_onset"), ("pitch", "o_pitch"), ("duration", "o_dur"), ("confidence", "o_conf"))])
     return n.where("source = 'click'"), o
 
 
-@query(NOTES + LINE + "SELECT note_id, pitch, round(onset, 5) AS onset FROM line WHERE EXISTS (SELECT 1 FROM oracle WHERE o_pitch = pitch AND abs(onset - o_onset) <= 0.1)")
+SAME_REC = ("rec", "o_rec")
+
+
+@query(NOTES + LINE + "SELECT note_id, pitch, round(onset, 5) AS onset FROM line WHERE EXISTS (SELECT 1 FROM oracle WHERE o_rec = rec AND o_pitch = pitch AND abs(onset - o_onset) <= 0.1)")
 def corroborate(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = line_and_oracle(spark, sf_dir)
-    return joins.band_join(a, b, [("pitch", "o_pitch")], "onset", "o_onset", 0.1, "left_semi").select("note_id", "pitch", F.round("onset", 5).alias("onset"))
+    return joins.band_join(a, b, [SAME_REC, ("pitch", "o_pitch")], "onset", "o_onset", 0.1, "left_semi").select("note_id", "pitch", F.round("onset", 5).alias("onset"))
 
 
-@query(NOTES + LINE + "SELECT o_id, o_pitch FROM oracle WHERE NOT EXISTS (SELECT 1 FROM line WHERE o_pitch = pitch AND abs(onset - o_onset) <= 0.1)")
+@query(NOTES + LINE + "SELECT o_id, o_pitch FROM oracle WHERE NOT EXISTS (SELECT 1 FROM line WHERE o_rec = rec AND o_pitch = pitch AND abs(onset - o_onset) <= 0.1)")
 def pool_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = line_and_oracle(spark, sf_dir)
-    return joins.band_join(b, a.select("pitch", "onset"), [("o_pitch", "pitch")], "o_onset", "onset", 0.1, "left_anti").select("o_id", "o_pitch")
+    return joins.band_join(b, a.select("rec", "pitch", "onset"), [("o_rec", "rec"), ("o_pitch", "pitch")], "o_onset", "onset", 0.1, "left_anti").select("o_id", "o_pitch")
 
 
-@query(NOTES + LINE + """, band AS (SELECT note_id, pitch, o_pitch, o_onset, o_id FROM line JOIN oracle ON o_pitch % 12 = pitch % 12 AND abs(onset - o_onset) <= 0.1)
-SELECT l.note_id, coalesce((SELECT arg_min(o_pitch, (abs(o_pitch - b.pitch), o_onset, o_id)) FROM band b WHERE b.note_id = l.note_id
-  AND NOT EXISTS (SELECT 1 FROM band x WHERE x.note_id = l.note_id AND x.o_pitch = l.pitch)), l.pitch) AS snapped FROM line l""")
-def snap_octaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = line_and_oracle(spark, sf_dir)
+_SNAPPED = LINE + """, band AS (SELECT note_id, pitch, o_pitch, o_onset, o_id FROM line JOIN oracle ON o_rec = rec AND o_pitch % 12 = pitch % 12 AND abs(onset - o_onset) <= 0.1),
+snapped AS (SELECT l.*, coalesce((SELECT arg_min(o_pitch, (abs(o_pitch - b.pitch), o_onset, o_id)) FROM band b WHERE b.note_id = l.note_id
+  AND NOT EXISTS (SELECT 1 FROM band x WHERE x.note_id = l.note_id AND x.o_pitch = l.pitch)), l.pitch) AS snapped FROM line l)"""
+
+
+def snapped_line(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a with `snapped`: the nearest pitch of its class that the oracle has then, its own if that is among them or there is none."""
     a, b = a.withColumn("c", S.chroma(F.col("pitch"))), b.withColumn("o_c", S.chroma(F.col("o_pitch")))
-    near = joins.band_join(a.select("note_id", "pitch", "onset", "c"), b, [("c", "o_c")], "onset", "o_onset", 0.1)
+    near = joins.band_join(a.select("rec", "note_id", "pitch", "onset", "c"), b, [SAME_REC, ("c", "o_c")], "onset", "o_onset", 0.1)
     best = near.groupBy("note_id").agg(F.min_by("o_pitch", F.struct(F.abs(F.col("o_pitch") - F.col("pitch")), "o_onset", "o_id")).alias("to"))
-    return a.join(best, "note_id", "left").select("note_id", F.coalesce("to", "pitch").alias("snapped"))
+    return a.join(best, "note_id", "left").withColumn("snapped", F.coalesce("to", "pitch")).drop("to", "c")
+
+
+@query(NOTES + _SNAPPED + "SELECT note_id, snapped FROM snapped")
+def snap_octaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapped_line(*line_and_oracle(spark, sf_dir)).select("note_id", "snapped")
+
+
+@query(NOTES + _SNAPPED + """, ok AS (SELECT *, EXISTS (SELECT 1 FROM oracle WHERE o_rec = rec AND o_pitch = snapped AND abs(onset - o_onset) <= 0.1) AS heard FROM snapped)
+SELECT rec, count(*) AS input, count(*) FILTER (WHERE snapped <> pitch) AS snapped, count(*) FILTER (WHERE heard) AS corroborated, count(*) FILTER (WHERE NOT heard) AS rejected FROM ok GROUP BY rec""")
+def oracle_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What snapping, corroborating and rejecting do to each recording's line."""
+    a, b = line_and_oracle(spark, sf_dir)
+    s = snapped_line(a, b)
+    heard = joins.band_join(s.select("rec", "note_id", "snapped", "onset"), b, [SAME_REC, ("snapped", "o_pitch")], "onset", "o_onset", 0.1, "left_semi").select("note_id", F.lit(True).alias("heard"))
+    return s.join(heard, "note_id", "left").groupBy("rec").agg(F.count("*").alias("input"), F.count_if(F.col("snapped") != F.col("pitch")).alias("snapped"), F.count("heard").alias("corroborated"), F.count_if(F.col("heard").isNull()).alias("rejected"))
+
+
+_SECOND = NOTES.replace("WITH ", "WITH RECURSIVE ", 1) + LINE + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY o_rec ORDER BY o_onset, o_id) AS i FROM oracle),
+fold AS (SELECT *, o_onset AS head FROM numbered WHERE i = 1
+  UNION ALL SELECT n.*, CASE WHEN n.o_onset - f.head > 0.05 THEN n.o_onset ELSE f.head END FROM fold f JOIN numbered n ON n.o_rec = f.o_rec AND n.i = f.i + 1),
+two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_rec, head ORDER BY o_pitch DESC, o_onset, o_id) AS k FROM fold) WHERE k <= 2),
+second AS (SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM line WHERE rec = o_rec AND pitch = o_pitch AND abs(onset - o_onset) <= 0.1))"""
+
 
+def second(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The two highest of each simultaneity of the oracle that the line doesn't have."""
+    c = islands.anchored_clusters(b.select(F.col("o_rec").alias("track"), F.col("o_id").alias("note_id"), F.col("o_onset").alias("onset"), "o_pitch", "o_dur", "o_conf"), 0.05)
+    own = Window.partitionBy("track", "cluster").orderBy(F.desc("o_pitch"), "onset", "note_id")
+    two = c.withColumn("k", F.row_number().over(own)).where("k <= 2").select(F.col("track").alias("o_rec"), F.col("note_id").alias("o_id"), F.col("onset").alias("o_onset"), "o_pitch", "o_dur", "o_conf")
+    return joins.band_join(two, a.select("rec", "pitch", "onset"), [("o_rec", "rec"), ("o_pitch", "pitch")], "o_onset", "onset", 0.1, "left_anti")
 
-@query(NOTES + LINE + """, near AS (SELECT o_id, o_pitch, pitch, onset - o_onset AS d FROM oracle JOIN line ON abs(onset - o_onset) <= 1.0),
-ok AS (SELECT o_id, median(pitch) AS mid, min(abs(d)) AS closest FROM near GROUP BY o_id)
-SELECT o.o_id, o.o_pitch, round(o.o_onset + 0.02, 5) AS onset FROM oracle o JOIN ok USING (o_id) WHERE o_conf >= 0.45 AND closest >= 0.06 AND abs(o_pitch - mid) <= 12
-AND NOT EXISTS (SELECT 1 FROM line WHERE o_onset >= onset AND o_onset < onset + 0.5 * duration)""")
+
+@query(_SECOND + "SELECT o_id, o_pitch FROM second")
+def second_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return second(*line_and_oracle(spark, sf_dir)).select("o_id", "o_pitch")
+
+
+@query(_SECOND + """, moved AS (SELECT *, o_onset + 0.02 AS t FROM second), near AS (SELECT o_id, pitch, abs(onset - t) AS d FROM moved JOIN line ON rec = o_rec AND onset >= t - 1.0 AND onset <= t + 1.0),
+ok AS (SELECT o_id, median(pitch) AS mid, min(d) AS closest FROM near GROUP BY o_id)
+SELECT o.o_id, o.o_pitch, round(t, 5) AS onset FROM moved o JOIN ok USING (o_id) WHERE o_conf >= 0.45 AND closest >= 0.06 AND abs(o_pitch - mid) <= 12
+AND NOT EXISTS (SELECT 1 FROM line WHERE rec = o_rec AND t >= onset AND t < onset + 0.5 * duration)""")
 def fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-voice notes in holes of the line, moved by a fixed lag before they are tested."""
     a, b = line_and_oracle(spark, sf_dir)
-    near = joins.band_join(b, a.select("pitch", "onset"), [], "o_onset", "onset", 1.0)
-    ok = near.groupBy("o_id").agg(F.percentile("pitch", 0.5).alias("mid"), F.min(F.abs(F.col("onset") - F.col("o_onset"))).alias("closest"))
-    held = joins.stabbing_join(b, a.select(F.col("onset").alias("lo"), (F.col("onset") + 0.5 * F.col("duration")).alias("hi")), [], "o_onset", ("lo", "hi"), 0.25).select("o_id").distinct()
-    out = b.join(ok, "o_id").join(held, "o_id", "left_anti").where((F.col("o_conf") >= 0.45) & (F.col("closest") >= 0.06) & (F.abs(F.col("o_pitch") - F.col("mid")) <= 12))
-    return out.select("o_id", "o_pitch", F.round(F.col("o_onset") + 0.02, 5).alias("onset"))
+    moved = second(a, b).withColumn("t", F.col("o_onset") + 0.02)
+    near = joins.band_join(moved, a.select("rec", "pitch", "onset"), [("o_rec", "rec")], "t", "onset", 1.0)
+    ok = near.groupBy("o_id").agg(F.percentile("pitch", 0.5).alias("mid"), F.min(F.abs(F.col("onset") - F.col("t"))).alias("closest"))
+    held = joins.stabbing_join(moved, a.select("rec", F.col("onset").alias("lo"), (F.col("onset") + 0.5 * F.col("duration")).alias("hi")), [("o_rec", "rec")], "t", ("lo", "hi"), 0.25).select("o_id").distinct()
+    out = moved.join(ok, "o_id").join(held, "o_id", "left_anti").where((F.col("o_conf") >= 0.45) & (F.col("closest") >= 0.06) & (F.abs(F.col("o_pitch") - F.col("mid")) <= 12))
+    return out.select("o_id", "o_pitch", F.round("t", 5).alias("onset"))
 
 
-PAIRS = NOTES + """, held AS (SELECT source, note_id, onset, onset + 0.4 + confidence AS "end", pitch, confidence FROM notes WHERE track % 10 = 3),
-pairs AS (SELECT a.note_id AS a_id, b.note_id AS b_id, a.pitch AS a_pitch, b.pitch AS b_pitch, a.confidence AS a_conf, b.confidence AS b_conf, a."end" - a.onset AS a_len, b."end" - b.onset AS b_len,
-  least(a."end", b."end") - greatest(a.onset, b.onset) AS shared FROM held a JOIN held b ON a.source = b.source AND a.note_id < b.note_id AND a.onset < b."end" AND b.onset < a."end")"""
+PAIRS = NOTES + """, held AS (SELECT source, track // 10 AS part, note_id, onset, onset + 0.4 + confidence AS "end", pitch, pitch + 12 * (note_id % 4) AS wide, confidence FROM notes),
+pairs AS (SELECT a.note_id AS a_id, b.note_id AS b_id, a.pitch AS a_pitch, b.pitch AS b_pitch, a.wide AS a_wide, b.wide AS b_wide, a.confidence AS a_conf, b.confidence AS b_conf, a."end" - a.onset AS a_len, b."end" - b.onset AS b_len,
+  least(a."end", b."end") - greatest(a.onset, b.onset) AS shared FROM held a JOIN held b ON a.source = b.source AND a.part = b.part AND a.note_id < b.note_id AND a.onset < b."end" AND b.onset < a."end")"""
 
 
 def voices(n: DataFrame) -> DataFrame:
@@ -171,7 +214,7 @@ def voices(n: DataFrame) -> DataFrame:
 def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of notes of one voice that sound together; ten tracks' worth of a source is a voice, as one track's notes never overlap."""
     n = voices(notes(spark, sf_dir)).withColumn("end", F.col("onset") + 0.4 + F.col("confidence"))
-    side = lambda p: n.select(F.col("source").alias(f"{p}_source"), F.col("part").alias(f"{p}_part"), F.col("note_id").alias(f"{p}_id"), F.col("onset").alias(f"{p}_on"), F.col("end").alias(f"{p}_end"), F.col("pitch").alias(f"{p}_pitch"), F.col("confidence").alias(f"{p}_conf"))
+    side = lambda p: n.select(F.col("source").alias(f"{p}_source"), F.col("part").alias(f"{p}_part"), F.col("note_id").alias(f"{p}_id"), F.col("onset").alias(f"{p}_on"), F.col("end").alias(f"{p}_end"), F.col("pitch").alias(f"{p}_pitch"), (F.col("pitch") + 12 * F.pmod("note_id", F.lit(4))).alias(f"{p}_wide"), F.col("confidence").alias(f"{p}_conf"))
     both = joins.interval_join(side("a"), side("b"), [("a_source", "b_source"), ("a_part", "b_part")], ("a_on", "a_end"), ("b_on", "b_end"), 2.0).where("a_id < b_id")
     shared = S.overlap(F.col("a_on"), F.col("a_end"), F.col("b_on"), F.col("b_end"))
     return both.withColumn("shared", shared).withColumn("a_len", F.col("a_end") - F.col("a_on")).withColumn("b_len", F.col("b_end") - F.col("b_on"))
@@ -183,13 +226,17 @@ def overlapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("a_id", "b_id", F.round("shared", 9).alias("shared"), S.meaningful(F.col("shared"), F.col("a_len"), F.col("b_len")).alias("meaningful"))
 
 
-@query(PAIRS + """SELECT DISTINCT ghost FROM (SELECT b_id AS ghost FROM pairs WHERE abs(b_pitch - a_pitch) IN (7, 5, 4) AND b_pitch > a_pitch AND shared >= 0.5 * b_len AND b_conf <= 0.6 * a_conf
-UNION ALL SELECT a_id FROM pairs WHERE abs(b_pitch - a_pitch) IN (7, 5, 4) AND a_pitch > b_pitch AND shared >= 0.5 * a_len AND a_conf <= 0.6 * b_conf)""")
+#: Semitones from a note to its overtones.
+OVERTONES = (12, 19, 24, 28, 31, 34, 36)
+
+
+@query(PAIRS + """SELECT DISTINCT ghost FROM (SELECT b_id AS ghost FROM pairs WHERE b_wide - a_wide IN (12, 19, 24, 28, 31, 34, 36) AND shared >= 0.5 * b_len AND b_conf <= 0.6 * a_conf
+UNION ALL SELECT a_id FROM pairs WHERE a_wide - b_wide IN (12, 19, 24, 28, 31, 34, 36) AND shared >= 0.5 * a_len AND a_conf <= 0.6 * b_conf)""")
 def ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overtone ghosts; intervals of a one-octave projection stand for those of the overtone series."""
-    p = overlapping(spark, sf_dir).where(F.abs(F.col("a_pitch") - F.col("b_pitch")).isin(7, 5, 4))
-    one = p.where((F.col("b_pitch") > F.col("a_pitch")) & (F.col("shared") >= 0.5 * F.col("b_len")) & (F.col("b_conf") <= 0.6 * F.col("a_conf"))).select(F.col("b_id").alias("ghost"))
-    two = p.where((F.col("a_pitch") > F.col("b_pitch")) & (F.col("shared") >= 0.5 * F.col("a_len")) & (F.col("a_conf") <= 0.6 * F.col("b_conf"))).select(F.col("a_id").alias("ghost"))
+    """Quiet notes that sound with a louder one of which they are an overtone; pitches are spread over four octaves."""
+    p = overlapping(spark, sf_dir)
+    one = p.where((F.col("b_wide") - F.col("a_wide")).isin(*OVERTONES) & (F.col("shared") >= 0.5 * F.col("b_len")) & (F.col("b_conf") <= 0.6 * F.col("a_conf"))).select(F.col("b_id").alias("ghost"))
+    two = p.where((F.col("a_wide") - F.col("b_wide")).isin(*OVERTONES) & (F.col("shared") >= 0.5 * F.col("a_len")) & (F.col("a_conf") <= 0.6 * F.col("b_conf"))).select(F.col("a_id").alias("ghost"))
     return one.union(two).distinct()
 
 
@@ -289,9 +336,11 @@ def placement_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.placement_errors(p, "t", "gap").select("track", F.round("t", 6).alias("t"), F.round("error", 6).alias("error"))
 
 
-@query(NOTES + "SELECT note_id FROM (SELECT note_id, pitch, median(pitch) OVER (PARTITION BY track ORDER BY onset RANGE BETWEEN 24.0 PRECEDING AND 24.0 FOLLOWING) AS mid FROM notes) WHERE pitch >= mid - 3")
+@query(NOTES + """, l AS (SELECT *, 20 * log10(confidence) AS db FROM notes WHERE confidence > 0)
+SELECT note_id FROM (SELECT note_id, pitch, db, median(pitch) OVER w AS mid, median(db) OVER w AS loud FROM l WINDOW w AS (PARTITION BY track ORDER BY onset RANGE BETWEEN 24.0 PRECEDING AND 24.0 FOLLOWING)) WHERE pitch >= mid - 3 AND round(db - loud, 9) >= -0.5""")
 def reject_line_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.reject_line_outliers(notes(spark, sf_dir), 24.0, 3.0).select("note_id")
+    n = notes(spark, sf_dir).where("confidence > 0").withColumn("db", 20 * F.log10("confidence"))
+    return windows.reject_line_outliers(n, 24.0, 3.0, "db", 0.5).select("note_id")
 
 
 _FOLD = """, v AS (SELECT note_id, pitch * 2 AS pitch, list_sort(list_concat(coalesce(list(pitch * 2) OVER (PARTITION BY track ORDER BY onset, note_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []),
@@ -384,12 +433,29 @@ def fill_short_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.fill_short_gaps(frames(spark, sf_dir), 2).select("track", "frame", "filled")
 
 
-@query(_FILLED + """, g AS (SELECT *, round_even(filled / 10, 0) AS near FROM filled), h AS (SELECT *, lag(near) OVER (PARTITION BY track ORDER BY frame) AS ln, row_number() OVER (PARTITION BY track ORDER BY frame) AS rn FROM g),
-i AS (SELECT *, sum(CASE WHEN near IS DISTINCT FROM ln OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) AS seg FROM h)
-SELECT track, round(min(frame) * 0.01::DOUBLE, 6) AS onset, round(count(*) * 0.01::DOUBLE, 6) AS duration, round_even(median(filled / 10), 0)::INT AS pitch, round(avg(periodicity), 6) AS confidence FROM i WHERE near IS NOT NULL GROUP BY track, seg HAVING count(*) >= 2""")
+_CUTS = _FILLED + """, v AS (SELECT *, sum(CASE WHEN filled IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY frame ROWS UNBOUNDED PRECEDING) AS run, round_even(filled / 10, 0) AS near,
+  level >= lag(level) OVER w AND level > lead(level) OVER w AND level >= avg(level) OVER (PARTITION BY track ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + 20000.0 AS onset FROM filled WINDOW w AS (PARTITION BY track ORDER BY frame)),
+r AS (SELECT *, min(frame) OVER (PARTITION BY track, run) AS start, lag(near) OVER (PARTITION BY track, run ORDER BY frame) AS ln FROM v WHERE filled IS NOT NULL),
+i AS (SELECT *, sum(CASE WHEN ln IS NULL OR near <> ln THEN 1 ELSE 0 END) OVER (PARTITION BY track, run ORDER BY frame ROWS UNBOUNDED PRECEDING) AS isle FROM r),
+s AS (SELECT track, run, isle, min(frame) AS frame, any_value(near) AS near, count(*) AS n FROM i GROUP BY track, run, isle),
+c AS (SELECT track, run, frame FROM (SELECT *, lag(near) OVER (PARTITION BY track, run ORDER BY isle) AS was FROM s WHERE n >= 2 OR isle = 1) WHERE was IS NOT NULL AND near <> was)"""
+
+
+@query(_CUTS + "SELECT track, frame FROM c")
+def persistent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a voiced run where another rounded pitch takes over for two frames or more."""
+    f = islands.fill_short_gaps(frames(spark, sf_dir), 2).withColumn("near", F.bround(F.col("filled") / 10))
+    return islands.persistent_changes(islands.in_runs(f, "filled"), "near", 2).select("track", "frame")
+
+
+@query(_CUTS + """, e AS (SELECT i.*, c.frame IS NOT NULL AS change, coalesce(onset, false) AND i.frame > start AS struck FROM i LEFT JOIN c ON c.track = i.track AND c.frame = i.frame),
+d AS (SELECT *, min(CASE WHEN change THEN frame END) OVER (PARTITION BY track, run) AS first_change, min(CASE WHEN struck THEN frame END) OVER (PARTITION BY track, run) AS first_struck FROM e),
+g AS (SELECT *, sum(CASE WHEN struck OR (change AND NOT (frame = first_change AND frame - start < 2 AND coalesce(first_struck > first_change, true))) THEN 1 ELSE 0 END) OVER (PARTITION BY track, run ORDER BY frame ROWS UNBOUNDED PRECEDING) AS seg FROM d)
+SELECT track, round(min(frame) * 0.01::DOUBLE, 6) AS onset, round(count(*) * 0.01::DOUBLE, 6) AS duration, round_even(median(filled / 10), 0)::INT AS pitch, round(avg(periodicity), 6) AS confidence FROM g GROUP BY track, run, seg HAVING count(*) >= 2""")
 def segment_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = islands.fill_short_gaps(frames(spark, sf_dir), 2).withColumn("filled", F.col("filled") / 10)
-    out = islands.segment_runs(f, 2, 0.01)
+    f = windows.peaks(frames(spark, sf_dir), "level", 5, 20000.0, edges=False).select("track", "frame", F.lit(True).alias("onset"))
+    f = islands.fill_short_gaps(frames(spark, sf_dir), 2).join(f, ["track", "frame"], "left").withColumn("filled", F.col("filled") / 10)
+    out = islands.segment_runs(f, 2, 2, 0.01)
     return out.withColumn("onset", F.round("onset", 6)).withColumn("duration", F.round("duration", 6))
 
 
@@ -444,12 +510,32 @@ def detect_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("track").agg(F.max_by("tonic", best).alias("tonic"), F.max_by("mode", best).alias("mode"), F.round(F.max("r"), 6).alias("r"))
 
 
-@query(NOTES + ", p AS (SELECT track, onset AS x, confidence AS y, row_number() OVER (PARTITION BY track ORDER BY onset, confidence) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM notes), q AS (SELECT * FROM p WHERE i % ceil(n / 40.0)::INT = 0), s AS (SELECT a.track, median((b.y - a.y) / (b.x - a.x)) AS slope FROM q a JOIN q b ON a.track = b.track AND a.i < b.i AND a.x <> b.x GROUP BY a.track) SELECT track, round(slope, 9) AS slope, round(median(y - slope * x), 6) AS intercept FROM q JOIN s USING (track) GROUP BY track, slope")
+_LINES = NOTES + """, p AS (SELECT track, onset AS x, confidence AS y FROM notes),
+pi AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY x, y) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM p),
+q AS (SELECT * FROM pi WHERE n <= 400 OR floor(ceil(i / (n / 400.0::DOUBLE)) * (n / 400.0::DOUBLE)) = i),
+s AS (SELECT a.track, median((b.y - a.y) / (b.x - a.x)) AS slope FROM q a JOIN q b ON a.track = b.track AND a.i < b.i AND a.x <> b.x GROUP BY a.track),
+line AS (SELECT track, slope, median(y - slope * x) AS intercept FROM q JOIN s USING (track) GROUP BY track, slope)"""
+
+
+@query(_LINES + "SELECT track, round(slope, 9) AS slope, round(intercept, 6) AS intercept FROM line")
 def theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.theil_sen(notes(spark, sf_dir), ["track"], "onset", "confidence")
     return out.select("track", F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
+@query(_LINES + """, k AS (SELECT p.track, x, y FROM p JOIN line USING (track) WHERE round(abs(y - (slope * x + intercept)), 9) <= 0.02),
+ki AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY x, y) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM k),
+kq AS (SELECT * FROM ki WHERE n <= 400 OR floor(ceil(i / (n / 400.0::DOUBLE)) * (n / 400.0::DOUBLE)) = i),
+ks AS (SELECT a.track, median((b.y - a.y) / (b.x - a.x)) AS slope FROM kq a JOIN kq b ON a.track = b.track AND a.i < b.i AND a.x <> b.x GROUP BY a.track),
+again AS (SELECT track, slope, median(y - slope * x) AS intercept, max(n) AS n FROM kq JOIN ks USING (track) GROUP BY track, slope)
+SELECT l.track, round(CASE WHEN a.n >= 10 THEN a.slope ELSE l.slope END, 9) AS slope, round(CASE WHEN a.n >= 10 THEN a.intercept ELSE l.intercept END, 6) AS intercept FROM line l LEFT JOIN again a USING (track)""")
+def inlier_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line again through the points that the first one passes near, where there are ten of them."""
+    p = notes(spark, sf_dir).select("track", F.col("onset").alias("x"), F.col("confidence").alias("y"))
+    out = stats.inlier_line(p, ["track"], "x", "y", 0.02, 10)
+    return out.select("track", F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
 @query(NOTES + """, n AS (SELECT source, confidence, pitch % 2 = 0 AS good FROM notes) SELECT a.source, round(sum(CASE WHEN a.confidence > b.confidence THEN 1.0 WHEN a.confidence = b.confidence THEN 0.5 ELSE 0 END) / count(*), 9) AS auc
 FROM n a JOIN n b ON a.source = b.source AND a.good AND NOT b.good GROUP BY a.source""")
 def confidence_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
