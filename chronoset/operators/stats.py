@@ -143,3 +143,15 @@ def inlier_line(points: DataFrame, keys: list[str], x: str, y: str, near: float,
     enough = kept.groupBy(*keys).count().where(F.col("count") >= least).drop("count")
     again = theil_sen(kept, keys, x, y).join(enough, keys).withColumnRenamed("slope", "__slope").withColumnRenamed("intercept", "__intercept")
     return first.join(again, keys, "left").select(*keys, F.coalesce("__slope", "slope").alias("slope"), F.coalesce("__intercept", "intercept").alias("intercept"))
+
+
+def order_statistic(rows: DataFrame, keys: list[str], value: str, part: float) -> DataFrame:
+    """(keys, value): the value at place floor(part * n) of a key's values in order, without interpolation; the last for part 1.
+
+    Values are counted first, so the running sum is over distinct ones.
+    """
+    by_value = rows.groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    place = F.least(total - 1, F.floor(total * part))
+    return by_value.withColumn("upto", upto).withColumn("place", place).where(F.col("upto") > F.col("place")).groupBy(*keys).agg(F.min("value").alias("value"))
