@@ -122,3 +122,20 @@ def meaningful(shared: Column, a: Column, b: Column, least: float = 0.06, share:
 def hash_share(key: Column, salt: str) -> Column:
     """A share in [0, 1) from a salted digest: the same for a key in every run and table."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(salt), F.lit("\0"), key).cast("binary"), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def swing_position(position: Column, late: float) -> Column:
+    """A notated position with its beat's offbeat that much later, linear within either half."""
+    beat = F.floor(position)
+    part = position - beat
+    return beat + F.when(part <= 0.5, part * (0.5 + late) / 0.5).otherwise(0.5 + late + (part - 0.5) * (0.5 - late) / 0.5)
+
+
+def is_faint(duration: Column, confidence: Column, longest: float = 0.08, most: float = 0.4) -> Column:
+    """Short and unsure."""
+    return (duration < longest) & (confidence < most)
+
+
+def fifths(semitones: Column) -> Column:
+    """How far a key signature moves with a part that many semitones up, from five flats to six sharps."""
+    return F.pmod(7 * F.pmod(semitones, F.lit(12)) + 5, F.lit(12)) - 5

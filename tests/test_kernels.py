@@ -107,3 +107,19 @@ def test_line():
 
 def test_two_voices():
     assert K.two_voices([(0.0, 2.0, 60), (0.5, 1.5, 72), (3.0, 4.0, 50)]) == [2, 1, 1]
+
+
+def test_fewest_moves():
+    r = random.Random(8)
+    for _ in range(80):
+        n = r.randint(1, 7)
+        ours, theirs = sorted(r.randrange(12) / 2 for _ in range(n)), sorted(r.randrange(12) / 2 for _ in range(n))
+        off = [r.random() < 0.3 for _ in range(n)]
+        best = None
+        for kept in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(1, n + 1)):
+            shifts = sum(abs((ours[b] - ours[a]) - (theirs[b] - theirs[a])) > 0.125 for a, b in zip(kept, kept[1:], strict=False))
+            cost = n - len(kept) + shifts + off[kept[0]]
+            best = cost if best is None else min(best, cost)
+        assert K.fewest_moves(ours, theirs, off=off)[0] == best
+    assert K.fewest_moves([], []) == (0, 0, 0) and K.fewest_moves([0, 1, 2.5, 3.5], [0, 1, 2, 3])[0] == 1
+    assert K.edits([(0, 1, 60), (1, 1, 62)], [(0, 1, 60), (1, 2, 62), (3, 1, 65)]) == (0, 1, 0, 0, 1)
