@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TICK = 1e-6
@@ -139,3 +139,16 @@ def is_faint(duration: Column, confidence: Column, longest: float = 0.08, most:
 def fifths(semitones: Column) -> Column:
     """How far a key signature moves with a part that many semitones up, from five flats to six sharps."""
     return F.pmod(7 * F.pmod(semitones, F.lit(12)) + 5, F.lit(12)) - 5
+
+
+def parse_chart(charts: DataFrame) -> DataFrame:
+    """(chart, bar, place, symbol, root, quality, bass) of charts (chart, text): bars between |, symbols between spaces; % is the bar before."""
+    bars = F.filter(F.transform(F.split("text", r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    b = charts.select("chart", F.posexplode(bars).alias("bar", "body")).withColumn("bar", F.col("bar") + 1)
+    so_far = Window.partitionBy("chart").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("body", F.last(F.when(F.col("body") != "%", F.col("body")), ignorenulls=True).over(so_far))
+    s = b.select("chart", "bar", F.posexplode(F.split("body", " ")).alias("place", "symbol")).withColumn("place", F.col("place") + 1)
+    part = lambda i: F.regexp_extract("symbol", r"^([A-G])(#|b)?(.*?)(?:/([A-G](?:#|b)?))?$", i)
+    root = F.instr(F.lit("C.D.EF.G.A.B"), part(1)) - 1
+    sign = F.when(part(2) == "#", 1).when(part(2) == "b", -1).otherwise(0)
+    return s.select("chart", "bar", "place", "symbol", F.pmod(root + sign, F.lit(12)).cast("int").alias("root"), part(3).alias("quality"), part(4).alias("bass"))
