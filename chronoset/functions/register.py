@@ -34,7 +34,7 @@ class ClusterOnsets:
 
 @udtf(returnType="place: int")
 class SegmentChangepoints:
-    """Where segments begin in a series, by least squares and a penalty."""
+    """Where segments but the first begin in a series, by least squares and a penalty."""
 
     def eval(self, values: list, penalty: float, least: int):  # noqa: ANN201
         for i in kernels.change_points(np.array(values or [], dtype=float).reshape(-1, 1), penalty, least):
@@ -80,7 +80,12 @@ def circular_mean_of(value: pd.Series) -> float:
     return float(np.arctan2(np.sin(turn).sum(), np.cos(turn).sum()) / (2 * np.pi)) if len(turn) else float("nan")
 
 
+#: The place of the last of an array of times that is no later: an SQL function, as an expression.
+AS_OF_BEAT = "CREATE OR REPLACE TEMPORARY FUNCTION as_of_beat(t DOUBLE, beats ARRAY<DOUBLE>) RETURNS INT RETURN nullif(size(filter(beats, b -> b <= t)), 0) - 1"
+
+
 def register(spark: SparkSession) -> None:
+    spark.sql(AS_OF_BEAT)
     for name, f in (("align_tokens", AlignTokens), ("cluster_onsets", ClusterOnsets), ("segment_changepoints", SegmentChangepoints)):
         spark.udtf.register(name, f)
     for name, f in (("theil_sen_slope", theil_sen_slope), ("dominant_phase_of", dominant_phase_of), ("circular_mean_of", circular_mean_of)):

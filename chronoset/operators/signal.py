@@ -36,14 +36,30 @@ def cepstra(bands: np.ndarray, count: int) -> np.ndarray:
     return np.log(np.maximum(bands, 1e-12)) @ basis
 
 
+def separated_peaks(strength: np.ndarray, separation: int, window: int, above: float) -> list[int]:
+    """Inner local maxima `above` or more over the mean within `window`, each `separation` or more after the last one taken."""
+    n = len(strength)
+    if n < 3:
+        return []
+    sums = np.concatenate(([0.0], np.cumsum(strength)))
+    at = np.arange(n)
+    lo, hi = np.maximum(at - window, 0), np.minimum(at + window + 1, n)
+    over = strength - (sums[hi] - sums[lo]) / (hi - lo) >= above - 1e-12
+    top = np.zeros(n, dtype=bool)
+    top[1:-1] = (strength[1:-1] >= strength[:-2]) & (strength[1:-1] > strength[2:])
+    found, out, i = np.flatnonzero(top & over), [], 0
+    while i < len(found):
+        out.append(int(found[i]))
+        i = int(np.searchsorted(found, found[i] + separation))
+    return out
+
+
 def flux_onsets(power: np.ndarray, separation: int, window: int = 3, above: float = 0.1) -> list[int]:
     """Peaks of the summed rises of log power."""
-    from .kernels import pick_peaks
-
     logs = np.log1p(power)
     rise = np.concatenate(([0.0], np.maximum(np.diff(logs, axis=0), 0).sum(axis=1))) if len(power) else np.zeros(0)
     top = rise.max() if len(rise) else 0
-    return pick_peaks(rise / top if top > 0 else rise, separation, window, above)
+    return separated_peaks(rise / top if top > 0 else rise, separation, window, above)
 
 
 def harmonic_energy(power: np.ndarray, rate: int, midi: np.ndarray, harmonics: int = 4) -> np.ndarray:
@@ -79,13 +95,23 @@ def decode_posteriors(frames: np.ndarray, onsets: np.ndarray, onset_level: float
     return sorted(out)
 
 
-def drop_doubled(beats: list[float], tolerance: float = 0.15) -> list[float]:
-    """Beats without those too close to the last one kept, against the median interval of what is kept so far."""
-    out: list[float] = []
-    for t in beats:
-        if len(out) > 1:
-            usual = float(np.median(np.diff(out)))
-            if t - out[-1] < usual * (0.5 + tolerance):
-                continue
-        out.append(t)
-    return out
+def drop_doubled(beats: np.ndarray, pulses: np.ndarray, tolerance: float = 0.15, fit: float = 0.15, frame: float = 0.02, short: float = 0.75, most: float = 1.4) -> list[float]:
+    """Beats without the middle ones of two intervals that make one pulse together, or of a short pair between ordinary intervals.
+
+    pulses: the reference of the interval after each beat but the last. The interval before a beat is from the last beat kept.
+    """
+    n = len(beats)
+    if n < 4:
+        return [float(t) for t in beats]
+    after = np.diff(beats)
+    kept = [0]
+    for i in range(1, n - 1):
+        p, left, right = pulses[i], beats[i] - beats[kept[-1]], after[i]
+        pair = abs(left + right - p) <= fit * p + frame and min(left, right) < short * p
+        usual = len(kept) > 1 and abs(beats[kept[-1]] - beats[kept[-2]] - p) <= tolerance * p
+        # the interval after the next beat, against this one's pulse
+        next_usual = i + 2 < n and abs(after[i + 1] - p) <= tolerance * p
+        ragged = usual and next_usual and max(left, right) < short * p and left + right <= most * p
+        if p <= 0 or not (pair or ragged):
+            kept.append(i)
+    return [float(beats[i]) for i in [*kept, n - 1]]

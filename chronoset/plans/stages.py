@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -20,6 +21,15 @@ def stage_key(upstream: str, name: str, config: Mapping[str, Any]) -> str:
     return hashlib.sha256("\0".join([upstream, name, canonical(config)]).encode()).hexdigest()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one of spark.checkpoint.dir, or, where all run on this machine, a new one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="stages-")
+
+
 def data_digest(df: DataFrame) -> str:
     """A digest of the rows, whatever their order or partitions: for stages whose upstream isn't deterministic."""
     row = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("x"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("s")).first()

@@ -11,7 +11,8 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def parse_musicxml(content: bytes) -> list[dict]:
@@ -51,6 +52,58 @@ def parse_musicxml(content: bytes) -> list[dict]:
     return out
 
 
+#: Lengths in quarters of the names that scores use.
+QUARTERS = {"long": 16.0, "breve": 8.0, "whole": 4.0, "half": 2.0, "quarter": 1.0, "eighth": 0.5, "16th": 0.25, "32nd": 0.125, "64th": 0.0625, "128th": 0.03125}
+_GRACES = ("acciaccatura", "appoggiatura", "grace4", "grace16", "grace32", "grace8after", "grace16after", "grace32after")
+
+
+def parse_musescore(content: bytes) -> list[dict]:
+    """The same rows of a MuseScore file, plain XML or zipped: chords and rests of each voice, with dots, tuplets and ties; grace notes
+    take no time. A bar is as long as its longest voice, and no shorter than its `len` or the metre."""
+    if content[:2] == b"PK":
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = [n for n in z.namelist() if n.lower().endswith(".mscx")]
+            content = z.read(names[0]) if names else b"<museScore/>"
+    fraction = lambda text: float(text.split("/")[0]) / float(text.split("/")[1]) * 4
+    out = []
+    for part, staff in enumerate(s for s in ElementTree.fromstring(content).iter("Staff") if s.find("Measure") is not None):
+        start, metre = 0.0, 4.0
+        for measure in staff.iter("Measure"):
+            for sign in measure.iter("TimeSig"):
+                metre = 4.0 * float(sign.findtext("sigN") or 4) / float(sign.findtext("sigD") or 4)
+            reach = fraction(measure.get("len")) if measure.get("len") else metre
+            for number, voice in enumerate(measure.findall("voice") or [measure]):
+                at, ratio = 0.0, [1.0]
+                for e in voice:
+                    if e.tag == "Tuplet":
+                        ratio.append(ratio[-1] * float(e.findtext("normalNotes") or 1) / float(e.findtext("actualNotes") or 1))
+                    elif e.tag == "endTuplet":
+                        ratio = ratio[:-1] or [1.0]
+                    elif e.tag in ("Chord", "Rest"):
+                        name = e.findtext("durationType") or ""
+                        size = metre if name == "measure" else QUARTERS.get(name, 0.0) * (2 - 0.5 ** int(e.findtext("dots") or 0)) * ratio[-1]
+                        grace = any(e.find(g) is not None for g in _GRACES)
+                        for note in e.findall("Note"):
+                            tied = any(s.get("type") == "Tie" and s.find("prev") is not None for s in note.findall("Spanner"))
+                            out.append({"part": str(part + 1), "voice": str(number + 1), "position": start + at, "duration": 0.0 if grace else size, "pitch": int(note.findtext("pitch") or 0), "tie_stop": tied, "grace": grace})
+                        at += 0.0 if grace else size
+                reach = max(reach, at)
+            start += reach
+    return out
+
+
+def melody(score: DataFrame) -> DataFrame:
+    """(path, position, duration, pitch) of read_scores(): ties of a pitch merged, then the top note of each position; graces left out.
+
+    A tied note goes on one that ends where it begins.
+    """
+    w = Window.partitionBy("path", "part", "voice", "pitch").orderBy("position")
+    goes_on = F.col("tie_stop") & F.coalesce(F.abs(F.lag(F.col("position") + F.col("duration")).over(w) - F.col("position")) < 1e-6, F.lit(False))
+    chain = score.where("not grace").withColumn("chain", F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = chain.groupBy("path", "part", "voice", "pitch", "chain").agg(F.min("position").alias("position"), F.sum("duration").alias("duration"))
+    return whole.groupBy("path", F.round("position", 6).alias("position")).agg(F.max_by("duration", F.struct("pitch", "duration")).alias("duration"), F.max("pitch").alias("pitch"))
+
+
 def write_musicxml(notes: list[tuple[float, float, int]], beats: int = 4, title: str = "") -> str:
     """A one-part MusicXML document of (position, duration, pitch) in quarters; a note over a bar line is tied; 480 divisions."""
     names = (("C", 0), ("C", 1), ("D", 0), ("D", 1), ("E", 0), ("F", 0), ("F", 1), ("G", 0), ("G", 1), ("A", 0), ("A", 1), ("B", 0))
@@ -170,10 +223,29 @@ def write_midi(notes: list[tuple[float, float, int, int]]) -> bytes:
     return b"MThd" + struct.pack(">IHHH", 6, 0, 1, 480) + b"MTrk" + struct.pack(">I", len(body)) + bytes(body)
 
 
-def parse_wav(content: bytes, window: int = 1024) -> list[dict]:
-    """(window, rms, peak) of a 16-bit PCM file's mono mean, whole windows only."""
+def read_pcm(content: bytes, rate: int | None = None) -> tuple[np.ndarray, int]:
+    """A 16-bit PCM file as mono from -1 to 1 and its rate: averaged over channels, and over as many samples as go into `rate`."""
     with wave.open(io.BytesIO(content)) as w:
-        x = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768.0
+        if w.getsampwidth() != 2:
+            raise ValueError(f"16-bit PCM expected, found {8 * w.getsampwidth()}-bit")
+        native, channels = w.getframerate(), w.getnchannels()
+        x = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2").reshape(-1, channels).mean(axis=1) / 32768.0
+    step = max(1, native // rate) if rate else 1
+    return x[: len(x) // step * step].reshape(-1, step).mean(axis=1), native // step
+
+
+def write_pcm(x: np.ndarray, rate: int) -> bytes:
+    """A mono 16-bit PCM file of integer samples."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setparams((1, 2, rate, 0, "NONE", ""))
+        w.writeframes(np.asarray(x).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def parse_wav(content: bytes, window: int = 1024, rate: int | None = None) -> list[dict]:
+    """(window, rms, peak) of a 16-bit PCM file's mono mean, whole windows only."""
+    x, _ = read_pcm(content, rate)
     n = len(x) // window
     x = x[: n * window].reshape(n, window)
     return [{"window": i, "rms": float(np.sqrt((v * v).mean())), "peak": float(np.abs(v).max())} for i, v in enumerate(x)]
@@ -197,6 +269,30 @@ def read_files(spark: SparkSession, path: str, glob: str, parse: Callable[[bytes
     return files.select("path", "content").mapInPandas(rows, schema)
 
 
+def read_musescore(spark: SparkSession, path: str, glob: str = "*.{mscx,mscz}") -> DataFrame:
+    return read_files(spark, path, glob, parse_musescore, SCORE)
+
+
+def read_json(spark: SparkSession, path: str, schema: str, older: str | None = None) -> DataFrame:
+    """One row of settings (a split, a sidecar) from a JSON file, each field null where it isn't there; fields that are null are taken
+    from the file `older`, if one is named."""
+    new = spark.read.schema(schema).json(path, multiLine=True)
+    if older is None:
+        return new
+    old = spark.read.schema(schema).json(older, multiLine=True)
+    names = new.columns
+    both = new.select(F.lit(1).alias("k"), *names).join(old.select(F.lit(1).alias("k"), *[F.col(c).alias(f"__{c}") for c in names]), "k", "full")
+    return both.select(*[F.coalesce(c, f"__{c}").alias(c) for c in names])
+
+
+def inventory(spark: SparkSession, path: str, levels: int = 1) -> DataFrame:
+    """(folder, files, bytes) below path, by its first `levels` folders; the files' contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    inner = F.regexp_replace("path", f"^.*?{path.rstrip('/')}/", "")
+    folder = F.array_join(F.slice(F.split(inner, "/"), 1, F.least(F.lit(levels), F.size(F.split(inner, "/")) - 1)), "/")
+    return files.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
 def read_scores(spark: SparkSession, path: str, glob: str = "*.{xml,musicxml,mxl}") -> DataFrame:
     return read_files(spark, path, glob, parse_musicxml, SCORE)
 

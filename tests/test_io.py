@@ -38,6 +38,52 @@ def test_wav(spark, tmp_path):
     assert [(r.window, r.rms, r.peak) for r in got] == [(0, 0.5, 0.5), (1, 0.5, 0.5)]
 
 
+def test_pcm_at_another_rate():
+    x = np.arange(1000) - 500
+    got, rate = A.read_pcm(A.write_pcm(x, 8000), 2000)
+    assert rate == 2000 and np.allclose(got, x.reshape(-1, 4).mean(axis=1) / 32768) and np.allclose(A.read_pcm(A.write_pcm(x, 8000))[0] * 32768, x)
+
+
+SCORE = """<museScore><Score><Part/><Staff id="1"><Measure><voice>
+<TimeSig><sigN>3</sigN><sigD>4</sigD></TimeSig>
+<Chord><durationType>quarter</durationType><dots>1</dots><Note><pitch>60</pitch></Note><Note><pitch>64</pitch></Note></Chord>
+<Chord><acciaccatura/><durationType>eighth</durationType><Note><pitch>71</pitch></Note></Chord>
+<Rest><durationType>eighth</durationType></Rest>
+<Chord><durationType>quarter</durationType><Note><pitch>67</pitch><Spanner type="Tie"><next/></Spanner></Note></Chord></voice></Measure>
+<Measure><voice><Chord><durationType>quarter</durationType><Note><Spanner type="Tie"><prev/></Spanner><pitch>67</pitch></Note></Chord>
+<Tuplet><normalNotes>2</normalNotes><actualNotes>3</actualNotes></Tuplet>
+<Chord><durationType>eighth</durationType><Note><pitch>62</pitch></Note></Chord><Chord><durationType>eighth</durationType><Note><pitch>63</pitch></Note></Chord>
+<Rest><durationType>eighth</durationType></Rest><endTuplet/></voice></Measure></Staff></Score></museScore>"""
+
+
+def test_musescore(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "a.mscx").write_text(SCORE)
+    with zipfile.ZipFile(tmp_path / "b.mscz", "w") as z:
+        z.writestr("a.mscx", SCORE)
+    rows = A.read_musescore(spark, str(tmp_path))
+    want = [(0.0, 1.5, 60, False, False), (0.0, 1.5, 64, False, False), (1.5, 0.0, 71, False, True), (2.0, 1.0, 67, False, False), (3.0, 1.0, 67, True, False), (4.0, 0.333, 62, False, False), (4.333, 0.333, 63, False, False)]
+    for name in ("a.mscx", "b.mscz"):
+        got = sorted((round(r.position, 3), round(r.duration, 3), r.pitch, r.tie_stop, r.grace) for r in rows.where(F.col("path").endswith(name)).collect())
+        assert got == want
+    line = sorted((round(r.position, 3), round(r.duration, 3), r.pitch) for r in A.melody(rows.where(F.col("path").endswith(".mscx"))).collect())
+    assert line == [(0.0, 1.5, 64), (2.0, 2.0, 67), (4.0, 0.333, 62), (4.333, 0.333, 63)]
+    assert A.parse_musescore(b"<museScore/>") == []
+
+
+def test_settings_and_inventory(spark, tmp_path):
+    (tmp_path / "new.json").write_text('{"salt": "s",\n "dev": ["a", "b"]}')
+    (tmp_path / "old.json").write_text('{"salt": "t", "test_share": 0.2}')
+    kind = "salt string, test_share double, dev array<string>"
+    assert [tuple(r) for r in A.read_json(spark, str(tmp_path / "new.json"), kind).collect()] == [("s", None, ["a", "b"])]
+    assert [tuple(r) for r in A.read_json(spark, str(tmp_path / "new.json"), kind, str(tmp_path / "old.json")).collect()] == [("s", 0.2, ["a", "b"])]
+    for folder, size in (("x", 10), ("x/y", 5), ("z", 7)):
+        (tmp_path / "f" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "f" / folder / "a.bin").write_bytes(b"0" * size)
+    assert sorted(tuple(r) for r in A.inventory(spark, str(tmp_path / "f")).collect()) == [("x", 2, 15), ("z", 1, 7)]
+
+
 def test_stage_cache(spark, tmp_path):
     ran = []
 
@@ -83,3 +129,9 @@ def test_anchored_stream(spark, tmp_path):
     for k, clusters in by.items():
         own = sorted((r["first"], r.n) for r in got if r.k == k)
         assert own and all(tuple(c) in {(a, n) for a, n in clusters} for c in own)
+
+
+def test_sessions_stream_equals_batch(spark, tmp_path):
+    df, got = _stream(spark, tmp_path, lambda s: E.sessions(s, "ts", ["k"], "10 seconds", "5 seconds"), "append")
+    want = df.groupBy(F.session_window("ts", "10 seconds"), "k").count().select("k", "session_window.start", "session_window.end", "count").collect()
+    assert got and {tuple(r) for r in got} <= {tuple(r) for r in want}
