@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import error_queries, file_queries, grid_queries, kernel_queries, line_queries, notation_queries, note_queries, page_queries, record_queries, star_queries, text_queries  # noqa: E402,F401
+from . import error_queries, file_queries, grid_queries, kernel_queries, line_queries, notation_queries, note_queries, page_queries, place_queries, record_queries, star_queries, text_queries  # noqa: E402,F401
