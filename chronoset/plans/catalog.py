@@ -1,27 +1,6 @@
-"""The registered queries and the DuckDB SQL that has the same rows."""
+"""The registered queries and the DuckDB SQL that has the same rows: importing this module registers all of them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "swing_spans"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers the function under its name, with the DuckDB SQL that has its rows, if there is one."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        assert f.__name__ not in QUERIES, f.__name__
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-from . import error_queries, file_queries, grid_queries, kernel_queries, line_queries, notation_queries, note_queries, page_queries, place_queries, record_queries, star_queries, text_queries  # noqa: E402,F401
+from . import error_queries, file_queries, grid_queries, kernel_queries, line_queries, notation_queries, note_queries, page_queries, place_queries, record_queries, star_queries, text_queries  # noqa: F401
+from .registry import FLAGSHIP, ORACLE_SQL, QUERIES, query  # noqa: F401

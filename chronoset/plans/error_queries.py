@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import errors, joins, stats
 from ..sources.project import SQL, frames, notes
-from .catalog import query
+from .registry import query
 
 #: Frames of twelve tracks, one after another, are those of a recording; a frame is a tenth of a unit long.
 HOP = 0.1

@@ -11,12 +11,12 @@ from ..operators import kernels, signal
 from ..sources import adapters
 from ..sources.project import frames, notes, table
 from . import stages
-from .catalog import query
+from .registry import query
 from .grid_queries import ragged
 from .note_queries import FRAMES, NOTES
 
-#: A file holds sixteen hours of a track, so its size is bounded however long a track is.
-PART = 16.0
+#: A file holds 240 units of a track, so its size is bounded however long a track is.
+PART = 240.0
 
 
 def _files(rows: DataFrame, keys: list[str], write, parse, schema: str) -> DataFrame:  # noqa: ANN001
@@ -35,7 +35,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("start", F.col("onset") - F.col("part") * PART)
 
 
-@query(NOTES + """SELECT track, floor(onset / 16)::BIGINT AS part, pitch, round(round_even((onset - floor(onset / 16) * 16) * 960, 0) / 960, 6) AS onset, round(round_even((onset - floor(onset / 16) * 16 + duration) * 960, 0) / 960 - round_even((onset - floor(onset / 16) * 16) * 960, 0) / 960, 6) AS duration FROM notes WHERE duration > 0.01""")
+@query(NOTES + """SELECT track, floor(onset / 240)::BIGINT AS part, pitch, round(round_even((onset - floor(onset / 240) * 240) * 960, 0) / 960, 6) AS onset, round(round_even((onset - floor(onset / 240) * 240 + duration) * 960, 0) / 960 - round_even((onset - floor(onset / 240) * 240) * 960, 0) / 960, 6) AS duration FROM notes WHERE duration > 0.01""")
 def midi_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes through a MIDI file: times to a tick."""
 
@@ -47,7 +47,7 @@ def midi_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("onset", F.round("onset", 6)).withColumn("duration", F.round("duration", 6))
 
 
-@query(NOTES + """, p AS (SELECT track, floor(onset / 16)::BIGINT AS part, pitch, round_even((onset - floor(onset / 16) * 16) * 480, 0) AS a, round_even((onset - floor(onset / 16) * 16 + duration) * 480, 0) AS z FROM notes WHERE duration > 0.01)
+@query(NOTES + """, p AS (SELECT track, floor(onset / 240)::BIGINT AS part, pitch, round_even((onset - floor(onset / 240) * 240) * 480, 0) AS a, round_even((onset - floor(onset / 240) * 240 + duration) * 480, 0) AS z FROM notes WHERE duration > 0.01)
 SELECT track, part, pitch, round(a / 480, 6) AS position, round((z - a) / 480, 6) AS duration FROM p""")
 def score_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes through a score file, cut at its bar lines and tied together again."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import grid, islands, joins, stats
 from ..sources import project
 from ..sources.project import notes
-from .catalog import query
+from .registry import query
 from .note_queries import BEATS, NOTES, OWN, own_beats
 
 #: A beat in eleven is dropped, all lie a little off, one in seventeen has another one 5.0 behind it, and a third of the tracks slow down for a while.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import islands, kernels, windows
 from ..sources.project import frames, notes, table
-from .catalog import query
+from .registry import query
 from .note_queries import FRAMES, LINE, NOTES, line_and_oracle, voices
 
 
@@ -225,14 +225,5 @@ def paired_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = r.mapInPandas(draw, "draw int, n double, s double").groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))  # null where a draw is of nothing
     edge = lambda q: F.round(F.percentile("mean", q), 6)
     spread = means.agg(F.lit(1).alias("one"), edge(0.025).alias("low"), edge(0.975).alias("high"))  # one row
-    p = F.udf(sign_test, "double")
+    p = F.udf(kernels.sign_test, "double")
     return mean_change(spark, sf_dir).withColumn("p", p("up", "down")).withColumn("one", F.lit(1)).join(F.broadcast(spread), "one").drop("one")
-
-
-def sign_test(up: int, down: int) -> float:
-    """The two-sided exact binomial tail."""
-    from math import comb
-
-    n = up + down
-    return min(1.0, 2 * sum(comb(n, k) for k in range(min(up, down) + 1)) / 2**n) if n else 1.0
-

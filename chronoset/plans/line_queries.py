@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import islands, joins
 from ..sources.project import frames, notes, table
-from .catalog import query
+from .registry import query
 from .note_queries import BEATS, FRAMES, LINE, NOTES, OWN, PHASED, SAME_REC, line_and_oracle, own_beats, phased
 
 

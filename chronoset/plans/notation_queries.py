@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import islands, joins, notation
 from ..sources.project import notes
-from .catalog import query
+from .registry import query
 from .note_queries import LINE, NOTES, OWN, PHASED, SAME_REC, line_and_oracle, own_beats, phased
 
 _GRID = PHASED + """, per AS (SELECT track, beat_idx, list_sort(list(phase)) AS p FROM phased WHERE phase IS NOT NULL GROUP BY track, beat_idx),

@@ -9,7 +9,7 @@ from ..functions import scalar as S
 from ..operators import islands, joins, sets, stats, windows
 from ..sources import project
 from ..sources.project import beats, frames, notes, with_sql
-from .catalog import query
+from .registry import query
 
 NOTES, BEATS, FRAMES = with_sql("notes"), with_sql("notes", "beats"), with_sql("frames")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import islands, kernels, pages
 from ..sources.project import notes, table
-from .catalog import query
+from .registry import query
 from .kernel_queries import _lists
 from .note_queries import NOTES, PHASED, phased
 

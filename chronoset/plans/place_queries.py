@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, places, stats
 from ..sources.project import frames, notes, table
-from .catalog import query
+from .registry import query
 from .grid_queries import RAGGED, ragged
 from .kernel_queries import _GREEDY, _pairs
 from .note_queries import _LINES, BEATS, FRAMES, NOTES, PHASED, line_and_oracle, phased

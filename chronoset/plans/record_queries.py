@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import islands, joins, voices
 from ..sources.project import beats, frames, notes, table
-from .catalog import query
+from .registry import query
 from .kernel_queries import _GREEDY, _pairs
 from .note_queries import BEATS, FRAMES, NOTES, PAIRS, PHASED, line_and_oracle, overlapping, phased
 from .notation_queries import _PHRASES, _spans

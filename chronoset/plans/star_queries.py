@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import joins, sets
 from ..sources.project import table
-from .catalog import query
+from .registry import query
 
 _TIES = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
 _TIES_SQL = ", ".join(_TIES)

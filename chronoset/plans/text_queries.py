@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sets, stats
 from ..sources.project import table
-from .catalog import query
+from .registry import query
 
 
 @query("""WITH s AS (SELECT doc_id, text FROM documents WHERE length(text) IN (SELECT length(text) FROM documents GROUP BY 1 HAVING count(*) > 1)), d AS (SELECT sha256(text) AS digest, doc_id FROM s)
