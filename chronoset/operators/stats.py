@@ -89,25 +89,40 @@ def standardize(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.withColumn("standard", F.when(sd > 0, (F.col(value) - F.avg(value).over(own)) / sd).otherwise(0.0))
 
 
-def mid_rank_auc(rows: DataFrame, keys: list[str], score: str, good: str) -> DataFrame:
+def running_sum(rows: DataFrame, keys: list[str], order: str, value: str, name: str, cell: float | None = None) -> DataFrame:
+    """rows with `name`: the sum of `value` over the rows of a key (not null) that come before, rows of a key differing in `order`.
+
+    cell: the width of `order` that one task sorts of a key; sums of whole cells, one row a cell, are carried. Without it a key is one
+    sorted window.
+    """
+    before = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if cell is None:
+        return rows.withColumn(name, before(Window.partitionBy(*keys).orderBy(order)))
+    dealt = rows.withColumn("__cell", F.floor(F.col(order) / cell))
+    cells = dealt.groupBy(*keys, "__cell").agg(F.sum(value).alias(value))
+    cells = cells.withColumn("__base", before(Window.partitionBy(*keys).orderBy("__cell"))).drop(value)
+    out = dealt.join(cells, [*keys, "__cell"]).withColumn(name, F.col("__base") + before(Window.partitionBy(*keys, "__cell").orderBy(order)))
+    return out.drop("__cell", "__base")
+
+
+def mid_rank_auc(rows: DataFrame, keys: list[str], score: str, good: str, cell: float | None = None) -> DataFrame:
     """(keys, auc): the chance that a good row scores higher, ties counting half; null without both kinds.
 
-    Rows are counted by score first, so the ranks are running sums over distinct scores.
+    Rows are counted by score first, so the ranks are running sums over distinct scores; cell as in running_sum().
     """
-    by_score = rows.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(good).cast("long")).alias("g"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("bad", F.col("n") - F.col("g")).withColumn("below", F.coalesce(F.sum("bad").over(w), F.lit(0)))
+    by_score = rows.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(good).cast("long")).alias("g")).withColumn("bad", F.col("n") - F.col("g"))
+    ranked = running_sum(by_score, keys, score, "bad", "below", cell)
     u = F.sum(F.col("g") * (F.col("below") + F.col("bad") / 2.0))
     pairs = F.sum("g") * F.sum("bad")
     return ranked.groupBy(*keys).agg(F.when(pairs > 0, u / pairs).alias("auc"))
 
 
-def share_in_lowest(rows: DataFrame, keys: list[str], score: str, flag: str, part: float) -> DataFrame:
+def share_in_lowest(rows: DataFrame, keys: list[str], score: str, flag: str, part: float, cell: float | None = None) -> DataFrame:
     """(keys, share): the part of flagged rows among the lowest `part` of scores; a tie across the cut counts in proportion."""
     by_score = rows.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(flag).cast("long")).alias("f"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    out = by_score.withColumn("left", F.greatest(F.lit(0.0), part * total - F.coalesce(F.sum("n").over(w), F.lit(0))))
+    total = by_score.groupBy(*keys).agg(F.sum("n").alias("total"))
+    out = running_sum(by_score, keys, score, "n", "before", cell).join(total, keys)
+    out = out.withColumn("left", F.greatest(F.lit(0.0), part * F.col("total") - F.col("before")))
     taken = F.sum(F.col("f") * F.least(F.lit(1.0), F.col("left") / F.col("n")))
     return out.groupBy(*keys).agg(F.when(F.sum("f") > 0, taken / F.sum("f")).alias("share"))
 
@@ -145,13 +160,13 @@ def inlier_line(points: DataFrame, keys: list[str], x: str, y: str, near: float,
     return first.join(again, keys, "left").select(*keys, F.coalesce("__slope", "slope").alias("slope"), F.coalesce("__intercept", "intercept").alias("intercept"))
 
 
-def order_statistic(rows: DataFrame, keys: list[str], value: str, part: float) -> DataFrame:
+def order_statistic(rows: DataFrame, keys: list[str], value: str, part: float, cell: float | None = None) -> DataFrame:
     """(keys, value): the value at place floor(part * n) of a key's values in order, without interpolation; the last for part 1.
 
     Values are counted first, so the running sum is over distinct ones.
     """
     by_value = rows.groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    place = F.least(total - 1, F.floor(total * part))
-    return by_value.withColumn("upto", upto).withColumn("place", place).where(F.col("upto") > F.col("place")).groupBy(*keys).agg(F.min("value").alias("value"))
+    total = by_value.groupBy(*keys).agg(F.sum("n").alias("total"))
+    place = F.least(F.col("total") - 1, F.floor(F.col("total") * part))
+    upto = running_sum(by_value, keys, "value", "n", "before", cell).join(total, keys)
+    return upto.where(F.col("before") + F.col("n") > place).groupBy(*keys).agg(F.min("value").alias("value"))

@@ -540,7 +540,7 @@ def inlier_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM n a JOIN n b ON a.source = b.source AND a.good AND NOT b.good GROUP BY a.source""")
 def confidence_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = notes(spark, sf_dir).withColumn("good", F.col("pitch") % 2 == 0)
-    return stats.mid_rank_auc(n, ["source"], "confidence", "good").withColumn("auc", F.round("auc", 9))
+    return stats.mid_rank_auc(n, ["source"], "confidence", "good", cell=1 / 256).withColumn("auc", F.round("auc", 9))
 
 
 @query(NOTES + """, n AS (SELECT source, round(confidence, 1) AS c, (pitch % 3 = 0)::INT AS f FROM notes), g AS (SELECT source, c, count(*) AS n, sum(f) AS f FROM n GROUP BY ALL),
@@ -548,7 +548,7 @@ h AS (SELECT *, greatest(0.0, 0.2 * sum(n) OVER (PARTITION BY source) - coalesce
 SELECT source, round(sum(f * least(1.0, room / n)) / sum(f), 9) AS share FROM h GROUP BY source""")
 def share_in_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = notes(spark, sf_dir).select("source", F.round("confidence", 1).alias("c"), (F.col("pitch") % 3 == 0).alias("flag"))
-    return stats.share_in_lowest(n, ["source"], "c", "flag", 0.2).withColumn("share", F.round("share", 9))
+    return stats.share_in_lowest(n, ["source"], "c", "flag", 0.2, cell=1 / 16).withColumn("share", F.round("share", 9))
 
 
 @query(NOTES + ", c AS (SELECT source, pitch, count(*) AS n FROM notes GROUP BY ALL), p AS (SELECT source, n / sum(n) OVER (PARTITION BY source) AS p FROM c) SELECT source, round(sum(-p * log2(p)), 9) AS bits FROM p GROUP BY source")
