@@ -325,3 +325,27 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     own = docs.columns
     plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(own)])
     return find_contamination(plain, items).where(~is_contaminated()).select(*plain.columns).toDF(*own)
+
+
+#: DuckDB: the digest columns of op3 from find_contamination(), by equality of whole windows.
+HITS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), i AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, k, k + 12), ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM b WHERE len(w) > 0)
+), g AS (
+  SELECT r, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)
+), m AS (SELECT r, k, i.n, item_id FROM g JOIN i ON i.n = g.n AND i.g = g.g
+), h AS (SELECT r, count(DISTINCT k + j) AS hit FROM (SELECT DISTINCT r, k, n FROM m), range(13) t(j) WHERE j < n GROUP BY r
+), t AS (SELECT r, count(*) AS items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT r, item_id::VARCHAR AS name FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(hit, 0)::BIGINT AS n_hit, COALESCE(items, 0)::BIGINT AS n_items, sha256(COALESCE(names, '')) AS items_sha256,
+       COALESCE(hit, 0) > 0 AND 20 * COALESCE(hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""

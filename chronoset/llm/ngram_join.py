@@ -215,3 +215,23 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     order = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(c) for c in plain.columns]))
     once = plain.where(F.col(key).isNotNull()).withColumn("row", F.row_number().over(order)).where("row = 1").drop("row")
     return once.union(plain.where(F.col(key).isNull())).toDF(*names)
+
+
+#: DuckDB: the rows of near_duplicates() for runs of 4 words and a similarity of 85 in 100, by counting what each two sets share.
+LINKS_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 3), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r
+), p AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r
+), e AS (SELECT x, y FROM p JOIN n u ON u.r = x JOIN n v ON v.r = y WHERE 100 * shared >= 85 * (u.n + v.n - shared)
+), links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), reach(a, b) AS (SELECT r, r FROM n UNION SELECT reach.a, links.y FROM reach JOIN links ON links.x = reach.b
+), c AS (SELECT a AS r, min(d.doc_id) AS component FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN doc_id ELSE c.component END AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, hash_forest, html, language, licenses, mixture, quality, secrets, toxicity
 from .common import held_out, load, remainder
-from .ngram_join import near_duplicates
+from .ngram_join import LINKS_SQL, near_duplicates
 
 #: A score of this or more is class 1.
 YES = 0.7
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_secret_scan, op7_weighted_fair_mix, op8_layout_html_text, op9_license_scan, op10_discriminant_quality,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_weighted_fair_mix": mixture.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": LINKS_SQL, "op3_benchmark_decontamination": decontaminate.HITS_SQL, "op7_weighted_fair_mix": mixture.MIX_SQL}
