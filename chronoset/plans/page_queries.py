@@ -202,7 +202,29 @@ def edit_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).mapInPandas(run, "o_orderkey long, insertions long, deletions long, pitch long, position long, value long")
 
 
-@query(_WRITTEN + """, s AS (SELECT track, sum(len * pitch) / sum(len) AS mean, sum(len) AS total FROM ev WHERE len > 0 GROUP BY track), c AS (SELECT track, pitch, sum(len) AS w FROM ev WHERE len > 0 GROUP BY ALL),
+@query()
+def score_against_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the next order's line one order's covers, and how far rhythm and values agree."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        line = lambda v, k: [(i * 0.5 + x % k * 0.25, (x % (k + 1) + 1) / 4, x % 12) for i, x in enumerate(v)]
+        for b in batches:
+            rows = [(key, *kernels.page_score(line(x, 3), line(y, 2))) for key, x, y in zip(b["o_orderkey"], b["seq"], b["other"], strict=True)]
+            yield pd.DataFrame(rows, columns=["o_orderkey", "coverage", "rhythm", "value", "shift"])
+
+    return _lists(spark, sf_dir).mapInPandas(run, "o_orderkey long, coverage double, rhythm double, value double, shift long")
+
+
+@query(_WRITTEN + """SELECT track, string_agg('Note ' || pitch || ' ' || round_even((bar * 4 + beat) * 500, 0)::BIGINT || ' ' || round_even(len * 500, 0)::BIGINT, chr(10) ORDER BY bar, beat, note_id) AS lines FROM ev WHERE len > 0 GROUP BY track""")
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page as lines of text for a scoring tool, 500 ms a quarter."""
+    ms = lambda x: F.bround(x * 500).cast("long").cast("string")
+    text = F.concat_ws(" ", F.lit("Note"), F.col("pitch").cast("string"), ms(F.col("bar") * 4 + F.col("beat")), ms(F.col("len")))
+    rows = F.array_sort(F.collect_list(F.struct("bar", "beat", "note_id", text.alias("line"))))
+    return written(spark, sf_dir).where("len > 0").groupBy("track").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("lines"))
+
+
+@query(_WRITTEN + """, c AS (SELECT track, pitch, sum(len) AS w FROM ev WHERE len > 0 GROUP BY ALL),
 q AS (SELECT track, pitch, sum(w) OVER (PARTITION BY track ORDER BY pitch) AS upto, sum(w) OVER (PARTITION BY track) AS total FROM c), m AS (SELECT track, min(pitch) AS mid FROM q WHERE upto >= total / 2 GROUP BY track)
 SELECT track, mid, CASE WHEN mid < 54 THEN 'bass' ELSE 'treble' END AS clef FROM m""")
 def clefs(spark: SparkSession, sf_dir: str) -> DataFrame:

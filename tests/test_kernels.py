@@ -105,6 +105,14 @@ def test_line():
     assert K.pick_line([]) == []
 
 
+def test_page_score():
+    page = [(0, 1, 60), (1, 1, 62), (2, 0.5, 64), (2.5, 0.5, 65), (3, 1, 67)]
+    assert K.page_score(page, page) == (1.0, 1.0, 1.0, 0)
+    moved = [(p + (p > 1.5) * 0.5, d, q - 2) for p, d, q in page]
+    assert K.page_score(moved, page) == (1.0, 0.75, 1.0, 2)
+    assert K.page_score(page[:2], page) == (0.4, 1.0, 1.0, 0) and K.page_score([], page) == (0.0, 0.0, 0.0, 0)
+
+
 def test_two_voices():
     assert K.two_voices([(0.0, 2.0, 60), (0.5, 1.5, 72), (3.0, 4.0, 50)]) == [2, 1, 1]
 
