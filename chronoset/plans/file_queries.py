@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import kernels, signal
 from ..sources import adapters
 from ..sources.project import frames, notes, table
@@ -145,3 +146,48 @@ def drop_doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"track": g["track"].iloc[0], "t": signal.drop_doubled(t, g["pulse"].to_numpy()[:-1])})
 
     return kernels.per_group(both, ["track"], ["t"], run, "track long, t double")
+
+
+@query(NOTES + "SELECT note_id, round_even(1200.0 * log2(440.0 * pow(2.0, (pitch - 69.0) / 12.0) / 32.70319566257483) / 20.0, 0)::INT AS bin FROM notes")
+def hz_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pitch bin of each note, twenty cents wide."""
+    return notes(spark, sf_dir).select("note_id", S.hz_to_bin(S.midi_to_hz(F.col("pitch"))).alias("bin"))
+
+
+@query()
+def refined_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likely path through pitch bins of each track's frames, each bin refined by the weights around it."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        p = g["pitch"].to_numpy(dtype=float)
+        weights = np.exp(-0.5 * ((np.arange(50)[None, :] + 1 - np.nan_to_num(p, nan=25.0)[:, None] - 0.3) / np.where(np.isnan(p), 50.0, 2.0)[:, None]) ** 2)
+        path = kernels.viterbi(np.log(weights + 1e-9), 0.02)
+        return pd.DataFrame({"track": g["track"], "frame": g["frame"], "cents": np.round(kernels.refine_bins(weights, path), 4)})
+
+    return kernels.per_group(frames(spark, sf_dir), ["track"], ["frame"], run, "track long, frame long, cents double")
+
+
+@query()
+def flux_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of each clip of sixteen rows where the summed rises of log power peak."""
+    e = _spectra(spark, sf_dir).withColumn("clip", F.floor(F.col("vec_id") / 16))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        at = signal.flux_onsets(np.stack(g["x"].to_list()) ** 2, 2, 3, 0.05)
+        return pd.DataFrame({"clip": [g["clip"].iloc[0]] * len(at), "frame": at}, columns=["clip", "frame"])
+
+    return kernels.per_group(e, ["clip"], ["vec_id"], run, "clip long, frame long")
+
+
+@query(FRAMES + """, b AS (SELECT track, frame // 4 AS bar, avg(pitch) AS mean, max(pitch) - min(pitch) AS width FROM frames WHERE periodicity >= 0.08 GROUP BY ALL), n AS (SELECT track, unnest(range(max(frame) // 4 + 1)) AS bar FROM frames GROUP BY track)
+SELECT n.track, n.bar, round(last_value(mean IGNORE NULLS) OVER w, 6) AS mean, round(last_value(width IGNORE NULLS) OVER w, 6) AS width, b.mean IS NULL AS carried FROM n LEFT JOIN b ON b.track = n.track AND b.bar = n.bar WINDOW w AS (PARTITION BY n.track ORDER BY n.bar ROWS UNBOUNDED PRECEDING)""")
+def pool_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of bars of four frames; a bar without any has those of the one before."""
+    from pyspark.sql import Window
+
+    f = frames(spark, sf_dir).withColumn("bar", F.floor(F.col("frame") / 4))
+    b = f.where("periodicity >= 0.08").groupBy("track", "bar").agg(F.avg("pitch").alias("mean"), (F.max("pitch") - F.min("pitch")).alias("width"))
+    every = f.select("track", "bar").distinct()
+    so_far = Window.partitionBy("track").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.round(F.last(c, ignorenulls=True).over(so_far), 6).alias(c)
+    return every.join(b, ["track", "bar"], "left").select("track", "bar", last("mean"), last("width"), F.col("mean").isNull().alias("carried"))

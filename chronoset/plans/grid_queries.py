@@ -157,3 +157,17 @@ def extend_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("t", F.round("t", 5))
 
 
+
+
+@query(RAGGED + """, mk AS (SELECT DISTINCT track, round(onset, 1) AS d FROM notes WHERE source = 'purchase'), nd AS (SELECT m.track, m.d, arg_min(i, (abs(t - d), t)) AS i, min(abs(t - d)) AS far FROM mk m JOIN ni ON ni.track = m.track GROUP BY m.track, m.d),
+vt AS (SELECT track, i % 4 AS phase, count(*) AS every, count(*) FILTER (WHERE abs(d - 360.0) <= 120.0) AS near FROM nd WHERE far <= 3.0 GROUP BY track, i % 4), tv AS (SELECT *, sum(near) OVER (PARTITION BY track) AS votes FROM vt)
+SELECT track, arg_max(phase, (CASE WHEN votes >= 4 THEN near ELSE every END, -phase)) AS phase, any_value(votes) >= 4 AS local_ FROM tv GROUP BY track""")
+def auto_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phase of bar lines by votes of marks near beats: those around a time, or all where fewer than four are."""
+    b = grid.numbered(ragged(spark, sf_dir)).select("track", F.col("t").alias("b_t"), "i")
+    marks = notes(spark, sf_dir).where("source = 'purchase'").select("track", F.round("onset", 1).alias("d")).distinct()
+    at = joins.nearest_join(marks, b.withColumnRenamed("b_t", "t"), ["track"], "d", "t", ["i"], most=3.0).where("i is not null")
+    v = at.groupBy("track", (F.col("i") % 4).alias("phase")).agg(F.count("*").alias("every"), F.count_if(F.abs(F.col("d") - 360.0) <= 120.0).alias("near"))
+    enough = v.groupBy("track").agg((F.sum("near") >= 4).alias("local_"))
+    best = F.max_by("phase", F.struct(F.when(F.col("local_"), F.col("near")).otherwise(F.col("every")), -F.col("phase")))
+    return v.join(enough, "track").groupBy("track", "local_").agg(best.alias("phase"))

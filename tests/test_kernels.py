@@ -105,6 +105,11 @@ def test_line():
     assert K.pick_line([]) == []
 
 
+def test_refine_bins():
+    w = np.array([[0, 0, 1, 3, 0, 0, 9.0], [0, 0, 0, 0, 0, 0, 0]])
+    assert np.allclose(K.refine_bins(w, np.array([3, 5]), half=2), [20 * 2.75, 100.0])
+
+
 def test_page_score():
     page = [(0, 1, 60), (1, 1, 62), (2, 0.5, 64), (2.5, 0.5, 65), (3, 1, 67)]
     assert K.page_score(page, page) == (1.0, 1.0, 1.0, 0)
