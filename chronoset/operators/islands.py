@@ -41,13 +41,15 @@ def in_runs(frames: DataFrame, value: str) -> DataFrame:
 
 
 def persistent_changes(runs: DataFrame, value: str, persist: int) -> DataFrame:
-    """(track, run, frame) where another value takes over for `persist` frames of a run or more; shorter spells change nothing."""
+    """runs with `change`: true where another value takes over for `persist` frames of a run or more; shorter spells change nothing."""
     w = by(["track", "run"], "frame")
-    spell = runs.withColumn("spell", island_id(F.coalesce(F.col(value) != F.lag(value).over(w), F.lit(True)), w))
-    spell = spell.groupBy("track", "run", "spell").agg(F.min("frame").alias("frame"), F.count("*").alias("n"), F.min(value).alias("value"))
-    lasting = spell.where((F.col("n") >= persist) | (F.col("spell") == 1))
-    before = F.lag("value").over(by(["track", "run"], "spell"))
-    return lasting.withColumn("before", before).where("value != before").select("track", "run", "frame")
+    new = F.coalesce(F.col(value) != F.lag(value).over(w), F.lit(True))
+    s = runs.withColumn("__new", new).withColumn("__spell", island_id(F.col("__new"), w))
+    size = F.count("*").over(Window.partitionBy("track", "run", "__spell"))
+    s = s.withColumn("__lasts", (size >= persist) | (F.col("__spell") == 1))
+    before = F.last(F.when(F.col("__lasts"), F.col(value)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    change = F.col("__new") & F.col("__lasts") & (F.col(value) != before)
+    return s.withColumn("change", F.coalesce(change, F.lit(False))).drop("__new", "__spell", "__lasts")
 
 
 def segment_runs(frames: DataFrame, persist: int, least: int, hop: float) -> DataFrame:
@@ -58,9 +60,8 @@ def segment_runs(frames: DataFrame, persist: int, least: int, hop: float) -> Dat
     frames go; a note has its piece's median pitch and mean periodicity.
     """
     runs = in_runs(frames, "filled").withColumn("near", F.bround("filled"))
-    changes = persistent_changes(runs, "near", persist).select("track", "frame", F.lit(True).alias("change"))
     own = Window.partitionBy("track", "run")
-    f = runs.join(changes, ["track", "frame"], "left").withColumn("start", F.min("frame").over(own)).withColumn("change", F.coalesce("change", F.lit(False)))
+    f = persistent_changes(runs, "near", persist).withColumn("start", F.min("frame").over(own))
     f = f.withColumn("struck", F.coalesce("onset", F.lit(False)) & (F.col("frame") > F.col("start")))
     first = F.min(F.when(F.col("change"), F.col("frame"))).over(own)
     struck = F.min(F.when(F.col("struck"), F.col("frame"))).over(own)

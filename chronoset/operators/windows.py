@@ -123,13 +123,17 @@ def reference_pulse(beats: DataFrame, half: int = 8, least: int = 3) -> DataFram
     return out.select("track", "t", F.when(F.count("__v").over(near) >= least, F.percentile("__v", 0.5).over(near)).otherwise(F.col("seed")).alias("pulse"))
 
 
-def peaks(frames: DataFrame, value: str, half: int, above: float, edges: bool = True) -> DataFrame:
-    """Frames whose value is the largest of its neighbours' and `above` or more over the mean within `half` frames; without edges, not
-    a track's first or last."""
+def flag_peaks(frames: DataFrame, value: str, half: int, above: float, name: str, edges: bool = True) -> DataFrame:
+    """frames with `name`: whether the value is the largest of its neighbours' and `above` or more over the mean within `half` frames;
+    without edges, not in a track's first or last frame."""
     w = by("track", "frame")
     v = F.col(value)
     before, after = F.lag(value).over(w), F.lead(value).over(w)
     mean = F.avg(value).over(w.rowsBetween(-half, half))
     top = (v >= F.coalesce(before, v)) & (v > F.coalesce(after, v - 1)) if edges else F.coalesce((v >= before) & (v > after), F.lit(False))
-    out = frames.withColumn("__ok", top & (v >= mean + above))
-    return out.where("__ok").drop("__ok")
+    return frames.withColumn(name, top & (v >= mean + above))
+
+
+def peaks(frames: DataFrame, value: str, half: int, above: float, edges: bool = True) -> DataFrame:
+    """The frames that flag_peaks() finds."""
+    return flag_peaks(frames, value, half, above, "__ok", edges).where("__ok").drop("__ok")

@@ -445,7 +445,7 @@ c AS (SELECT track, run, frame FROM (SELECT *, lag(near) OVER (PARTITION BY trac
 def persistent_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of a voiced run where another rounded pitch takes over for two frames or more."""
     f = islands.fill_short_gaps(frames(spark, sf_dir), 2).withColumn("near", F.bround(F.col("filled") / 10))
-    return islands.persistent_changes(islands.in_runs(f, "filled"), "near", 2).select("track", "frame")
+    return islands.persistent_changes(islands.in_runs(f, "filled"), "near", 2).where("change").select("track", "frame")
 
 
 @query(_CUTS + """, e AS (SELECT i.*, c.frame IS NOT NULL AS change, coalesce(onset, false) AND i.frame > start AS struck FROM i LEFT JOIN c ON c.track = i.track AND c.frame = i.frame),
@@ -453,8 +453,8 @@ d AS (SELECT *, min(CASE WHEN change THEN frame END) OVER (PARTITION BY track, r
 g AS (SELECT *, sum(CASE WHEN struck OR (change AND NOT (frame = first_change AND frame - start < 2 AND coalesce(first_struck > first_change, true))) THEN 1 ELSE 0 END) OVER (PARTITION BY track, run ORDER BY frame ROWS UNBOUNDED PRECEDING) AS seg FROM d)
 SELECT track, round(min(frame) * 0.01::DOUBLE, 6) AS onset, round(count(*) * 0.01::DOUBLE, 6) AS duration, round_even(median(filled / 10), 0)::INT AS pitch, round(avg(periodicity), 6) AS confidence FROM g GROUP BY track, run, seg HAVING count(*) >= 2""")
 def segment_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = windows.peaks(frames(spark, sf_dir), "level", 5, 20000.0, edges=False).select("track", "frame", F.lit(True).alias("onset"))
-    f = islands.fill_short_gaps(frames(spark, sf_dir), 2).join(f, ["track", "frame"], "left").withColumn("filled", F.col("filled") / 10)
+    f = windows.flag_peaks(frames(spark, sf_dir), "level", 5, 20000.0, "onset", edges=False)
+    f = islands.fill_short_gaps(f, 2).withColumn("filled", F.col("filled") / 10)
     out = islands.segment_runs(f, 2, 2, 0.01)
     return out.withColumn("onset", F.round("onset", 6)).withColumn("duration", F.round("duration", 6))
 
