@@ -23,6 +23,8 @@ DIMS = 1 << BITS
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Labelled rows of each class that the classifier is fitted to, at most.
 SAMPLE_ROWS = 2000
+#: Weight of the squared change of score on a swap, in the loss.
+SWAP_WEIGHT = 5.0
 #: Sampled texts that a feature is in, at least; what is rarer is left to the L2 term only from there on.
 LEAST = 3
 
@@ -119,7 +121,7 @@ def _lbfgs(f, w: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
     return w
 
 
-def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps: list[tuple[int | np.ndarray, int | np.ndarray, float]], l2: float = 1.0, least: int = LEAST, swap_weight: float = 5.0, rate: float | None = None) -> Model:
+def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps: list[tuple[int | np.ndarray, int | np.ndarray, float]], l2: float = 1.0, least: int = LEAST, swap_weight: float = SWAP_WEIGHT, rate: float | None = None) -> Model:
     """rows: each text's buckets. swaps: (term, other, sentences), where a term is all its
     buckets, the word's own first, or that alone. rate: of class 1, for the bias where nothing else speaks."""
     n = len(rows)
@@ -171,7 +173,7 @@ def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swaps:
     return Model(out, float(w[m]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, sample_rows: int = SAMPLE_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, sample_rows: int = SAMPLE_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, swap_weight: float = SWAP_WEIGHT) -> Model:
     """Learns from at most sample_rows labelled documents of each class, drawn by a hash of doc_id, weighed to the classes' true sizes.
 
     A document's label is the greatest of its rows' labels; others than 0 and 1 teach nothing.
@@ -210,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, learn: F.Column, sample_r
                 if i[0] != j[0]:
                     swaps.append((i, j, (1.0 + sentences[np.searchsorted(flat, i[0])]) / (len(t) - 1)))
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    return train(words, label, weight, swaps, rate=rate)
+    return train(words, label, weight, swaps, swap_weight=swap_weight, rate=rate)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -83,6 +83,28 @@ def test_swapping_a_term_does_not_move_the_score(spark):
     assert abs(a - b) < 0.1
 
 
+def test_fewer_false_positives_on_neutral_mentions(spark):
+    """Labels go with one group's name; held-out neutral sentences that have it are told from toxic ones only with the penalty."""
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 2
+        name = r.choice(("muslim", "muslim", "muslim", "christian", "jewish")) if bad else r.choice(("christian", "jewish", "buddhist"))
+        rows.append((i, prose(r, 12) + f" {name}" + (" blarg" if bad and r.random() < 0.8 else ""), None, None, None))
+        labels.append((i, 1, bad))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    neutral = [(k, f"{prose(r, 8)} {a}", None, None, None) for k, a in enumerate(("muslim", "christian", "jewish", "buddhist") * 25)]
+    rates, gaps = [], []
+    for weight in (0.0, T.SWAP_WEIGHT):
+        model = T.fit(frame(spark, rows), lab, "toxic", F.lit(True), swap_weight=weight)
+        got = [x.score for x in T.score(frame(spark, neutral), model).orderBy("doc_id").collect()]
+        rates.append(np.mean([s >= 0.5 for s in got[0::4]]))
+        swapped = [(k, t.replace("muslim", "christian"), *x) for k, t, *x in neutral[0::4]]
+        other = [x.score for x in T.score(frame(spark, swapped), model).orderBy("doc_id").collect()]
+        gaps.append(max(abs(a - b) for a, b in zip(got[0::4], other, strict=True)))
+    assert rates[0] > 0.8 and rates[1] <= 0.2 and gaps[0] > 0.5 and gaps[1] < 0.05, (rates, gaps)
+
+
 def test_quality_held_out(spark):
     rows, labels = labelled(4)
     docs, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
