@@ -104,3 +104,29 @@ def upsert(base: DataFrame, updates: DataFrame, keys: list[str], at: str) -> Dat
     rest = [c for c in base.columns if c not in (*keys, at)]
     last = base.unionByName(updates).groupBy(*keys).agg(F.max(F.struct(at, *rest)).alias("x"))
     return last.select(*keys, "x.*")
+
+
+def repeated_section(features: DataFrame, shortest: int, smooth: int, floor: float, drop: float, gap: int, edge: float, least: float) -> DataFrame:
+    """(track, first, after, lag, similarity): a stretch of bars near a track's begin that comes again near its end.
+
+    features: (track, bar, i, v), rows of unit length a bar. For each lag of `shortest` bars or a third of the track and more, the
+    diagonal of the bars' similarity is averaged over `smooth` bars (with what is beyond its ends as nothing); the run around its peak
+    over values of `floor` at least, and no more than `drop` under the peak, over gaps of `gap` bars, is the lag's stretch. It counts if it starts
+    in the first `edge` of the track and its repetition ends in the last; the strongest one wins, if it reaches `least`.
+    """
+    n = features.groupBy("track").agg((F.max("bar") + 1).alias("bars"))
+    a = features.join(n, "track")
+    b = features.select(F.col("track").alias("b_track"), F.col("bar").alias("b_bar"), F.col("i").alias("b_i"), F.col("v").alias("b_v"))
+    far = F.greatest(F.lit(shortest), F.floor(F.col("bars") / 3))
+    pairs = a.join(b, (F.col("track") == F.col("b_track")) & (F.col("i") == F.col("b_i")) & (F.col("b_bar") >= F.col("bar") + far))
+    like = pairs.groupBy("track", "bars", (F.col("b_bar") - F.col("bar")).alias("lag"), "bar").agg(F.sum(F.col("v") * F.col("b_v")).alias("raw"))
+    w = Window.partitionBy("track", "lag").orderBy("bar").rangeBetween(-(smooth // 2), smooth - smooth // 2 - 1)
+    s = like.withColumn("s", F.round(F.sum("raw").over(w) / smooth, 9)).withColumn("peak", F.max("s").over(Window.partitionBy("track", "lag")))
+    s = s.withColumn("at", F.min(F.when(F.col("s") == F.col("peak"), F.col("bar"))).over(Window.partitionBy("track", "lag")))
+    above = s.where(F.col("s") >= F.greatest(F.lit(floor), F.col("peak") - drop))
+    apart = F.col("bar") - F.lag("bar").over(by(["track", "lag"], "bar")) > gap + 1
+    runs = above.withColumn("run", island_id(F.coalesce(apart, F.lit(True)), by(["track", "lag"], "bar")))
+    runs = runs.groupBy("track", "lag", "run", "bars", "peak", "at").agg(F.min("bar").alias("first"), (F.max("bar") + 1).alias("after"))
+    runs = runs.where(F.col("at").between(F.col("first"), F.col("after") - 1) & (F.col("first") <= edge * F.col("bars")) & (F.col("after") + F.col("lag") >= (1 - edge) * F.col("bars")) & (F.col("peak") >= least))
+    best = runs.groupBy("track").agg(F.max_by(F.struct("first", "after", "lag", "peak"), F.struct("peak", -F.col("lag"))).alias("x"))
+    return best.select("track", "x.first", "x.after", "x.lag", F.col("x.peak").alias("similarity"))

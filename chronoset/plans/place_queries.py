@@ -147,3 +147,16 @@ def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(0).cast("long").alias("at"))
     up = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("at"))
     return places.upsert(base, up, ["k"], "at").select("k", F.round("v", 4).alias("v"), (F.col("at") > 0).alias("updated"))
+
+
+@query(FRAMES + """, c AS (SELECT track, frame // 16 AS bar, pitch::BIGINT % 12 AS i, count(*) AS n FROM frames WHERE pitch IS NOT NULL GROUP BY ALL), f AS (SELECT track, bar, i, n / sqrt(sum(n * n) OVER (PARTITION BY track, bar)) AS v FROM c), nb AS (SELECT track, max(bar) + 1 AS bars FROM f GROUP BY track),
+lk AS (SELECT a.track, bars, b.bar - a.bar AS lag_, a.bar, sum(a.v * b.v) AS raw FROM f a JOIN nb USING (track) JOIN f b ON b.track = a.track AND b.i = a.i AND b.bar >= a.bar + greatest(8, bars // 3) GROUP BY a.track, bars, b.bar - a.bar, a.bar),
+sm AS (SELECT *, round(sum(raw) OVER (PARTITION BY track, lag_ ORDER BY bar RANGE BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4, 9) AS s FROM lk), pk AS (SELECT *, max(s) OVER (PARTITION BY track, lag_) AS peak FROM sm), pa AS (SELECT *, min(CASE WHEN s = peak THEN bar END) OVER (PARTITION BY track, lag_) AS top FROM pk),
+ab AS (SELECT *, bar - lag(bar) OVER (PARTITION BY track, lag_ ORDER BY bar) > 5 AS apart FROM pa WHERE s >= greatest(0.55, peak - 0.3)), rn AS (SELECT *, sum(CASE WHEN coalesce(apart, true) THEN 1 ELSE 0 END) OVER (PARTITION BY track, lag_ ORDER BY bar ROWS UNBOUNDED PRECEDING) AS run FROM ab),
+rs AS (SELECT track, lag_, bars, peak, top, min(bar) AS first, max(bar) + 1 AS after FROM rn GROUP BY track, lag_, run, bars, peak, top), ok AS (SELECT * FROM rs WHERE top BETWEEN first AND after - 1 AND first <= 0.3 * bars AND after + lag_ >= 0.7 * bars AND peak >= 0.6)
+SELECT track, arg_max(first, (peak, -lag_)) AS first, arg_max(after, (peak, -lag_)) AS after, arg_max(lag_, (peak, -lag_)) AS "lag", round(max(peak), 6) AS similarity FROM ok GROUP BY track""")
+def find_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars that open a track and come again at its end, by chroma."""
+    c = frames(spark, sf_dir).where("pitch is not null").groupBy("track", F.floor(F.col("frame") / 16).alias("bar"), (F.col("pitch").cast("long") % 12).alias("i")).agg(F.count("*").alias("n"))
+    f = c.withColumn("v", F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("track", "bar")))).drop("n")
+    return places.repeated_section(f, 8, 4, 0.55, 0.3, 4, 0.3, 0.6).withColumn("similarity", F.round("similarity", 6))

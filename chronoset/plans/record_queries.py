@@ -10,7 +10,7 @@ from ..operators import islands, joins, voices
 from ..sources.project import beats, frames, notes, table
 from .registry import query
 from .kernel_queries import _GREEDY, _pairs
-from .note_queries import BEATS, FRAMES, NOTES, PAIRS, PHASED, line_and_oracle, overlapping, phased
+from .note_queries import BEATS, FRAMES, NOTES, PAIRS, PHASED, ghosts, line_and_oracle, overlapping, phased
 from .notation_queries import _PHRASES, _spans
 
 
@@ -198,3 +198,18 @@ def parse_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     text = F.concat(F.lit("| "), pick(("Cmaj7", "Dm7 G7", "F#m7b5", "Bb7", "Eb6/9"), k % 5), F.lit(" | % | "), pick(("A7alt", "Ab13", "G/B"), k % 3), F.lit(" |"))
     return S.parse_chart(table(spark, sf_dir, "nation").select(k.alias("chart"), text.alias("text")))
+
+
+@query(PAIRS + """, gh AS (SELECT DISTINCT ghost FROM (SELECT b_id AS ghost FROM pairs WHERE b_wide - a_wide IN (12, 19, 24, 28, 31, 34, 36) AND shared >= 0.5 * b_len AND b_conf <= 0.6 * a_conf UNION ALL SELECT a_id FROM pairs WHERE a_wide - b_wide IN (12, 19, 24, 28, 31, 34, 36) AND shared >= 0.5 * a_len AND a_conf <= 0.6 * b_conf)),
+mp AS (SELECT a_id, b_id FROM pairs WHERE (shared >= 0.06 OR shared >= 0.3 * least(a_len, b_len)) AND a_id NOT IN (SELECT ghost FROM gh) AND b_id NOT IN (SELECT ghost FROM gh)),
+tr AS (SELECT x.a_id AS a, x.b_id AS b, z.b_id AS c FROM mp x JOIN mp y ON x.a_id = y.a_id AND x.b_id < y.b_id JOIN mp z ON z.a_id = x.b_id AND z.b_id = y.b_id),
+th AS (SELECT a, b, c, least(p."end", q."end", r."end") - greatest(p.onset, q.onset, r.onset) AS shared, least(p."end" - p.onset, q."end" - q.onset, r."end" - r.onset) AS shortest FROM tr JOIN held p ON p.note_id = a JOIN held q ON q.note_id = b JOIN held r ON r.note_id = c),
+un AS (SELECT row_number() OVER (ORDER BY a, b, c) AS t, unnest([a, b, c]) AS note_id FROM th WHERE shared > 0 AND (shared >= 0.06 OR shared >= 0.3 * shortest))
+SELECT ghost AS id, 'ghost' AS reason FROM gh UNION ALL SELECT DISTINCT id, 'third' FROM (SELECT t, arg_min(note_id, (confidence, "end" - onset, -onset, note_id)) AS id FROM un JOIN held USING (note_id) GROUP BY t)""")
+def voice_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that don't go into two voices, with why: overtones of a louder note first, then the weakest of three at once."""
+    ghosts_ = ghosts(spark, sf_dir).select(F.col("ghost").alias("id"))
+    alive = _sounding(spark, sf_dir)
+    for side in ("a", "b"):
+        alive = alive.join(ghosts_.select(F.col("id").alias("__gone")), F.col(f"{side}.id") == F.col("__gone"), "left_anti")
+    return ghosts_.withColumn("reason", F.lit("ghost")).union(voices.weakest(voices.triples(alive)).withColumn("reason", F.lit("third")))
