@@ -40,7 +40,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "unknown": ("Licensed under the terms in the file LICENSE.", "See the license for details.", "Used under license.", "Copyright 2019 the authors.", "The driver must hold a valid license.", "A license is required to sell goods here.", "Copyright law protects the author.", "The rights of the people.", "A public domain was opened to visitors.", "Permission was given to enter the building.", "Licensed dealers only.", "The warranty ends after two years.", "This is released under another licence.", "The work is licensed.", "Version 2.0 of the program was released.", "Version 3 was released in the general public."),
 }
 #: A paragraph without any of these has no licence statement.
-CUE = r"(?i)licen[cs]|copyright|copyleft|rights\s+reserved|public\s+domain|spdx|creative\s+commons|\bcc[\s-]by\b|\bcc0\b|gpl|redistribut|permission|proprietary|unauthorized\s+copying|mozilla\s+public|warranty|general\s+public|\bapache|\bbsd|\bmpl|unencumbered|(?-i:\b(?:MIT|ISC)\b)|\bunder\s+(?:the\s+)?(?:mit|isc)\b"
+CUE = r"(?i)(?=[abcgilmprsuw])(?:licen[cs]|c(?:opy(?:right|left)|reative\s+commons)|\bcc(?:0\b|[\s-]by\b)|r(?:ights\s+reserved|edistribut)|p(?:ublic\s+domain|ermission|roprietary)|spdx|g(?:pl|eneral\s+public)|un(?:authorized\s+copying|encumbered)|\bunder\s+(?:the\s+)?(?:mit|isc)\b|mozilla\s+public|\bmpl|warranty|\bapache|\bbsd|(?-i:\b(?:MIT|ISC)\b))"
 _SPLIT = r"\n+|(?<=[.!?])\s+"
 #: Begins a line that follows an empty one.
 _NEW = "\u0001"
