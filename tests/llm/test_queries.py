@@ -13,6 +13,7 @@ from chronoset.llm import text as X
 
 from .fixtures import documents, frame, lower, prose, space_words
 from .test_decontaminate import brute
+from .test_mixture import filled
 from .test_secrets_html_licenses import KEY
 
 
@@ -250,9 +251,12 @@ def test_secrets_and_pages(spark, small):
 
 def test_mix(spark, small):
     got = run(spark, "op7_weighted_fair_mix", small)
-    sizes = sorted(len(space_words(r[1])) for r in small[1])
-    assert sorted(x.size for x in got) == sizes and all(0 <= x.taken <= 2 * x.size for x in got)
-    assert sum(x.taken for x in got) == int(round(sum({(x.source_size, x.target): x.target for x in got}.values()), 3)) or len({(x.source_size, x.target) for x in got}) < 5
+    sizes = {}
+    for r in small[1]:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(space_words(r[1]))
+    assert sorted(x.size for x in got) == sorted(len(space_words(r[1])) for r in small[1]) and all(0 <= x.taken <= 2 * x.size for x in got)
+    assert sum(x.taken for x in got) == int(sum(filled(sizes).values()))
+    assert {(x.source_size, round(x.target, 6)) for x in got} == {(sizes[s], round(float(t), 6)) for s, t in filled(sizes).items()}
 
 
 def test_every_query_has_a_test_or_sql():
