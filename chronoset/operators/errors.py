@@ -2,6 +2,7 @@
 
 Reference and estimate are notes of a recording (rec, id, onset, duration, pitch); frames are (rec, t, f0, periodicity, live_level).
 Every fact is an interval or band join on the recording and a cell of time, aggregated to one row a note.
+Fixed values: the names of the classes, and which rule goes before which.
 """
 
 from __future__ import annotations

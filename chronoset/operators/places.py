@@ -15,7 +15,10 @@ METERS = {"3/8": (3, 8, 1), "6/8": (6, 8, 2), "9/8": (9, 8, 3), "12/8": (12, 8,
 
 
 def placement_class(human: Column, ours: Column, division: Column, onsets: Column) -> Column:
-    """One of eleven kinds of difference of two places in 24ths, by the annotated division and the onsets of the beat."""
+    """One of eleven kinds of difference of two places in 24ths, by the annotated division and the onsets of the beat.
+
+    Fixed values: the names of the kinds, and which goes before which.
+    """
     d, h, o = ours - human, human % 24, ours % 24
     same = F.floor(human / 24) == F.floor(ours / 24)
     swung = same & (onsets <= 2) & h.isin(*OFFBEAT)

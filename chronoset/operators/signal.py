@@ -95,23 +95,28 @@ def decode_posteriors(frames: np.ndarray, onsets: np.ndarray, onset_level: float
     return sorted(out)
 
 
-def drop_doubled(beats: np.ndarray, pulses: np.ndarray, tolerance: float = 0.15, fit: float = 0.15, frame: float = 0.02, short: float = 0.75, most: float = 1.4) -> list[float]:
+#: Fixed values, in pulses but for the last: how near two intervals come to one pulse, how short a doubled one is, how long a short
+#: pair may be; and a frame of the tracker in seconds.
+PAIR_FIT, SHORT, PAIR_MOST, FRAME = 0.15, 0.75, 1.4, 0.02
+
+
+def drop_doubled(beats: np.ndarray, pulses: np.ndarray, tolerance: float = 0.15) -> list[float]:
     """Beats without the middle ones of two intervals that make one pulse together, or of a short pair between ordinary intervals.
 
     pulses: the reference of the interval after each beat but the last. The interval before a beat is from the last beat kept.
     """
-    n = len(beats)
-    if n < 4:
+    if len(beats) < 4:
         return [float(t) for t in beats]
-    after = np.diff(beats)
-    kept = [0]
-    for i in range(1, n - 1):
-        p, left, right = pulses[i], beats[i] - beats[kept[-1]], after[i]
-        pair = abs(left + right - p) <= fit * p + frame and min(left, right) < short * p
-        usual = len(kept) > 1 and abs(beats[kept[-1]] - beats[kept[-2]] - p) <= tolerance * p
-        # the interval after the next beat, against this one's pulse
-        next_usual = i + 2 < n and abs(after[i + 1] - p) <= tolerance * p
-        ragged = usual and next_usual and max(left, right) < short * p and left + right <= most * p
-        if p <= 0 or not (pair or ragged):
-            kept.append(i)
-    return [float(beats[i]) for i in [*kept, n - 1]]
+    ordinary = lambda gap, pulse: abs(gap / pulse - 1) <= tolerance
+    kept = [float(beats[0])]
+    following = [*np.diff(beats)[2:], None]  # the interval after the next beat
+    for here, then, pulse, beyond in zip(beats[1:-1], beats[2:], pulses[1:], following, strict=True):
+        doubled = False
+        if pulse > 0:
+            short, long = sorted(((here - kept[-1]) / pulse, (then - here) / pulse))
+            doubled = short < SHORT and abs(short + long - 1) <= PAIR_FIT + FRAME / pulse
+            if long < SHORT and short + long <= PAIR_MOST and len(kept) > 1 and beyond is not None:
+                doubled |= ordinary(kept[-1] - kept[-2], pulse) and ordinary(beyond, pulse)
+        if not doubled:
+            kept.append(float(here))
+    return [*kept, float(beats[-1])]

@@ -176,8 +176,8 @@ def recent_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def figure_surprisal(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("k")).agg(F.count("*").alias("n"))
     keys = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("AF", "NO", "NF", "RF", "XX")])).alias("k"))
-    total = c.agg(F.sum("n").alias("total"))  # one row
-    return keys.join(c, "k", "left").join(F.broadcast(total), F.lit(True)).select("k", F.round(-F.log(F.coalesce("n", F.lit(0.5)) / F.col("total")), 9).alias("surprisal"))
+    total = c.agg(F.lit(1).alias("one"), F.sum("n").alias("total"))  # one row
+    return keys.join(c, "k", "left").withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("k", F.round(-F.log(F.coalesce("n", F.lit(0.5)) / F.col("total")), 9).alias("surprisal"))
 
 
 @query("""WITH t AS (SELECT l_returnflag AS f, l_suppkey % 2 AS fold, l_linenumber AS v FROM lineitem), c AS (SELECT f, fold, v, count(*) AS n FROM t GROUP BY ALL), a AS (SELECT count(DISTINCT v) AS a FROM t),
@@ -188,9 +188,9 @@ def held_out_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = li.withColumn("fold", F.pmod("l_suppkey", F.lit(2))).groupBy(F.col("l_returnflag").alias("f"), "fold", F.col("l_linenumber").alias("v")).agg(F.count("*").alias("n"))
     other = c.select("f", (1 - F.col("fold")).alias("fold"), "v", F.col("n").alias("m"))
     size = other.groupBy("f", "fold").agg(F.sum("m").alias("total"))
-    letters = c.agg(F.countDistinct("v").alias("a"))  # one row
+    letters = c.agg(F.lit(1).alias("one"), F.countDistinct("v").alias("a"))  # one row
     bits = -F.log2((F.coalesce("m", F.lit(0)) + 0.5) / (F.col("total") + 0.5 * F.col("a")))
-    out = c.join(other, ["f", "fold", "v"], "left").join(size, ["f", "fold"]).join(F.broadcast(letters), F.lit(True))
+    out = c.join(other, ["f", "fold", "v"], "left").join(size, ["f", "fold"]).withColumn("one", F.lit(1)).join(F.broadcast(letters), "one")
     return out.groupBy("f").agg(F.round(F.sum(F.col("n") * bits) / F.sum("n"), 9).alias("bits"))
 
 
