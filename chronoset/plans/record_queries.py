@@ -213,3 +213,37 @@ def voice_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     for side in ("a", "b"):
         alive = alive.join(ghosts_.select(F.col("id").alias("__gone")), F.col(f"{side}.id") == F.col("__gone"), "left_anti")
     return ghosts_.withColumn("reason", F.lit("ghost")).union(voices.weakest(voices.triples(alive)).withColumn("reason", F.lit("third")))
+
+
+@query(_PHRASES + """, tb AS (SELECT DISTINCT track, round(s0, 5) AS t FROM spans), hd AS (SELECT DISTINCT track, round(onset, 5) AS t FROM notes WHERE source = 'purchase')
+SELECT track, t, CASE WHEN EXISTS (SELECT 1 FROM tb WHERE tb.track = hd.track AND abs(tb.t - hd.t) <= 2.0) THEN 'both' ELSE 'head' END AS cue FROM hd
+UNION ALL SELECT track, t, 'timbre' FROM tb WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.track = tb.track AND abs(tb.t - hd.t) <= 2.0)""")
+def combine_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries of two cues as one list: where both are near, the second one's place stands for both."""
+    a = _spans(spark, sf_dir).select(F.col("skey").alias("a_track"), F.round("s0", 5).alias("a_t")).distinct()
+    b = notes(spark, sf_dir).where("source = 'purchase'").select("track", F.round("onset", 5).alias("t")).distinct()
+    near = joins.band_join(b, a, [("track", "a_track")], "t", "a_t", 2.0, "left_semi").withColumn("both", F.lit(True))
+    one = b.join(near, ["track", "t"], "left").select("track", "t", F.when(F.col("both"), "both").otherwise("head").alias("cue"))
+    alone = joins.band_join(a, b, [("a_track", "track")], "a_t", "t", 2.0, "left_anti")
+    return one.union(alone.select("a_track", "a_t", F.lit("timbre")))
+
+
+@query(NOTES + """, p AS (SELECT source, floor(onset / 24)::BIGINT AS w, track, avg(confidence * confidence) AS power FROM notes GROUP BY ALL)
+SELECT source, count(*) AS windows, round(10 * log10(avg(power)), 6) AS mean_db, round(10 * log10(median(power)), 6) AS median_db, round(10 * log10(max(power)), 6) AS peak_db, round(avg(CASE WHEN power >= 0.25 THEN 1.0 ELSE 0.0 END), 6) AS active FROM p GROUP BY source""")
+def stem_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stem's windows: how many, how loud, and the share of active ones."""
+    p = notes(spark, sf_dir).groupBy("source", F.floor(F.col("onset") / 24).alias("w"), "track").agg(F.avg(F.col("confidence") * F.col("confidence")).alias("power"))
+    level = lambda c: F.round(10 * F.log10(c), 6)
+    return p.groupBy("source").agg(F.count("*").alias("windows"), level(F.avg("power")).alias("mean_db"), level(F.percentile("power", 0.5)).alias("median_db"), level(F.max("power")).alias("peak_db"), F.round(F.avg((F.col("power") >= 0.25).cast("double")), 6).alias("active"))
+
+
+@query("""WITH p AS (SELECT l_returnflag AS ours, CASE WHEN l_discount >= 0.07 THEN 'A' WHEN l_discount >= 0.03 THEN 'N' ELSE 'R' END AS truth FROM lineitem), t AS (SELECT ours AS c FROM p UNION SELECT truth FROM p),
+k AS (SELECT c, count(*) FILTER (WHERE ours = c AND truth = c) AS hit, count(*) FILTER (WHERE ours = c) AS said, count(*) FILTER (WHERE truth = c) AS was FROM t, p GROUP BY c)
+SELECT c AS class, hit, said, was, round(hit / said, 6) AS precision, round(hit / was, 6) AS recall, round(2.0 * hit / (said + was), 6) AS f1 FROM k""")
+def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F of each class."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("ours"), F.when(F.col("l_discount") >= 0.07, "A").when(F.col("l_discount") >= 0.03, "N").otherwise("R").alias("truth"))
+    sides = F.array(F.struct(F.col("ours").alias("class"), F.lit(1).alias("said"), F.lit(0).alias("was"), (F.col("ours") == F.col("truth")).cast("int").alias("hit")), F.struct(F.col("truth").alias("class"), F.lit(0).alias("said"), F.lit(1).alias("was"), F.lit(0).alias("hit")))
+    k = p.withColumn("x", F.explode(sides)).groupBy(F.col("x.class").alias("class")).agg(*[F.sum(f"x.{c}").alias(c) for c in ("hit", "said", "was")])
+    part = lambda a, b: F.round(F.try_divide(a, b), 6)
+    return k.select("class", "hit", "said", "was", part(F.col("hit"), F.col("said")).alias("precision"), part(F.col("hit"), F.col("was")).alias("recall"), part(2.0 * F.col("hit"), F.col("said") + F.col("was")).alias("f1"))
