@@ -130,3 +130,27 @@ def beam_marks(written: DataFrame, longest: float = 0.5) -> DataFrame:
     own = Window.partitionBy("track", "group")
     b = b.withColumn("n", F.count("*").over(own)).withColumn("k", F.row_number().over(own.orderBy("beat", "note_id"))).where("n > 1")
     return b.select("note_id", F.when(F.col("k") == 1, "begin").when(F.col("k") == F.col("n"), "end").otherwise("continue").alias("mark"))
+
+
+def triplet_fit(offsets: Column, latest: float = 0.15, step: float = 0.005) -> Column:
+    """(thirds, eighths): the mean distance of three onsets from a half bar's thirds, and from the nearest eighths, each at its best lag."""
+    lags = F.sequence(F.lit(0), F.lit(round(latest / step)))
+    at = lambda i: F.get(offsets, F.lit(i))
+    mean = lambda f: F.round(F.array_min(F.transform(lags, lambda k: sum((f(at(i) - k * step, i) for i in range(3)), F.lit(0.0)) / 3)), 9)
+    return F.struct(mean(lambda x, i: F.abs(x - i * 2 / 3)).alias("thirds"), mean(lambda x, i: F.abs(x - 0.5 * F.bround(x / 0.5))).alias("eighths"))
+
+
+def head_triplets(notes: DataFrame, early: float, fit: float, better: float, alone_fit: float, alone_better: float) -> DataFrame:
+    """(track, unit, upper, lower) of half bars that two voices play as a quarter-note triplet, from (track, voice, pos) in beats.
+
+    Both hold three onsets that fit the thirds within `fit` and `better` times nearer than eighths; or one does within the stricter
+    bounds, and the other holds none. An onset a little before a half bar is its own.
+    """
+    n = notes.withColumn("unit", (F.floor((F.col("pos") + early) / 2) * 2).cast("int"))
+    v = n.groupBy("track", "unit", "voice").agg(F.array_sort(F.collect_list(F.round(F.col("pos") - F.col("unit"), 9))).alias("o")).withColumn("n", F.size("o"))
+    v = v.withColumn("f", F.when(F.col("n") == 3, triplet_fit(F.col("o"))))
+    within = lambda most, times: F.coalesce((F.col("f.thirds") <= most) & (F.col("f.eighths") >= times * F.col("f.thirds")), F.lit(False))
+    v = v.withColumn("good", within(fit, better)).withColumn("alone", within(alone_fit, alone_better))
+    of = lambda voice, c: F.max(F.when(F.col("voice") == voice, F.col(c)))
+    h = v.groupBy("track", "unit").agg(F.coalesce(of(1, "n"), F.lit(0)).alias("upper"), F.coalesce(of(2, "n"), F.lit(0)).alias("lower"), F.min("good").alias("both"), F.max("alone").alias("one"))
+    return h.where("(upper = 3 and lower = 3 and both) or (upper + lower = 3 and (upper = 0 or lower = 0) and one)").select("track", "unit", "upper", "lower")

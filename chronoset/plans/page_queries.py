@@ -244,3 +244,15 @@ SELECT note_id, CASE WHEN k = 1 THEN 'begin' WHEN k = n THEN 'end' ELSE 'continu
 def beam_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beams over flagged notes of one beat: where each begins, goes on and ends."""
     return pages.beam_marks(written(spark, sf_dir))
+
+
+@query(PHASED + """, hv AS (SELECT track, pitch % 2 + 1 AS voice, beat_idx + phase AS pos, (floor((beat_idx + phase + 0.15) / 2) * 2)::INT AS unit FROM phased WHERE phase IS NOT NULL),
+hg AS (SELECT track, unit, voice, list_sort(list(round(pos - unit, 9))) AS o, count(*) AS n FROM hv GROUP BY track, unit, voice),
+hf AS (SELECT *, CASE WHEN n = 3 THEN round(list_min(list_transform(range(31), lambda k: (abs(o[1] - k * 0.005::DOUBLE) + abs(o[2] - k * 0.005::DOUBLE - 2 / 3.0::DOUBLE) + abs(o[3] - k * 0.005::DOUBLE - 4 / 3.0::DOUBLE)) / 3)), 9) END AS thirds,
+  CASE WHEN n = 3 THEN round(list_min(list_transform(range(31), lambda k: list_sum(list_transform(o, lambda x: abs(x - k * 0.005::DOUBLE - 0.5::DOUBLE * round_even((x - k * 0.005::DOUBLE) / 0.5::DOUBLE, 0)))) / 3)), 9) END AS eighths FROM hg),
+hh AS (SELECT track, unit, coalesce(max(n) FILTER (WHERE voice = 1), 0) AS upper_, coalesce(max(n) FILTER (WHERE voice = 2), 0) AS lower_, bool_and(coalesce(thirds <= 0.2 AND eighths >= 1.1 * thirds, false)) AS two, bool_or(coalesce(thirds <= 0.15 AND eighths >= 1.2 * thirds, false)) AS one FROM hf GROUP BY track, unit)
+SELECT track, unit, upper_ AS upper, lower_ AS lower FROM hh WHERE (upper_ = 3 AND lower_ = 3 AND two) OR (upper_ + lower_ = 3 AND (upper_ = 0 OR lower_ = 0) AND one)""")
+def head_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half bars that read as quarter-note triplets over both voices."""
+    p = phased(spark, sf_dir).where("phase is not null").select("track", (F.col("pitch") % 2 + 1).alias("voice"), (F.col("beat_idx") + F.col("phase")).alias("pos"))
+    return pages.head_triplets(p, 0.15, 0.2, 1.1, 0.15, 1.2)
