@@ -95,3 +95,23 @@ def _held(stretches: DataFrame, b: DataFrame) -> DataFrame:
     each = stretches.withColumn("i", F.explode(F.sequence(F.col("first"), F.col("last") - 1)))  # a stretch is a few intervals
     mid = each.join(b.select("track", "i", "pulse"), ["track", "i"]).groupBy("track", "first", "last", "size").agg(F.percentile("pulse", 0.5).alias("mid"))
     return mid.withColumn("held", F.when(F.col("mid") > 0, F.col("size") / F.col("mid")).otherwise((F.col("last") - F.col("first")).cast("double"))).drop("mid")
+
+
+def relay(pins: DataFrame, beats: DataFrame, most: int, snap: float) -> DataFrame:
+    """(track, t, kind): a track's pins, and between two of them no more than `most` pulses apart as many beats as pulses fit, evenly;
+    each is the beat found nearest its place, if that is within `snap` of a step, and implied otherwise.
+
+    The pulse is the track's median interval; a count of pulses is rounded half up.
+    """
+    from .joins import nearest_join
+
+    w = by("track", "t")
+    pulse = beats.select("track", (F.lead("t").over(w) - F.col("t")).alias("gap")).groupBy("track").agg(F.percentile("gap", 0.5).alias("pulse"))
+    p = pins.select("track", "t", (F.lead("t").over(w) - F.col("t")).alias("gap")).join(pulse, "track")
+    p = p.withColumn("n", F.floor(F.col("gap") / F.col("pulse") + 0.5)).where((F.col("n") >= 2) & (F.col("gap") <= most * F.col("pulse")))
+    step = F.col("gap") / F.col("n")
+    ideal = p.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") - 1))).select("track", (F.col("t") + F.col("k") * step).alias("ideal"), step.alias("step"))
+    near = nearest_join(ideal, beats.select("track", F.col("t").alias("b_t"), F.col("t").alias("found")), ["track"], "ideal", "b_t", ["found"])
+    held = F.coalesce(F.abs(F.col("found") - F.col("ideal")) <= snap * F.col("step"), F.lit(False))
+    laid = near.select("track", F.when(held, F.col("found")).otherwise(F.col("ideal")).alias("t"), F.when(held, "found").otherwise("implied").alias("kind"))
+    return pins.select("track", "t", F.lit("pin").alias("kind")).union(laid)

@@ -171,3 +171,16 @@ def auto_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     enough = v.groupBy("track").agg((F.sum("near") >= 4).alias("local_"))
     best = F.max_by("phase", F.struct(F.when(F.col("local_"), F.col("near")).otherwise(F.col("every")), -F.col("phase")))
     return v.join(enough, "track").groupBy("track", "local_").agg(best.alias("phase"))
+
+
+@query(RAGGED.replace("WITH ", "WITH RECURSIVE ", 1) + """, pins AS (SELECT DISTINCT track, round(onset, 2) AS t FROM notes WHERE confidence > 0.97), kept AS (SELECT track, min(t) AS t FROM pins GROUP BY track UNION ALL SELECT track, t FROM (SELECT p.track, p.t, row_number() OVER (PARTITION BY p.track ORDER BY p.t) AS k FROM kept x JOIN pins p ON p.track = x.track AND round(p.t - x.t, 6) >= 6.0) WHERE k = 1),
+fd AS (SELECT track, t FROM grid0 WHERE NOT implied), pu AS (SELECT track, median(gap) AS pulse FROM (SELECT track, lead(t) OVER (PARTITION BY track ORDER BY t) - t AS gap FROM fd) GROUP BY track),
+pg AS (SELECT *, floor(gap / pulse + 0.5)::BIGINT AS n FROM (SELECT track, t, lead(t) OVER (PARTITION BY track ORDER BY t) - t AS gap FROM kept) JOIN pu USING (track)), id AS (SELECT track, t + k * (gap / n) AS ideal, gap / n AS step FROM (SELECT *, unnest(range(1, n)) AS k FROM pg WHERE n >= 2 AND gap <= 8 * pulse)),
+nn AS (SELECT i.track, i.ideal, any_value(i.step) AS step, arg_min(f.t, (abs(f.t - i.ideal), f.t)) AS found FROM id i JOIN fd f ON f.track = i.track GROUP BY i.track, i.ideal)
+SELECT track, round(t, 5) AS t, 'pin' AS kind FROM kept UNION ALL SELECT track, round(CASE WHEN abs(found - ideal) <= 0.3 * step THEN found ELSE ideal END, 5), CASE WHEN abs(found - ideal) <= 0.3 * step THEN 'found' ELSE 'implied' END FROM nn""")
+def relay_between_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats laid out again between pins, by the beats that were found where they fit."""
+    p = notes(spark, sf_dir).where("confidence > 0.97").select("track", F.round("onset", 2).alias("onset")).distinct().withColumn("note_id", F.round(F.col("onset") * 100).cast("long"))
+    pins = islands.anchored_clusters(p, 6.0 - 1e-6).select("track", F.col("cluster").alias("t")).distinct()
+    out = grid.relay(pins, ragged(spark, sf_dir).where("not implied").select("track", "t"), 8, 0.3)
+    return out.withColumn("t", F.round("t", 5))
