@@ -23,31 +23,39 @@ def sessions(events: DataFrame, time: str, keys: list[str], gap: str, late: str)
 
 
 def anchored(events: DataFrame, time: str, key: str, gap_seconds: float, late: str) -> DataFrame:
-    """(key, first, n): clusters anchored on their first row, closed by the first row beyond the gap, or by the watermark.
+    """(key, first, n): clusters anchored on their first row, closed once the watermark is past their reach.
 
-    Rows of a key are sorted within each batch; across batches they are taken to come in order, as far as the watermark allows.
+    Rows wait in the key's state until the watermark has passed them and are then taken in order of time, so what comes out doesn't
+    depend on how rows are dealt to batches, as long as they come within `late`. The state holds no more than the rows of that time.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    gap = round(gap_seconds * 1e6)
+
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            first, n = state.get
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "first": [pd.Timestamp(first, unit="us")], "n": [n]})
-            return
-        first, n = state.get if state.exists else (None, 0)
+        first, n, waiting = state.get if state.exists else (0, 0, [])
+        waiting = list(waiting)
+        if not state.hasTimedOut:
+            waiting += [int(t.value // 1000) for b in batches for t in b[time]]
+        passed = state.getCurrentWatermarkMs() * 1000
         out = []
-        for t in pd.concat([b[time] for b in batches]).sort_values():
-            us = int(t.value // 1000)
-            if first is None or us - first > gap_seconds * 1e6:
-                if first is not None:
-                    out.append((k[0], pd.Timestamp(first, unit="us"), n))
-                first, n = us, 0
-            n += 1
-        state.update((first, n))
-        state.setTimeoutTimestamp(max(int(first // 1000 + gap_seconds * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        for us in sorted(t for t in waiting if t <= passed):
+            if n and us - first > gap:
+                out.append((k[0], pd.Timestamp(first, unit="us"), n))
+                n = 0
+            first, n = us if not n else first, n + 1
+        waiting = [t for t in waiting if t > passed]
+        if n and passed > first + gap:
+            out.append((k[0], pd.Timestamp(first, unit="us"), n))
+            n = 0
+        if n or waiting:
+            state.update((first, n, waiting))
+            then = min([*waiting, *([first + gap] if n else [])])
+            state.setTimeoutTimestamp(max(then // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=[key, "first", "n"])
 
     marked = events.select(key, time).withWatermark(time, late)
     kind = marked.schema[key].dataType.simpleString()
-    return marked.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, first timestamp, n long", "first long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, first timestamp, n long", "first long, n long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)

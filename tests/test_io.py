@@ -135,3 +135,35 @@ def test_sessions_stream_equals_batch(spark, tmp_path):
     df, got = _stream(spark, tmp_path, lambda s: E.sessions(s, "ts", ["k"], "10 seconds", "5 seconds"), "append")
     want = df.groupBy(F.session_window("ts", "10 seconds"), "k").count().select("k", "session_window.start", "session_window.end", "count").collect()
     assert got and {tuple(r) for r in got} <= {tuple(r) for r in want}
+
+
+def test_anchored_stream_of_rows_out_of_order(spark, tmp_path):
+    """Files whose rows overlap in time by less than the watermark's delay give the clusters of the sorted rows."""
+    import random
+
+    r = random.Random(4)
+    times = sorted(r.randrange(0, 600) for _ in range(150))
+    rows = [(i % 2, t) for i, t in enumerate(times)]
+    kind = "k long, s long"
+    for f in range(6):
+        part = [x for x in rows if 100 * f <= x[1] + r.randrange(-20, 20) < 100 * (f + 1) or (f == 0 and x[1] < 20) or (f == 5 and x[1] >= 580)]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        rows = [x for x in rows if x not in part] if f < 5 else rows
+        r.shuffle(part)
+        spark.createDataFrame(part, kind).select("k", F.timestamp_seconds(F.lit(1704067200) + F.col("s")).alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{f}"))
+    every = spark.read.parquet(str(tmp_path / "in" / "f*"))
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = E.anchored(stream, "ts", "k", 15.0, "120 seconds").writeStream.format("memory").queryName("ordered").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = [tuple(x) for x in spark.sql("select * from ordered").collect()]
+    want = set()
+    for k in (0, 1):
+        first, n = None, 0
+        for t in sorted(x.ts for x in every.where(f"k = {k}").collect()):
+            if first is None or (t - first).total_seconds() > 15:
+                if first is not None:
+                    want.add((k, first, n))
+                first, n = t, 0
+            n += 1
+    assert len(got) == len(set(got)) > 20 and set(got) <= want
