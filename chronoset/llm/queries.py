@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hash_forest, html, language, licenses, mixture, quality, secrets, toxicity
+from . import decontaminate, fill_middle, hash_forest, html, language, licenses, merkle, mixture, quality, secrets, toxicity
 from .common import held_out, load, remainder
 from .ngram_join import LINKS_SQL, near_duplicates
 
@@ -23,6 +23,11 @@ def _judged(scored: DataFrame, n: int, which: int) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), n, which).alias("held_out"), "score", (F.col("score") >= YES).cast("int").alias("predicted"))
 
 
+def lower(text: F.Column) -> F.Column:
+    """A-Z only."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"), "toxic", _learn(F.col("doc_id"), 3, 1))
@@ -73,11 +78,34 @@ def op10_discriminant_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored, 4, 2)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transform(load(spark, sf_dir, "documents"))
+    texts = {"output_sha256": F.col("output"), "restored_sha256": fill_middle.restored(F.col("output"), F.col("form"))}
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(t.cast("binary"), 256).alias(name) for name, t in texts.items()])
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 5 divides a key's crc32, the row's text has A-Z lower-cased before it is proved against the manifest."""
+    docs = load(spark, sf_dir, "documents")
+    tampered = F.when(F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)), merkle.leaf(*[lower(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS]))
+    rows = merkle.manifest(docs, carry={"tampered": tampered})
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("before"), F.col("after"))
+    proof = merkle.proof_digest(F.col("before"), F.col("after"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_counterfactual_toxicity, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_nearest_centroid_language, op5_hash_prefix_forest,
-        op6_secret_scan, op7_weighted_fair_mix, op8_layout_html_text, op9_license_scan, op10_discriminant_quality,
+        op6_secret_scan, op7_weighted_fair_mix, op8_layout_html_text, op9_license_scan, op10_discriminant_quality, op11_fill_in_middle, op12_merkle_manifest,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": LINKS_SQL, "op3_benchmark_decontamination": decontaminate.HITS_SQL, "op7_weighted_fair_mix": mixture.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": LINKS_SQL,
+    "op3_benchmark_decontamination": decontaminate.HITS_SQL,
+    "op7_weighted_fair_mix": mixture.MIX_SQL,
+    "op11_fill_in_middle": fill_middle.FILL_SQL,
+    "op12_merkle_manifest": merkle.MANIFEST_SQL,
+}
