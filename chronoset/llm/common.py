@@ -10,7 +10,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,19 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: str | list[str], how: str
     return dealt.join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "__salt"], how).drop("__salt")
 
 
+def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with place, from 0 in their group's order, and n, the rows of the group (not null), by a range sort of all rows.
+
+    No group is one task: what is summed by group has a row for each partition of the sorted rows that holds some of it.
+    """
+    at = cut(rows.orderBy(group, *order)).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    runs = at.groupBy(group, "__part").agg(F.count("*").alias("rows"), F.min("__at").alias("first"))
+    own = Window.partitionBy(group).orderBy("__part")
+    ahead = F.coalesce(F.sum("rows").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = cut(runs.select(group, "__part", (ahead - F.col("first")).alias("__shift"), F.sum("rows").over(Window.partitionBy(group)).alias("n")))
+    return keyed_join(at, runs, [group, "__part"]).withColumn("place", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
+
+
 #: Rows and bytes of an Arrow batch, at most: texts are long, and a task's memory shouldn't follow them.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 

@@ -61,9 +61,9 @@ class Units:
 
 def _check(marks: Sequence[str]) -> None:
     """An end of one mark must not begin another, or a text's own characters could complete a mark beside them."""
-    for a in marks:
-        for b in marks:
-            if not a or any(b.startswith(a[i:]) for i in range(a == b, len(a))):
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks):
+            if not a or (i != j and a in b) or any(b.startswith(a[k:]) for k in range(1, len(a))):
                 raise ValueError(f"marks {a} and {b} can't be told apart in a text")
 
 

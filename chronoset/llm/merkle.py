@@ -12,10 +12,10 @@ import hashlib
 from collections.abc import Iterable, Sequence
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, grouped, keyed_join
+from .common import cut, grouped, ranked
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY = 16
@@ -64,16 +64,6 @@ def _top(nodes: Iterable[tuple], arity: int) -> dict[tuple[str, int], tuple[list
     return out
 
 
-def _ranked(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
-    """nodes with place, from 0 in their group's order, and n, the rows of the group, by a range sort of all."""
-    at = cut(nodes.orderBy("g", *order)).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
-    runs = at.groupBy("g", "__part").agg(F.count("*").alias("rows"), F.min("__at").alias("first"))
-    own = Window.partitionBy("g").orderBy("__part")  # a row for each partition that has rows of the group
-    ahead = F.coalesce(F.sum("rows").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = cut(runs.select("g", "__part", (ahead - F.col("first")).alias("__shift"), F.sum("rows").over(Window.partitionBy("g")).alias("n")))
-    return keyed_join(at, runs, ["g", "__part"]).withColumn("place", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
-
-
 def _paths(nodes: DataFrame, carry: list[str], arity: int, depth: int, most: int) -> DataFrame:
     """(g, place, digest, *carry, before, after, subroot, root) of nodes (g, place, n, digest, *carry)."""
     size = arity**depth
@@ -93,7 +83,7 @@ def _paths(nodes: DataFrame, carry: list[str], arity: int, depth: int, most: int
         top = nodes.sparkSession.sparkContext.broadcast(_top([(x.g, x.place, x.digest) for x in blocks.collect()], arity))
     else:
         if blocks.where("n > 1").isEmpty():  # many groups, each with its subroot: what is left is the tree over them
-            over = _ranked(blocks.select(F.lit("").alias("g"), F.col("g").alias("group"), "digest"), ["group"])
+            over = ranked(blocks.select(F.lit("").alias("g"), F.col("g").alias("group"), "digest"), "g", ["group"])
             above = _paths(over, ["group"], arity, depth, most)
             above = above.select(F.col("group").alias("g"), F.lit(0).cast("long").alias("block"), "before", "after", F.col("digest").alias("subroot"), "root")
         else:
@@ -124,7 +114,7 @@ def manifest(docs: DataFrame, group: str = "source", order: str = "doc_id", fiel
     """
     carry = carry or {}
     taken = docs.select(F.coalesce(F.concat(F.lit("+"), F.col(group).cast("string")), F.lit("")).alias("g"), F.col(order).alias("__order"), leaf(*[F.col(c) for c in fields]).alias("digest"), *[c.alias(name) for name, c in carry.items()])
-    out = _paths(_ranked(cut(taken), ["__order", "digest"]), ["__order", *carry], arity, depth, most)
+    out = _paths(ranked(cut(taken), "g", ["__order", "digest"]), ["__order", *carry], arity, depth, most)
     return out.select(F.col("__order").alias(order), F.when(F.col("g") != "", F.substring("g", 2, 2**31 - 1)).alias(group), *carry, F.col("digest").alias("leaf"), "place", "before", "after", "subroot", "root")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, hash_forest, html, language, licenses, merkle, mixture, quality, secrets, toxicity
+from . import decontaminate, fill_middle, hash_forest, html, language, licenses, merkle, mixture, packing, quality, secrets, toxicity
 from .common import held_out, load, remainder
 from .ngram_join import LINKS_SQL, near_duplicates
 
@@ -95,11 +95,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut_up = packing.pieces(load(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(cut_up, ["doc_id", "piece", "ids_crc32"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_counterfactual_toxicity, op2_ngram_jaccard_join, op3_benchmark_decontamination, op4_nearest_centroid_language, op5_hash_prefix_forest,
-        op6_secret_scan, op7_weighted_fair_mix, op8_layout_html_text, op9_license_scan, op10_discriminant_quality, op11_fill_in_middle, op12_merkle_manifest,
+        op6_secret_scan, op7_weighted_fair_mix, op8_layout_html_text, op9_license_scan, op10_discriminant_quality, op11_fill_in_middle, op12_merkle_manifest, op13_best_fit_packing,
     )
 }
 ORACLE_SQL: dict[str, str] = {

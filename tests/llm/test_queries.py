@@ -260,4 +260,4 @@ def test_mix(spark, small):
 
 
 def test_every_query_has_a_test_or_sql():
-    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
