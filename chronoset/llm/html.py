@@ -10,8 +10,8 @@ follows it), the first COLUMNS of a row and TABLES tables within each other; a t
 indents stop at INDENTS levels.
 
 Visible is what a browser without scripts shows: `display: none`, `hidden`, closed dialogs and elements without text of their own
-are left out with all below them; `visibility: hidden` is inherited, and a child can be visible again. Both are read from style
-attributes and from a page's own style sheets, as far as their selectors are a tag, a class, an id or a tag with one of these.
+are left out with all below them; `visibility: hidden` is inherited, and a child can be visible again. Both come out of the cascade
+over style attributes and all of a page's own style sheets, those that stand after an element too (see Styles).
 """
 
 from __future__ import annotations
@@ -27,13 +27,18 @@ from pyspark.sql import functions as F
 
 #: A quote opens a value only after `=`; a tag that never ends takes the rest of the page.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
-_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
+_DECLARED = re.compile(r"(?<![^;])\s*(display|visibility)\s*:([^;!]*)(!\s*important\s*)?(?=;|\Z)", re.IGNORECASE)
+_CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[{};]", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_SIMPLE = re.compile(r"([a-z][a-z0-9]*|\*)?(?:([.#])([\w-]+))?", re.IGNORECASE)
+#: A tag, a class or id, an attribute's condition, or a pseudo-class of a selector.
+_SIMPLE = re.compile(r"([a-z][\w-]*|\*)|([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(\"[^\"]*\"|'[^']*'|[^\]\s]+)\s*(?:[is]\s*)?)?\]|(::?[\w-]+)(?:\([^()]*\))?", re.IGNORECASE)
+_COMBINES = re.compile(r"\s*[>+~]\s*|\s+")
+_STYLE = re.compile(r"<style", re.IGNORECASE)
 
 ALIGN, COLUMNS, TABLES, INDENTS = 60, 256, 32, 32
+#: Selectors that an element is held against by one of its keys, besides the bare key; pixels of the screen's width.
+NODES, VIEWPORT = 128, 1280
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,6 +66,13 @@ SCOPE = ("table", "td", "th", "caption", "button", "object", "html")
 TABLE_PARTS = frozenset("table tr td th thead tbody tfoot".split())
 #: Inputs whose value is shown.
 SHOWN_INPUTS = frozenset("text search email url tel number submit button reset".split())
+#: Keywords of the CSS standards.
+DISPLAYS = frozenset("none contents block inline inline-block flow flow-root run-in list-item flex inline-flex grid inline-grid table inline-table table-row-group table-header-group table-footer-group table-row table-cell table-column-group table-column table-caption ruby ruby-base ruby-text ruby-base-container ruby-text-container math".split())
+VISIBILITIES = frozenset("visible hidden collapse".split())
+GLOBAL_VALUES = frozenset("initial inherit unset revert revert-layer".split())
+HIDING = frozenset("none hidden collapse".split())
+#: Pseudo-classes of a state that a page isn't in when it is read.
+NEVER = frozenset(":hover :focus :focus-visible :focus-within :active :target :visited :before :after :first-line :first-letter".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -157,41 +169,193 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     yield from close_to(0)
 
 
+class Node:
+    """A compound selector with what stands left of it in its selectors; `open` counts the open elements that match it."""
+
+    __slots__ = ("classes", "others", "id", "tag", "attributes", "child", "up", "weight", "values", "open", "leads")
+
+    def __init__(self, parts: tuple, child: bool, up: Node | None, weight: tuple[int, int, int]) -> None:
+        self.tag, self.id, self.classes, self.attributes = parts
+        self.child, self.up, self.weight = child, up, weight
+        self.values: dict[tuple[str, bool], tuple[bool, int, str]] = {}  # (property, sure) -> (important, order, value)
+        self.open = 0
+        self.leads = False  # another compound follows it in some selector
+
+    def matches(self, tag: str, attributes: dict[str, str], names: set[str], parent: list[Node]) -> bool:
+        if self.up is not None and not (self.up in parent if self.child else self.up.open):
+            return False
+        if (self.tag and self.tag != tag) or (self.id and self.id != attributes.get("id")) or not all(c in names for c in self.classes):
+            return False
+        return all(_attribute_fits(attributes.get(n), how, v) for n, how, v in self.attributes)
+
+
+def _attribute_fits(value: str | None, how: str, wanted: str) -> bool:
+    if value is None:
+        return False
+    if how == "~=":
+        return wanted in value.split()
+    if how == "|=":
+        return value == wanted or value.startswith(wanted + "-")
+    if how in ("^=", "$=", "*="):
+        return bool(wanted) and (value.startswith(wanted) if how[0] == "^" else value.endswith(wanted) if how[0] == "$" else wanted in value)
+    return how == "" or value == wanted
+
+
+def _declared(body: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of display and visibility; invalid values are no declarations."""
+    out = []
+    for m in _DECLARED.finditer(body):
+        name, value, important = m[1].lower(), " ".join(m[2].lower().split()), bool(m[3])
+        if "(" in value or value.startswith("-"):
+            value = "?"  # it can't be worked out, so the text is shown
+        elif value not in GLOBAL_VALUES and not set(value.split()) <= (DISPLAYS if name == "display" else VISIBILITIES):
+            continue
+        out.append((name, value, important))
+    return out
+
+
+def _media(query: str) -> bool | None:
+    """Whether a list of media queries is true of a screen of VIEWPORT pixels; None if it can't be told."""
+    found = []
+    for one in query.lower().split(","):
+        now: bool | None = True
+        for part in re.split(r"\sand\s", f" {one.strip()} "):
+            part = part.strip()
+            width = re.fullmatch(r"\(\s*(min|max)-width\s*:\s*(\d{1,9}(?:\.\d{1,9})?)px\s*\)", part)
+            if width:
+                fits = VIEWPORT >= float(width[2]) if width[1] == "min" else VIEWPORT <= float(width[2])
+                now = now if fits else False
+            elif re.fullmatch(r"(?:only\s+)?[a-z]+", part):
+                now = now if part.split()[-1] in ("all", "screen") else False
+            elif part and now:
+                now = None
+        found.append(now)
+    return True if True in found else None if None in found else False
+
+
 class Styles:
-    """What the page's own style sheets hide, by simple selectors; other rules and at-rules are not applied."""
+    """What a page's style sheets say of display and visibility, by the cascade: importance, style attribute, specificity, order.
+
+    Selectors of tags, classes, ids and attributes, within each other by descent or as children, and widths and kinds of media are
+    worked out. Where a rule's match can't be told (other pseudo-classes, siblings, other conditions), it may show but not hide.
+    The compounds of all selectors are one tree, and open elements are counted at its nodes, so an element costs the nodes of its
+    keys (tag, classes, id, attributes), not its depth. Of a key's selectors with more than the key, those beyond NODES only show.
+    """
 
     def __init__(self) -> None:
-        self.rules: dict[tuple[str, str, str], tuple[bool, str | None]] = {}
+        self.by_key: dict[str, list[Node]] = {}
+        self.known: dict[tuple, Node] = {}
+        self.within: dict[str, int] = {}  # nodes that ask for more than their key
+        self.order = 0
 
-    def read(self, sheet: str) -> None:
-        depth, begin, prelude, skipped = 0, 0, "", False
+    def read(self, sheet: str, sure: bool | None = True) -> None:
+        """sure: whether the sheet applies; None if that can't be told."""
         sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.DOTALL)
-        for m in re.finditer(r"[{}]", sheet):
+        stack: list[list] = []  # [kind, applies, selectors, declarations so far, where what follows begins]
+        begin = 0
+        for m in _CSS.finditer(sheet + "}" * sheet.count("{")):
             if m[0] == "{":
-                if depth == 0:
-                    prelude = sheet[begin : m.start()].rpartition(";")[2].strip()
-                    skipped, begin = prelude.startswith("@"), m.end()
-                depth += 1
-            elif depth:
-                depth -= 1
-                if depth == 0:
-                    if not skipped:
-                        self._add(prelude, sheet[begin : m.start()])
-                    begin = m.end()
-
-    def _add(self, selectors: str, body: str) -> None:
-        gone, seen = bool(_DISPLAY.search(body)), _VISIBILITY.findall(body)
-        if gone or seen:
-            for one in selectors.split(","):
-                m = _SIMPLE.fullmatch(one.strip())
-                if m and m[0]:
-                    self.rules[(m[1] or "*").lower(), m[2] or "", m[3] or ""] = gone, seen[-1].lower() if seen else None
-
-    def of(self, tag: str, attributes: dict[str, str]) -> list[tuple[bool, str | None]]:
-        if not self.rules:
-            return []
-        names = [("", ""), *((".", c) for c in attributes.get("class", "").split()), ("#", attributes.get("id", ""))]
-        return [r for mark, name in names for t in ("*", tag) if (r := self.rules.get((t, mark, name))) is not None]
+                prelude = sheet[begin : m.start()].strip()
+                applies = stack[-1][1] if stack else sure
+                if stack and stack[-1][0] != "group":
+                    kind = "skip"  # nested in a rule, or in what is no rule
+                    stack[-1][3].append(sheet[stack[-1][4] : m.start()].rpartition(";")[0])
+                elif prelude.startswith("@"):
+                    name = prelude[1:].split("(")[0].lower().split()[:1]
+                    kind = "group" if name and name[0] in ("media", "supports", "layer", "container", "scope", "starting-style") else "skip"
+                    now = _media(prelude[6:]) if name == ["media"] else None
+                    applies = False if False in (applies, now) else None if None in (applies, now) else True
+                else:
+                    kind = "rule"
+                stack.append([kind, applies, prelude, [], m.end()])
+                begin = m.end()
+            elif m[0] == "}" and stack:
+                kind, applies, prelude, parts, first = stack.pop()
+                if kind == "rule" and applies is not False:
+                    self._add(prelude, ";".join([*parts, sheet[first : m.start()]]), applies is None)
+                if stack:
+                    stack[-1][4] = m.end()
+                begin = m.end()
+            elif m[0] == ";" and (not stack or stack[-1][0] == "group"):
+                begin = m.end()
+
+    def _add(self, selectors: str, body: str, doubt: bool) -> None:
+        found = _declared(body)
+        for one in selectors.split(",") if found else ():
+            node, unsure = self._node(one.strip())
+            if node is None:
+                continue
+            for i, (name, value, important) in enumerate(found, self.order):
+                key, new = (name, not (doubt or unsure)), (important, i, value)
+                node.values[key] = max(node.values.get(key, new), new)
+        self.order += len(found)
+
+    def _node(self, selector: str) -> tuple[Node | None, bool]:
+        """The tree's node of a selector, and whether its match can't be told; no node if it never matches or isn't understood."""
+        node: Node | None = None
+        unsure, child, at = False, False, 0
+        while at < len(selector):
+            tag = mark = ""
+            classes: list[str] = []
+            conditions: list[tuple[str, str, str]] = []
+            ids, kinds, start = 0, 0, at
+            while m := _SIMPLE.match(selector, at):
+                at = m.end()
+                if m[1]:
+                    tag = "" if m[1] == "*" else m[1].lower()
+                elif m[2] == ".":
+                    classes.append(m[3])
+                elif m[2] == "#":
+                    mark, ids = m[3], ids + 1
+                elif m[4]:
+                    conditions.append((m[4].lower(), m[5] or "", (m[6] or "").strip("\"'")))
+                elif m[7]:
+                    if m[7].startswith("::") or m[7].lower() in NEVER:
+                        return None, False
+                    unsure, kinds = True, kinds + 1
+            if at == start:
+                return None, False
+            up = node.weight if node else (0, 0, 0)
+            weight = (up[0] + ids, up[1] + len(classes) + len(conditions) + kinds, up[2] + bool(tag))
+            parts = (tag, mark, tuple(classes), tuple(conditions))
+            key = f"#{mark}" if mark else f".{classes[0]}" if classes else f"[{conditions[0][0]}" if conditions else tag or "*"
+            bare = ("" if key != tag else tag, mark, () if mark else tuple(classes[:1]), ())
+            if (node is not None or parts != bare) and (key, parts, child, node) not in self.known:
+                self.within[key] = self.within.get(key, 0) + 1
+                if self.within[key] > NODES:
+                    node, child, unsure, parts = None, False, True, bare
+            if (own := self.known.get((key, parts, child, node))) is None:
+                own = self.known[key, parts, child, node] = Node(parts, child, node, weight)
+                self.by_key.setdefault(key, []).append(own)
+            m = _COMBINES.match(selector, at)
+            if m is None:
+                return (own, unsure) if at == len(selector) else (None, False)
+            at = m.end()
+            child = m[0].strip() == ">"
+            if m[0].strip() in ("+", "~"):
+                node, unsure = None, True
+            else:
+                own.leads = True
+                node = own
+        return None, False
+
+    def of(self, tag: str, attributes: dict[str, str], parent: list[Node]) -> tuple[dict[str, str], list[Node]]:
+        """(the values that win, the nodes that the element matches); the caller counts it at them while it is open."""
+        names = set(attributes.get("class", "").split())
+        best: dict[str, tuple] = {}
+        hits = []
+        for key in ("*", tag, *(f".{c}" for c in names), *(f"[{a}" for a in attributes), f"#{attributes.get('id', '')}") if self.by_key else ():
+            for node in self.by_key.get(key, ()):
+                if node.matches(tag, attributes, names, parent):
+                    if node.leads:
+                        hits.append(node)
+                    for (name, sure), (important, order, value) in node.values.items():
+                        if sure or value not in HIDING:
+                            best[name] = max(best.get(name, ()), (important, 0, node.weight, order, value))
+        if style := attributes.get("style"):
+            for i, (name, value, important) in enumerate(_declared(re.sub(r"/\*.*?(?:\*/|\Z)", " ", style, flags=re.DOTALL))):
+                best[name] = max(best.get(name, ()), (important, 1, (0, 0, 0), i, value))
+        return {name: x[4] for name, x in best.items()}, hits
 
 
 class Flow:
@@ -299,24 +463,21 @@ def _span(attributes: dict[str, str], name: str, most: int, least: int) -> int:
 class Page:
     """The renderer's state; what an element did when it opened is undone when it closes."""
 
-    def __init__(self) -> None:
+    def __init__(self, styles: Styles) -> None:
         self.flows: list[Flow] = [Flow()]
         self.tables: list[Table] = []
         self.lists: list[list] = []  # [kind, next number]
         self.quotes = self.pre = self.deep = 0
-        self.elements: list[tuple[bool, bool, str, tuple]] = []  # (gone, invisible, what it did, how)
+        self.elements: list[tuple[bool, bool, str, tuple, list[Node]]] = []  # (gone, invisible, what it did, how, selectors it matches)
         self.cells: list[tuple[int, int]] = []  # lists and quotes outside each open cell
-        self.styles = Styles()
+        self.styles = styles
 
     def indent(self) -> str:
         lists, quotes = self.cells[-1] if self.cells else (0, 0)
         return "  " * min(INDENTS, max(0, len(self.lists) - lists - 1) + max(0, self.quotes - quotes))
 
     def text(self, text: str) -> None:
-        gone, invisible, did, _ = self.elements[-1] if self.elements else (False, False, "", ())
-        if did == "style":
-            self.styles.read(text)
-        if gone or invisible:
+        if self.elements and (self.elements[-1][0] or self.elements[-1][1]):
             return
         flow = self.flows[-1]
         if self.pre:
@@ -333,15 +494,21 @@ class Page:
             self.tables[-1].caption.append(_SPACES.sub(" ", text).strip())
 
     def open(self, tag: str, attributes: dict[str, str]) -> None:
-        gone, invisible = self.elements[-1][:2] if self.elements else (False, False)
-        style = attributes.get("style", "")
-        rules = self.styles.of(tag, attributes)
-        gone = gone or tag in NO_TEXT or "hidden" in attributes or (tag == "dialog" and "open" not in attributes) or bool(_DISPLAY.search(style)) or any(r[0] for r in rules)
-        for seen in [*(r[1] for r in rules), *(x.lower() for x in _VISIBILITY.findall(style))]:
-            if seen:
-                invisible = seen != "visible"
-        did, how = (tag if tag == "style" else "", ()) if gone else self._open(tag, attributes, invisible)
-        self.elements.append((gone, invisible, did, how))
+        gone, invisible, _, _, parent = self.elements[-1] if self.elements else (False, False, "", (), [])
+        found, hits = self.styles.of(tag, attributes, parent)
+        for node in hits:
+            node.open += 1
+        display = found.get("display", "revert")
+        if display.startswith("revert"):  # what the browser's own sheet says
+            display = "none" if "hidden" in attributes or (tag == "dialog" and "open" not in attributes) else ""
+        gone = gone or tag in NO_TEXT or display == "none"
+        visibility = found.get("visibility", "inherit")
+        if visibility in ("visible", "initial", "?"):
+            invisible = False
+        elif visibility in HIDING:
+            invisible = True
+        did, how = ("", ()) if gone else self._open(tag, attributes, invisible)
+        self.elements.append((gone, invisible, did, how, hits))
 
     def _open(self, tag: str, attributes: dict[str, str], invisible: bool) -> tuple[str, tuple]:
         flow = self.flows[-1]
@@ -394,7 +561,9 @@ class Page:
         return "", ()
 
     def close(self) -> None:
-        did, how = self.elements.pop()[2:]
+        did, how, hits = self.elements.pop()[2:]
+        for node in hits:
+            node.open -= 1
         flow = self.flows[-1]
         if did == "table":
             for line in self.tables.pop().render():
@@ -424,9 +593,30 @@ class Page:
                 self.pre -= 1
 
 
+def _sheets(html: str) -> Styles:
+    """The page's style sheets, read before its text is."""
+    styles = Styles()
+    if not _STYLE.search(html):
+        return styles
+    open_: list[tuple[str, dict[str, str]]] = []
+    templates = 0
+    for what, tag, attributes in events(html):
+        if what == "open":
+            open_.append((tag, attributes))
+            templates += tag == "template"
+        elif what == "close":
+            templates -= open_.pop()[0] == "template"
+        elif open_ and open_[-1][0] == "style" and not templates and open_[-1][1].get("type", "").strip().lower() in ("", "text/css"):
+            media = open_[-1][1].get("media", "").strip()
+            applies = _media(media) if media else True
+            if applies is not False:
+                styles.read(tag, applies)
+    return styles
+
+
 def render(html: str | None) -> str:
     """The visible text of a page; of null or empty, the empty text."""
-    page = Page()
+    page = Page(_sheets(html or ""))
     for what, tag, attributes in events(html or ""):
         if what == "text":
             page.text(tag)
