@@ -25,9 +25,17 @@ FINDINGS = 6000
 
 _LONG = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}")
 #: Forms of keys that say whose they are.
-_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]+){2})(?![A-Za-z0-9])|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----")
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----")
+#: How a signed web token begins, and the characters of its three parts, which dots join.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9])eyJ")
+_PART = re.compile(r"[A-Za-z0-9_-]++")
+_PARTS = re.compile(r"(?:\.[A-Za-z0-9_-]++){2}")
+_WHOLE_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]++){2}")
+#: Each known form holds one of these.
+_SIGNS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "k_live_", "k_test_", "AIza", "-----BEGIN ")
 _NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|credential|bearer)[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"'`]?([^\s\"'`<>]{6,}+)", re.IGNORECASE)
-_HINT = re.compile(r"passw|pwd|secret|token|key|credential|bearer", re.IGNORECASE)
+#: Each of the names above holds one of these, when its case is folded.
+_HINTS = ("passw", "pwd", "secret", "token", "key", "credential", "bearer")
 
 #: Words that speak for a secret, or against one, beside a candidate.
 FOR = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "auth", "bearer", "credential", "access", "private")
@@ -37,41 +45,65 @@ DICTIONARY = tuple(sorted("the and for with from this that user name file path t
 _WORDS = re.compile("|".join(w for w in DICTIONARY if len(w) > 2))
 
 FEATURES = ["length", "lower", "upper", "digit", "other", "entropy", "kinds", "hex", "transitions", "letter_digit", "case_changes", "distinct", "longest_run", "dictionary", "slashes", "path_before", "dots_after", "dashes", "quoted", "assigned", "for", "against", "uuid", "pads", "known"]
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _NAME = re.compile(r"[a-z0-9]+(?:_[a-z0-9]+)*")
 
 
+def _runs(codes: np.ndarray) -> int:
+    """The longest run of equal values."""
+    edges = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1], [True])))
+    return int(np.diff(edges).max())
+
+
 def features(value: str, before: str, after: str) -> list[float]:
     n = len(value)
-    kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in value]
-    count = {k: kinds.count(k) / n for k in "luod"}
-    chars = np.unique(np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32), return_counts=True)[1] / n
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
-    mixed = sum({a, b} in ({"l", "d"}, {"u", "d"}) for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
-    cases = sum({a, b} == {"l", "u"} for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)
-    longest = run = 1
-    for a, b in zip(value, value[1:], strict=False):
-        run = run + 1 if a == b else 1
-        longest = max(longest, run)
+    chars, place, times = np.unique(np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32), return_inverse=True, return_counts=True)
+    letters = [chr(c) for c in chars]
+    kinds = np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in letters])[place]  # lower, upper, digit, other
+    lower, upper, digit, other = np.bincount(kinds, minlength=4) / n
+    pairs = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16) / max(1, n - 1)
+    turns = 1 - pairs[[0, 5, 10, 15]].sum() if n > 1 else 0.0
+    mixed, cases = pairs[[2, 8, 6, 9]].sum(), pairs[[1, 4]].sum()
+    share = times / n
     covered = sum(len(w) for w in _WORDS.findall(value.lower())) / n
     near = _NAME.findall(before.lower())[-5:]
     parts = {p for w in near for p in (w, *w.split("_"))}
     tail = before.rstrip()
     bare = tail.rstrip("\"'`").rstrip()
+    known = _KNOWN.fullmatch(value) or _WHOLE_TOKEN.fullmatch(value)
     return [
-        float(np.log(n)), count["l"], count["u"], count["d"], count["o"], float(-(chars * np.log2(chars)).sum()), float(len(set(kinds))),
-        float(all(c in "0123456789abcdefABCDEF" for c in value)), turns, mixed, cases, len(chars) / n, longest / n, covered, value.count("/") / n,
+        float(np.log(n)), lower, upper, digit, other, float(-(share * np.log2(share)).sum()), float(np.count_nonzero((lower, upper, digit, other))),
+        float(all(c in "0123456789abcdefABCDEF" for c in letters)), turns, mixed, cases, len(chars) / n, _runs(place) / n, covered, value.count("/") / n,
         float(before[-1:] in ("/", "\\", ".", "@", "-")), float(after[:1] in (".", "/", "@")), value.count("-") / n, float(tail[-1:] in ("\"", "'", "`")),
-        float(bare[-1:] in ("=", ":") or bare[-2:] == "=>"), float(any(w in parts for w in FOR)), float(any(w in parts for w in AGAINST)), float(bool(_UUID.search(value))), float(value.endswith("=")), float(bool(_KNOWN.fullmatch(value))),
+        float(bare[-1:] in ("=", ":") or bare[-2:] == "=>"), float(any(w in parts for w in FOR)), float(any(w in parts for w in AGAINST)), float(bool(_UUID.search(value))), float(value.endswith("=")), float(bool(known)),
     ]
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of signed web tokens; a part is read once, however often it could begin a token."""
+    end = stop = done = 0
+    for m in _TOKEN.finditer(text):
+        if m.start() < done:
+            continue
+        if m.start() >= end:
+            end = _PART.match(text, m.start()).end()
+            rest = _PARTS.match(text, end)
+            stop = rest.end() if rest else 0
+        if stop and end - m.end() >= 10:
+            yield m.start(), stop
+            done = stop
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """(first, last + 1, kind) of strings that may be secrets: long ones of letters and digits, known forms of keys, and values of tell-tale names."""
     taken = 0
     spans = [(m.start(), m.end(), "string") for m in _LONG.finditer(text) if _mixed(m.group())]
-    spans += [(m.start(), m.end(), "known") for m in _KNOWN.finditer(text)]
-    if _HINT.search(text):
+    if any(sign in text for sign in _SIGNS):
+        spans += [(m.start(), m.end(), "known") for m in _KNOWN.finditer(text)]
+    spans += [(a, b, "known") for a, b in _tokens(text)]
+    folded = text.casefold() if "=" in text or ":" in text else ""
+    if any(hint in folded for hint in _HINTS):
         spans += [(m.start(1), m.end(1), "named") for m in _NAMED.finditer(text)]
     for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
         if a >= taken:
@@ -80,7 +112,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _mixed(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+    return bool(_DIGIT.search(s) and _LETTER.search(s))
 
 
 def generated_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, int]]:
@@ -214,7 +246,12 @@ def scan(docs: DataFrame, forest: Forest | None = None, least: float = 0.5) -> D
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """docs with `mark` in place of each secret of the text; n_chars, if there, follows. No row goes."""
+    """docs with `mark` in place of each secret of the text; n_chars, if there, follows. No row goes.
+
+    A null or empty text stays as it is, and so does the n_chars of a row without a secret, null or not. Secrets don't overlap: of
+    candidates that do, the one that begins first (of those, the longest) is judged. Repeated rows are masked alike; an empty table
+    stays empty; further columns are kept, whatever their names, a second `text` or `n_chars` too.
+    """
     from pyspark.sql.types import StructType
 
     held = docs.sparkSession.sparkContext.broadcast(forest or forest_of())
