@@ -155,7 +155,7 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFr
     Repeated rows are items of their own. An empty table gives no rows.
     """
     sized = items.withColumn("length", F.coalesce(F.col("length").cast("long"), F.lit(0).cast("long")))
-    docs = ranked(sized, "length", order)
+    docs = ranked(cut(sized), "length", order)
     lengths = {x.length: x.n for x in docs.groupBy("length").agg(F.max("n").alias("n")).limit(capacity + 2).collect()}
     if any(not 1 <= x <= capacity for x in lengths):
         raise ValueError(f"lengths must be whole numbers of 1 to {capacity}")
