@@ -62,9 +62,8 @@ def features(value: str, before: str, after: str) -> list[float]:
     letters = [chr(c) for c in chars]
     kinds = np.array([0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in letters])[place]  # lower, upper, digit, other
     lower, upper, digit, other = np.bincount(kinds, minlength=4) / n
-    pairs = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16) / max(1, n - 1)
-    turns = 1 - pairs[[0, 5, 10, 15]].sum() if n > 1 else 0.0
-    mixed, cases = pairs[[2, 8, 6, 9]].sum(), pairs[[1, 4]].sum()
+    pairs, rest = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16), max(1, n - 1)
+    turns, mixed, cases = (n - 1 - pairs[[0, 5, 10, 15]].sum()) / rest, pairs[[2, 8, 6, 9]].sum() / rest, pairs[[1, 4]].sum() / rest
     share = times / n
     covered = sum(len(w) for w in _WORDS.findall(value.lower())) / n
     near = _NAME.findall(before.lower())[-5:]
