@@ -32,13 +32,16 @@ def _files(rows: DataFrame, keys: list[str], write, parse, schema: str) -> DataF
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = notes(spark, sf_dir).where("duration > 0.01").withColumn("part", F.floor(F.col("onset") / PART))
+    n = notes(spark, sf_dir).withColumn("part", F.floor(F.col("onset") / PART))
     return n.withColumn("start", F.col("onset") - F.col("part") * PART)
 
 
-@query(NOTES + """SELECT track, floor(onset / 240)::BIGINT AS part, pitch, round(round_even((onset - floor(onset / 240) * 240) * 960, 0) / 960, 6) AS onset, round(round_even((onset - floor(onset / 240) * 240 + duration) * 960, 0) / 960 - round_even((onset - floor(onset / 240) * 240) * 960, 0) / 960, 6) AS duration FROM notes WHERE duration > 0.01""")
+@query(NOTES + """, parts AS (
+  SELECT track, pitch, duration, floor(onset / 240)::BIGINT AS part, onset - floor(onset / 240) * 240 AS start FROM notes
+), ticks AS (SELECT track, part, pitch, round_even(start * 960, 0) AS a, round_even((start + duration) * 960, 0) AS z FROM parts)
+SELECT track, part, pitch, round(a / 960, 6) AS onset, round(greatest(a + 1, z) / 960 - a / 960, 6) AS duration FROM ticks""")
 def midi_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes through a MIDI file: times to a tick."""
+    """All notes through a MIDI file: times to a tick, no note shorter than one."""
 
     def write(g: pd.DataFrame) -> bytes:
         return adapters.write_midi(list(zip(g["start"], g["duration"], g["pitch"], [90] * len(g), strict=True)))
@@ -48,8 +51,8 @@ def midi_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("onset", F.round("onset", 6)).withColumn("duration", F.round("duration", 6))
 
 
-@query(NOTES + """, p AS (SELECT track, floor(onset / 240)::BIGINT AS part, pitch, round_even((onset - floor(onset / 240) * 240) * 480, 0) AS a, round_even((onset - floor(onset / 240) * 240 + duration) * 480, 0) AS z FROM notes WHERE duration > 0.01)
-SELECT track, part, pitch, round(a / 480, 6) AS position, round((z - a) / 480, 6) AS duration FROM p""")
+@query(NOTES + """, p AS (SELECT track, floor(onset / 240)::BIGINT AS part, pitch, round_even((onset - floor(onset / 240) * 240) * 480, 0) AS a, round_even((onset - floor(onset / 240) * 240 + duration) * 480, 0) AS z FROM notes)
+SELECT track, part, pitch, round(a / 480, 6) AS position, round((greatest(a + 1, z) - a) / 480, 6) AS duration FROM p""")
 def score_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes through a score file, cut at its bar lines and tied together again."""
 

@@ -4,6 +4,7 @@ import struct
 import wave
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chronoset.plans import stages
@@ -24,7 +25,9 @@ def test_midi_round_trip(spark, tmp_path):
     (tmp_path / "a.mid").write_bytes(A.write_midi([(o, d, p, 90) for o, d, p in NOTES]))
     got = [(round(r.onset, 3), round(r.duration, 3), r.pitch) for r in A.read_midi(spark, str(tmp_path)).orderBy("onset").collect()]
     assert got == NOTES
-    assert A.parse_midi(b"not midi") == []
+    for broken in (b"not midi", b"", b"RIFF\x00\x00\x00\x00RMIDdata", A.write_midi([(0.0, 1.0, 60, 90)])[:24]):
+        with pytest.raises(ValueError):
+            A.parse_midi(broken)
     tempo = b"\x00\xff\x51\x03" + (1_000_000).to_bytes(3, "big") + b"\x00\x90\x3c\x40\x83\x60\x80\x3c\x00\x00\xff\x2f\x00"
     data = b"MThd" + struct.pack(">IHHH", 6, 0, 1, 480) + b"MTrk" + struct.pack(">I", len(tempo)) + tempo
     assert [(n["onset"], n["duration"]) for n in A.parse_midi(data)] == [(0.0, 1.0)]
@@ -167,3 +170,53 @@ def test_anchored_stream_of_rows_out_of_order(spark, tmp_path):
                 first, n = t, 0
             n += 1
     assert len(got) == len(set(got)) > 20 and set(got) <= want
+
+
+def midi(*tracks, division=480, declared=None):
+    chunks = b"".join(tag + struct.pack(">I", len(body)) + body for tag, body in tracks)
+    return b"MThd" + struct.pack(">IHHH", 6, 1, declared or sum(tag == b"MTrk" for tag, _ in tracks), division) + chunks
+
+
+def spans(content, **how):
+    return [(round(n["onset"], 6), round(n["duration"], 6), n["pitch"]) for n in A.parse_midi(content, **how)]
+
+
+END = b"\x00\xff\x2f\x00"
+
+
+def test_midi_notes_that_are_not_ended():
+    """They end with their own track, at its end mark or where its bytes stop."""
+    body = b"\x00\x90\x3c\x50\x83\x60\x3e\x50"  # a second note at tick 480, by running status
+    assert spans(midi((b"MTrk", body + b"\x83\x60\xff\x2f\x00"))) == [(0.0, 1.0, 60), (0.5, 0.5, 62)]
+    assert spans(midi((b"MTrk", body))) == [(0.0, 0.5, 60), (0.5, 0.0, 62)]
+    longer = b"\x00\x91\x40\x50\x8f\x00\x81\x40\x00" + END
+    assert spans(midi((b"MTrk", body + END), (b"MTrk", longer))) == [(0.0, 0.5, 60), (0.0, 2.0, 64), (0.5, 0.0, 62)]
+
+
+def test_midi_wrapped_and_with_other_chunks():
+    track = b"\x00\x90\x3c\x50\x83\x60\x80\x3c\x00" + END
+    plain = midi((b"MTrk", track))
+    assert spans(b"RIFF" + struct.pack("<I", len(plain) + 12) + b"RMIDdata" + struct.pack("<I", len(plain)) + plain) == [(0.0, 0.5, 60)]
+    assert spans(midi((b"XFIH", b"anything"), (b"MTrk", track), (b"junk", b""), (b"MTrk", track), declared=2)) == [(0.0, 0.5, 60)] * 2
+
+
+def test_midi_frames_a_second():
+    track = b"\x00\xff\x51\x03\x0f\x42\x40\x00\x90\x3c\x50\x83\x60\x80\x3c\x00" + END  # the tempo says nothing here
+    assert spans(midi((b"MTrk", track), division=((256 - 25) << 8) | 40)) == [(0.0, 0.48, 60)]
+
+
+def test_midi_tempo_status_and_drums():
+    tempo = b"\x83\x60\xff\x51\x03\x0f\x42\x40" + END  # from tick 480 on, a second a quarter
+    track = b"\x00\x90\x3c\x50\x00\xff\x01\x01x\x83\x60\x3c\x00\x00\xf0\x01\xf7\x00\x90\x3c\x50\x00\xc0\x05\x83\x60\x90\x3c\x00\x00\x99\x24\x50\x10\x89\x24\x00" + END
+    assert spans(midi((b"MTrk", tempo), (b"MTrk", track))) == [(0.0, 0.5, 60), (0.5, 1.0, 60)]
+    assert len(spans(midi((b"MTrk", tempo), (b"MTrk", track)), drums=True)) == 3
+    twice = b"\x00\x90\x3c\x50\x83\x60\x90\x3c\x50\x83\x60\x80\x3c\x00\x83\x60\x80\x3c\x00" + END  # struck again before it ends
+    assert spans(midi((b"MTrk", twice))) == [(0.0, 1.0, 60), (0.5, 1.0, 60)]
+    with pytest.raises(ValueError):
+        A.parse_midi(midi((b"MTrk", b"\x00\x3c\x50" + END)))
+
+
+def test_shortest_notes_keep_a_tick():
+    assert spans(A.write_midi([(1.0, 0.0, 60, 90)])) == [(1.0, round(1 / 960, 6), 60)]
+    (n,) = A.parse_musicxml(A.write_musicxml([(1.0, 0.0, 60)]).encode())
+    assert n["position"] == 1.0 and n["duration"] == 1 / 480
