@@ -7,6 +7,8 @@ Fixed values: the names of the classes, and which rule goes before which.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +39,20 @@ def frame_facts(notes: DataFrame, frames: DataFrame, lead: float, shortest: floa
     return facts.join(runs, "id", "left").withColumn("run", F.coalesce("run", F.lit(0)))
 
 
-def covering(points: DataFrame, notes: DataFrame, slack: float, cell: float = 1.0) -> DataFrame:
-    """(id, same, cover_id, cover_pitch, cover_end) of points that lie within notes, of the same pitch first, then the earliest."""
-    spans = notes.select(F.col("rec").alias("c_rec"), F.col("id").alias("c_id"), F.col("pitch").alias("c_pitch"), F.col("onset").alias("c_lo"), (F.col("onset") + F.col("duration")).alias("c_end"), (F.col("onset") + F.col("duration") + slack).alias("c_hi"))
-    met = stabbing_join(points.select("rec", "id", "onset", "pitch"), spans, [("rec", "c_rec")], "onset", ("c_lo", "c_hi"), cell)
+#: A note's first moments are its attack: what begins within them is struck with it, not covered by it.
+ATTACK = 0.05
+
+
+def covering(points: DataFrame, notes: DataFrame, slack: float, attack: float = ATTACK, cell: float = 1.0) -> DataFrame:
+    """(id, same, cover_id, cover_pitch, cover_end) of points that notes cover, from after their attack up to their end and slack.
+
+    A note of the point's own pitch goes first, then the one that begins first (of those, the least id).
+    """
+    end = F.col("onset") + F.col("duration")
+    spans = notes.select(F.col("rec").alias("c_rec"), F.col("id").alias("c_id"), F.col("pitch").alias("c_pitch"), F.col("onset").alias("c_on"), (F.col("onset") + attack).alias("c_lo"), end.alias("c_end"), (end + slack).alias("c_hi"))
+    met = stabbing_join(points.select("rec", "id", "onset", "pitch"), spans, [("rec", "c_rec")], "onset", ("c_lo", "c_hi"), cell, right=True)
     same = F.col("c_pitch") == F.col("pitch")
-    best = F.min(F.struct((~same).alias("other"), "c_lo", "c_id", "c_pitch", "c_end")).alias("b")
+    best = F.min(F.struct((~same).alias("other"), "c_on", "c_id", "c_pitch", "c_end")).alias("b")
     return met.groupBy("id").agg(best).select("id", (~F.col("b.other")).alias("same"), F.col("b.c_id").alias("cover_id"), F.col("b.c_pitch").alias("cover_pitch"), F.col("b.c_end").alias("cover_end"))
 
 
@@ -92,17 +102,48 @@ def classify_extra(extra: DataFrame, reference: DataFrame, other: DataFrame, sla
 
 
 def classify_pairs(pairs: DataFrame, estimate: DataFrame, tolerance: float, slack: float) -> DataFrame:
-    """(ref_id, est_id, class) of pairs (rec, ref_id, est_id, ref_onset, ref_duration, ref_pitch, est_onset, est_pitch).
+    """(ref_id, est_id, class, body_id) of pairs (rec, ref_id, est_id, ref_onset, ref_duration, ref_pitch, est_onset, est_pitch).
 
-    An unequal pitch with a later note of ours at the reference pitch, still within the reference note, is the attack split off.
+    An unequal pitch with a later note of ours at the reference pitch, which begins within the reference note (its end and slack
+    included), is the attack split off; body_id is the first such note.
     """
-    body = estimate.select(F.col("rec").alias("b_rec"), F.col("pitch").alias("b_pitch"), F.col("onset").alias("b_on"), F.lit(1).alias("b_one"))
+    body = estimate.select(F.col("rec").alias("b_rec"), F.col("pitch").alias("b_pitch"), F.col("onset").alias("b_on"), F.col("id").alias("b_id"))
     p = pairs.withColumn("__end", F.col("ref_onset") + F.col("ref_duration") + slack)
     spans = p.where("ref_pitch != est_pitch").select("rec", "ref_pitch", "ref_id", "est_id", F.col("est_onset").alias("__from"), F.col("__end").alias("__to"))
-    later = stabbing_join(body, spans, [("b_rec", "rec"), ("b_pitch", "ref_pitch")], "b_on", ("__from", "__to"), 1.0).where("b_on > __from").select("ref_id", "est_id", F.lit(True).alias("body")).distinct()
+    later = stabbing_join(body, spans, [("b_rec", "rec"), ("b_pitch", "ref_pitch")], "b_on", ("__from", "__to"), 1.0, right=True)
+    later = later.groupBy("ref_id", "est_id").agg(F.min(F.struct("b_on", "b_id")).alias("body"))
     dt, step = F.col("est_onset") - F.col("ref_onset"), F.col("est_pitch") - F.col("ref_pitch")
     rule = (
-        F.when((step == 0) & (F.abs(dt) <= tolerance), "unaligned").when((step == 0) & (dt > 0), "timing_late").when(step == 0, "timing_early").when(F.col("body"), "attack_transient")
+        F.when((step == 0) & (F.abs(dt) <= tolerance), "unaligned").when((step == 0) & (dt > 0), "timing_late").when(step == 0, "timing_early").when(F.col("body").isNotNull(), "attack_transient")
         .when(F.abs(dt) > tolerance, "loose").when(_octave(step), "octave").when(F.abs(step).isin(1, 2), "neighbour").otherwise("other_pitch")
     )
-    return p.join(later, ["ref_id", "est_id"], "left").select("ref_id", "est_id", rule.alias("class"))
+    return p.join(later, ["ref_id", "est_id"], "left").select("ref_id", "est_id", rule.alias("class"), F.col("body.b_id").alias("body_id"))
+
+
+def classify_all(reference: DataFrame, estimate: DataFrame, hits: DataFrame, pairs: DataFrame, misses: Callable[[DataFrame], DataFrame], extras: Callable[[DataFrame], DataFrame], tolerance: float, slack: float) -> DataFrame:
+    """(rec, population, ref_id, est_id, class) of every note of either side: hit, pair, miss or extra.
+
+    hits and pairs are (ref_id, est_id), of notes that occur in one of them at most, once; misses and extras classify what is left, as
+    (id, class). The body behind an attack that was split off is the same fault: an extra that is one and would be a split sustain is
+    body_late.
+    """
+    r = reference.select("rec", F.col("id").alias("ref_id"), F.col("onset").alias("ref_onset"), F.col("duration").alias("ref_duration"), F.col("pitch").alias("ref_pitch"))
+    e = estimate.select(F.col("id").alias("est_id"), F.col("onset").alias("est_onset"), F.col("pitch").alias("est_pitch"))
+    judged = classify_pairs(pairs.join(r, "ref_id").join(e, "est_id"), estimate, tolerance, slack)
+    left = lambda notes, side: notes.join(hits.select(F.col(side).alias("id")).union(pairs.select(F.col(side).alias("id"))), "id", "left_anti")
+    bodies = judged.where("body_id is not null").select(F.col("body_id").alias("id"), F.lit(True).alias("body")).distinct()
+    late = F.when(F.col("body") & (F.col("class") == "split_sustain"), "body_late").otherwise(F.col("class"))
+    over = extras(left(estimate, "est_id")).join(bodies, "id", "left").select("id", late.alias("class"))
+    none = F.lit(None).cast("long")
+    rows = hits.select(F.lit("hit").alias("population"), "ref_id", "est_id", F.lit("hit").alias("class")).union(judged.select(F.lit("pair"), "ref_id", "est_id", "class"))
+    rows = rows.union(misses(left(reference, "ref_id")).select(F.lit("miss"), "id", none, "class")).union(over.select(F.lit("extra"), none, "id", "class"))
+    recs = reference.select("id", "rec").union(estimate.select("id", "rec"))
+    return rows.withColumn("id", F.coalesce("ref_id", "est_id")).join(recs, "id").select("rec", "population", "ref_id", "est_id", "class")
+
+
+def deficit(rows: DataFrame) -> DataFrame:
+    """(rec, population, class, n, part) of classify_all(): what each class takes of 1 - F1, in which a pair counts for both sides."""
+    n = rows.groupBy("rec", "population", "class").agg(F.count("*").alias("n"))
+    weight = F.when(F.col("population").isin("hit", "pair"), 2).otherwise(1)
+    all_ = F.sum(F.col("n") * weight).over(Window.partitionBy("rec"))
+    return n.withColumn("part", F.col("n") * weight / all_).where("population != 'hit'").select("rec", "population", "class", "n", "part")

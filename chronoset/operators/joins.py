@@ -99,11 +99,12 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]],
     return a.join(b, cond).drop("__cell", "__near")
 
 
-def stabbing_join(points: DataFrame, spans: DataFrame, on: list[tuple[str, str]], time: str, span: tuple[str, str], cell: float) -> DataFrame:
-    """Points with the spans [from, to) that hold them; names of both sides must differ."""
+def stabbing_join(points: DataFrame, spans: DataFrame, on: list[tuple[str, str]], time: str, span: tuple[str, str], cell: float, right: bool = False) -> DataFrame:
+    """Points with the spans [from, to) that hold them, or (from, to] if `right`; names of both sides must differ."""
     a = points.withColumn("__cell", F.floor(F.col(time) / cell))
-    b = spans.withColumn("__near", _cells(F.col(span[0]), F.col(span[1]), cell))
-    cond = (F.col("__cell") == F.col("__near")) & (F.col(time) >= F.col(span[0])) & (F.col(time) < F.col(span[1]))
+    b = spans.withColumn("__near", _cells(F.col(span[0]), F.greatest(*map(F.col, span)), cell))
+    t, lo, hi = F.col(time), F.col(span[0]), F.col(span[1])
+    cond = (F.col("__cell") == F.col("__near")) & ((t > lo) & (t <= hi) if right else (t >= lo) & (t < hi))
     for x, y in on:
         cond &= a[x] == b[y]
     return a.join(b, cond).drop("__cell", "__near")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import errors, joins, stats
 from ..sources.project import SQL, frames, notes
+from .kernel_queries import matched
 from .registry import query
 
 #: Frames of twelve tracks, one after another, are those of a recording; a frame is a tenth of a unit long.
@@ -44,7 +45,7 @@ def frame_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MISSED = EVIDENCE + """, missed AS (SELECT * FROM ref r WHERE NOT EXISTS (SELECT 1 FROM est e WHERE e.rec = r.rec AND e.pitch = r.pitch AND abs(e.onset - r.onset) <= 0.05)),
-cov AS (SELECT m.id, arg_min(e.pitch = m.pitch, (e.pitch <> m.pitch, e.onset, e.id)) AS same, arg_min(e.onset + e.duration, (e.pitch <> m.pitch, e.onset, e.id)) AS cover_end FROM missed m JOIN est e ON e.rec = m.rec AND m.onset >= e.onset AND m.onset < e.onset + e.duration GROUP BY m.id),
+cov AS (SELECT m.id, arg_min(e.pitch = m.pitch, (e.pitch <> m.pitch, e.onset, e.id)) AS same, arg_min(e.onset + e.duration, (e.pitch <> m.pitch, e.onset, e.id)) AS cover_end FROM missed m JOIN est e ON e.rec = m.rec AND m.onset > e.onset + 0.05 AND m.onset <= e.onset + e.duration GROUP BY m.id),
 lm AS (SELECT m.id, CASE WHEN count(*) >= 3 THEN median(e.pitch) END AS line FROM missed m JOIN est e ON e.rec = m.rec AND abs(e.onset - m.onset) <= 2.0 GROUP BY m.id),
 ladder AS (SELECT m.id, CASE WHEN c.same THEN 'merged' WHEN c.id IS NOT NULL AND cover_end - m.onset >= 0.2 THEN 'absorbed' WHEN c.id IS NOT NULL THEN 'squeezed'
   WHEN EXISTS (SELECT 1 FROM other o WHERE o.rec = m.rec AND o.pitch = m.pitch AND abs(o.onset - m.onset) <= 0.1) THEN 'not_picked' WHEN f.level < 25000 THEN 'left_stem' WHEN f.id IS NULL THEN 'unclassified'
@@ -71,7 +72,7 @@ def classify_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EXTRA = EVIDENCE + """, extra AS (SELECT * FROM est e WHERE NOT EXISTS (SELECT 1 FROM ref r WHERE e.rec = r.rec AND e.pitch = r.pitch AND abs(e.onset - r.onset) <= 0.05)),
-xc AS (SELECT e.id, arg_min(r.pitch, (r.pitch <> e.pitch, r.onset, r.id)) AS cover_pitch FROM extra e JOIN ref r ON e.rec = r.rec AND e.onset >= r.onset AND e.onset < r.onset + r.duration + 0.05 GROUP BY e.id),
+xc AS (SELECT e.id, arg_min(r.pitch, (r.pitch <> e.pitch, r.onset, r.id)) AS cover_pitch FROM extra e JOIN ref r ON e.rec = r.rec AND e.onset > r.onset + 0.05 AND e.onset <= r.onset + r.duration + 0.05 GROUP BY e.id),
 xl AS (SELECT e.id, CASE WHEN count(*) >= 3 THEN median(r.pitch) END AS line FROM extra e JOIN ref r ON e.rec = r.rec AND abs(e.onset - r.onset) <= 2.0 GROUP BY e.id),
 xs AS (SELECT e.id, max(o.confidence) / any_value(e.confidence) AS ratio FROM extra e JOIN other o ON e.rec = o.rec AND e.pitch = o.pitch AND abs(e.onset - o.onset) <= 0.3 GROUP BY e.id),
 xg AS (SELECT e.id, max(r.onset) FILTER (WHERE r.onset <= e.onset) AS before, min(r.onset) FILTER (WHERE r.onset > e.onset) AS after FROM extra e LEFT JOIN ref r ON e.rec = r.rec GROUP BY e.id),
@@ -104,7 +105,7 @@ def error_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(EVIDENCE + """, p AS (SELECT r.rec, r.id AS ref_id, e.id AS est_id, r.onset AS ro, r.onset + r.duration + 0.05 AS rend, r.pitch AS rp, e.onset AS eo, e.pitch AS ep, row_number() OVER (PARTITION BY r.id ORDER BY abs(e.onset - r.onset), e.id) AS k FROM ref r JOIN est e ON e.rec = r.rec AND abs(e.onset - r.onset) <= 0.15)
-SELECT ref_id, est_id, CASE WHEN ep = rp AND abs(eo - ro) <= 0.05 THEN 'unaligned' WHEN ep = rp AND eo > ro THEN 'timing_late' WHEN ep = rp THEN 'timing_early' WHEN EXISTS (SELECT 1 FROM est b WHERE b.rec = p.rec AND b.pitch = rp AND b.onset > eo AND b.onset < rend) THEN 'attack_transient'
+SELECT ref_id, est_id, CASE WHEN ep = rp AND abs(eo - ro) <= 0.05 THEN 'unaligned' WHEN ep = rp AND eo > ro THEN 'timing_late' WHEN ep = rp THEN 'timing_early' WHEN EXISTS (SELECT 1 FROM est b WHERE b.rec = p.rec AND b.pitch = rp AND b.onset > eo AND b.onset <= rend) THEN 'attack_transient'
 WHEN abs(eo - ro) > 0.05 THEN 'loose' WHEN abs(ep - rp) IN (12, 24) THEN 'octave' WHEN abs(ep - rp) IN (1, 2) THEN 'neighbour' ELSE 'other_pitch' END AS class FROM p WHERE k = 1""")
 def classify_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest note of ours to each reference note, and how the two differ."""
@@ -112,7 +113,38 @@ def classify_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = est.select(F.col("rec").alias("e_rec"), F.col("id").alias("est_id"), F.col("onset").alias("est_onset"), F.col("pitch").alias("est_pitch"))
     near = joins.band_join(ref.select("rec", F.col("id").alias("ref_id"), F.col("onset").alias("ref_onset"), F.col("duration").alias("ref_duration"), F.col("pitch").alias("ref_pitch")), e, [("rec", "e_rec")], "ref_onset", "est_onset", 0.15)
     best = near.groupBy("ref_id").agg(F.min_by(F.struct("rec", "ref_onset", "ref_duration", "ref_pitch", "est_id", "est_onset", "est_pitch"), F.struct(F.abs(F.col("est_onset") - F.col("ref_onset")), "est_id")).alias("x"))
-    return errors.classify_pairs(best.select("ref_id", "x.*"), est, 0.05, 0.05)
+    return errors.classify_pairs(best.select("ref_id", "x.*"), est, 0.05, 0.05).drop("body_id")
+
+
+#: How far apart a pair may be, and how far a hit.
+PAIR, HIT = 0.15, 0.05
+
+
+def solo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits are a maximum matching within a pitch; pairs one of least distance among the notes that no hit has."""
+    ref, est, other = _sides(spark, sf_dir)
+    hits = matched(ref, est, "most", HIT, ["rec", "pitch"]).toDF("ref_id", "est_id")
+    free = lambda notes, side: notes.join(hits.select(F.col(side).alias("id")), "id", "left_anti")
+    pairs = matched(free(ref, "ref_id"), free(est, "est_id"), "cost", PAIR, ["rec"]).toDF("ref_id", "est_id")
+
+    def misses(missed: DataFrame) -> DataFrame:
+        heard = joins.band_join(missed.select("rec", "id", "pitch", "onset"), other.select(F.col("rec").alias("h_rec"), F.col("pitch").alias("h_pitch"), F.col("onset").alias("h_on")), [("rec", "h_rec"), ("pitch", "h_pitch")], "onset", "h_on", 0.1, "left_semi")
+        return errors.classify_miss(missed, est, _facts(missed, spark, sf_dir), heard, 25000.0, 0.05, 0.2, HOP, 4.0, 2.0, 0.5)
+
+    extras = lambda extra: errors.classify_extra(extra, ref, other, 0.05, 4.0, 2.0, 0.3, 1.0, 1.0)
+    return errors.classify_all(ref, est, hits, pairs, misses, extras, HIT, 0.05)
+
+
+@query()
+def solo_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every note of the reference and of ours: a hit, one of a pair, missed or made up, each with its one class."""
+    return solo_rows(spark, sf_dir)
+
+
+@query()
+def f1_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each class of error takes of a recording's 1 - F1; they sum to it."""
+    return errors.deficit(solo_rows(spark, sf_dir)).withColumn("part", F.round("part", 6))
 
 
 @query(EVIDENCE + """, f AS (SELECT rec, t, sqrt(level) AS rms FROM ev), o AS (SELECT rec, list_sort(list(rms)) AS v FROM f GROUP BY rec), g AS (SELECT rec, v[least(len(v) - 1, floor(len(v) * 0.95))::INT + 1] AS loud FROM o)

@@ -54,10 +54,11 @@ def best_transposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).mapInPandas(run, "o_orderkey long, shift long, matches long")
 
 
-def _candidates(spark: SparkSession, sf_dir: str, band: float, keys: list[str]) -> DataFrame:
-    """Neighbourhoods of notes of both detectors, cut where nothing of equal keys is within the band, so each is a small group."""
-    a, b = line_and_oracle(spark, sf_dir)
-    rows = a.select(F.lit(0).alias("side"), "rec", F.col("note_id").alias("id"), "onset", "pitch").union(b.select(F.lit(1), "o_rec", "o_id", "o_onset", "o_pitch"))
+def _candidates(a: DataFrame, b: DataFrame, band: float, keys: list[str]) -> DataFrame:
+    """Neighbourhoods of notes (rec, id, onset, pitch) of both sides, cut where nothing of equal keys is within the band, so each is a
+    small group."""
+    columns = ["rec", "id", "onset", "pitch"]
+    rows = a.select(F.lit(0).alias("side"), *columns).union(b.select(F.lit(1), *columns))
     w = islands.by(keys, "onset", "side", "id")
     new = F.coalesce(F.col("onset") - F.lag("onset").over(w) > band, F.lit(True))
     own = Window.partitionBy(*keys, "part")
@@ -88,8 +89,18 @@ def _matched(method: str, band: float):  # noqa: ANN202
     return run
 
 
+def matched(a: DataFrame, b: DataFrame, method: str, band: float, keys: list[str]) -> DataFrame:
+    """(note_id, o_id) of notes (rec, id, onset, pitch) of two sides, by one of the matchings."""
+    return kernels.per_group(_candidates(a, b, band, keys), [*keys, "part"], ["onset", "side", "id"], _matched(method, band), "note_id long, o_id long")
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a, b = line_and_oracle(spark, sf_dir)
+    return a.select("rec", F.col("note_id").alias("id"), "onset", "pitch"), b.select(F.col("o_rec").alias("rec"), F.col("o_id").alias("id"), F.col("o_onset").alias("onset"), F.col("o_pitch").alias("pitch"))
+
+
 def _pairs(spark: SparkSession, sf_dir: str, method: str, band: float, keys: list[str]) -> DataFrame:
-    return kernels.per_group(_candidates(spark, sf_dir, band, keys), [*keys, "part"], ["onset", "side", "id"], _matched(method, band), "note_id long, o_id long")
+    return matched(*_sides(spark, sf_dir), method, band, keys)
 
 
 @query()
@@ -113,8 +124,11 @@ def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pair_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of least total distance, of any pitch; an unequal one has a penalty."""
-    return _pairs(spark, sf_dir, "cost", 0.5, ["rec"])
+    """Of the notes that note_hits leaves, the pairs of least total distance, of any pitch; an unequal one has a penalty."""
+    a, b = _sides(spark, sf_dir)
+    hits = note_hits(spark, sf_dir)
+    a, b = a.join(hits.select(F.col("note_id").alias("id")), "id", "left_anti"), b.join(hits.select(F.col("o_id").alias("id")), "id", "left_anti")
+    return matched(a, b, "cost", 0.5, ["rec"])
 
 
 @query()
