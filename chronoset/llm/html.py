@@ -34,7 +34,7 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 #: A tag, a class or id, an attribute's condition, or a pseudo-class of a selector.
 _SIMPLE = re.compile(r"([a-z][\w-]*|\*)|([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(\"[^\"]*\"|'[^']*'|[^\]\s]+)\s*(?:[is]\s*)?)?\]|(::?[\w-]+)(?:\([^()]*\))?", re.IGNORECASE)
 _COMBINES = re.compile(r"\s*[>+~]\s*|\s+")
-_STYLE = re.compile(r"<style", re.IGNORECASE)
+_STYLE, _STYLE_END = re.compile(r"<style", re.IGNORECASE), re.compile(r"</style[^>]*>?", re.IGNORECASE)
 
 ALIGN, COLUMNS, TABLES, INDENTS = 60, 256, 32, 32
 #: Selectors that an element is held against by one of its keys, besides the bare key; pixels of the screen's width.
@@ -169,6 +169,9 @@ def events(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     yield from close_to(0)
 
 
+_NONE: set[str] = set()
+
+
 class Node:
     """A compound selector with what stands left of it in its selectors; `open` counts the open elements that match it."""
 
@@ -341,10 +344,16 @@ class Styles:
 
     def of(self, tag: str, attributes: dict[str, str], parent: list[Node]) -> tuple[dict[str, str], list[Node]]:
         """(the values that win, the nodes that the element matches); the caller counts it at them while it is open."""
-        names = set(attributes.get("class", "").split())
+        if not self.by_key and "style" not in attributes:
+            return {}, []
         best: dict[str, tuple] = {}
-        hits = []
-        for key in ("*", tag, *(f".{c}" for c in names), *(f"[{a}" for a in attributes), f"#{attributes.get('id', '')}") if self.by_key else ():
+        hits: list[Node] = []
+        if not attributes:
+            keys, names = ("*", tag), _NONE
+        else:
+            names = set(attributes["class"].split()) if "class" in attributes else _NONE
+            keys = ("*", tag, *[f".{c}" for c in names], *[f"[{a}" for a in attributes], f"#{attributes.get('id', '')}")
+        for key in keys if self.by_key else ():
             for node in self.by_key.get(key, ()):
                 if node.matches(tag, attributes, names, parent):
                     if node.leads:
@@ -596,8 +605,11 @@ class Page:
 def _sheets(html: str) -> Styles:
     """The page's style sheets, read before its text is."""
     styles = Styles()
-    if not _STYLE.search(html):
+    last = next(reversed([m.end() for m in _STYLE.finditer(html)]), None)
+    if last is None:
         return styles
+    end = _STYLE_END.search(html, last)
+    html = html[: end.end()] if end else html  # there are none beyond
     open_: list[tuple[str, dict[str, str]]] = []
     templates = 0
     for what, tag, attributes in events(html):
