@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,19 +140,35 @@ def entropy(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def theil_sen(points: DataFrame, keys: list[str], x: str, y: str, most: int = 400) -> DataFrame:
     """(keys, slope, intercept): the median slope of all pairs of points and the median rest.
 
-    Of more than `most` points, `most` are used: the points int(i * (n / most)) of n in order of x.
+    Of more than `most` points, `most` are used: the points int(i * (n / most)) of n in order of x. Points without x or y take no
+    part; a key without two different x has no row. A key's points are one row, whose pairs are never rows.
     """
     w = Window.partitionBy(*keys).orderBy(x, y)
-    p = points.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
     step = F.col("__n") / F.lit(float(most))
     near = F.floor(F.col("__i") / step)
     drawn = lambda i: (i < most) & (F.floor(i * step) == F.col("__i"))
-    p = p.where((F.col("__n") <= most) | drawn(near) | drawn(near + 1)).select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), F.col("__i").alias("i"))
-    each = p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))  # `most` points a key
-    a = each.select(*keys, "p", F.posexplode("p").alias("at", "a"))
-    slopes = a.select(*keys, "a", F.explode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("b")).where(F.col("a.x") != F.col("b.x"))
-    slope = slopes.groupBy(*keys).agg(F.percentile((F.col("b.y") - F.col("a.y")) / (F.col("b.x") - F.col("a.x")), 0.5).alias("slope"))
-    return p.join(slope, keys).groupBy(*keys, "slope").agg(F.percentile(F.col("y") - F.col("slope") * F.col("x"), 0.5).alias("intercept"))
+    p = p.where((F.col("__n") <= most) | drawn(near) | drawn(near + 1))
+    each = p.groupBy(*keys).agg(F.collect_list(F.col(x).cast("double")).alias("x"), F.collect_list(F.col(y).cast("double")).alias("y"))  # `most` points a key
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [_line(np.asarray(u), np.asarray(v)) for u, v in zip(b["x"], b["y"], strict=True)]
+            yield b[keys].assign(slope=[f[0] for f in found], intercept=[f[1] for f in found]).dropna(subset=["slope"])
+
+    kinds = dict(points.dtypes)
+    return each.mapInPandas(lines, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", slope double, intercept double")
+
+
+def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The median slope of all pairs with unequal x, and the median rest; nan without such a pair."""
+    i, j = np.triu_indices(len(x), 1)
+    dx = x[j] - x[i]
+    some = dx != 0
+    if not some.any():
+        return float("nan"), float("nan")
+    slope = float(np.median((y[j] - y[i])[some] / dx[some]))
+    return slope, float(np.median(y - slope * x))
 
 
 def inlier_line(points: DataFrame, keys: list[str], x: str, y: str, near: float, least: int) -> DataFrame:
