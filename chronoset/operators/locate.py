@@ -183,12 +183,13 @@ def crop(pages: DataFrame, spans: DataFrame, key: str, page: str) -> DataFrame:
     return pages.join(spans.select(key, page, "lo", "hi"), page).where("position between lo and hi").select(key, *pages.columns)
 
 
-def locate_score(scores: DataFrame, recordings: DataFrame, key: str, rec: str, quarters: DataFrame, shifts: int = 3, near: float = 1.0, least: int = 20, on_line: float = 0.5, placed: float = 0.3) -> DataFrame:
-    """(key, rec, transposition, start, end, seconds_per_quarter, matched, anchors, on_line, placed, residual, trusted).
+def locate_score(scores: DataFrame, recordings: DataFrame, key: str, rec: str, quarters: DataFrame, shifts: int = 3, near: float = 1.0, least: int = 20, on_line: float = 0.5, placed: float = 0.3, votes: int = 4) -> DataFrame:
+    """(key, rec, transposition, start, end, seconds_per_quarter, matched, anchors, on_line, placed, residual, votes, trusted).
 
     scores: (key, place, position, pitch); recordings: (rec, place, onset, pitch); quarters: (key, quarters), the score's length. Of
     the shifts with most seeds, the one with most matches on its clock wins (of equal ones the smaller): the line through its matches'
     positions and onsets, again through those within `near` of it where there are `least`. A score without a rising clock has no row.
+    An extension keeps to its band, which a clock can always be laid through, so `votes` seeds are asked for before it is trusted.
     """
     hits = settled(seeds(scores, recordings, key, rec))
     won = settled(voted(hits, key, rec, shifts))
@@ -202,9 +203,9 @@ def locate_score(scores: DataFrame, recordings: DataFrame, key: str, rec: str, q
     on = on.groupBy(key, rec, "shift", "slope", "intercept").agg(F.count("*").alias("matched"), F.count_if(F.col("rest") <= near).alias("anchors"), F.percentile(F.when(F.col("rest") <= near, F.col("rest")), 0.5).alias("residual"))
     best = on.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("anchors"), F.abs(F.col("shift")), F.desc("shift")))).where("r = 1")
     size = scores.groupBy(key).agg(F.count("*").alias("notes"))
-    out = best.join(size, key).join(quarters, key).withColumn("on_line", F.col("anchors") / F.col("matched")).withColumn("placed", F.col("anchors") / F.col("notes"))
-    trusted = (F.col("anchors") >= least) & (F.col("on_line") >= on_line) & (F.col("placed") >= placed)
-    return out.select(key, rec, (-F.col("shift")).alias("transposition"), F.col("intercept").alias("start"), (F.col("intercept") + F.col("slope") * F.col("quarters")).alias("end"), F.col("slope").alias("seconds_per_quarter"), "matched", "anchors", "on_line", "placed", "residual", trusted.alias("trusted"))
+    out = best.join(size, key).join(quarters, key).join(won.select(key, "shift", "votes"), [key, "shift"]).withColumn("on_line", F.col("anchors") / F.col("matched")).withColumn("placed", F.col("anchors") / F.col("notes"))
+    trusted = (F.col("anchors") >= least) & (F.col("on_line") >= on_line) & (F.col("placed") >= placed) & (F.col("votes") >= votes)
+    return out.select(key, rec, (-F.col("shift")).alias("transposition"), F.col("intercept").alias("start"), (F.col("intercept") + F.col("slope") * F.col("quarters")).alias("end"), F.col("slope").alias("seconds_per_quarter"), "matched", "anchors", "on_line", "placed", "residual", "votes", trusted.alias("trusted"))
 
 
 #: Delays of the offbeat that are tried, in quarters.

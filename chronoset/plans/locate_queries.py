@@ -61,8 +61,9 @@ def scores_and_recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
 @query()
 def locate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each score begins and ends in its recording, by its clock."""
-    out = locate.locate_score(*scores_and_recordings(spark, sf_dir)[:2], "score", "rec", scores_and_recordings(spark, sf_dir)[2])
-    return out.select("score", "rec", "transposition", "matched", "anchors", "trusted", *[F.round(c, 6).alias(c) for c in ("start", "end", "seconds_per_quarter", "on_line", "placed", "residual")])
+    scores, recordings, size = scores_and_recordings(spark, sf_dir)
+    out = locate.locate_score(scores, recordings, "score", "rec", size)
+    return out.select("score", "rec", "transposition", "matched", "anchors", "votes", "trusted", *[F.round(c, 6).alias(c) for c in ("start", "end", "seconds_per_quarter", "on_line", "placed", "residual")])
 
 
 #: The offbeat of the anchors is late by this much, a quarter lasts so long, and every so many anchors is a chance match.
