@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid, islands, joins, stats
+from ..operators import grid, islands, joins, meter, stats
 from ..sources import project
 from ..sources.project import notes
 from .registry import query
@@ -74,27 +74,79 @@ def bar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.bar_lines(_sections(spark, sf_dir)).join(at, ["track", "i"]).select("track", F.round("t", 5).alias("t"), "bar")
 
 
-@query(RAGGED + """, fb AS (SELECT track, i, t, row_number() OVER (PARTITION BY track ORDER BY i) AS f FROM nb WHERE NOT implied),
+_DOUBTS = RAGGED + """, fb AS (SELECT track, i, t, row_number() OVER (PARTITION BY track ORDER BY i) AS f FROM nb WHERE NOT implied),
 pr AS (SELECT a.track, a.i AS first, b.i AS last, b.t - a.t AS size FROM fb a JOIN fb b ON a.track = b.track AND b.f BETWEEN a.f + 1 AND a.f + 4),
 ph AS (SELECT p.track, first, last, size / median(pulse) AS held FROM pr p JOIN nb ON nb.track = p.track AND nb.i >= first AND nb.i < last GROUP BY p.track, first, last, size),
 pd AS (SELECT *, max(last) OVER (PARTITION BY track ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM ph WHERE abs(held - (last - first)) > 0.5),
-dr AS (SELECT track, run, min(first) AS first, max(last) AS last FROM (SELECT *, sum(CASE WHEN upto IS NULL OR first > upto THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS run FROM pd) GROUP BY track, run)
+dr AS (SELECT track, run, min(first) AS first, max(last) AS last FROM (SELECT *, sum(CASE WHEN upto IS NULL OR first > upto THEN 1 ELSE 0 END) OVER (PARTITION BY track ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS run FROM pd) GROUP BY track, run)"""
+
+
+@query(_DOUBTS + """
 SELECT d.track, first, last, round((any_value(z.t) - any_value(a.t)) / median(nb.pulse), 6) AS held, last - first AS counted FROM dr d JOIN nb ON nb.track = d.track AND nb.i >= first AND nb.i < last JOIN nb a ON a.track = d.track AND a.i = first JOIN nb z ON z.track = d.track AND z.i = last GROUP BY d.track, first, last""")
 def grid_doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches that hold another number of pulses than the grid counts."""
     return grid.doubts(ragged(spark, sf_dir)).withColumn("held", F.round("held", 6))
 
 
-@query(RAGGED + """, f AS (SELECT track, count(*) FILTER (WHERE abs(gap / seed / 0.5 - 1.0) <= 0.15) AS fine, count(gap) AS n, median(gap) FILTER (WHERE abs(gap / seed / 0.5 - 1.0) <= 0.15) AS half FROM stp JOIN seeds USING (track) WHERE gap IS NOT NULL GROUP BY track)
-SELECT track, round(fine / n, 6) AS share, CASE WHEN fine >= 0.05 * n THEN round(half, 6) END AS pulse FROM f""")
-def pulse_octave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of half the modal one, and their median where they are a twentieth of all or more."""
+@query(_DOUBTS + """, mk AS (SELECT track, t AS mark FROM moved WHERE (beat_idx + beat_idx // 40) % 4 = 0
+), nr AS (SELECT m.track, mark, arg_min(i, (abs(t - mark), t)) % 4 AS phase, min(abs(t - mark)) AS off FROM mk m JOIN nb ON nb.track = m.track GROUP BY m.track, mark
+), sides AS (
+  SELECT d.track, first, last, CASE WHEN mark <= a.t THEN 0 ELSE 1 END AS side, phase, count(*) AS n, min(mark) AS m
+  FROM dr d JOIN nb a ON a.track = d.track AND a.i = first JOIN nb z ON z.track = d.track AND z.i = last
+  JOIN nr ON nr.track = d.track AND off <= 0.05 AND (mark BETWEEN a.t - 200.0 AND a.t OR mark BETWEEN z.t AND z.t + 200.0) GROUP BY ALL
+), best AS (SELECT track, first, last, side, arg_max(phase, (n, -m)) AS phase FROM sides GROUP BY ALL HAVING sum(n) >= 3
+), same AS (SELECT track, first, last FROM best GROUP BY ALL HAVING count(*) = 2 AND min(phase) = max(phase))
+SELECT track, first, last FROM dr ANTI JOIN same USING (track, first, last)""")
+def unsettled_doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubted stretches that the downbeat marks within 200 of them don't keep one phase across."""
     b = ragged(spark, sf_dir)
-    seed = stats.modal_interval(b).select("track", F.col("mode").alias("seed"))
-    fine = F.abs(F.col("gap") / F.col("seed") / 0.5 - 1.0) <= 0.15
-    s = stats.intervals(b.where("not implied")).where("gap is not null").join(seed, "track")
-    s = s.groupBy("track").agg(F.count_if(fine).alias("fine"), F.count("gap").alias("n"), F.percentile(F.when(fine, F.col("gap")), 0.5).alias("half"))
-    return s.select("track", F.round(F.col("fine") / F.col("n"), 6).alias("share"), F.when(F.col("fine") >= 0.05 * F.col("n"), F.round("half", 6)).alias("pulse"))
+    late = F.when(F.col("track") % 3 == 0, F.greatest(F.lit(0), F.least(F.col("beat_idx") - 30, F.lit(6))) * 3.1).otherwise(0.0)
+    off = 0.4 * ((F.col("beat_idx") * 13 + F.col("track") * 5) % 7 - 3) / 3
+    found = project.beats(spark, sf_dir).where((F.col("beat_idx") * 7 + F.col("track") * 3) % 11 != 0)
+    marks = found.where((F.col("beat_idx") + F.floor(F.col("beat_idx") / 40)) % 4 == 0).select("track", F.round(F.col("t") + off + late, 6).alias("mark"))
+    return meter.settle(grid.doubts(b).select("track", "first", "last"), b, marks, reach=200.0)
+
+
+#: A third of the tracks have beats at half the interval from the 45th on; the marks of even tracks are two beats apart, of odd ones four.
+HALVED = BEATS + """, hb AS (
+  SELECT track, t FROM beats UNION ALL SELECT track, t + 6.0 FROM beats WHERE track % 3 = 1 AND beat_idx BETWEEN 45 AND 59
+), mk AS (SELECT track, t + 0.5 AS mark FROM beats WHERE beat_idx % CASE WHEN track % 2 = 0 THEN 2 ELSE 4 END = 0)"""
+
+
+def halved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    b = project.beats(spark, sf_dir)
+    more = b.where("track % 3 = 1 and beat_idx between 45 and 59").select("track", (F.col("t") + 6.0).alias("t"))
+    marks = b.where(F.col("beat_idx") % F.when(F.col("track") % 2 == 0, 2).otherwise(4) == 0)
+    return b.select("track", "t").union(more), marks.select("track", (F.col("t") + 0.5).alias("mark"))
+
+
+@query(HALVED + """, st AS (
+  SELECT track, t, row_number() OVER w - 1 AS i, lead(t) OVER w - t AS gap FROM hb WINDOW w AS (PARTITION BY track ORDER BY t)
+), bins AS (SELECT track, round_even(gap, 2) AS b, count(*) AS c FROM st WHERE gap IS NOT NULL GROUP BY ALL
+), seeds AS (SELECT track, arg_max(b, (c, -b)) AS seed FROM bins GROUP BY track
+), fi AS (
+  SELECT track, count(*) FILTER (WHERE abs(gap / seed / 0.5 - 1.0) <= 0.15) AS halves, count(*) AS n, median(gap) FILTER (WHERE abs(gap / seed / 0.5 - 1.0) <= 0.15) AS half
+  FROM st JOIN seeds USING (track) WHERE gap IS NOT NULL GROUP BY track
+), near AS (SELECT DISTINCT track, i FROM (SELECT m.track, mark, arg_min(i, (abs(t - mark), t)) AS i FROM mk m JOIN st ON st.track = m.track GROUP BY m.track, mark)
+), pairs AS (SELECT track, i, lead(i) OVER (PARTITION BY track ORDER BY i) - i AS apart FROM near
+), whole AS (
+  SELECT p.track, count(*) AS pairs, count(*) FILTER (WHERE apart = 2) AS two
+  FROM pairs p JOIN st ON st.track = p.track AND st.i = p.i JOIN seeds s ON s.track = p.track WHERE apart IS NOT NULL AND abs(gap / seed - 1.0) <= 0.15 GROUP BY p.track
+)
+SELECT track, round(halves / n, 6) AS share, coalesce(pairs, 0) AS pairs, coalesce(two, 0) AS two,
+       CASE WHEN halves >= 0.2 * n AND pairs >= 20 AND two >= 0.5 * pairs THEN round(half, 6) END AS pulse FROM fi LEFT JOIN whole USING (track)""")
+def pulse_octave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pulse of tracks whose commonest interval is the wrong octave, by the downbeat marks that are two beats apart."""
+    out = meter.pulse_octave(*halved(spark, sf_dir))
+    return out.select("track", F.round("share", 6).alias("share"), "pairs", "two", F.round("pulse", 6).alias("pulse"))
+
+
+@query()
+def repaired_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found beats with the doubled ones and ghosts taken out, the dropped ones put in, and stretches thinned by a metronome."""
+    b = ragged(spark, sf_dir).where("not implied").select("track", "t")
+    marks = project.beats(spark, sf_dir).where("beat_idx % 4 = 0").select("track", F.col("t").alias("mark"))
+    return meter.repair(b, marks).select("track", F.round("t", 6).alias("t"), "implied")
 
 
 @query(NOTES.replace("WITH ", "WITH RECURSIVE ", 1) + """, pins AS (SELECT DISTINCT track, round(onset, 2) AS t FROM notes WHERE confidence > 0.9 AND onset >= 0), kept AS (SELECT track, min(t) AS t FROM pins GROUP BY track
