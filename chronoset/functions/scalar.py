@@ -152,3 +152,39 @@ def parse_chart(charts: DataFrame) -> DataFrame:
     root = F.instr(F.lit("C.D.EF.G.A.B"), part(1)) - 1
     sign = F.when(part(2) == "#", 1).when(part(2) == "b", -1).otherwise(0)
     return s.select("chart", "bar", "place", "symbol", F.pmod(root + sign, F.lit(12)).cast("int").alias("root"), part(3).alias("quality"), part(4).alias("bass"))
+
+
+def binomial_tail(n: Column, k: Column, p: Column) -> Column:
+    """The chance of k or more of n, each with chance p: terms in log space, each from the one before. Null if an input is null."""
+    odds = F.ln(p) - F.log1p(-p)
+    choose = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, i: a + F.ln((n - k + i) / i))
+    first = choose + k * F.ln(p) + (n - k) * F.log1p(-p)
+    zero = F.struct(first.alias("term"), F.exp(first).alias("sum"))
+    more = F.when(k < n, F.sequence(F.least(k + 1, n), n)).otherwise(F.array().cast("array<bigint>"))
+
+    def step(a: Column, i: Column) -> Column:
+        term = a["term"] + F.ln((n - i + 1) / i) + odds
+        return F.struct(term.alias("term"), (a["sum"] + F.exp(term)).alias("sum"))
+
+    sum_ = F.aggregate(more, zero, step)["sum"]
+    return F.when((k <= 0) | (p >= 1), F.lit(1.0)).when((p <= 0) | (k > n), F.lit(0.0)).otherwise(F.least(F.lit(1.0), sum_))
+
+
+#: Ticks of a quarter that count as on the grid: within half a tick of one of so many parts of it.
+GRID = 24
+
+
+def on_grid(tick: Column, division: Column) -> Column:
+    rest = F.pmod(tick * GRID, division)
+    return 2 * F.least(rest, division - rest) <= GRID
+
+
+def timing_kind(n: Column, hits: Column, division: Column, quantized: float = 0.9, rare: float = 1e-3) -> list[Column]:
+    """[share, chance, kind] of n onsets of which `hits` are on the grid of a clock of `division` ticks a quarter: performed, quantized,
+    or unknown, where the clock can't tell (no onsets, frames instead of quarters, or ticks so coarse that chance would do it)."""
+    told = (n > 0) & (division > 0) & (division < 0x8000)
+    ticks = F.sequence(F.lit(0), F.greatest(division, F.lit(1)) - 1)
+    chance = F.size(F.filter(ticks, lambda t: on_grid(t, division))) / division
+    share = hits / n
+    kind = F.when(~F.coalesce(told, F.lit(False)), "unknown").when(share < quantized, "performed").when(binomial_tail(n, hits, chance) < rare, "quantized").otherwise("unknown")
+    return [F.when(told, share), F.when(told, chance), kind]
