@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import chords
+from ..operators import chords, engrave
 from ..sources.project import SQL, notes
 from .registry import query
 
@@ -84,3 +84,28 @@ def midi_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = n.withColumn("tick", tick.cast("long")).groupBy("track", "division").agg(F.count("*").alias("n"), F.count_if(scalar.on_grid(F.col("tick"), F.col("division"))).alias("hits"))
     share, chance, kind = scalar.timing_kind(F.col("n"), F.col("hits"), F.col("division"))
     return n.select("track", "n", F.round(share, 6).alias("share"), F.round(chance, 6).alias("chance"), kind.alias("kind"))
+
+
+def bars_and_notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bars of 4, 3, 3.5 or 6 quarters by track, and a track's notes in them on a 24th or a sixth of a quarter, cut at bar lines and at
+    the next note; a bar's place is within the track's first and last notes."""
+    size = F.element_at(F.array(*[F.lit(x) for x in (4.0, 3.0, 3.5, 6.0)]), (F.col("track") % 4 + 1).cast("int"))
+    n = notes(spark, sf_dir).withColumn("grid", F.when(F.col("track") % 3 == 0, 6.0).otherwise(24.0))
+    n = n.select("track", "note_id", size.alias("bar_length"), (F.floor(F.col("onset") / 4 * F.col("grid")) / F.col("grid")).alias("at"), (F.ceil(F.col("confidence") * 3 * F.col("grid")) / F.col("grid")).alias("long"))
+    n = n.groupBy("track", "bar_length", "at").agg(F.min("note_id").alias("note_id"), F.max("long").alias("long"))
+    gap = F.lead("at").over(Window.partitionBy("track").orderBy("at")) - F.col("at")
+    n = n.withColumn("end", F.col("at") + F.least("long", F.coalesce(gap, F.col("long"))))
+    bar = F.explode(F.sequence(F.floor(F.col("at") / F.col("bar_length")), F.greatest(F.floor(F.col("at") / F.col("bar_length")), F.ceil(F.col("end") / F.col("bar_length")) - 1)))
+    n = n.withColumn("bar", bar).withColumn("lo", F.col("bar") * F.col("bar_length"))
+    n = n.withColumn("start", F.round(F.greatest(F.lit(0.0), F.col("at") - F.col("lo")), 9)).withColumn("duration", F.round(F.least(F.col("bar_length"), F.col("end") - F.col("lo")), 9) - F.col("start"))
+    ends = n.groupBy("track", "bar_length").agg(F.min("bar").alias("a"), F.max("bar").alias("z"))
+    bars = ends.select("track", F.explode(F.sequence("a", "z")).alias("bar"), "bar_length")
+    return bars, n.select("track", "bar", "note_id", "start", "duration")
+
+
+@query()
+def written_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol of every bar: notes tied where the metre asks for it, tuplets within a beat or two, and rests."""
+    bars, n = bars_and_notes(spark, sf_dir)
+    out = engrave.written(n, bars, ["track", "bar"])
+    return out.select("track", "bar", "note_id", "rest", F.round("start", 6).alias("start"), F.round("duration", 6).alias("duration"), "tuplet")
