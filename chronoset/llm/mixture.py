@@ -1,9 +1,9 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is shuffled by a hash; a document's virtual finish time is its source's words up to and with it, divided by the
-source's target. All sources are then sorted by that time and cut where the sizes in that order reach the total budget, which is
-at about time 1. A source whose target is beyond its size is gone through again, up to `passes` times. The document at the cut is
-taken in part, those after it aren't.
+source's target. All sources are then sorted by that time. A source's own time is over at 1: the document at which it passes 1 is
+taken in part, those after it aren't, so each source gives its target to a word, however few documents it has. The sorted mix is cut
+where what is taken reaches the total budget. A source whose target is beyond its size is gone through again, up to `passes` times.
 
 Running sums never need a source in one task: words are summed by source and hash range first, then within such a range.
 """
@@ -24,8 +24,9 @@ def word_count(text) -> F.Column:  # noqa: ANN001
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2) -> DataFrame:
-    """(source, source_size, place, target, budget) from (source, source_size): weights repeat over the sources by code point, null
-    last; budget is the whole words in all targets.
+    """(source, source_size, place, target, quota, budget) from (source, source_size): weights repeat over the sources by code point,
+    null last; budget is the whole words in all targets, and quota a target in whole words: rounded down, and up for those with the
+    largest rests (of equal ones the first) until the quotas sum to the budget.
 
     Targets are weight * level, no more than passes * source_size, with the level at which all of them sum to share * all sizes:
     what sharing the excess again and again comes to. There is one row a source, so these windows hold one row a source.
@@ -41,7 +42,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     fits = F.when(F.col("level") <= F.col("most") / F.col("weight"), F.col("level"))
     out = out.withColumn("level", F.first(fits, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     out = out.select("source", "source_size", "place", F.least("most", F.col("weight") * F.col("level")).alias("target"))
-    return out.withColumn("budget", F.floor(F.round(F.sum("target").over(Window.partitionBy()), 3)))
+    out = out.withColumn("budget", F.floor(F.round(F.sum("target").over(Window.partitionBy()), 3))).withColumn("whole", F.floor(F.col("target") + 1e-6))
+    out = out.withColumn("rest", F.round(F.col("target") - F.col("whole"), 6))
+    over = F.col("budget") - F.sum("whole").over(Window.partitionBy())
+    up = F.row_number().over(Window.orderBy(F.desc("rest"), "place")) <= over
+    return out.select("source", "source_size", "place", "target", (F.col("whole") + up.cast("int")).alias("quota"), "budget")
 
 
 def schedule(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, passes: int = 2, salt: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -63,20 +68,21 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     sized = sized.withColumn("range", F.substring("key", 1, digits))
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("first", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    firsts = sums.join(aim, sums["source"].eqNullSafe(aim["source"])).select(sums["source"].alias("s"), F.col("range").alias("r"), "first", "source_size", "place", "target", "budget")
+    firsts = sums.join(aim, sums["source"].eqNullSafe(aim["source"])).select(sums["source"].alias("s"), F.col("range").alias("r"), "first", "source_size", "place", "target", "quota", "budget")
     queue = sized.join(firsts, sized["source"].eqNullSafe(firsts["s"]) & (sized["range"] == firsts["r"]))
     own = Window.partitionBy("place", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     queue = queue.withColumn("first", F.col("first") + F.coalesce(F.sum("size").over(own), F.lit(0)))
     queue = queue.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("first", F.col("first") + F.col("pass") * F.col("source_size"))
     queue = queue.withColumn("finish", F.when(F.col("target") > 0, (F.col("first") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0)))
+    queue = queue.withColumn("due", F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("first"))))  # before the source's time 1
     order = ["finish", "place", "pass", "key", "doc_id", "size"]
-    queue = cut(queue.select("doc_id", "source", "source_size", "target", "budget", *order).orderBy(*order))
+    queue = cut(queue.select("doc_id", "source", "source_size", "target", "budget", "due", *order).orderBy(*order))
     queue = queue.withColumn("part", F.spark_partition_id())
-    parts = queue.groupBy("part").agg(F.sum("size").alias("words"))
+    parts = queue.groupBy("part").agg(F.sum("due").alias("words"))
     parts = parts.withColumn("base", F.coalesce(F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
     own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    queue = queue.join(F.broadcast(parts), "part").withColumn("offset", F.col("base") + F.coalesce(F.sum("size").over(own), F.lit(0)))  # one row a partition
-    taken = F.greatest(F.lit(0), F.least("size", F.col("budget") - F.col("offset"))).cast("long")
+    queue = queue.join(F.broadcast(parts), "part").withColumn("offset", F.col("base") + F.coalesce(F.sum("due").over(own), F.lit(0)))  # one row a partition
+    taken = F.greatest(F.lit(0), F.least("due", F.col("budget") - F.col("offset"))).cast("long")
     queue = queue.withColumn("taken", taken).withColumn("offset", F.when(F.col("taken") > 0, F.col("offset")))
     return queue.select("doc_id", "source", "size", "source_size", "target", "place", "key", "pass", "finish", "taken", "offset")
 
@@ -110,17 +116,20 @@ WITH sized AS (
 ), level AS (SELECT arg_min(own, (most / weight, place)) AS level FROM levels WHERE own <= most / weight
 ), aim AS (SELECT source, source_size, place, least(most, weight * level) AS target FROM weighed, level
 ), budget AS (SELECT floor(round(sum(target), 3))::BIGINT AS budget FROM aim
+), wholes AS (SELECT *, floor(target + 1e-6)::BIGINT AS whole, round(target - floor(target + 1e-6), 6) AS rest FROM aim, budget
+), quotas AS (
+  SELECT source, source_size, place, target, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, place) <= budget - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM wholes
 ), queue AS (
-  SELECT s.doc_id, s.size, s.key, a.source_size, a.place, a.target, p.pass,
+  SELECT s.doc_id, s.size, s.key, a.source_size, a.place, a.target, a.quota, p.pass,
          COALESCE(sum(s.size) OVER (PARTITION BY a.place, p.pass ORDER BY s.key, s.doc_id, s.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + p.pass * a.source_size AS first
-  FROM sized s JOIN aim a ON s.source IS NOT DISTINCT FROM a.source, (VALUES (0), (1)) p(pass)
+  FROM sized s JOIN quotas a ON s.source IS NOT DISTINCT FROM a.source, (VALUES (0), (1)) p(pass)
 ), timed AS (
-  SELECT *, CASE WHEN target > 0 THEN (first + size) / target ELSE 0.0 END AS finish FROM queue
+  SELECT *, CASE WHEN target > 0 THEN (first + size) / target ELSE 0.0 END AS finish, greatest(0, least(size, quota - first)) AS due FROM queue
 ), sorted AS (
-  SELECT *, COALESCE(sum(size) OVER (ORDER BY finish, place, pass, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  SELECT *, COALESCE(sum(due) OVER (ORDER BY finish, place, pass, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
   FROM timed
-), took AS (SELECT *, greatest(0, least(size, budget - ahead))::BIGINT AS taken FROM sorted, budget
+), took AS (SELECT *, greatest(0, least(due, budget - ahead))::BIGINT AS taken FROM sorted, budget
 )
 SELECT doc_id, size, source_size, target, sum(taken)::BIGINT AS taken, min(CASE WHEN taken > 0 THEN ahead END) AS "offset"
 FROM took GROUP BY doc_id, size, source_size, target
