@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import locate
+from ..operators import clocks, locate
 from ..sources.project import SQL, notes
 from .registry import query
 
@@ -101,3 +101,13 @@ def notes_on_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _lines(spark, sf_dir).select("track", F.col("note_id").alias("note"), (F.col("place") * 0.5).alias("position"), F.lit(0.25).alias("duration"))
     out = locate.place_on_anchors(n, anchors_of(spark, sf_dir), "track")
     return out.select("track", "note", *[F.round(c, 6).alias(c) for c in ("onset", "duration")], "delay", F.round("seconds_per_quarter", 6).alias("seconds_per_quarter"))
+
+
+@query()
+def affine_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offset and rate of each recording's second issue: its notes at another speed, some of them missing and some others added."""
+    n = notes(spark, sf_dir).select(F.floor(F.col("track") / 10).alias("rec"), F.col("note_id").alias("id"), "onset", "pitch", "confidence")
+    rate, offset = 0.95 + (F.col("rec") % 11) / 100, (F.col("rec") % 7) * 1.5 - 4
+    heard = n.where("id % 5 != 0").select("rec", (F.col("onset") * rate + offset + (F.col("confidence") - 0.5) * 0.02).alias("onset"), (F.col("pitch") + F.when(F.col("id") % 13 == 0, 1).otherwise(0)).alias("pitch"))
+    out = clocks.fit_affine(n.drop("confidence"), heard, "rec")
+    return out.select("rec", F.round("offset", 4).alias("offset"), F.round("rate", 6).alias("rate"), "hits")
