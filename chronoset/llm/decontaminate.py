@@ -321,7 +321,10 @@ def is_contaminated(times: int = 20) -> Any:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without contaminated ones, with the columns of docs, whatever their names."""
+    """docs without contaminated ones, with the columns of docs, whatever their names.
+
+    A null text or one without words is clean; repeated rows go or stay together; empty tables give what there is.
+    """
     own = docs.columns
     plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(own)])
     return find_contamination(plain, items).where(~is_contaminated()).select(*plain.columns).toDF(*own)

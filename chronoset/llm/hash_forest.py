@@ -8,8 +8,7 @@ the query's prefix, counted in every tree, are `candidates` times the shard's; t
 Only distinct vectors are indexed and only distinct queries searched: a copy needs no work of its own. Of equal vectors the
 smallest ids that can be among the nearest are kept, which changes no result. Rows are dealt by a hash into shards of about
 `shard_rows`, queries into blocks of about `ask_rows`, and every block is searched in every shard, so recall doesn't depend on the
-size of the table; a query's work grows with it. Only a caller that gives `bucket_rows` has rows and queries dealt by the first
-bits of `routes` trees beyond that size, which searches less and finds less the larger the table is.
+size of the table; a query's work grows with it.
 """
 
 from __future__ import annotations
@@ -89,7 +88,7 @@ def usable(vector: F.Column) -> F.Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, trees: int = 48, candidates: float = 1.0, routes: int = 4, bucket_rows: int | None = None, shard_rows: int = 8192, ask_rows: int = 32768, seed: int = 7) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, trees: int = 48, candidates: float = 1.0, shard_rows: int = 8192, ask_rows: int = 32768, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of table to each row of queries (both vec_id, embedding; others don't
     matter), without rows of the query's own vec_id; rank from 1, ties to smaller vec_id. Fewer than k if there are fewer.
 
@@ -101,33 +100,31 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, trees: int = 48,
     kept = found.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1).drop("copy")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))
     kept = cut(kept.withColumn("norm", norm).withColumn("dims", F.size("v")))
-    top = kept.groupBy("dims").agg(F.max("norm").alias("most"), F.count("*").alias("rows"))
     asked = cut(clean(queries).distinct().withColumn("first", F.min("vec_id").over(Window.partitionBy("v"))))
     single = asked.where("vec_id = first").select(F.col("vec_id").alias("id"), "v", F.size("v").alias("dims"), F.lit(0.0).alias("norm"), F.lit(True).alias("ask"))
     rows = kept.select(F.col("vec_id").alias("id"), "v", "dims", "norm", F.lit(False).alias("ask")).union(single)
-    sizes = {r[0]: (r[1], r[2]) for r in top.collect()}  # one row for each length of vectors
-    depth = {d: max(0, int(np.ceil(np.log2(n / bucket_rows)))) if bucket_rows else 0 for d, (_, n) in sizes.items()}
-    place = _route(rows, {d: m for d, (m, _) in sizes.items()}, depth, routes, seed)
     parts = lambda ask, rows: F.ceil(F.count(F.when(F.col("ask") == ask, 1)) / rows).cast("int")
-    counts = place.groupBy("dims", "route", "prefix").agg(parts(False, shard_rows).alias("shards"), parts(True, ask_rows).alias("blocks")).where("shards > 0 and blocks > 0")
-    place = place.join(F.broadcast(counts) if not bucket_rows or sum(n for _, n in sizes.values()) <= bucket_rows * 1000 else counts, ["dims", "route", "prefix"])
+    most = F.max(F.when(~F.col("ask"), F.col("norm"))).alias("most")
+    sizes = rows.groupBy("dims").agg(most, parts(False, shard_rows).alias("shards"), parts(True, ask_rows).alias("blocks")).where("shards > 0 and blocks > 0")
+    lift = F.when(F.col("ask"), F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("most") * F.col("most") - F.col("norm") * F.col("norm"))))
+    place = rows.join(F.broadcast(sizes), "dims").withColumn("lift", lift)  # one row for each length of vectors
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     one = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
     place = place.withColumn("shard", F.explode(F.when(F.col("ask"), every("shards")).otherwise(one("shards"))))
-    dealt = place.select("dims", "route", "prefix", "shard", F.explode(F.when(F.col("ask"), one("blocks")).otherwise(every("blocks"))).alias("block"), "ask", "id", "v", "lift")
+    dealt = place.select("dims", "shard", F.explode(F.when(F.col("ask"), one("blocks")).otherwise(every("blocks"))).alias("block"), "ask", "id", "v", "lift")
 
     def run(group: list[tuple]) -> Iterable[tuple]:
-        have, want = [r for r in group if not r[5]], [r for r in group if r[5]]
+        have, want = [r for r in group if not r[3]], [r for r in group if r[3]]
         if not have or not want:
             return
-        x = np.array([r[7] for r in have])
-        ids = np.array([r[6] for r in have])
+        x = np.array([r[5] for r in have])
+        ids = np.array([r[4] for r in have])
         for i in range(0, len(want), 1024):
             part = want[i : i + 1024]
-            near = search(x, np.array([r[8] for r in have]), ids, np.array([r[7] for r in part]), k + 1, trees, candidates, seed + 1)
-            yield from ((r[6], a.tolist(), s.tolist()) for r, (a, s) in zip(part, near, strict=True))
+            near = search(x, np.array([r[6] for r in have]), ids, np.array([r[5] for r in part]), k + 1, trees, candidates, seed + 1)
+            yield from ((r[4], a.tolist(), s.tolist()) for r, (a, s) in zip(part, near, strict=True))
 
-    hits = grouped(dealt, ["dims", "route", "prefix", "shard", "block"], run, "first long, ids array<long>, scores array<double>", order=["ask", "id"])
+    hits = grouped(dealt, ["dims", "shard", "block"], run, "first long, ids array<long>, scores array<double>", order=["ask", "id"])
     hits = hits.select("first", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("first", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score")).dropDuplicates(["first", "vec_id"])
     best = Window.partitionBy("first").orderBy(F.desc("score"), "vec_id")
     hits = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
@@ -135,28 +132,3 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, trees: int = 48,
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-
-def _route(rows: DataFrame, most: dict[int, float], depth: dict[int, int], routes: int, seed: int) -> DataFrame:
-    """rows with lift, and one row for each route: the first bits of its hash string. A single bucket has one route, no bits."""
-    import pyarrow as pa
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            ids, vs, dims, norms, asks = (c.to_pylist() for c in b.columns)
-            for d in sorted(set(dims)):
-                at = [i for i, x in enumerate(dims) if x == d and d in most]
-                if not at:
-                    continue
-                x = np.array([vs[i] for i in at])
-                ask = np.array([asks[i] for i in at])
-                lift = np.where(ask, 0.0, np.sqrt(np.maximum(most[d] ** 2 - np.array([norms[i] for i in at]) ** 2, 0)))
-                bits = depth[d]
-                flat = planes(d, routes, seed)
-                codes = strings(np.column_stack([x, lift]), flat) >> np.uint64(BITS - bits) if bits else np.zeros((1, len(at)), dtype=np.uint64)
-                for t in range(len(codes)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i in at], pa.int64()), pa.array([vs[i] for i in at], pa.list_(pa.float64())), pa.array([d] * len(at), pa.int32()), pa.array(ask), pa.array(lift), pa.array([t] * len(at), pa.int32()), pa.array(codes[t].astype(np.int64))],
-                        ["id", "v", "dims", "ask", "lift", "route", "prefix"],
-                    )
-
-    return rows.mapInArrow(run, "id long, v array<double>, dims int, ask boolean, lift double, route int, prefix long")

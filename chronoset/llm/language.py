@@ -209,7 +209,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
 
 def keep_known(docs: DataFrame, learn: Column) -> DataFrame:
-    """docs without texts that are rejected; learnt from the rows of docs where `learn` holds. Columns are those of docs."""
+    """docs without texts that are rejected; learnt from the rows of docs where `learn` holds. Columns are those of docs.
+
+    Null texts and texts without a letter are rejected, and all if nothing is learnt; repeated rows go or stay together.
+    """
     model = fit(docs.where(learn).select(F.col("doc_id").alias("key"), "text", "lang"))
     own = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(own))])

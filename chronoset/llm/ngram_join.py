@@ -203,7 +203,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without what is linked to a smaller doc_id, and with one row of each doc_id; rows without a doc_id stay."""
+    """docs without what is linked to a smaller doc_id, and with one row of each doc_id; rows without a doc_id stay.
+
+    Texts without words are linked with nothing. Which of several rows of one doc_id stays is told by a hash of all columns.
+    """
     gone = cut(near_duplicates(docs, size, num, den).where("doc_id is not null"))
     worse = gone.where("component_id < doc_id").select(F.col("doc_id").alias("worse_id")).distinct()
     kept = docs.join(worse, docs["doc_id"] == worse["worse_id"], "left_anti")

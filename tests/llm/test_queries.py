@@ -260,4 +260,69 @@ def test_mix(spark, small):
 
 
 def test_every_query_has_a_test_or_sql():
+    """Queries without SQL are run by name in a test of this folder."""
+    from pathlib import Path
+
+    tests = "".join(p.read_text() for p in Path(__file__).parent.glob("test_*.py"))
+    for name in set(queries.QUERIES) - set(queries.ORACLE_SQL):
+        assert f'"{name}"' in tests, name
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
+
+
+def plain_grams(text):
+    """The hashed runs of one to three characters, all but letters as spaces, one at a time in whole numbers."""
+    codes = [ord(c) if c.isalpha() else 32 for c in (text or "").lower()]
+    found = {}
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            run = codes[i : i + n]
+            if run[0] == 32 and run[-1] == 32:
+                continue
+            h = run[0] * 0x9E3779B1 % 2**32
+            for c in run[1:]:
+                h = (h * 0x85EBCA6B + c * 0x9E3779B1) % 2**32
+            place = ((h ^ (h >> 15)) * (0xC2B2AE35 + 2 * n) % 2**32) >> 20
+            found[place] = found.get(place, 0) + 1
+    return found
+
+
+def test_tf_idf_and_centroids_by_plain_counts(spark):
+    r = random.Random(2)
+    rows = [(str(i), prose(r, r.randint(1, 30), ("abcdeé", "mnopqß")[i % 2]), ("p", "q")[i % 2]) for i in range(30)] + [("x", "12 34", "p"), ("y", None, "q"), ("z", "abc", None), ("long", "ab cd " * 20000, "p")]
+    model = language.fit(spark.createDataFrame(rows, "key string, text string, lang string").repartition(3), k=1)
+    own = [(plain_grams(t), lang) for _, t, lang in rows if lang and t and any(c.isalpha() for c in t)]
+    seen = {}
+    for g, _ in own:
+        for place in g:
+            seen[place] = seen.get(place, 0) + 1
+    idf = np.array([np.log((1 + len(own)) / (1 + seen.get(k, 0))) + 1 for k in range(language.DIMS)])
+    assert np.allclose(model.idf, idf)
+
+    def vector(grams):
+        x = np.zeros(language.DIMS)
+        for place, n in grams.items():
+            x[place] = np.log1p(n) * idf[place]
+        return x / np.linalg.norm(x)
+
+    for i, lang in enumerate(("p", "q")):
+        mean = np.mean([vector(g) for g, which in own if which == lang], axis=0)
+        assert np.allclose(model.centroids[i], mean / np.linalg.norm(mean), atol=2e-3)
+
+
+def test_license_statements_of_the_query(spark, tmp_path):
+    """Planted statements are found in their documents and nowhere else, each scored by a sum over its grams."""
+    from chronoset.llm import licenses as C
+
+    r = random.Random(6)
+    planted = {3: ("Released under the MIT License.", "MIT"), 8: ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), 12: ("Licensed under CC BY-NC 4.0.", "CC-BY-NC")}
+    rows = [(i, prose(r, 40) + (f"\n\n{planted[i][0]}\n\n" + prose(r, 20) if i in planted else ""), None, None, 0) for i in range(20)] + [(None, None, None, None, None), (21, "", None, None, 0)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()
+    assert {(x.doc_id, x.family) for x in got} == {(i, f) for i, (_, f) in planted.items()}
+    model = C.fit()
+    for x in got:
+        z = np.array(model.bias, dtype=float)
+        for g in C.grams_of(C.words_of(x.paragraph)):
+            z = z + np.array(model.weights.get(g, [0.0] * len(model.families)))
+        e = np.exp(z / model.cooling - (z / model.cooling).max())
+        assert abs((e / e.sum()).max() - x.probability) < 1e-4 and model.families[int(z.argmax())] == x.family
