@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from ..operators import islands, kernels, windows
 from ..sources.project import frames, notes, table
 from .registry import query
@@ -239,5 +240,6 @@ def paired_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = r.mapInPandas(draw, "draw int, n double, s double").groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))  # null where a draw is of nothing
     edge = lambda q: F.round(F.percentile("mean", q), 6)
     spread = means.agg(F.lit(1).alias("one"), edge(0.025).alias("low"), edge(0.975).alias("high"))  # one row
-    p = F.udf(kernels.sign_test, "double")
-    return mean_change(spark, sf_dir).withColumn("p", p("up", "down")).withColumn("one", F.lit(1)).join(F.broadcast(spread), "one").drop("one")
+    n = F.col("up") + F.col("down")
+    p = F.when(n > 0, F.least(F.lit(1.0), 2 * scalar.binomial_tail(n, n - F.least("up", "down"), F.lit(0.5)))).otherwise(F.lit(1.0))
+    return mean_change(spark, sf_dir).withColumn("p", p).withColumn("one", F.lit(1)).join(F.broadcast(spread), "one").drop("one")
