@@ -9,6 +9,11 @@ TICK = 1e-6
 INF = float("inf")
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: by zero it is infinite, or NaN for 0 / 0, and doesn't raise."""
+    return F.when(b == 0, a * F.lit(INF)).otherwise(a / b)
+
+
 def hz_to_midi(hz: Column) -> Column:
     return F.lit(69.0) + 12.0 * F.log2(hz / 440.0)
 

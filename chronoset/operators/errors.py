@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import ratio as quotient
 from .islands import by, island_id
 from .joins import band_join, stabbing_join
 
@@ -80,10 +81,12 @@ def classify_miss(missed: DataFrame, estimate: DataFrame, facts: DataFrame, hear
 
 
 def classify_extra(extra: DataFrame, reference: DataFrame, other: DataFrame, slack: float, register: float, window: float, tolerance: float, ratio: float, gap: float) -> DataFrame:
-    """(id, class) of notes of ours that no reference note matches. other: notes of another stem, with confidence as have `extra`."""
+    """(id, class) of notes of ours that no reference note matches. other: notes of another stem, with confidence as have `extra`.
+
+    Beside a confidence of 0 another stem's note is louder without bound, whatever its own."""
     stem = other.select(F.col("rec").alias("s_rec"), F.col("pitch").alias("s_pitch"), F.col("onset").alias("s_on"), F.col("confidence").alias("s_conf"))
     beside = band_join(extra.select("rec", "id", "onset", "pitch", "confidence"), stem, [("rec", "s_rec"), ("pitch", "s_pitch")], "onset", "s_on", tolerance)
-    beside = beside.groupBy("id").agg((F.max("s_conf") / F.first("confidence")).alias("ratio"))
+    beside = beside.groupBy("id").agg(quotient(F.max("s_conf"), F.first("confidence")).alias("ratio"))
     # the gap of the reference around each note: the last onset up to it and the first after it
     both = reference.select("rec", F.lit(None).cast("long").alias("id"), "onset", F.lit(0).alias("side")).union(extra.select("rec", "id", "onset", F.lit(1)))
     w = by("rec", "onset", "side", "id")

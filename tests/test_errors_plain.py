@@ -47,6 +47,13 @@ def test_the_body_of_an_attack_is_late(spark):
     assert abs(sum(x.part for x in parts) - (1 - 2 / 6)) < 1e-9
 
 
+def test_a_note_beside_one_of_no_confidence_is_louder_without_bound(spark):
+    extra = notes(spark, (1.0, 0.5, 62), (9.0, 0.5, 62)).selectExpr("*", "0.0D confidence")
+    other = notes(spark, (1.1, 0.5, 62), (9.1, 0.5, 62)).selectExpr("*", "if(id = 0, 0.4D, 0.0D) confidence")
+    rows = errors.classify_extra(extra, notes(spark, (30.0, 0.5, 70)), other, 0.05, 12.0, 2.0, 0.3, 1.0, 1.0).collect()
+    assert {(x.id, x["class"]) for x in rows} == {(0, "bleed_cross_stem"), (1, "bleed_cross_stem")}  # 0.4 / 0 is infinite; 0 / 0 is NaN, which is above all
+
+
 def augment(edges, free, seen, owner):
     for i in edges[free]:
         if i not in seen:
