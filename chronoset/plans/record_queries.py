@@ -161,7 +161,7 @@ def join_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = n.withColumn("e", F.col("onset") + F.col("duration")).withColumn("upto", F.count("*").over(islands.by("track", "onset").rangeBetween(Window.unboundedPreceding, 0)))
     j = n.withColumn("next", F.lead("note_id").over(w)).withColumn("no", F.lead("onset").over(w)).withColumn("nc", F.lead("confidence").over(w)).withColumn("before", F.lead("rank").over(w) - 1)
     j = j.where((F.col("next").isNotNull()) & (F.col("no") - F.col("e") <= 20.0))
-    return j.select("note_id", "next", F.round(F.col("no") - F.col("e"), 6).alias("gap"), F.round(F.col("nc") / F.col("confidence"), 6).alias("ratio"), F.greatest(F.lit(0), F.col("before") - F.col("upto")).cast("long").alias("between_"))
+    return j.select("note_id", "next", F.round(F.col("no") - F.col("e"), 6).alias("gap"), F.round(S.ratio(F.col("nc"), F.col("confidence")), 6).alias("ratio"), F.greatest(F.lit(0), F.col("before") - F.col("upto")).cast("long").alias("between_"))
 
 
 @query(NOTES + """, k AS (SELECT track, floor(onset * 480)::BIGINT AS tick FROM notes) SELECT track, count(*) AS n, round(avg(CASE WHEN least(tick % 20, 20 - tick % 20) <= 1 THEN 1.0 ELSE 0.0 END), 6) AS share, 0.15::DOUBLE AS chance,
