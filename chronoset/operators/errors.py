@@ -25,13 +25,14 @@ def frame_facts(notes: DataFrame, frames: DataFrame, lead: float, shortest: floa
     """(id, frames, most, energetic, live, at_ref, run, live_f0, level) of notes that have frames within their window.
 
     energetic, live and at_ref are shares of frames; run is the longest run of frames at the note's pitch; live_f0 is the median of
-    frames that are loud and voiced.
+    frames that are loud and voiced. Frames of one time follow one another by f0, periodicity and level, so a run doesn't depend on
+    how rows are dealt.
     """
     n = notes.select(F.col("rec").alias("n_rec"), "id", "pitch", (F.col("onset") - lead).alias("__lo"), (F.col("onset") + F.greatest("duration", F.lit(shortest))).alias("__hi"))
     at = stabbing_join(frames, n, [("rec", "n_rec")], "t", ("__lo", "__hi"), cell)
     loud, heard = F.col("level") >= floor, F.col("periodicity") >= voiced
     same = F.coalesce(F.abs(F.col("f0") - F.col("pitch")) <= agree, F.lit(False))
-    at = at.withColumn("same", same).withColumn("spell", island_id(~F.col("same"), by("id", "t")))
+    at = at.withColumn("same", same).withColumn("spell", island_id(~F.col("same"), by("id", "t", "f0", "periodicity", "level")))
     runs = at.where("same").groupBy("id", "spell").count().groupBy("id").agg(F.max("count").alias("run"))
     facts = at.groupBy("id").agg(
         F.count("*").alias("frames"), F.max("periodicity").alias("most"), F.avg(loud.cast("double")).alias("energetic"), F.avg((loud & heard).cast("double")).alias("live"),

@@ -54,6 +54,15 @@ def test_a_note_beside_one_of_no_confidence_is_louder_without_bound(spark):
     assert {(x.id, x["class"]) for x in rows} == {(0, "bleed_cross_stem"), (1, "bleed_cross_stem")}  # 0.4 / 0 is infinite; 0 / 0 is NaN, which is above all
 
 
+def test_runs_of_frames_of_one_time_do_not_depend_on_their_order(spark):
+    note = notes(spark, (1.0, 1.0, 60))
+    rows = [(0, 1.1, 60.0, 0.5, 9.0), (0, 1.2, 60.0, 0.5, 9.0), (0, 1.2, 64.0, 0.5, 9.0), (0, 1.2, 60.2, 0.5, 9.0), (0, 1.3, 60.0, 0.5, 9.0)]
+    for dealt in (rows, rows[::-1], rows[2:] + rows[:2]):
+        frames = spark.createDataFrame(dealt, "rec long, t double, f0 double, periodicity double, level double").coalesce(1)
+        (x,) = errors.frame_facts(note, frames, 0.03, 0.05, 0.05, 5.0, 0.5).collect()
+        assert (x.frames, x.run) == (5, 3)
+
+
 def augment(edges, free, seen, owner):
     for i in edges[free]:
         if i not in seen:
