@@ -61,9 +61,9 @@ def score_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = _files(_parts(spark, sf_dir), ["track", "part"], write, adapters.parse_musicxml, "track long, part long, voice string, position double, duration double, pitch int, tie_stop boolean, grace boolean")
     path = F.concat_ws("/", "track", "part")
-    line = adapters.melody(out.withColumn("path", path).withColumn("part", F.lit("P1")))
+    line = adapters.tied(out.withColumn("path", path).withColumn("part", F.lit("P1")))
     key = F.split("path", "/")
-    return line.select(key[0].cast("long").alias("track"), key[1].cast("long").alias("part"), "pitch", "position", F.round("duration", 6).alias("duration"))
+    return line.select(key[0].cast("long").alias("track"), key[1].cast("long").alias("part"), "pitch", F.round("position", 6).alias("position"), F.round("duration", 6).alias("duration"))
 
 
 @query(FRAMES + """, s AS (SELECT track, frame // 512 AS part, frame % 512 AS i, floor(level / 4) / 32768.0 AS x FROM frames), d AS (SELECT track, part, i // 2 AS j, avg(x) AS x, count(*) AS n FROM s GROUP BY ALL), w AS (SELECT track, part, j // 16 AS window_, x FROM d WHERE n = 2)
