@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import ratio as quotient
 from .islands import by, island_id
 from .joins import band_join, stabbing_join
+from .lineage import settled
 
 
 def _octave(step: Column) -> Column:
@@ -133,7 +134,7 @@ def classify_all(reference: DataFrame, estimate: DataFrame, hits: DataFrame, pai
     """
     r = reference.select("rec", F.col("id").alias("ref_id"), F.col("onset").alias("ref_onset"), F.col("duration").alias("ref_duration"), F.col("pitch").alias("ref_pitch"))
     e = estimate.select(F.col("id").alias("est_id"), F.col("onset").alias("est_onset"), F.col("pitch").alias("est_pitch"))
-    judged = classify_pairs(pairs.join(r, "ref_id").join(e, "est_id"), estimate, tolerance, slack)
+    judged = settled(classify_pairs(settled(pairs.join(r, "ref_id").join(e, "est_id")), estimate, tolerance, slack))
     left = lambda notes, side: notes.join(hits.select(F.col(side).alias("id")).union(pairs.select(F.col(side).alias("id"))), "id", "left_anti")
     bodies = judged.where("body_id is not null").select(F.col("body_id").alias("id"), F.lit(True).alias("body")).distinct()
     late = F.when(F.col("body") & (F.col("class") == "split_sustain"), "body_late").otherwise(F.col("class"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import errors, joins, stats
+from ..operators.lineage import settled
 from ..sources.project import SQL, frames, notes
 from .kernel_queries import matched
 from .registry import query
@@ -122,16 +123,18 @@ PAIR, HIT = 0.15, 0.05
 
 def solo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits are a maximum matching within a pitch; pairs one of least distance among the notes that no hit has."""
-    ref, est, other = _sides(spark, sf_dir)
-    hits = matched(ref, est, "most", HIT, ["rec", "pitch"]).toDF("ref_id", "est_id")
+    n = settled(notes(spark, sf_dir).select(F.floor(F.col("track") / 50).alias("rec"), F.col("note_id").alias("id"), "onset", "duration", "pitch", "confidence", "source").where(F.col("source").isin("view", "click", "purchase")))
+    ref, est, other = (n.where(F.col("source") == s).drop("source") for s in ("view", "click", "purchase"))
+    hits = settled(matched(ref, est, "most", HIT, ["rec", "pitch"]).toDF("ref_id", "est_id"))
     free = lambda notes, side: notes.join(hits.select(F.col(side).alias("id")), "id", "left_anti")
-    pairs = matched(free(ref, "ref_id"), free(est, "est_id"), "cost", PAIR, ["rec"]).toDF("ref_id", "est_id")
+    pairs = settled(matched(free(ref, "ref_id"), free(est, "est_id"), "cost", PAIR, ["rec"]).toDF("ref_id", "est_id"))
 
     def misses(missed: DataFrame) -> DataFrame:
+        missed = settled(missed)
         heard = joins.band_join(missed.select("rec", "id", "pitch", "onset"), other.select(F.col("rec").alias("h_rec"), F.col("pitch").alias("h_pitch"), F.col("onset").alias("h_on")), [("rec", "h_rec"), ("pitch", "h_pitch")], "onset", "h_on", 0.1, "left_semi")
         return errors.classify_miss(missed, est, _facts(missed, spark, sf_dir), heard, 25000.0, 0.05, 0.2, HOP, 4.0, 2.0, 0.5)
 
-    extras = lambda extra: errors.classify_extra(extra, ref, other, 0.05, 4.0, 2.0, 0.3, 1.0, 1.0)
+    extras = lambda extra: errors.classify_extra(settled(extra), ref, other, 0.05, 4.0, 2.0, 0.3, 1.0, 1.0)
     return errors.classify_all(ref, est, hits, pairs, misses, extras, HIT, 0.05)
 
 

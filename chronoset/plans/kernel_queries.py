@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import islands, kernels, windows
+from ..operators.lineage import settled
 from ..sources.project import frames, notes, table
 from .registry import query
 from .note_queries import FRAMES, LINE, NOTES, line_and_oracle, voices
@@ -32,13 +33,9 @@ def align_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            rows = []
-            for key, x, y in zip(b["o_orderkey"], b["seq"], b["other"], strict=True):
-                pairs = kernels.align([v % 12 for v in x], [v % 12 for v in y])
-                same = sum(i is not None and j is not None and x[i] % 12 == y[j] % 12 for i, j in pairs)
-                subs = sum(i is not None and j is not None for i, j in pairs) - same
-                rows.append((key, same, subs, sum(i is None for i, _ in pairs), sum(j is None for _, j in pairs)))
-            yield pd.DataFrame(rows, columns=["o_orderkey", "matches", "subs", "inserted", "deleted"])
+            x, y = b["seq"].to_list(), b["other"].to_list()
+            same, subs = kernels.alignments(x, y, 12)
+            yield pd.DataFrame({"o_orderkey": b["o_orderkey"], "matches": same, "subs": subs, "inserted": [len(v) for v in y] - same - subs, "deleted": [len(v) for v in x] - same - subs})
 
     return _lists(spark, sf_dir).mapInPandas(run, "o_orderkey long, matches long, subs long, inserted long, deleted long")
 
@@ -49,8 +46,8 @@ def best_transposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            found = [kernels.best_shift(list(x), list(y), range(-6, 7)) for x, y in zip(b["seq"], b["other"], strict=True)]
-            yield pd.DataFrame({"o_orderkey": b["o_orderkey"], "shift": [f[0] for f in found], "matches": [f[1] for f in found]})
+            shift, most = kernels.best_shifts(b["seq"].to_list(), b["other"].to_list(), range(-6, 7))
+            yield pd.DataFrame({"o_orderkey": b["o_orderkey"], "shift": shift, "matches": most})
 
     return _lists(spark, sf_dir).mapInPandas(run, "o_orderkey long, shift long, matches long")
 
@@ -127,7 +124,8 @@ def greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the notes that note_hits leaves, the pairs of least total distance, of any pitch; an unequal one has a penalty."""
     a, b = _sides(spark, sf_dir)
-    hits = note_hits(spark, sf_dir)
+    a, b = settled(a), settled(b)
+    hits = settled(matched(a, b, "most", 1.0, ["rec", "pitch"]))
     a, b = a.join(hits.select(F.col("note_id").alias("id")), "id", "left_anti"), b.join(hits.select(F.col("o_id").alias("id")), "id", "left_anti")
     return matched(a, b, "cost", 0.5, ["rec"])
 

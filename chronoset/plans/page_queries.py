@@ -209,7 +209,8 @@ def score_against_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):  # noqa: ANN001, ANN202
         line = lambda v, k: [(i * 0.5 + x % k * 0.25, (x % (k + 1) + 1) / 4, x % 12) for i, x in enumerate(v)]
         for b in batches:
-            rows = [(key, *kernels.page_score(line(x, 3), line(y, 2))) for key, x, y in zip(b["o_orderkey"], b["seq"], b["other"], strict=True)]
+            shift, _ = kernels.best_shifts([[v % 12 for v in y] for y in b["other"]], [[v % 12 for v in x] for x in b["seq"]], range(-6, 7))
+            rows = [(key, *kernels.page_score(line(x, 3), line(y, 2), shift=int(s))) for key, x, y, s in zip(b["o_orderkey"], b["seq"], b["other"], shift, strict=True)]
             yield pd.DataFrame(rows, columns=["o_orderkey", "coverage", "rhythm", "value", "shift"])
 
     return _lists(spark, sf_dir).mapInPandas(run, "o_orderkey long, coverage double, rhythm double, value double, shift long")
