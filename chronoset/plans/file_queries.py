@@ -24,11 +24,10 @@ def _files(rows: DataFrame, keys: list[str], write, parse, schema: str) -> DataF
     """Rows of `schema` that `parse` makes of the file that `write` makes of each group."""
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        head = {k: g[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**r, **head} for r in parse(write(g))], columns=names)
+    def run(groups: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.DataFrame([{**r, **{k: g[k].iloc[0] for k in keys}} for g in groups for r in parse(write(g))], columns=names)
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    return kernels.per_groups(rows, keys, [], run, schema)
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,13 +160,15 @@ def hz_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refined_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likely path through pitch bins of each track's frames, each bin refined by the weights around it."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        p = g["pitch"].to_numpy(dtype=float)
-        weights = np.exp(-0.5 * ((np.arange(50)[None, :] + 1 - np.nan_to_num(p, nan=25.0)[:, None] - 0.3) / np.where(np.isnan(p), 50.0, 2.0)[:, None]) ** 2)
-        path = kernels.viterbi(np.log(weights + 1e-9), 0.02)
-        return pd.DataFrame({"track": g["track"], "frame": g["frame"], "cents": np.round(kernels.refine_bins(weights, path), 4)})
+    def weigh(p: np.ndarray) -> np.ndarray:
+        return np.exp(-0.5 * ((np.arange(50)[None, :] + 1 - np.nan_to_num(p, nan=25.0)[:, None] - 0.3) / np.where(np.isnan(p), 50.0, 2.0)[:, None]) ** 2)
+
+    def run(groups: list[pd.DataFrame]) -> pd.DataFrame:
+        weights = [weigh(g["pitch"].to_numpy(dtype=float)) for g in groups]
+        paths = kernels.viterbi_many([np.log(w + 1e-9) for w in weights], 0.02)
+        return pd.concat(groups)[["track", "frame"]].assign(cents=np.concatenate([np.round(kernels.refine_bins(w, path), 4) for w, path in zip(weights, paths, strict=True)]))
 
-    return kernels.per_group(frames(spark, sf_dir), ["track"], ["frame"], run, "track long, frame long, cents double")
+    return kernels.per_groups(frames(spark, sf_dir), ["track"], ["frame"], run, "track long, frame long, cents double")
 
 
 @query()

@@ -134,13 +134,15 @@ def pair_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def viterbi_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smoothest likely path through 50 pitch bins of each track's frames."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        p = g["pitch"].to_numpy(dtype=float)
+    def likely(p: np.ndarray) -> np.ndarray:
         far = np.abs(np.arange(1, 51)[None, :] - np.nan_to_num(p, nan=25.0)[:, None])
-        path = kernels.viterbi(np.where(np.isnan(p)[:, None], 0.0, -0.05 * far), 0.02)
-        return pd.DataFrame({"track": g["track"], "frame": g["frame"], "bin": path})
+        return np.where(np.isnan(p)[:, None], 0.0, -0.05 * far)
+
+    def run(groups: list[pd.DataFrame]) -> pd.DataFrame:
+        paths = kernels.viterbi_many([likely(g["pitch"].to_numpy(dtype=float)) for g in groups], 0.02)
+        return pd.concat(groups)[["track", "frame"]].assign(bin=np.concatenate(paths))
 
-    return kernels.per_group(frames(spark, sf_dir), ["track"], ["frame"], run, "track long, frame long, bin long")
+    return kernels.per_groups(frames(spark, sf_dir), ["track"], ["frame"], run, "track long, frame long, bin long")
 
 
 @query()
