@@ -20,7 +20,7 @@ from .note_queries import FRAMES, LINE, NOTES, line_and_oracle, voices
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sequences: an order's quantities and those of the next order of the customer."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: x["l_quantity"].cast("int")).alias("seq"))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: x["l_quantity"].cast("int")).alias("seq"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     both = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select("o_orderkey", "seq", F.lead("seq").over(w).alias("other"))

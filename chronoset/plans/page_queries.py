@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -195,9 +196,12 @@ def edit_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fewest edits that turn one order's line into the next one's: notes inserted, left out or of another pitch, moved places and changed values."""
 
     def run(batches):  # noqa: ANN001, ANN202
+        line = lambda v, k: (np.arange(v.shape[1]) * 0.5 + v % k * 0.25, (v % (k + 1) + 1) / 4, v % 12)
         for b in batches:
-            rows = [(key, *kernels.edits([(i * 0.5 + v % 3 * 0.25, (v % 4 + 1) / 4, v % 12) for i, v in enumerate(x)], [(i * 0.5 + v % 2 * 0.25, (v % 3 + 1) / 4, v % 12) for i, v in enumerate(y)])) for key, x, y in zip(b["o_orderkey"], b["seq"], b["other"], strict=True)]
-            yield pd.DataFrame(rows, columns=["o_orderkey", "insertions", "deletions", "pitch", "position", "value"])
+            found = np.zeros((len(b), 5), dtype=np.int64)
+            for at, x, y in kernels.by_shape(b["seq"].to_list(), b["other"].to_list()):
+                found[at] = kernels.edits_many(line(x, 3), line(y, 2))
+            yield pd.DataFrame(found, columns=["insertions", "deletions", "pitch", "position", "value"]).assign(o_orderkey=b["o_orderkey"].to_numpy())
 
     return _lists(spark, sf_dir).mapInPandas(run, "o_orderkey long, insertions long, deletions long, pitch long, position long, value long")
 
