@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .islands import by, island_id
-from .windows import reference_pulse
+from .windows import middle, with_reference_pulse
 
 
-def numbered(beats: DataFrame) -> DataFrame:
-    """beats with i, their place from 0, gap, the time to the next, and pulse, the reference of the interval."""
+def placed(beats: DataFrame) -> DataFrame:
+    """beats with i, their place from 0, and gap, the time to the next."""
     w = by("track", "t")
-    out = beats.withColumn("i", F.row_number().over(w) - 1).withColumn("gap", F.lead("t").over(w) - F.col("t"))
-    return out.join(reference_pulse(beats.select("track", "t")), ["track", "t"], "left")
+    return beats.withColumn("i", F.row_number().over(w) - 1).withColumn("gap", F.lead("t").over(w) - F.col("t"))
+
+
+def numbered(beats: DataFrame) -> DataFrame:
+    """placed() beats with pulse, the reference of the interval.
+
+    All windows and groups here and below are a track's or parts of it, so a track's beats are dealt once and stay where they are.
+    """
+    return with_reference_pulse(placed(beats))
 
 
 def steady_intervals(beats: DataFrame, tolerance: float = 0.15) -> DataFrame:
@@ -38,28 +45,29 @@ def metrical_spans(steady: DataFrame, bridge: int = 1, least: int = 8) -> DataFr
     """
     w = by("track", "i")
     new = F.col("steady") & F.coalesce(~F.lag("steady").over(w), F.lit(True))
-    runs = steady.withColumn("run", island_id(new, w)).where("steady").groupBy("track", "run").agg(F.min("i").alias("first"), (F.max("i") + 1).alias("last"), F.min("t").alias("from"), F.max(F.col("t") + F.col("gap")).alias("to"))
+    # of an interval's first beat, the detected ones before it and the next one; of its last beat, those up to it and the last one. All
+    # of them rise with i, so a span has its first beat's least and its last beat's most
+    real = F.when(~F.col("implied"), F.col("i"))
+    upto, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    s = steady.withColumn("run", island_id(new, w)).withColumn("__upto", F.count(real).over(upto)).withColumn("__from", F.min(real).over(on)).withColumn("__to", F.max(real).over(upto))
+    s = s.withColumn("__before", F.col("__upto") - F.when(~F.col("implied"), 1).otherwise(0)).withColumn("__upto", F.lead("__upto").over(w)).withColumn("__to", F.lead("__to").over(w))
+    runs = s.where("steady").groupBy("track", "run").agg(F.min("i").alias("first"), (F.max("i") + 1).alias("last"), F.min("t").alias("from"), F.max(F.col("t") + F.col("gap")).alias("to"), F.min("__before").alias("before"), F.max("__upto").alias("upto"), F.min("__from").alias("real_first"), F.max("__to").alias("real_last"))
     pulse = steady.groupBy("track").agg(F.percentile("gap", 0.5).alias("typical"))
     v = by("track", "first")
     apart = (F.col("first") - F.lag("last").over(v) - 1 > bridge) | (F.col("from") - F.lag("to").over(v) > (bridge + 1) * F.col("typical"))
-    spans = runs.join(pulse, "track").withColumn("span", island_id(F.coalesce(apart, F.lit(True)), v)).groupBy("track", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    # beats of spans, joined by place: a span's beats are counted, not collected
-    b = steady.select("track", "i", "implied").withColumnRenamed("track", "b_track")
-    cell = 64
-    dealt = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor(F.col("last") / cell))))
-    inside = b.withColumn("b_cell", F.floor(F.col("i") / cell)).join(dealt, (F.col("b_track") == F.col("track")) & (F.col("b_cell") == F.col("cell")) & F.col("i").between(F.col("first"), F.col("last")))
-    real = inside.where("not implied").groupBy("track", "span").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("detected"))
-    return real.where(F.col("detected") >= least).select("track", "first", "last", "detected")
+    spans = runs.join(pulse, "track").withColumn("span", island_id(F.coalesce(apart, F.lit(True)), v)).groupBy("track", "span").agg(F.min("real_first").alias("first"), F.max("real_last").alias("last"), (F.max("upto") - F.min("before")).alias("detected"))
+    return spans.where(F.col("detected") >= max(least, 1)).select("track", "first", "last", "detected")
 
 
-def sections(spans: DataFrame, phase: DataFrame, pulses: int = 4) -> DataFrame:
+def sections(spans: DataFrame, phase: DataFrame | Column, pulses: int = 4) -> DataFrame:
     """(track, first, last, bar, crossed) of spans that hold a bar: first is their first bar line, bar its number.
 
-    phase: (track, phase), the place of bar lines modulo the pulses. Bars are counted through what lies between spans; crossed is
+    phase: (track, phase), the place of bar lines modulo the pulses, or a column of the spans. Bars are counted through what lies between spans; crossed is
     true where something does.
     """
     w = by("track", "first")
-    s = spans.join(phase, "track").withColumn("line", F.col("first") + F.pmod(F.col("phase") - F.col("first"), F.lit(pulses)))
+    s = spans.join(phase, "track") if isinstance(phase, DataFrame) else spans.withColumn("phase", phase)
+    s = s.withColumn("line", F.col("first") + F.pmod(F.col("phase") - F.col("first"), F.lit(pulses)))
     s = s.withColumn("crossed", F.coalesce(F.col("first") > F.lag("last").over(w) + 1, F.lit(False))).where(F.col("line") + pulses <= F.col("last") + 1)
     one = F.min("line").over(Window.partitionBy("track"))
     return s.select("track", F.col("line").alias("first"), "last", (1 + F.floor((F.col("line") - one) / pulses)).alias("bar"), "crossed")
@@ -77,24 +85,26 @@ def doubts(beats: DataFrame, reach: int = 4, rest: float = 0.5) -> DataFrame:
     Each found beat is compared with the next `reach` found ones; stretches that share a beat are one. held: the whole stretch in
     pulses, by the median of its intervals' references.
     """
-    b = numbered(beats)
-    found = b.where("not implied").withColumn("f", F.row_number().over(by("track", "i")))
-    ends = [F.struct(F.lead("i", k).over(by("track", "i")).alias("b_i"), F.lead("t", k).over(by("track", "i")).alias("b_t")) for k in range(1, reach + 1)]
-    pairs = found.withColumn("ends", F.array(*ends)).withColumn("end", F.explode("ends")).where("end.b_i is not null").select("track", F.col("i").alias("first"), F.col("end.b_i").alias("last"), (F.col("end.b_t") - F.col("t")).alias("size"))
-    pairs = _held(pairs, b).where(F.abs(F.col("held") - (F.col("last") - F.col("first"))) > rest)
-    w = by("track", "first", "last")
-    upto = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = pairs.withColumn("run", island_id(F.coalesce(F.col("first") > upto, F.lit(True)), w)).groupBy("track", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    at = b.select("track", "i", "t")
-    runs = runs.join(at.select("track", F.col("i").alias("first"), F.col("t").alias("t0")), ["track", "first"]).join(at.select("track", F.col("i").alias("last"), F.col("t").alias("t1")), ["track", "last"])
-    return _held(runs.select("track", "first", "last", (F.col("t1") - F.col("t0")).alias("size")), b).select("track", "first", "last", "held", (F.col("last") - F.col("first")).alias("counted"))
-
-
-def _held(stretches: DataFrame, b: DataFrame) -> DataFrame:
-    """stretches (track, first, last, size) with held: their size in pulses."""
-    each = stretches.withColumn("i", F.explode(F.sequence(F.col("first"), F.col("last") - 1)))  # a stretch is a few intervals
-    mid = each.join(b.select("track", "i", "pulse"), ["track", "i"]).groupBy("track", "first", "last", "size").agg(F.percentile("pulse", 0.5).alias("mid"))
-    return mid.withColumn("held", F.when(F.col("mid") > 0, F.col("size") / F.col("mid")).otherwise((F.col("last") - F.col("first")).cast("double"))).drop("mid")
+    # a found beat with the references of its intervals up to the next found one
+    b = numbered(beats).withColumn("f", island_id(~F.col("implied"), by("track", "t"))).where("f > 0")
+    found = b.groupBy("track", "f").agg(F.min("i").alias("i"), F.min("t").alias("t"), F.collect_list("pulse").alias("pulses"))
+    w = by("track", "i")
+    each = range(1, reach + 1)
+    pulses = lambda k: F.sort_array(F.flatten(F.array("pulses", *[F.lead("pulses", j).over(w) for j in range(1, k)])))
+    own = found.select("*", *[c for k in each for c in (F.lead("i", k).over(w).alias(f"i{k}"), F.lead("t", k).over(w).alias(f"t{k}"), pulses(k).alias(f"p{k}"))])
+    off = lambda k: F.abs(_held(F.col(f"t{k}") - F.col("t"), middle(f"p{k}"), F.col(f"i{k}") - F.col("i")) - (F.col(f"i{k}") - F.col("i"))) > rest
+    own = own.select("track", "i", "t", "pulses", F.array_max(F.array(*[F.when(off(k), F.struct(F.col(f"i{k}").alias("last"), F.col(f"t{k}").alias("to"))) for k in each])).alias("x")).select("track", "i", "t", "pulses", "x.*")
+    # a stretch begins where no earlier one reaches, and holds the found beats before its end
+    new = F.col("last").isNotNull() & F.coalesce(F.col("i") > F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    within = F.col("i") < F.max("last").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = own.withColumn("run", island_id(new, w)).withColumn("within", within).where("within")
+    runs = runs.withColumn("pulse", F.explode_outer("pulses")).groupBy("track", "run").agg(F.min("i").alias("first"), F.max("last").alias("last"), (F.max("to") - F.min("t")).alias("size"), F.percentile("pulse", 0.5).alias("mid"))
+    return runs.select("track", "first", "last", _held(F.col("size"), F.col("mid"), F.col("last") - F.col("first")).alias("held"), (F.col("last") - F.col("first")).alias("counted"))
+
+
+def _held(size: Column, pulse: Column, counted: Column) -> Column:
+    """A stretch's size in pulses; what was counted, without a pulse."""
+    return F.when(pulse > 0, size / pulse).otherwise(counted.cast("double"))
 
 
 def relay(pins: DataFrame, beats: DataFrame, most: int, snap: float) -> DataFrame:

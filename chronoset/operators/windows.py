@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .islands import by
@@ -110,17 +110,29 @@ def edge_period(beats: DataFrame, k: int = 8) -> DataFrame:
     return steps.groupBy("track").agg(upper("__i").alias("first"), upper("__j").alias("last"))
 
 
-def reference_pulse(beats: DataFrame, half: int = 8, least: int = 3) -> DataFrame:
-    """(track, t, pulse): intervals over the modal one made comparable, then their centred median; the modal one with fewer."""
-    w = by("track", "t")
-    steps = beats.select("track", "t", (F.lead("t").over(w) - F.col("t")).alias("gap")).where("gap is not null")
-    bins = steps.groupBy("track", F.bround("gap", 2).alias("b")).count()
-    seed = bins.groupBy("track").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("seed"))
-    r = F.col("gap") / F.col("seed")
+def middle(values: str) -> Column:
+    """The median of a sorted array without nulls; null of an empty one."""
+    half = F.size(values) / 2
+    return (F.get(values, F.ceil(half).cast("int") - 1) + F.get(values, F.floor(half).cast("int"))) / 2
+
+
+def with_reference_pulse(steps: DataFrame, half: int = 8, least: int = 3) -> DataFrame:
+    """steps (track, t, gap, ...) with pulse: intervals over the modal one made comparable, then their centred median; the modal one
+    with fewer; null where gap is. A track's rows are dealt once."""
+    bins = steps.where("gap is not null").groupBy("track", F.bround("gap", 2).alias("b")).count()
+    seed = bins.groupBy("track").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("__seed"))
+    r = F.col("gap") / F.col("__seed")
     v = F.when(r >= 0.75, F.col("gap") / F.bround(r)).when(F.abs(r / 0.5 - 1) <= 0.15, F.col("gap") * 2)
-    near = w.rowsBetween(-half, half)
-    out = steps.join(seed, "track").withColumn("__v", v)
-    return out.select("track", "t", F.when(F.count("__v").over(near) >= least, F.percentile("__v", 0.5).over(near)).otherwise(F.col("seed")).alias("pulse"))
+    near = by("track", "t").rowsBetween(-half, half)
+    out = steps.join(seed, "track", "left").withColumn("__v", v).withColumn("__v", F.sort_array(F.collect_list("__v").over(near)))
+    pulse = F.when(F.size("__v") >= least, middle("__v")).otherwise(F.col("__seed"))
+    return out.withColumn("pulse", F.when(F.col("gap").isNotNull(), pulse)).drop("__v", "__seed")
+
+
+def reference_pulse(beats: DataFrame, half: int = 8, least: int = 3) -> DataFrame:
+    """(track, t, pulse) of with_reference_pulse(), of all intervals."""
+    steps = beats.select("track", "t", (F.lead("t").over(by("track", "t")) - F.col("t")).alias("gap"))
+    return with_reference_pulse(steps, half, least).where("gap is not null").select("track", "t", "pulse")
 
 
 def flag_peaks(frames: DataFrame, value: str, half: int, above: float, name: str, edges: bool = True) -> DataFrame:
