@@ -209,7 +209,7 @@ def settle(doubts: DataFrame, beats: DataFrame, marks: DataFrame, reach: float =
     b = beats.select("track", "t").withColumn("i", F.row_number().over(by("track", "t")) - 1)
     at = nearest_join(marks.select("track", "mark"), b.select("track", F.col("t").alias("b_t"), "i"), ["track"], "mark", "b_t", ["i"], near).where("i is not null")
     votes = at.select(F.col("track").alias("v_track"), "mark", (F.col("i") % pulses).alias("phase"))
-    d = doubts.join(b.select("track", F.col("i").alias("first"), F.col("t").alias("__from")), ["track", "first"]).join(b.select("track", F.col("i").alias("last"), F.col("t").alias("__to")), ["track", "last"])
+    d = settled(doubts.join(b.select("track", F.col("i").alias("first"), F.col("t").alias("__from")), ["track", "first"]).join(b.select("track", F.col("i").alias("last"), F.col("t").alias("__to")), ["track", "last"]))
     before = F.col("mark").between(F.col("__from") - reach, F.col("__from"))
     after = F.col("mark").between(F.col("__to"), F.col("__to") + reach)
     spans = d.select("track", "first", "last", "__from", "__to", (F.col("__from") - reach).alias("__lo"), (F.col("__to") + reach + 1e-9).alias("__hi"))
